@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import langid, mixing, quality, sharding, simhash
+from . import chat, decontaminate, embeddings, langid, mixing, quality, sharding, simhash, warc
 
-MODULES = [simhash, mixing, sharding, quality, langid]
+MODULES = [simhash, warc, chat, mixing, decontaminate, sharding, embeddings, quality, langid]
 
 
 def queries() -> dict:
