@@ -56,6 +56,11 @@ def _edf_order(counts: Column) -> Column:
     return F.aggregate(F.when(total > 0, F.sequence(F.lit(0).cast("bigint"), total.cast("bigint") - 1)).otherwise(F.expr("cast(array() as array<bigint>)")), start, step, lambda s: s.order)
 
 
+def source_key(source: Column) -> Column:
+    """A text for each source that is never null: a null source has one of its own."""
+    return F.coalesce(F.concat(F.lit("="), source.cast("string")), F.lit(""))
+
+
 def ranked(df: DataFrame, source: str, key: str) -> DataFrame:
     """``df`` with __rank from 0 within its source, in the order of (hash of key, key).
 
@@ -64,15 +69,17 @@ def ranked(df: DataFrame, source: str, key: str) -> DataFrame:
     """
     n = df.count()
     bits = max(0, (n // BUCKET_ROWS).bit_length() + (1 if n > BUCKET_ROWS else 0))
-    rows = df.withColumns({"__s": F.col(source).cast("string"), "__h": hash60(F.col(key))})
+    rows = df.withColumns({"__s": source_key(F.col(source)), "__h": hash60(F.col(key))})
     rows = rows.withColumn("__b", F.shiftright("__h", 60 - bits) if bits else F.lit(0).cast("bigint"))
     size = rows.groupBy("__s", "__b").agg(F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("__s").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offset = size.select(F.col("__s").alias("__s2"), F.col("__b").alias("__b2"), before.alias("__before"))
+    offset = materialize(size.select(F.col("__s").alias("__s2"), F.col("__b").alias("__b2"), before.alias("__before")), "mix-offsets")
+    if offset.count() <= BROADCAST_SOURCES:
+        offset = F.broadcast(offset)
     others = [F.xxhash64(c) for c, t in df.dtypes if c not in (source, key) and not t.startswith(("map", "variant"))]
     inner = F.row_number().over(Window.partitionBy("__s", "__b").orderBy("__h", F.col(key), *others))
     rows = rows.withColumn("__i", inner)
-    rows = rows.join(offset, F.col("__s").eqNullSafe(F.col("__s2")) & (F.col("__b") == F.col("__b2")))
+    rows = rows.join(offset, (F.col("__s") == F.col("__s2")) & (F.col("__b") == F.col("__b2")))
     return rows.withColumn("__rank", F.col("__before") + F.col("__i") - 1).drop("__s2", "__b2", "__before", "__i", "__b")
 
 
@@ -116,10 +123,10 @@ def pfair_mix(df: DataFrame, source: str = "source", key: str = "doc_id", weight
     given = F.coalesce(*([F.element_at(F.create_map(*(F.lit(x) for kv in weights.items() for x in kv)), F.coalesce("source", F.lit("")))] if weights else []), F.lit(default))
     counts = df.groupBy(F.col(source).cast("string").alias("source")).agg(F.count("*").alias("rows"))
     counts = counts.withColumns({"weight": given, "blocks": F.ceil(F.col("rows") / block)})
-    plan = materialize(schedule(counts).select(F.col("source").alias("__s2"), F.col("weight").alias("__w"), F.col("kinds").alias("__kinds")), "mix-plan")
+    plan = materialize(schedule(counts).select(source_key(F.col("source")).alias("__s2"), F.col("weight").alias("__w"), F.col("kinds").alias("__kinds")), "mix-plan")
     if plan.count() <= BROADCAST_SOURCES:
         plan = F.broadcast(plan)
-    rows = rows.join(plan, F.col("__s").eqNullSafe(F.col("__s2")))
+    rows = rows.join(plan, F.col("__s") == F.col("__s2"))
     rows = rows.withColumns({"__block": F.floor(F.col("__rank") / block)})
     rows = rows.withColumns({"__e": F.floor(F.col("__block") / F.col("__w")), "__j": (F.col("__block") % F.col("__w")).cast("int")})
     rows = rows.withColumn("__kind", F.expr("element_at(filter(__kinds, k -> k.first <= __e), -1)"))

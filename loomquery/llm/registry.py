@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, embeddings, langid, mixing, quality, sharding, simhash, warc
+from . import chat, decontaminate, embeddings, langid, mixing, quality, sharding, simhash, suffix_dedup, warc
 
-MODULES = [simhash, warc, chat, mixing, decontaminate, sharding, embeddings, quality, langid]
+MODULES = [suffix_dedup, simhash, warc, chat, mixing, decontaminate, sharding, embeddings, quality, langid]
 
 
 def queries() -> dict:
