@@ -66,29 +66,34 @@ class Model:
         return (x.astype(np.float32) @ self.weights) / norm[:, None] + self.offset
 
 
-def fit(x: np.ndarray, langs: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
+def fit(packed: np.ndarray, langs: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
     """Kernel ridge regression, one language against the rest, on Nystroem features.
 
-    k(x, z) = shared n-grams / sqrt(n-grams of x times those of z). Landmarks are taken from the
-    languages in turn.
+    ``packed``: presence bits of the texts, eight to a byte; rows are unpacked in blocks, so the memory is
+    that of the landmarks. k(x, z) = shared n-grams / sqrt(n-grams of x times those of z). Landmarks are
+    taken from the languages in turn.
     """
     names = sorted(set(langs))
     if not names:
         return Model([])
-    u = x.astype(np.float64) / np.sqrt(np.maximum(x.sum(axis=1, dtype=np.float64), 1))[:, None]
+
+    def rows(at) -> np.ndarray:
+        x = np.unpackbits(packed[at], axis=1).astype(np.float32)
+        return x / np.sqrt(np.maximum(x.sum(axis=1, keepdims=True), 1))
+
     own = np.array([names.index(a) for a in langs])
     turn = np.concatenate([np.arange((own == k).sum()) for k in range(len(names))])
-    z = u[np.concatenate([np.flatnonzero(own == k) for k in range(len(names))])[np.argsort(turn, kind="stable")][:landmarks]]
-    values, vectors = np.linalg.eigh(z @ z.T)
-    good = values > 1e-8 * values.max()
+    z = rows(np.concatenate([np.flatnonzero(own == k) for k in range(len(names))])[np.argsort(turn, kind="stable")][:landmarks])
+    values, vectors = np.linalg.eigh((z @ z.T).astype(np.float64))
+    good = values > 1e-6 * values.max()
     root = vectors[:, good] / np.sqrt(values[good])  # K_mm ** -1/2, up to a rotation
-    phi = (u @ z.T) @ root
+    phi = np.concatenate([rows(slice(i, i + 256)) @ z.T for i in range(0, len(own), 256)]).astype(np.float64) @ root
     y = np.where(own[:, None] == np.arange(len(names)), 1.0, -1.0)
     share = np.array([1 / (own == k).sum() for k in own])[:, None]  # each language weighs the same
     mean, center = (share * phi).sum(0) / share.sum(), (share * y).sum(0) / share.sum()
     a, b = phi - mean, y - center
     beta = np.linalg.solve(a.T @ (share * a) + ridge * np.eye(a.shape[1]), a.T @ (share * b))
-    return Model(names, (z.T @ (root @ beta)).astype(np.float32), center - mean @ beta)
+    return Model(names, (z.T @ (root @ beta).astype(np.float32)).astype(np.float32), center - mean @ beta)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -119,8 +124,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", rows: int = FIT_ROWS) -> Mode
     texts = known.join(F.broadcast(ids.select("__id").distinct()), F.col(id_col) == F.col("__id"), "left_semi")
     sample = texts.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).mapInArrow(_packed, "lang string, bits binary").collect()
     sample = sorted(sample, key=lambda r: (r["lang"], bytes(r["bits"])))
-    x = np.array([np.unpackbits(np.frombuffer(r["bits"], np.uint8)) for r in sample], np.uint8).reshape(len(sample), SIZE)
-    return fit(x, [r["lang"] for r in sample])
+    packed = np.frombuffer(b"".join(bytes(r["bits"]) for r in sample), np.uint8).reshape(len(sample), SIZE // 8)
+    return fit(packed, [r["lang"] for r in sample])
 
 
 def _predict(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
