@@ -13,26 +13,17 @@ WEIGHTS = {"src0": 12, "src1": 6, "src2": 6, "src3": 4}
 DEFAULT_WEIGHT = 3
 BLOCK_ROWS = 16
 #: Rows that one rank bucket aims at, and sources up to which the plan of slots is broadcast.
-BUCKET_ROWS, BROADCAST_SOURCES = 250_000, 5_000
+BUCKET_ROWS, BROADCAST_SOURCES = 16_000, 5_000
 
 
-def edf_slots(counts: Column) -> Column:
-    """array<array<int>>: the slot of every block, by source, in a period of sum(counts) slots.
+def edf_order(counts: Column) -> Column:
+    """array<int>: the source of each slot in a period of sum(counts) slots.
 
     Block i (from 0) of a source with c of L slots is released at floor(i L / c) and due at
     ceil((i + 1) L / c). Each slot goes to the released block that is due first, ties to the earlier
     source. On one processor that order meets every deadline, so in each prefix of the period
     a source is less than one block from its share.
     """
-    return F.transform(
-        F.sequence(F.lit(0), F.size(counts) - 1),
-        lambda s: F.filter(
-            F.transform(_edf_order(counts), lambda x, t: F.when(x == s, t).otherwise(F.lit(-1))), lambda t: t >= 0
-        ),
-    )
-
-
-def _edf_order(counts: Column) -> Column:
     total = F.aggregate(counts, F.lit(0), lambda a, c: a + c)
 
     def step(state, t):
@@ -100,13 +91,12 @@ def schedule(counts: DataFrame) -> DataFrame:
         {
             "base": F.aggregate("all", F.lit(0).cast("bigint"), lambda a, x: a + F.least(x.blocks, F.col("first") * x.weight)),
             "width": F.aggregate("counts", F.lit(0).cast("bigint"), lambda a, c: a + c),
-            "slots": edf_slots(F.transform("counts", lambda c: c.cast("int"))),
         }
-    )
-    per = kinds.where("width > 0").select(F.posexplode("all").alias("i", "x"), "first", "base", "width", "slots")
-    return per.groupBy(F.col("x.source").alias("source"), F.col("x.weight").alias("weight")).agg(
-        F.array_sort(F.collect_list(F.struct("first", "base", "width", F.element_at("slots", F.col("i") + 1).alias("slots")))).alias("kinds")
-    )
+    ).where("width > 0")
+    slots = kinds.select("all", "first", "base", "width", F.posexplode(edf_order(F.transform("counts", lambda c: c.cast("int")))).alias("slot", "s"))
+    slots = slots.select("first", "base", "width", "slot", F.element_at("all", F.col("s") + 1).alias("x"))
+    per = slots.groupBy(F.col("x.source").alias("source"), F.col("x.weight").alias("weight"), "first", "base", "width").agg(F.array_sort(F.collect_list("slot")).alias("slots"))
+    return per.groupBy("source", "weight").agg(F.array_sort(F.collect_list(F.struct("first", "base", "width", "slots"))).alias("kinds"))
 
 
 def pfair_mix(df: DataFrame, source: str = "source", key: str = "doc_id", weights: dict | None = None, default: int = DEFAULT_WEIGHT, block: int = BLOCK_ROWS) -> DataFrame:
