@@ -250,7 +250,8 @@ def repeat_spans(rows: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
     spans = contexts(few).repartition("h").sortWithinPartitions("h").mapInArrow(_spans, _SPAN)
     if few is not asked:
         w = contexts(asked.join(hot, "h", "left_semi")).mapInArrow(_windows, "w1 bigint, w2 bigint, dk bigint, start int, own boolean")
-        again = w.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1")
+        place = F.struct("dk", "start")  # a window is seen once for each anchor in it
+        again = w.groupBy("w1", "w2").agg(F.min(place).alias("a"), F.max(place).alias("z")).where("a <> z").select("w1", "w2")
         spans = spans.union(w.where("own").join(again, ["w1", "w2"]).select("dk", "start", (F.col("start") + LENGTH).alias("stop"), F.col("w1").alias("repeat")))
     whole = marks.where("covered").select("dk", F.greatest(F.col("pos") - LEFT, F.lit(0)).alias("start"), (F.col("pos") + LENGTH).alias("stop"), F.col("h").alias("repeat"))
     return spans.union(whole)
