@@ -68,28 +68,48 @@ def anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     return np.array(keep)[which], at - starts[which], gram[at], context
 
 
+_ANCHOR = "h bigint, c bigint, dk bigint, pos int, again boolean, first boolean"
+
+
 def _anchor_rows(batches):
+    """The anchors of each text. ``again``: the same context is in this batch of texts too; ``first``: the first of those.
+
+    Only the first ones need to be compared with other batches, which thins out very frequent contexts before the shuffle.
+    """
     for batch in batches:
         for part in pieces(batch, 1, 1 << 20):
             texts = [(t or "").encode("utf-8", "surrogatepass") for t in part.column(1).to_pylist()]
             doc, pos, gram, context = anchors(texts)
             keys = part.column(0).to_numpy()[doc]
-            yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(context.view(np.int64)), pa.array(keys), pa.array(pos.astype(np.int32))], ["h", "c", "dk", "pos"])
+            order = np.lexsort((context, gram))
+            like = (gram[order][1:] == gram[order][:-1]) & (context[order][1:] == context[order][:-1])
+            again, first = np.zeros(len(order), bool), np.ones(len(order), bool)
+            first[order[1:]] = ~like
+            again[order[1:]] = like
+            again[order[:-1]] |= like
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(gram.view(np.int64)), pa.array(context.view(np.int64)), pa.array(keys), pa.array(pos.astype(np.int32)), pa.array(again), pa.array(first)], ["h", "c", "dk", "pos", "again", "first"]
+            )
+
+
+_MARK = "h bigint, c bigint, dk bigint, pos int, covered boolean, ask boolean, own boolean"
 
 
 def _marks(batches):
-    """From anchors sorted by (h, c): those that repeat.
+    """From first anchors sorted by (h, c): those that repeat.
 
-    ``covered``: the whole context occurs again. ``ask``: the last of each context, where the gram has other contexts.
-    A stream: besides a batch only its last row is held, however often a gram occurs.
+    ``covered``: the whole context occurs again, in another batch only. ``ask``: the last of each context, where the
+    gram has other contexts; ``own``: it occurs nowhere else. A stream: besides a batch only its last row is
+    held, however often a gram occurs.
     """
     held = None  # last row, whether the row before it is like it, first context of its gram
     for batch in batches:
         if not batch.num_rows:
             continue
-        h, c, dk, pos = (batch.column(i).to_numpy() for i in range(4))
+        cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
         if held:
-            h, c, dk, pos = (np.concatenate([[a], b.astype(np.int64)]) for a, b in zip(held[0], (h, c, dk, pos)))
+            cols = [np.concatenate([np.array([a], dtype=b.dtype), b]) for a, b in zip(held[0], cols)]
+        h, c, dk, pos, again = cols
         same_h = h[1:] == h[:-1]
         same = same_h & (c[1:] == c[:-1])
         before = np.append(held[1] if held else False, same)
@@ -97,19 +117,19 @@ def _marks(batches):
         first = c[begin]
         if held:
             first = np.where(begin == 0, held[2], first)
-        after, more = same, same_h & ~same
-        covered = before[:-1] | after
-        ask = ~after & (more | (first[:-1] != c[:-1]))
-        yield _mark_rows(h[:-1], dk[:-1], pos[:-1], covered, ask)
-        held = (h[-1], c[-1], dk[-1], pos[-1]), bool(before[-1]), first[-1]
+        whole = before[:-1] | same | again[:-1]
+        ask = ~same & ((same_h & ~same) | (first[:-1] != c[:-1]))
+        yield _mark_rows(h[:-1], c[:-1], dk[:-1], pos[:-1], whole & ~again[:-1], ask, ~whole)
+        held = [x[-1] for x in cols], bool(before[-1]), first[-1]
     if held:
-        (h, c, dk, pos), before, first = held
-        yield _mark_rows(*(np.array([x]) for x in (h, dk, pos, before, first != c)))
+        (h, c, dk, pos, again), before, first = held
+        whole = before or bool(again)
+        yield _mark_rows(*(np.array([x]) for x in (h, c, dk, pos, whole and not again, first != c, not whole)))
 
 
-def _mark_rows(h, dk, pos, covered, ask):
+def _mark_rows(h, c, dk, pos, covered, ask, own):
     on = covered | ask
-    return pa.RecordBatch.from_arrays([pa.array(h[on]), pa.array(dk[on]), pa.array(pos[on].astype(np.int32)), pa.array(covered[on]), pa.array(ask[on])], ["h", "dk", "pos", "covered", "ask"])
+    return pa.RecordBatch.from_arrays([pa.array(x[on]) for x in (h, c, dk, pos.astype(np.int32), covered, ask, own)], ["h", "c", "dk", "pos", "covered", "ask", "own"])
 
 
 _CONTEXT = "h bigint, dk bigint, pos int, own boolean, before binary, after binary"
@@ -236,9 +256,10 @@ def repeat_spans(rows: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
     ``rows(id, dk, text)``. Occurrences with equal ``repeat`` hold equal strings. Grams with over ``group_rows``
     different contexts are resolved by counting their windows, which no task gathers.
     """
-    found = rows.select("dk", "text").mapInArrow(_anchor_rows, "h bigint, c bigint, dk bigint, pos int")
-    marks = materialize(found.repartition("h").sortWithinPartitions("h", "c").mapInArrow(_marks, "h bigint, dk bigint, pos int, covered boolean, ask boolean"), "repeat-marks")
-    asked = marks.where("ask").select("h", "dk", "pos", (~F.col("covered")).alias("own"))
+    found = materialize(rows.select("dk", "text").mapInArrow(_anchor_rows, _ANCHOR), "repeat-anchors")
+    firsts = found.where("first").select("h", "c", "dk", "pos", "again")
+    marks = materialize(firsts.repartition("h").sortWithinPartitions("h", "c").mapInArrow(_marks, _MARK), "repeat-marks")
+    asked = marks.where("ask").select("h", "dk", "pos", "own")
     hot = materialize(asked.groupBy("h").count().where(F.col("count") > group_rows).select("h"), "repeat-hot")
 
     def contexts(asked):
@@ -253,8 +274,8 @@ def repeat_spans(rows: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
         place = F.struct("dk", "start")  # a window is seen once for each anchor in it
         again = w.groupBy("w1", "w2").agg(F.min(place).alias("a"), F.max(place).alias("z")).where("a <> z").select("w1", "w2")
         spans = spans.union(w.where("own").join(again, ["w1", "w2"]).select("dk", "start", (F.col("start") + LENGTH).alias("stop"), F.col("w1").alias("repeat")))
-    whole = marks.where("covered").select("dk", F.greatest(F.col("pos") - LEFT, F.lit(0)).alias("start"), (F.col("pos") + LENGTH).alias("stop"), F.col("h").alias("repeat"))
-    return spans.union(whole)
+    whole = marks.where("covered").select("dk", "pos", "c").union(found.where("again").select("dk", "pos", "c"))
+    return spans.union(whole.select("dk", F.greatest(F.col("pos") - LEFT, F.lit(0)).alias("start"), (F.col("pos") + LENGTH).alias("stop"), F.col("c").alias("repeat")))
 
 
 def merge(spans: list[tuple[int, int]], size: int) -> list[tuple[int, int]]:
