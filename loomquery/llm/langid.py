@@ -115,11 +115,15 @@ def _packed(batches):
 def train(docs: DataFrame, id_col: str = "doc_id", rows: int = FIT_ROWS) -> Model:
     """Fits on ``rows`` documents of each language at most, whole texts, none of them held out.
 
-    The driver gets SIZE / 8 bytes for each of them; the candidates are ranked by a hash of the id.
+    The driver gets SIZE / 8 bytes for each of them. Candidates are ranked by a hash of the id; a language's
+    hashes are first cut at eight times the share wanted, so that its ranking does not grow with the corpus.
     """
     known = docs.where(~held_out(F.col(id_col)) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     ids = known.select(F.col(id_col).alias("__id"), F.col("lang").cast("string").alias("__lang"))
-    w = Window.partitionBy("__lang").orderBy(F.xxhash64("__id"), "__id")
+    share = ids.groupBy("__lang").agg((F.lit(8.0 * rows) / F.count("*")).alias("__share"))  # a row for each language
+    place = F.shiftrightunsigned(F.xxhash64("__id"), 11) / F.lit(float(1 << 53))
+    ids = ids.join(F.broadcast(share), "__lang").withColumn("__u", place).where("__u <= __share")
+    w = Window.partitionBy("__lang").orderBy("__u", "__id")
     ids = ids.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= rows)
     texts = known.join(F.broadcast(ids.select("__id").distinct()), F.col(id_col) == F.col("__id"), "left_semi")
     sample = texts.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).mapInArrow(_packed, "lang string, bits binary").collect()
