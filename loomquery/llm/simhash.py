@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._common import groups, materialize, pieces, table
+from ._text import mix
 from .components import connected_components
 
 SEED = 42
@@ -192,6 +193,133 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return fps.join(named, "fp", "left").select("id", "fp", "component")
 
 
+#: Hash functions of a sketch; the first BANDS * ROWS of them make the band keys.
+HASHES, BANDS, ROWS = 256, 20, 6
+#: Bits that texts of similarity 0.8 or more differ in at most: 9.7 are expected, with a deviation of 2.9.
+WIDE_HAMMING, WIDE_SEGMENTS = 24, 8
+#: Estimates this far from the threshold decide (4 deviations at 0.8); nearer ones are settled by the texts.
+MARGIN = 0.1
+
+
+def _shingle_hashes(text: str | bytes | None, shingle: int) -> np.ndarray:
+    """Distinct hashes of the word shingles of a whole text, as ``fingerprint`` takes them."""
+    raw = text.encode("utf-8") if isinstance(text, str) else text or b""
+    words = raw.lower().split()
+    if not words:
+        return np.zeros(0, dtype=np.uint64)
+    joined, digest = b" ".join(words), xxhash.xxh64_intdigest
+    ends = [x - 1 for x in accumulate(len(w) + 1 for w in words)]
+    starts = [0, *(x + 1 for x in ends[: max(len(ends) - shingle, 0)])]
+    return np.unique(np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, ends[min(shingle, len(ends)) - 1 :])), np.uint64, len(starts)))
+
+
+def _bands(least: np.ndarray) -> np.ndarray:
+    """One key a band from the minima of a sketch."""
+    rows, key = mix(least[: BANDS * ROWS]).reshape(BANDS, ROWS), np.arange(BANDS, dtype=np.uint64)
+    for c in range(ROWS):
+        key = mix(key * np.uint64(0x9E3779B97F4A7C15) + rows[:, c])
+    return key
+
+
+def sketches(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """(id, fp, bands, sketch) of every row: minima of the shingle hashes under HASHES mixings, one byte of each kept."""
+
+    def run(batches):
+        rng = np.random.default_rng(SEED)
+        flip, odd = rng.integers(0, 1 << 64, (2, HASHES, 1), dtype=np.uint64)
+        odd |= np.uint64(1)
+        for batch in batches:
+            for part in pieces(batch, 1):
+                fps, bands, kept = [], [], []
+                for t in part.column(1).to_pylist():
+                    fps.append(fingerprint(t, shingle))
+                    h = _shingle_hashes(t, shingle)
+                    if not len(h):
+                        bands.append([]), kept.append(b"")
+                        continue
+                    least = np.full(HASHES, (1 << 64) - 1, dtype=np.uint64)
+                    for at in range(0, len(h), 4096):
+                        np.minimum(least, ((h[at : at + 4096] ^ flip) * odd).min(axis=1), out=least)
+                    bands.append(_bands(least).view("<i8").tolist()), kept.append(mix(least).astype(np.uint8).tobytes())
+                arrays = [part.column(0), pa.array(np.array(fps, dtype="<u8").view("<i8")), pa.array(bands, pa.list_(pa.int64())), pa.array(kept, pa.binary())]
+                yield pa.RecordBatch.from_arrays(arrays, ["id", "fp", "bands", "sketch"])
+
+    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("t"))
+    return rows.mapInArrow(run, "id bigint, fp bigint, bands array<bigint>, sketch binary")
+
+
+def _chain_within(x: np.ndarray, budget: int) -> np.ndarray:
+    """Pigeonring test of fingerprint differences: some chain of segments stays within its share of the budget throughout."""
+    n = np.bitwise_count(x[:, None] >> (np.arange(WIDE_SEGMENTS, dtype=np.uint64) * np.uint64(64 // WIDE_SEGMENTS)) & np.uint64((1 << 64 // WIDE_SEGMENTS) - 1)).astype(np.int64)
+    share = np.arange(1, WIDE_SEGMENTS + 1) * budget // WIDE_SEGMENTS
+    return np.any([np.all(np.cumsum(np.roll(n, -i, axis=1), axis=1) <= share, axis=1) for i in range(WIDE_SEGMENTS)], axis=0)
+
+
+def _estimates(batches):
+    """(src, dst, estimate) of the pairs that pass the chain and the Hamming check."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        x, y = (batch.column(c).to_numpy(zero_copy_only=False).view(np.uint64) for c in (2, 3))
+        near = np.flatnonzero(_chain_within(x ^ y, WIDE_HAMMING))
+        near = near[np.bitwise_count((x ^ y)[near]) <= WIDE_HAMMING]
+        part = batch.take(pa.array(near))
+        if not part.num_rows:
+            continue
+        a, b = (np.frombuffer(b"".join(part.column(c).to_pylist()), dtype=np.uint8).reshape(-1, HASHES) for c in (4, 5))
+        chance = 1 / 256
+        value = ((a == b).mean(axis=1) - chance) / (1 - chance)
+        yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(value)], ["src", "dst", "estimate"])
+
+
+def wide_edges(reps: DataFrame, docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float) -> DataFrame:
+    """Edges (src, dst) between texts whose shingle sets have the given Jaccard similarity or more.
+
+    ``reps(id, fp, bands, sketch)`` has one row for each distinct fingerprint. All rows that share a
+    band key are compared with one of them, another one for each key, so a group gives a star of
+    edges a band, never all its pairs; a pair at 0.8 shares a key with probability 0.998. Pigeonring
+    chains and the Hamming distance of the fingerprints prune; sketches decide clear cases, whole texts the others.
+    """
+    keyed = reps.select(F.explode("bands").alias("key"), "id")
+    hubs = keyed.groupBy("key").agg(F.min_by("id", F.xxhash64("key", "id")).alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
+    pairs = keyed.join(hubs, "key").where("id <> hub").select(F.least("id", "hub").alias("src"), F.greatest("id", "hub").alias("dst")).distinct()
+    side = lambda c, n: reps.select(F.col("id").alias(c), F.col("fp").alias(f"fp{n}"), F.col("sketch").alias(f"sketch{n}"))
+    both = pairs.join(side("src", 1), "src").join(side("dst", 2), "dst").select("src", "dst", "fp1", "fp2", "sketch1", "sketch2")
+    found = materialize(both.mapInArrow(_estimates, "src bigint, dst bigint, estimate double").where(F.col("estimate") >= similarity - MARGIN), "simhash-wide")
+    sure = found.where(F.col("estimate") >= similarity + MARGIN).select("src", "dst")
+    close = found.where(F.col("estimate") < similarity + MARGIN).select("src", "dst")
+    whole = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("t"))
+    whole = whole.join(close.select(F.explode(F.array("src", "dst")).alias("id")), "id", "left_semi").groupBy("id").agg(F.min("t").alias("t"))
+    text = lambda c, n: whole.select(F.col("id").alias(c), F.col("t").alias(f"t{n}"))
+    exact = close.join(text("src", 1), "src").join(text("dst", 2), "dst").select("src", "dst", "t1", "t2")
+
+    def verify(batches):
+        for batch in batches:
+            keep = []
+            for i in range(batch.num_rows):
+                a, b = (_shingle_hashes(batch.column(c)[i].as_py(), shingle) for c in (2, 3))
+                common = len(np.intersect1d(a, b, assume_unique=True))
+                keep.append(common >= similarity * (len(a) + len(b) - common) > 0)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["src", "dst"]).filter(pa.array(keep, pa.bool_()))
+
+    return sure.union(exact.mapInArrow(verify, "src bigint, dst bigint"))
+
+
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, bucket: int = BUCKET) -> DataFrame:
+    """(id, fp, component) of every row: groups linked by 3 bits or fewer, or by shingle sets of the given similarity.
+
+    Nulls, repeated rows and empty tables as in ``simhash_components``.
+    """
+    rows = materialize(sketches(docs, id_col, text_col, shingle), "simhash-sketches")
+    classes = materialize(rows.groupBy("fp").agg(F.min("id").alias("id")), "simhash-classes")
+    reps = rows.join(classes.where("id is not null"), ["id", "fp"], "left_semi").groupBy("id", "fp").agg(F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    reps = materialize(reps, "simhash-reps")
+    edges = hamming_edges(reps.select("id", "fp"), bucket).union(wide_edges(reps, docs, id_col, text_col, shingle, similarity))
+    parts = connected_components(edges)
+    named = classes.join(parts, classes.id == parts.node, "left").select("fp", F.coalesce("component", "id").alias("component"))
+    return rows.select("id", "fp").join(named, "fp", "left").select("id", "fp", "component")
+
+
 def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash_components(table(spark, sf_dir, "documents"))
     return out.select(

@@ -98,6 +98,41 @@ def test_simhash_edges(spark, texts):
     assert simhash.simhash_components(_docs(spark, texts).limit(0)).count() == 0
 
 
+def test_near_groups(spark):
+    """Groups of five-word similarity 0.8 or more, against all pairs of whole texts."""
+    rng = random.Random(11)
+    vocab = [f"w{i}" for i in range(300)]
+    out = [None, "", " ", "one two", "one  two", "a b c d e"]
+    for n in (12, 40, 150, 600, 3000):
+        base = [rng.choice(vocab) for _ in range(n)]
+        for edits in (0, 0, 1, n // 60, n // 45, n // 30, n // 12, n // 5):
+            words = list(base)
+            for _ in range(edits):
+                words[rng.randrange(n)] = "x" + rng.choice(vocab)
+            out.append(" ".join(words))
+    sets = [set(simhash._shingle_hashes(t, 5).tolist()) for t in out]
+    edges = [(i, j) for j in range(len(out)) for i in range(j) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    root = list(range(len(out)))
+    for _ in root:
+        for i, j in edges:
+            root[i] = root[j] = min(root[i], root[j])
+    docs = _docs(spark, out)
+    got = {r.id: r.component for r in simhash.near_groups(docs.union(docs).union(_docs(spark, ["no one", None], [900, None]))).collect()}
+    assert [got[i] for i in range(len(out))] == root
+    assert got[900] == 900 and got[None] == 0
+    assert simhash.near_groups(docs.limit(0)).count() == 0
+
+
+def test_chain_test_keeps_all_within_the_budget():
+    rng = np.random.default_rng(5)
+    x = np.zeros(500, dtype=np.uint64)
+    for row in range(500):
+        for bit in rng.choice(64, rng.integers(0, simhash.WIDE_HAMMING + 1), replace=False):
+            x[row] |= np.uint64(1) << np.uint64(bit)
+    assert simhash._chain_within(x, simhash.WIDE_HAMMING).all()
+    assert not simhash._chain_within(~x[:1] | np.uint64(0xFFFF0000FFFF0000), 8).any()
+
+
 def test_components_of_a_path(spark):
     e = spark.createDataFrame([(i, i + 1) for i in range(50)] + [(100, 101), (7, 7)], "src long, dst long")
     assert {r["node"]: r["component"] for r in connected_components(e).collect()} == {**{i: 0 for i in range(51)}, 100: 100, 101: 100}
