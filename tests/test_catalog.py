@@ -5,7 +5,7 @@ import decimal
 import duckdb
 import pytest
 
-from loomquery.plans import catalog
+from loomquery.plans import catalog, edits  # noqa: F401
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -70,3 +70,39 @@ def test_circuit_breaker_stream(spark, tmp_path):
     q = circuit_breaker(stream).writeStream.format("memory").queryName("breaker").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert [tuple(r) for r in spark.sql("select streak, tripped from breaker order by seq").collect()] == [(1, False), (2, False), (1, False), (2, False), (3, True), (0, False)]
+
+
+def test_snippets(spark):
+    import io
+    import zipfile
+
+    from pyspark.sql import functions as F
+
+    from loomquery.functions import snippets as S
+
+    assert S.imbalance('f(a[0]) { "}" } // )') is None
+    assert S.imbalance("f(\n]") == "2:]" and S.imbalance("a {\n(") == "2:(" and S.imbalance(None) is None
+    raw = io.BytesIO()
+    with zipfile.ZipFile(raw, "w") as z:
+        z.writestr("word/document.xml", "<w:p><w:t>a &lt; b</w:t></w:p><w:p><w:t>c</w:t></w:p>")
+    rows = spark.createDataFrame([(raw.getvalue(),), (b"none",), (None,)], "content binary")
+    assert [r[0] for r in rows.select(S.docx(F.col("content"))).collect()] == ["a < b\nc", None, None]
+    source = "import x from 'a'\nimport 'b'\nconst c = require(\"c\"); import('d')\nimport (\n\t\"fmt\"\n)\nusing Sys.Text;\nimport y from 'a'"
+    one = spark.createDataFrame([(source, "The ＴＥＳＴ of 测试-it", "a.b", "abXcd", "abYYcd", "", "aa")], "src string, t string, q string, o string, n string, e string, r string")
+    got = one.select(S.import_specs(F.col("src")), S.normal_instruction(F.col("t"), ["the", "of"]), S.text_delta(F.col("o"), F.col("n")), S.text_delta(F.col("e"), F.col("r")), S.text_delta(F.col("r"), F.lit("aaa"))).first()
+    assert sorted(got[0]) == ["Sys.Text", "a", "b", "c", "d", "fmt"]
+    assert got[1] == ["test", "测", "试", "it"]
+    assert tuple(got[2]) == (2, 2, "X", "YY") and tuple(got[3]) == (0, 0, "", "aa") and tuple(got[4]) == (2, 0, "", "a")
+    hit = spark.createDataFrame([("a.b $x",)], "t string").select(*[S.has_identifier(F.col("t"), n) for n in ("a", "x", "$x", "a.b")]).first()
+    assert tuple(hit) == (True, False, True, True)
+
+
+def test_salient_lines_of_runs(spark):
+    from pyspark.sql import functions as F
+
+    from loomquery.operators.decisions import salient_lines
+
+    rows = [(1, i, x) for i, x in enumerate("E a b E E c E E E d e".split())] + [(2, i, "x") for i in range(30)]
+    got = salient_lines(spark.createDataFrame(rows, "key int, no int, line string"), F.col("line") == "E").collect()
+    assert sorted(r.no for r in got if r.key == 1) == [0, 1, 3, 4, 6, 7, 8, 9]
+    assert sorted(r.no for r in got if r.key == 2) == [*range(8), *range(18, 30)]
