@@ -37,6 +37,19 @@ def qualified_parts(name: Column) -> Column:
     return F.when(F.size(parts) > 1, F.struct(parts[0].alias("parent"), parts[1].alias("member"))).otherwise(F.struct(F.lit(None).cast("string").alias("parent"), parts[0].alias("member")))
 
 
+def read_target(target: Column, documents: tuple[str, ...] = ("md", "html", "xml", "txt", "docx", "pdf"), span: int = 40) -> Column:
+    """struct(kind, path, symbol, first, last) of a target: @brief, file#symbol, file:line[-line], a document or a file."""
+    lines = r"^(.+):(\d+)(?:-(\d+))?$"
+    part = lambda i: F.regexp_extract(target, lines, i)
+    symbol, ranged, doc = F.instr(target, "#") > 1, target.rlike(lines), F.lower(target).rlike(r"\.(" + "|".join(documents) + ")$")
+    kind = F.when(target == "@brief", "brief").when(doc, "document").when(symbol, "symbol").when(ranged, "range").otherwise("file")
+    is_ = lambda k: kind == k
+    first = F.when(is_("range"), part(2).try_cast("int"))
+    last = F.when(is_("range"), F.coalesce(part(3).try_cast("int"), first + span))
+    path = F.when(is_("symbol"), F.substring_index(target, "#", 1)).when(is_("range"), part(1)).when(~is_("brief"), target)
+    return F.struct(kind.alias("kind"), path.alias("path"), F.when(is_("symbol"), F.regexp_extract(target, "#(.*)$", 1)).alias("symbol"), first.alias("first"), last.alias("last"))
+
+
 def identifier_candidates(text: Column) -> Column:
     """Distinct back-ticked spans, camel-case and snake-case names of four characters or more."""
     spans = F.regexp_extract_all(text, F.lit(r"`([^`\n]+)`"), F.lit(1))

@@ -110,3 +110,34 @@ def triggers(prompts: DataFrame, prompt: str, macros: DataFrame, phrase: str, ma
     plain = lambda c: F.regexp_replace(F.trim(F.lower(F.col(c))), r"[\s.!?,;:]+$", "")
     best = macros.groupBy(plain(phrase).alias("__p")).agg(F.min_by(macro, F.struct(-F.col(uses), F.col(macro))).alias("macro"))
     return prompts.withColumn("__p", plain(prompt)).join(best, "__p").select(prompt, "macro")
+
+
+def step_blocks(rows: DataFrame) -> DataFrame:
+    """(key, step, header, exit_line, output, extra) of step headers in lines(key, no, line).
+
+    Output ends at the first exit line; what follows it, blank lines aside, is extra, as is what comes before the first
+    header (step 0). The last exit line of a block counts. Empty lines around the output go.
+    """
+    head, ends = F.col("line").startswith("## step "), F.col("line").rlike(r"^\[exit=-?\d+\]$")
+    rows = rows.withColumns({"h": head, "x": ends, "step": F.sum(head.cast("int")).over(Window.partitionBy("key").orderBy("no"))})
+    rows = rows.withColumn("done", F.sum(F.col("x").cast("int")).over(Window.partitionBy("key", "step").orderBy("no")))
+    late = (F.trim("line") != "") & ~F.col("h") & ((F.col("step") == 0) | (F.col("done") > 0) & ~F.col("x"))
+    output = ~F.col("h") & (F.col("step") > 0) & (F.col("done") == 0)
+    joined = lambda keep: F.array_join(F.array_sort(F.collect_list(F.when(keep, F.struct("no", "line"))))["line"], "\n")
+    last = F.max_by("line", F.when(F.col("x") & (F.col("step") > 0), F.col("no")))
+    out = rows.groupBy("key", "step").agg(F.max_by("line", F.when(F.col("h"), F.col("no"))).alias("header"), F.coalesce(last, F.lit("")).alias("exit_line"), F.regexp_replace(joined(output), r"^\n+|\n+$", "").alias("output"), joined(late).alias("extra"))
+    return out.where("step > 0 or extra <> ''")
+
+
+def rename_impact(symbols: DataFrame, imports: DataFrame, resolved: DataFrame, path: str, name: str) -> DataFrame:
+    """(path) of all files that a renamed symbol touches: its own, importers by name and proven callers."""
+    own = symbols.where((F.col("path") == path) & (F.col("name") == name)).select("path")
+    named = imports.where((F.col("target") == path) & F.array_contains("names", name)).select("path")
+    used = resolved.where((F.col("target_path") == path) & (F.col("callee") == name) & (F.col("confidence") >= 0.75)).select("path")
+    return own.union(named).union(used).distinct()
+
+
+def rename_conflicts(impact: DataFrame, symbols: DataFrame, allowed: DataFrame, new_name: str) -> DataFrame:
+    """Touched files that declare the new name already, less the allowed declarations (path, name)."""
+    declared = symbols.where(F.col("name") == new_name).select("path", "name").distinct()
+    return declared.join(impact, "path", "left_semi").join(allowed, ["path", "name"], "left_anti")

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loomquery.functions import snippets as S
-from loomquery.operators import decisions, folding
-from loomquery.plans.catalog import _query, _table
+from loomquery.operators import decisions, folding, resolve
+from loomquery.plans.catalog import _CALLS, _query, _resolved, _table
+from loomquery.plans.fixtures import frame
 
 _NAMES = ["the", "token", "License", "is", "nosuchword"]
 _LINES = "l AS (SELECT doc_id AS key, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS no FROM documents)"
@@ -175,3 +176,45 @@ def link_feedback(spark, sf_dir):
 def bracket_balance(spark, sf_dir):
     """First bracket of each page that does not match; no SQL, tested by itself."""
     return _table(spark, sf_dir, "pages").select("page_id", S.bracket_imbalance(F.col("html")).alias("first"))
+
+
+@_query("""SELECT o_custkey AS key, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS step, '## step ' || o_orderkey AS header, CASE WHEN o_orderstatus = 'F' THEN '[exit=1]' ELSE '[exit=0]' END AS exit_line,
+o_orderpriority || chr(10) || chr(10) || o_orderstatus AS output, CASE WHEN o_orderstatus = 'P' THEN 'after' ELSE '' END AS extra FROM orders""")
+def step_blocks(spark, sf_dir):
+    status = F.col("o_orderstatus")
+    block = F.array(F.concat(F.lit("## step "), F.col("o_orderkey").cast("string")), F.lit(""), F.col("o_orderpriority"), F.lit(""), status, F.lit(""), F.when(status == "F", "[exit=1]").otherwise("[exit=0]"), F.when(status == "P", "after").otherwise(" "))
+    rows = _table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("key"), "o_orderkey", F.posexplode(block).alias("i", "line"))
+    return decisions.step_blocks(rows.select("key", (F.col("o_orderkey") * 10 + F.col("i")).alias("no"), "line"))
+
+
+@_query("""SELECT DISTINCT 'src/' || p_type || '.ts' AS target, 'file' AS kind, 'src/' || p_type || '.ts' AS path, NULL AS symbol, NULL::INT AS "first", NULL::INT AS "last" FROM part
+UNION ALL SELECT DISTINCT 'src/' || p_type || '.ts#' || p_brand, 'symbol', 'src/' || p_type || '.ts', p_brand, NULL, NULL FROM part
+UNION ALL SELECT DISTINCT 'a.ts:' || p_size, 'range', 'a.ts', NULL, p_size, p_size + 40 FROM part
+UNION ALL SELECT DISTINCT 'a.ts:' || p_size || '-' || (p_size + 7), 'range', 'a.ts', NULL, p_size, p_size + 7 FROM part
+UNION ALL VALUES ('@brief', 'brief', NULL, NULL, NULL, NULL), ('docs/x.MD', 'document', 'docs/x.MD', NULL, NULL, NULL)""")
+def read_targets(spark, sf_dir):
+    file, size = F.concat(F.lit("src/"), F.col("p_type"), F.lit(".ts")), F.col("p_size").cast("string")
+    ranged = F.concat(F.lit("a.ts:"), size)
+    every = F.array(file, F.concat(file, F.lit("#"), F.col("p_brand")), ranged, F.concat(ranged, F.lit("-"), (F.col("p_size") + 7).cast("string")), F.lit("@brief"), F.lit("docs/x.MD"))
+    targets = _table(spark, sf_dir, "part").select(F.explode(every).alias("target")).distinct()
+    return targets.select("target", S.read_target(F.col("target")).alias("t")).select("target", "t.*")
+
+
+_IMPACT = """impact AS (SELECT path FROM symbols WHERE path = 'src/util/index.ts' AND name = 'format' UNION SELECT path FROM named WHERE target = 'src/util/index.ts' AND callee = 'format'
+  UNION SELECT path FROM resolved WHERE target_path = 'src/util/index.ts' AND callee = 'format' AND confidence >= 0.75)"""
+
+
+def _impact(spark):
+    imports = resolve.resolve_imports(frame(spark, "imports"), frame(spark, "files")).join(frame(spark, "imports"), ["path", "module"])
+    return decisions.rename_impact(frame(spark, "symbols"), imports, _resolved(spark), "src/util/index.ts", "format")
+
+
+@_query(f"WITH {_CALLS}, {_IMPACT} SELECT path FROM impact")
+def rename_impact(spark, sf_dir):
+    return _impact(spark)
+
+
+@_query(f"WITH {_CALLS}, {_IMPACT} SELECT DISTINCT path, name FROM symbols WHERE name = 'cancel' AND path IN (SELECT path FROM impact)")
+def rename_conflicts(spark, sf_dir):
+    none = spark.createDataFrame([], "path string, name string")
+    return decisions.rename_conflicts(_impact(spark), frame(spark, "symbols"), none, "cancel")
