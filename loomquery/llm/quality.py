@@ -10,7 +10,12 @@ from pyspark.sql import functions as F
 from ._common import materialize, pieces, table
 from ._text import mix, word_hashes
 
-BUCKETS = 1 << 14
+#: Hash buckets: few enough for one array a task, so many that a marked word shares its bucket with little else.
+BUCKETS = 1 << 20
+#: Standard deviations that a bucket's target count must lie off the count expected from the raw model to weigh at all.
+LEAST_Z = 3.0
+#: Count added to both sides of a ratio.
+SMOOTH = 0.1
 #: Labelled target documents that the target model is fitted on, at most; the raw model always covers all documents.
 TARGET_ROWS = 20_000
 SEED = 17
@@ -22,7 +27,7 @@ def features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """(bucket, text number) of every word and every pair of adjacent words."""
     h, doc = word_hashes(texts)
     pair = mix(h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:])[doc[:-1] == doc[1:]] if len(h) else h
-    return (np.concatenate([h, pair]) >> np.uint64(50)).astype(np.int64), np.concatenate([doc, doc[:-1][doc[:-1] == doc[1:]]])
+    return (np.concatenate([h, pair]) >> np.uint64(65 - BUCKETS.bit_length())).astype(np.int64), np.concatenate([doc, doc[:-1][doc[:-1] == doc[1:]]])
 
 
 def _count(batches):
@@ -33,24 +38,34 @@ def _count(batches):
             raw += np.bincount(bucket, minlength=BUCKETS)
             on = part.column(1).to_numpy(zero_copy_only=False)[doc]
             target += np.bincount(bucket[on], minlength=BUCKETS)
-    yield pa.RecordBatch.from_arrays([pa.array(np.arange(BUCKETS)), pa.array(raw), pa.array(target)], ["bucket", "raw", "target"])
+    seen = np.flatnonzero(raw)
+    for at in np.array_split(seen, len(seen) // 50_000 + 1):
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(raw[at]), pa.array(target[at])], ["bucket", "raw", "target"])
 
 
 def log_ratio(docs: DataFrame, targets: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> np.ndarray:
-    """log(p_target / p_raw) of each bucket, with add-one smoothing.
+    """log(p_target / p_raw) of each bucket, shrunk by its evidence.
 
-    Counts are summed in the executors; the driver gets BUCKETS rows whatever the corpus. ``targets(id)``
-    must be bounded (TARGET_ROWS): it is broadcast.
+    With e the target count that the raw model expects and z the deviation from it in standard deviations, the ratio
+    is log((target + SMOOTH) / (e + SMOOTH)) * max(0, 1 - (LEAST_Z / z) ** 2): else the sum over a text's many rare
+    buckets, each nearly without evidence, drowns the few that tell. Counts are summed and weighed in the executors;
+    the driver gets the buckets that weigh, BUCKETS rows at most whatever the corpus. ``targets(id)`` must be bounded
+    (TARGET_ROWS): it is broadcast.
     """
     flagged = docs.join(F.broadcast(targets.select(F.col("id").alias("__t")).distinct()), F.col(id_col) == F.col("__t"), "left")
     counts = flagged.select(F.col(text_col).cast("string").alias("t"), F.col("__t").isNotNull().alias("on")).mapInArrow(_count, "bucket bigint, raw bigint, target bigint")
-    rows = counts.groupBy("bucket").agg(F.sum("raw"), F.sum("target")).collect()
-    raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
-    for b, r, t in rows:
-        raw[b], target[b] = r, t
-    if not target.sum():
-        return np.zeros(BUCKETS)
-    return np.log((target + 1) / (target.sum() + BUCKETS)) - np.log((raw + 1) / (raw.sum() + BUCKETS))
+    counts = materialize(counts.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")), "quality-counts")
+    all_raw, all_target = counts.agg(F.sum("raw"), F.sum("target")).first()
+    ratio = np.zeros(BUCKETS)
+    if not all_target:
+        return ratio
+    share = all_target / all_raw
+    expected, target = F.col("raw") * F.lit(share), F.col("target")
+    chance = F.lit(LEAST_Z**2) * expected * F.lit(1 - share) / F.pow(target - expected, F.lit(2))
+    weighed = F.log((target + SMOOTH) / (expected + SMOOTH)) * (1 - chance)
+    rows = counts.where((target != expected) & (chance < 1)).select("bucket", weighed.alias("ratio")).toArrow()
+    ratio[rows.column(0).to_numpy()] = rows.column(1).to_numpy()
+    return ratio
 
 
 def scores(docs: DataFrame, ratio: np.ndarray, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -111,7 +126,8 @@ def target_sample(labels: DataFrame, rows: int = TARGET_ROWS) -> DataFrame:
 def importance_resample(docs: DataFrame, labels: DataFrame, fraction: float | None = None, temperature: float = 1.0) -> DataFrame:
     """(id, log_weight, n_features, key, kept): documents resampled towards the labelled good ones.
 
-    The log weight of a text is the sum over its hashed words and word pairs of log(p_target / p_raw).
+    The log weight of a text is the sum over its hashed words and word pairs of log(p_target / p_raw), shrunk
+    towards 0 as far as chance explains the difference (see ``log_ratio``).
     ``key`` adds Gumbel noise; the top k keys are a sample without replacement in proportion to the
     weights. k is ``fraction`` of all rows, by default the share of good documents among the labelled.
     Null and empty texts have weight 0; without labels all weights are 0. Empty in, empty out.

@@ -304,3 +304,13 @@ def test_pipeline(spark):
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     kept = {r["doc_id"] for r in out.collect()}
     assert kept <= {r["doc_id"] for r in docs.collect()} and len(kept) > 100 and set(docs.columns) < set(out.columns)
+
+
+def test_quality_drops_marked_words(spark):
+    """Held out: no label of the odd ids is seen, a rare word marks the toxic ones, other words are noise."""
+    rng = random.Random(6)
+    texts = [" ".join([f"w{int(rng.paretovariate(0.5)) % 5000}" for _ in range(60)] + ["vile"] * (i % 8 in (0, 1))) for i in range(1600)]
+    labels = spark.createDataFrame([(i, 1, int(i % 8 == 0)) for i in range(0, 1600, 2)], "doc_id long, quality int, toxic int")
+    got = {r["id"]: r["kept"] for r in quality.importance_resample(_docs(spark, texts), labels).collect()}
+    assert sum(got.values()) == 1200
+    assert sum(got[i] for i in range(1, 1600, 8)) <= 20 and sum(got[i] for i in range(3, 1600, 8)) >= 140
