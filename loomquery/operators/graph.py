@@ -42,13 +42,16 @@ def closure(parents: DataFrame, depth: int = 16) -> DataFrame:
 
 
 def reachable(seeds: DataFrame, edges: DataFrame, hops: int = 6) -> DataFrame:
-    """(node, hops): nodes reached from ``seeds(node)`` along ``edges(source, target)`` within some hops."""
+    """(node, hops): nodes reached from ``seeds(node)`` along ``edges(source, target)`` within some hops.
+
+    Each hop is one join and one partial aggregation; the plan grows by as much, not by all of the hops before.
+    """
     out = seeds.select("node").distinct().withColumn("hops", F.lit(0))
-    front = out
-    for hop in range(1, hops + 1):
-        step = front.join(edges, front.node == edges.source).select(F.col("target").alias("node")).distinct()
-        front = step.join(out, "node", "left_anti").withColumn("hops", F.lit(hop))
-        out = out.union(front)
+    edges = edges.select("source", "target")
+    for _ in range(hops):
+        stay, go = F.struct("node", "hops"), F.struct(F.col("target").alias("node"), (F.col("hops") + 1).alias("hops"))
+        both = out.join(edges, F.col("node") == F.col("source"), "left").select(F.explode(F.array(stay, go)).alias("s")).select("s.*")
+        out = both.where("node is not null").groupBy("node").agg(F.min("hops").alias("hops"))
     return out
 
 

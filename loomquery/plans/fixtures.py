@@ -18,6 +18,21 @@ SCHEMAS = {
     "macros": "macro string, state string, action string, hash string, saved_hash string",
     "runs": "variant string, success boolean, duration_ms double",
     "outputs": "id int, output string",
+    "aliased": "path string, module string",
+    "usings": "path string, namespace string",
+    "namespaces": "path string, namespace string",
+    "reexports": "path string, ordinal int, target string, name string, alias string",
+    "wanted": "path string, name string",
+    "receivers": "path string, line int, name string, scope int, class string",
+    "assignments": "path string, scope int, name string, line int, type string, block int",
+    "class_fields": "class string, name string, type string",
+    "needed": "path string, name string, uses int",
+    "type_files": "path string, ordinal int, name string, kind string",
+    "type_imports": "path string, target string, names array<string>, ordinal int",
+    "changed": "path string",
+    "module_imports": "path string, target string",
+    "open_imports": "path string, module string",
+    "type_texts": "raw string, type string",
 }
 ROWS = {
     "files": [("src/model.ts",), ("src/app.ts",), ("src/util/index.ts",), ("src/ab.ts",), ("py/model.py",), ("py/test_model.py",), ("go/engine.go",), ("go/engine_test.go",), ("dist/app.js",), ("Cargo.lock",), ("cs/OrderTests.cs",), ("src/__tests__/app.spec.ts",)],
@@ -42,6 +57,27 @@ ROWS = {
     "macros": [("m1", "discovered", "propose", "h", "h"), ("m2", "approved", "activate", "h", "x"), ("m3", "active", "revoke", "h", "h"), ("m4", "proposed", "revoke", "h", "h")],
     "runs": [("base", True, 100.0), ("base", False, 300.0), ("base", True, 200.0), ("tool", True, 50.0), ("tool", True, 70.0)],
     "outputs": [(1, "PASS\n3 passed"), (2, "FAIL [exit=1]\nFAIL adds items\nError: bad\n  at run (src/a.ts:3:4)"), (3, "TIMEOUT after 5 s"), (4, "NONE [affected-tests]"), (5, "hello")],
+    "aliased": [("src/app.ts", "@/util"), ("src/app.ts", "@/model"), ("src/app.ts", "@lib"), ("src/ab.ts", "~x/none"), ("src/ab.ts", "react"), ("src/ab.ts", "py:model:it")],
+    "usings": [("cs/a/Main.cs", "Demo.Core"), ("cs/a/Main.cs", "Demo.Util"), ("cs/b/Other.cs", "Demo.Core"), ("cs/b/Other.cs", "System.Text"), ("cs/b/Other.cs", "Lib.Main")],
+    "namespaces": [("cs/a/Core.cs", "Demo.Core"), ("cs/b/Core2.cs", "Demo.Core"), ("cs/a/Main.cs", "Demo"), ("cs/b/Util.cs", "Tools"), ("cs/b/Other.cs", "Other")],
+    "reexports": [
+        ("lib/index.ts", 0, "src/model.ts", "OrderService", "Orders"), ("lib/index.ts", 1, "lib/all.ts", None, None), ("lib/all.ts", 0, "src/util/index.ts", None, None), ("lib/all.ts", 1, "src/ab.ts", None, None),
+        ("lib/index.ts", 2, "src/model.ts", "audit", "audit"), ("lib/loop.ts", 0, "lib/pool.ts", None, None), ("lib/pool.ts", 0, "lib/loop.ts", None, None), ("lib/all.ts", 2, "src/app.ts", None, None),
+    ],
+    "wanted": [("lib/index.ts", "Orders"), ("lib/index.ts", "format"), ("lib/index.ts", "audit"), ("lib/index.ts", "cancel"), ("lib/loop.ts", "format"), ("src/ab.ts", "A"), ("lib/index.ts", "nothing")],
+    "receivers": [("a.ts", 5, "x", 1, "C"), ("a.ts", 9, "x", 1, "C"), ("a.ts", 9, "this", 1, "C"), ("a.ts", 9, "super", 1, "C"), ("a.ts", 9, "store", 1, "C"), ("a.ts", 9, "glob", 1, "C"), ("a.ts", 9, "Order", 1, "C"), ("a.ts", 9, "nope", 1, "C"), ("a.ts", 9, "y", 1, "C"), ("a.ts", 2, "x", 1, "C")],
+    "assignments": [("a.ts", 1, "x", 3, "A", 1), ("a.ts", 1, "x", 7, "B", 1), ("a.ts", 1, "x", 11, "D", 1), ("a.ts", 1, "y", 4, "A", 1), ("a.ts", 1, "y", 6, "B", 2), ("a.ts", 0, "glob", 1, "G", 0), ("a.ts", 0, "y", 1, "G", 0)],
+    "class_fields": [("C", "store", "Store"), ("C", "x", "Never")],
+    "needed": [("src/app.ts", "Order", 3), ("src/app.ts", "Line", 5), ("src/app.ts", "Total", 5), ("src/app.ts", "Own", 1), ("src/app.ts", "Lost", 9)],
+    "type_files": [("src/app.ts", 0, "Own", "class"), ("src/model.ts", 0, "Order", "class"), ("src/model.ts", 1, "Total", "type"), ("lib/z.ts", 0, "Order", "class"), ("lib/z.ts", 1, "Line", "interface"), ("src/q.ts", 0, "Line", "interface"), ("src/q.ts", 1, "Lost", "function"), ("lib/a.ts", 0, "Own", "class")],
+    "type_imports": [("src/app.ts", "lib/z.ts", ["Order"], 0), ("src/app.ts", "src/model.ts", ["*"], 1)],
+    "changed": [("src/model.ts",), ("go/engine.go",)],
+    "module_imports": [("src/app.ts", "src/model.ts"), ("src/__tests__/app.spec.ts", "src/app.ts"), ("src/ab.ts", "src/util/index.ts"), ("py/test_model.py", "py/model.py")],
+    "open_imports": [("src/ab.ts", "pkg/model"), ("cs/OrderTests.cs", "Demo.engine"), ("src/ab.ts", "react")],
+    "type_texts": [
+        ("readonly Order[]", "Order"), ("Promise<Order | null>", None), ("Map<string, Order>", "string"), ("Order | Line", None), ("Order?", "Order"), ("&mut Engine", "Engine"), ("const std::Engine", "Engine"),
+        ("List[app.Order]", "Order"), ("(Order)", "Order"), ("", None), (None, None), ("Order | undefined", "Order"), ("12", None), ("Dict[str, List[int]]", "str"), ("Array<Map<A, B>>", "A"),
+    ],
 }
 
 

@@ -5,7 +5,7 @@ import decimal
 import duckdb
 import pytest
 
-from loomquery.plans import catalog, edits  # noqa: F401
+from loomquery.plans import catalog, edits, lookup  # noqa: F401
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
