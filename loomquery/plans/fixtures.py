@@ -33,6 +33,7 @@ SCHEMAS = {
     "module_imports": "path string, target string",
     "open_imports": "path string, module string",
     "type_texts": "raw string, type string",
+    "sources": "path string, content string",
 }
 ROWS = {
     "files": [("src/model.ts",), ("src/app.ts",), ("src/util/index.ts",), ("src/ab.ts",), ("py/model.py",), ("py/test_model.py",), ("go/engine.go",), ("go/engine_test.go",), ("dist/app.js",), ("Cargo.lock",), ("cs/OrderTests.cs",), ("src/__tests__/app.spec.ts",)],
@@ -78,6 +79,14 @@ ROWS = {
         ("readonly Order[]", "Order"), ("Promise<Order | null>", None), ("Map<string, Order>", "string"), ("Order | Line", None), ("Order?", "Order"), ("&mut Engine", "Engine"), ("const std::Engine", "Engine"),
         ("List[app.Order]", "Order"), ("(Order)", "Order"), ("", None), (None, None), ("Order | undefined", "Order"), ("12", None), ("Dict[str, List[int]]", "str"), ("Array<Map<A, B>>", "A"),
     ],
+    "sources": [
+        ("a.ts", 'import x from "y";\n// class Fake {}\nexport class Order extends Base {\n  constructor(a, b) { this.t = a; }\n  async cancel(id: string, opts = {a: 1, b: [1, 2]}): Promise<void> {\n    if (id) { return this.store.drop(id, "f(x, y)"); }\n  }\n}\nexport const add = (a: number, b: number): number => a + b;\n'),
+        ("b.go", "package x\ntype Engine struct { n int }\nfunc (e *Engine) Run(a int, b string) error {\n\treturn e.start(a)\n}\nfunc helper() {}\n"),
+        ("c.rs", "pub struct Order<'a> { id: &'a str }\nimpl<'a> Order<'a> {\n    pub fn cancel(&self, x: i32) -> bool { helper('c', \"}\") }\n}\nfn helper(a: char, b: &str) -> bool { true }\n"),
+        ("d.cpp", "struct P { int a; };\nint main(int argc, char **argv) { printf(\"hi %d\", argc); return 0; }\nvoid P::go(int a) { main(1, 0); }\n"),
+        ("e.cs", "namespace A { public class B : C {\n  public async Task<int> Go(int a, List<int> b) { return await Do(a); }\n  private void Do(int a) => Console.WriteLine(a);\n} }"),
+        ("f.txt", "class None {}"), ("g.ts", None), ("h.js", "}}}((("),
+    ],
 }
 
 

@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from loomquery.functions import lexical as L
 from loomquery.functions import text as T
-from loomquery.operators import lookup, mining, retrieval
+from loomquery.operators import lookup, mining, retrieval, search
 from loomquery.plans.catalog import _query, _table, _words_sql
 from loomquery.plans.fixtures import cte, frame
+from loomquery.sources.structural import StructuralCalls, StructuralSymbols
 
 _ALIASES = [("@/*", ["gen/*", "src/*"]), ("@lib", ["src/util"]), ("py:*:it", ["py/*"])]
 _DIR = "regexp_extract({0}, '^(.*)/', 1)"
@@ -171,3 +172,41 @@ def index_stats(spark, sf_dir):
     counts = frame(spark, "symbols").agg(F.count("*").alias("declarations"), F.count_if("exported").alias("exported"))
     files, modules = frame(spark, "files").agg(F.count("*").alias("files")), frame(spark, "imports").agg(F.countDistinct("module").alias("modules"))
     return files.crossJoin(modules).crossJoin(counts)
+
+
+@_query("""SELECT * FROM (VALUES ('a.ts', 'Order', 'class', TRUE, 3, 8, 0, NULL), ('a.ts', 'constructor', 'method', FALSE, 4, 4, 2, 'Order'), ('a.ts', 'cancel', 'method', FALSE, 5, 7, 2, 'Order'), ('a.ts', 'add', 'function', TRUE, 9, 9, 2, NULL),
+('b.go', 'Engine', 'struct', TRUE, 2, 2, 0, NULL), ('b.go', 'Run', 'method', TRUE, 3, 5, 2, 'Engine'), ('b.go', 'helper', 'function', FALSE, 6, 6, 0, NULL), ('c.rs', 'Order', 'struct', TRUE, 1, 1, 0, NULL), ('c.rs', 'cancel', 'method', TRUE, 3, 3, 2, 'Order'),
+('c.rs', 'helper', 'function', FALSE, 5, 5, 2, NULL), ('d.cpp', 'P', 'struct', TRUE, 1, 1, 0, NULL), ('d.cpp', 'main', 'function', TRUE, 2, 2, 2, NULL), ('d.cpp', 'go', 'method', TRUE, 3, 3, 1, 'P'), ('e.cs', 'B', 'class', TRUE, 1, 4, 0, NULL),
+('e.cs', 'Go', 'method', TRUE, 2, 2, 2, 'B'), ('e.cs', 'Do', 'method', FALSE, 3, 3, 1, 'B')) t(path, name, kind, exported, "first", "last", params_count, parent_class)""")
+def source_symbols(spark, sf_dir):
+    spark.udtf.register("structural_symbols", StructuralSymbols)
+    return spark.sql("select path, s.* from {src}, lateral structural_symbols(path, content) s", src=frame(spark, "sources"))
+
+
+@_query("""SELECT * FROM (VALUES ('a.ts', 'drop', 'store', 2, 6), ('b.go', 'start', 'e', 1, 4), ('c.rs', 'helper', NULL, 2, 3), ('d.cpp', 'printf', NULL, 2, 2), ('d.cpp', 'main', NULL, 2, 3), ('e.cs', 'Do', NULL, 1, 2),
+('e.cs', 'WriteLine', 'Console', 1, 3)) t(path, callee, receiver, args_count, line)""")
+def source_calls(spark, sf_dir):
+    spark.udtf.register("structural_calls", StructuralCalls)
+    return spark.sql("select path, s.* from {src}, lateral structural_calls(path, content) s", src=frame(spark, "sources"))
+
+
+_SEARCH_TEXT = "How to find largest_bolts of smal widgets, cold rod or bolt"
+_SEARCH = f"""WITH t AS (SELECT p_partkey, 'src/' || lower(p_type) || '.ts' AS path, lower(replace(p_name, ' ', '_')) AS name, 'def ' || p_name || '(rod, bolt, cold)' AS sig, p_size % 2 = 0 AS exported FROM part),
+q AS (SELECT * FROM (VALUES (0, 'largest'), (1, 'bolts'), (2, 'smal'), (3, 'widgets'), (4, 'cold'), (5, 'rod'), (6, 'bolt')) t(o, w)), x AS (SELECT * FROM (VALUES ('largest_bolts'), ('smal'), ('widgets'), ('cold'), ('rod'), ('bolt')) t(e)),
+qs AS (SELECT * FROM (VALUES (0, 'largest'), (1, 'bolt'), (2, 'smal'), (3, 'widget'), (4, 'cold'), (5, 'rod')) t(o, s)), ow AS (SELECT p_partkey, unnest(string_split(name, '_')) AS w FROM t),
+h AS (SELECT t.p_partkey, q.o, q.w, contains(name, q.w) AS part, q.w IN (SELECT w FROM ow WHERE ow.p_partkey = t.p_partkey) AS whole, contains(sig, q.w) AS s FROM t, q),
+k AS (SELECT *, (part OR whole) AND sum(CAST(part OR whole AS INT)) OVER (PARTITION BY p_partkey ORDER BY o) <= 4 AS named FROM h),
+z AS (SELECT p_partkey, sum(CASE WHEN named THEN CASE WHEN whole THEN 15 WHEN length(w) >= 5 THEN 14 ELSE 6 END ELSE 0 END) + 2 * least(3, count(*) FILTER (NOT named AND s)) AS n FROM k GROUP BY 1),
+g AS (SELECT t.p_partkey, qs.o, max(CASE WHEN ow.w = qs.s THEN 10 WHEN least(length(ow.w), length(qs.s)) >= 4 AND ow.w[1] = qs.s[1] AND damerau_levenshtein(ow.w, qs.s) <= 1 THEN 8 ELSE 0 END) AS p FROM t JOIN ow USING (p_partkey), qs GROUP BY ALL),
+y AS (SELECT p_partkey, sum(p) AS n FROM (SELECT * FROM g WHERE p > 0 QUALIFY row_number() OVER (PARTITION BY p_partkey ORDER BY o) <= 3) GROUP BY 1),
+e AS (SELECT p_partkey, 12 * count(*) FILTER (contains(path, e)) AS p, CASE WHEN bool_or(name = e) THEN 50 ELSE 20 * least(2, count(*) FILTER (contains(name, e))) END AS n FROM t, x GROUP BY 1),
+r AS (SELECT path, p_partkey AS line, name, CAST(e.p + e.n + (SELECT 3 * count(*) FROM q WHERE contains(path, q.w)) + z.n + coalesce(y.n, 0) + CASE WHEN exported THEN 2 ELSE 0 END AS INT) AS score FROM t JOIN e USING (p_partkey) JOIN z USING (p_partkey) LEFT JOIN y USING (p_partkey))
+SELECT path, line, name, score FROM r WHERE score >= 6 ORDER BY score DESC, path, line, name LIMIT 50"""
+
+
+@_query(_SEARCH)
+def symbol_search(spark, sf_dir):
+    part = _table(spark, sf_dir, "part")
+    path, signature = F.concat(F.lit("src/"), F.lower("p_type"), F.lit(".ts")), F.concat(F.lit("def "), "p_name", F.lit("(rod, bolt, cold)"))
+    symbols = part.select(path.alias("path"), F.col("p_partkey").alias("line"), F.lower(F.replace("p_name", F.lit(" "), F.lit("_"))).alias("name"), signature.alias("signature"), (F.col("p_size") % 2 == 0).alias("exported"))
+    return search.search(symbols, _SEARCH_TEXT, top=50)

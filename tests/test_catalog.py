@@ -106,3 +106,26 @@ def test_salient_lines_of_runs(spark):
     got = salient_lines(spark.createDataFrame(rows, "key int, no int, line string"), F.col("line") == "E").collect()
     assert sorted(r.no for r in got if r.key == 1) == [0, 1, 3, 4, 6, 7, 8, 9]
     assert sorted(r.no for r in got if r.key == 2) == [*range(8), *range(18, 30)]
+
+
+def test_search_cut(spark):
+    from loomquery.operators.search import search
+
+    rows = [("a.ts", 1, "cancelOrder", "cancelOrder(id)", True), ("b.ts", 2, "orderTotal", None, None), ("c.test.ts", 3, "cancelOrder", "", True), ("d.ts", 4, "zzz", "", False)]
+    symbols = spark.createDataFrame(rows, "path string, line int, name string, signature string, exported boolean")
+    assert [(r.path, r.name) for r in search(symbols, "how to find cancelOrder").collect()] == [("a.ts", "cancelOrder")]
+    assert {r.path for r in search(symbols, "cancel the order", tests=True).collect()} == {"a.ts", "c.test.ts"}
+    assert search(symbols, "nothing here").count() == 0 and search(symbols.limit(0), "order").count() == 0
+
+
+def test_lexical_nulls(spark):
+    from pyspark.sql import functions as F
+
+    from loomquery.functions import lexical as L
+
+    df = spark.createDataFrame([(None,), ("",), ("Ties",)], "t string")
+    assert [r[0] for r in df.select(L.stem(F.col("t"))).collect()] == [None, "", "tie"]
+    assert [r[0] for r in df.select(L.type_references(F.col("t"))).collect()] == [None, [], ["Ties"]]
+    assert L.json_shape(None) is None and L.json_shape("{bad") is None and L.json_shape("3") == "(root): 3"
+    deep = '{"a": {"b": {"c": {"d": {"e": 1}}}}, "z": [], "s": "' + "x" * 50 + '"}'
+    assert L.json_shape(deep).split("\n") == ["        a.b.c.d: {…} [1 keys, depth cap 4]", "  z: [0 items]", '  s: "' + "x" * 40 + '…"']
