@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import re
 import zipfile
+import zlib
 
 import pandas as pd
 from pyspark.sql import Column
@@ -130,3 +131,29 @@ def normal_instruction(text: Column, stop_words: list[str]) -> Column:
         return s.map(split)
 
     return F.pandas_udf(words, "array<string>")(text)
+
+
+def pdf_text(raw: bytes | None) -> str | None:
+    """Text shown by a page-description file, one line a text block, packed streams included; null for other content."""
+    if not raw or not raw.startswith(b"%PDF"):
+        return None
+    chunks = [raw.decode("latin-1")]
+    for m in re.finditer(rb"stream\r?\n?(.*?)endstream", raw, re.S):
+        try:
+            chunks.append(zlib.decompressobj().decompress(m[1]).decode("utf-8", "replace"))
+        except zlib.error:
+            continue
+    lines, text = [], r"\(((?:[^()\\]|\\.)*)\)"
+    for chunk in chunks:
+        for block in re.findall(r"\bBT\s(.*?)\sET\b", chunk, re.S):
+            shown = re.findall(rf"{text}\s*Tj", block, re.S)
+            for group in re.findall(rf"\[((?:[^\[\]()]|{text})*)\]\s*TJ", block, re.S):
+                shown += re.findall(text, group[0], re.S)
+            line = " ".join(re.sub(r"\\([()\\])", r"\1", s) for s in shown).strip()
+            if line:
+                lines.append(line)
+    return "\n".join(lines)
+
+
+def pdf(content: Column) -> Column:
+    return F.pandas_udf(lambda s: s.map(pdf_text), "string")(content)

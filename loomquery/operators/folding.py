@@ -45,3 +45,26 @@ def budget_fit(rows: DataFrame, budget: int, head_share: float = 0.65) -> DataFr
     down = F.sum(F.length("line") + 1).over(Window.partitionBy("key").orderBy(F.desc("no")))
     fit = rows.withColumns({"up": up, "down": down}).withColumn("keep", (F.col("up") <= int(budget * head_share)) | (F.col("down") <= budget - int(budget * head_share)))
     return fit.groupBy("key").agg(F.count_if("keep").alias("kept"), F.count_if(~F.col("keep")).alias("omitted"))
+
+
+def code_skeleton(rows: DataFrame, symbols: DataFrame, expand: list[str] | None = None) -> DataFrame:
+    """(key, skeleton) of lines(key, no, line), numbered from 0: bodies of functions over 4 lines and of types over 20 are
+    folded into their first line, runs of blank lines become one. ``symbols(key, name, kind, first, last)`` count from 1.
+
+    The outermost fold wins: a line belongs to the first fold that reaches it, found by a running maximum of ends.
+    """
+    span = F.col("last") - F.col("first") + 1
+    types = F.col("kind").isin("interface", "type", "enum", "struct")
+    long_ = (F.col("kind").isin("function", "method") & (span > 4)) | (types & (span > 20))
+    folds = symbols.where(long_ & ~F.col("name").isin(expand or [])).groupBy("key", F.col("first").alias("n")).agg(F.max_by("last", "last").alias("last"), F.max_by(types, "last").alias("is_type"))
+    marked = rows.select("key", (F.col("no") + 1).alias("n"), "line").join(folds, ["key", "n"], "left")
+    before = Window.partitionBy("key").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
+    shown = marked.withColumn("end", F.max("last").over(before)).where("end is null or n > end")
+    blank = F.trim("line") == ""
+    shown = shown.withColumn("again", blank & F.col("last").isNull() & F.coalesce(F.lag(blank & F.col("last").isNull()).over(Window.partitionBy("key").orderBy("n")), F.lit(False))).where("not again")
+    note = F.concat(F.lit(" /* ... lines "), (F.col("n") + 1).cast("string"), F.lit("-"), F.col("last").cast("string"), F.lit(" folded"))
+    count = F.concat(F.lit(" ("), (F.col("last") - F.col("n") + 1).cast("string"), F.lit(" lines) ... */ }"))
+    opened = F.concat(F.rtrim("line"), F.when(F.col("is_type") | F.col("line").contains("{"), "").otherwise(" {"), note, F.when(F.col("is_type"), count).otherwise(F.lit(" ... */ }")))
+    text = F.concat(F.lpad(F.col("n").cast("string"), 4, " "), F.lit(":"), F.when(F.col("last").isNotNull(), F.concat(F.lit(" "), opened)).when(blank, "").otherwise(F.concat(F.lit(" "), F.col("line"))))
+    ordered = F.sort_array(F.collect_list(F.struct("n", text.alias("text"))))
+    return shown.groupBy("key").agg(F.array_join(ordered["text"], "\n").alias("skeleton"))

@@ -75,3 +75,33 @@ def dirty_files(diff: DataFrame, declared: DataFrame, queried: DataFrame, unreso
 
 def generic_names(names: DataFrame, column: str, generic: list[str]) -> DataFrame:
     return names.where(~F.lower(column).isin(generic))
+
+
+def verified_links(links: DataFrame, sections: DataFrame, symbols: DataFrame) -> DataFrame:
+    """Explicit links(section, path, name, parent_class) whose section shows the bare name between boundaries.
+
+    Members of a class whose name several files declare also need their qualified name, in any case, or their file in
+    the section. ``sections(section, text)``, ``symbols(path, name)``.
+    """
+    edge = r"[\p{javaUnicodeIdentifierPart}$]"
+    quoted = lambda c: F.concat(F.lit(rf"(?<!{edge})\Q"), c, F.lit(rf"\E(?!{edge})"))
+    several = symbols.groupBy("name").agg((F.countDistinct("path") > 1).alias("several"))
+    rows = links.join(sections, "section").join(several, "name", "left")
+    shown = F.rlike("text", quoted(F.col("name")))
+    exact = F.contains("text", F.regexp_extract("path", r"([^/]*)$", 1)) | F.rlike(F.lower("text"), quoted(F.lower(F.concat_ws(".", "parent_class", "name"))))
+    return rows.where(shown & (F.col("parent_class").isNull() | ~F.coalesce("several", F.lit(False)) | exact)).select(*links.columns)
+
+
+def brief(hubs_: DataFrame, activities: DataFrame, links: DataFrame, macros: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(part, rank, line) of an overview: 6 hubs(path, n), the last 5 activities(seq, line), 5 links(score, line),
+    4 macros(id, line) and 4 pairs(n, line); each part is a top list."""
+    parts = [
+        ("hub", hubs_.withColumn("line", F.concat("path", F.lit(" (imported by "), F.col("n").cast("string"), F.lit(")"))), [F.desc("n"), "path"], 6),
+        ("activity", activities, [F.desc("seq"), "line"], 5), ("link", links, [F.desc("score"), "line"], 5), ("macro", macros, ["id", "line"], 4), ("pair", pairs, [F.desc("n"), "line"], 4),
+    ]
+    out = None
+    for part, rows, order, most in parts:
+        top = rows.orderBy(*order).limit(most).withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+        top = top.select(F.lit(part).alias("part"), "rank", "line")
+        out = top if out is None else out.union(top)
+    return out

@@ -46,3 +46,22 @@ def trust_steps(df: DataFrame) -> DataFrame:
     """(macro, state, action, next_state): null where the transition is not allowed or the source changed."""
     table = df.sparkSession.createDataFrame(TRUST, "state string, action string, next_state string")
     return df.join(F.broadcast(table), ["state", "action"], "left").select("macro", "state", "action", F.when(F.col("hash") == F.col("saved_hash"), F.col("next_state")).alias("next_state"))
+
+
+def live_rows(df: DataFrame, created: str, status: str, now: Column, ttl: float) -> DataFrame:
+    """Rows less the pending ones whose numeric creation time is older than the time to live; others stay as they are."""
+    age = now - F.col(created).try_cast("double")
+    return df.where(~F.coalesce((F.col(status) == "pending") & (age > ttl), F.lit(False)))
+
+
+def pruned_scopes(df: DataFrame, workspace: str, scope: str, used: str, current: Column, most: int = 8) -> DataFrame:
+    """(workspace, scope) to delete: all but the current scope and the ``most`` - 1 others used last."""
+    others = df.where(~F.coalesce(current, F.lit(False)))
+    w = Window.partitionBy(workspace).orderBy(F.desc(used), scope)
+    return others.withColumn("__r", F.row_number().over(w)).where(F.col("__r") >= most).select(workspace, scope)
+
+
+def merged_pairs(mined: DataFrame, known: DataFrame) -> DataFrame:
+    """(a, b, n) of both sides, whichever way round a pair is written, with its larger count."""
+    rows = mined.select("a", "b", "n").union(known.select("a", "b", "n"))
+    return rows.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("n").alias("n"))

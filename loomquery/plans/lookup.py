@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from loomquery.functions import lexical as L
 from loomquery.functions import text as T
-from loomquery.operators import lookup, mining, retrieval, search
+from loomquery.operators import folding, graph, lookup, mining, retrieval, search, sessions
 from loomquery.plans.catalog import _query, _table, _words_sql
 from loomquery.plans.fixtures import cte, frame
 from loomquery.sources.structural import StructuralCalls, StructuralSymbols
@@ -210,3 +210,60 @@ def symbol_search(spark, sf_dir):
     path, signature = F.concat(F.lit("src/"), F.lower("p_type"), F.lit(".ts")), F.concat(F.lit("def "), "p_name", F.lit("(rod, bolt, cold)"))
     symbols = part.select(path.alias("path"), F.col("p_partkey").alias("line"), F.lower(F.replace("p_name", F.lit(" "), F.lit("_"))).alias("name"), signature.alias("signature"), (F.col("p_size") % 2 == 0).alias("exported"))
     return search.search(symbols, _SEARCH_TEXT, top=50)
+
+
+_FOLD_LINES = """l AS (SELECT doc_id AS key, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents)"""
+
+
+@_query(f"""WITH {_FOLD_LINES}, m AS (SELECT key, max(n) AS n FROM l GROUP BY 1), s AS (SELECT l.*, m.n AS total, CASE WHEN m.n >= 9 AND l.n = 3 THEN 8 END AS last FROM l JOIN m USING (key)),
+k AS (SELECT *, trim(line, ' ') = '' AS blank FROM s WHERE NOT (total >= 9 AND n BETWEEN 4 AND 8)), f AS (SELECT *, blank AND last IS NULL AND coalesce(lag(blank AND last IS NULL) OVER (PARTITION BY key ORDER BY n), FALSE) AS again FROM k)
+SELECT key, sha256(string_agg(lpad(CAST(n AS VARCHAR), 4, ' ') || ':' || CASE WHEN last IS NOT NULL THEN ' ' || rtrim(line, ' ') || CASE WHEN contains(line, '{{') THEN '' ELSE ' {{' END || ' /* ... lines 4-8 folded ... */ }}' WHEN blank THEN '' ELSE ' ' || line END, chr(10) ORDER BY n)) AS digest FROM f WHERE NOT again GROUP BY 1""")
+def code_skeleton(spark, sf_dir):
+    rows = folding.lines(_table(spark, sf_dir, "documents"), "doc_id", "text")
+    symbol = lambda name, first, last: F.struct(F.lit(name).alias("name"), F.lit("function").alias("kind"), F.lit(first).alias("first"), F.lit(last).alias("last"))
+    symbols = rows.groupBy("key").agg(F.count("*").alias("n")).where("n >= 9").select("key", F.explode(F.array(symbol("f", 3, 8), symbol("inner", 4, 8), symbol("small", 1, 2), symbol("kept", 1, 9))).alias("s")).select("key", "s.*")
+    return folding.code_skeleton(rows, symbols, ["kept"]).select("key", F.sha2("skeleton", 256).alias("digest"))
+
+
+@_query("SELECT o_orderkey FROM orders WHERE NOT (o_orderstatus = 'P' AND datediff('day', o_orderdate, TIMESTAMP '1998-12-31') > 1000)")
+def live_rows(spark, sf_dir):
+    days = F.datediff(F.col("o_orderdate").cast("date"), F.lit("1970-01-01").cast("date")).cast("string")
+    rows = _table(spark, sf_dir, "orders").select("o_orderkey", days.alias("created"), F.when(F.col("o_orderstatus") == "P", "pending").otherwise("done").alias("status"))
+    return sessions.live_rows(rows, "created", "status", F.datediff(F.lit("1998-12-31").cast("date"), F.lit("1970-01-01").cast("date")), 1000).select("o_orderkey")
+
+
+@_query("SELECT o_custkey, o_orderkey FROM orders WHERE o_orderstatus <> 'P' QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) >= 8")
+def pruned_scopes(spark, sf_dir):
+    return sessions.pruned_scopes(_table(spark, sf_dir, "orders"), "o_custkey", "o_orderkey", "o_totalprice", F.col("o_orderstatus") == "P")
+
+
+@_query("""WITH a AS (SELECT l_partkey AS a, l_suppkey AS b, count(*) AS n FROM lineitem GROUP BY ALL UNION ALL SELECT l_suppkey, l_partkey, count(*) FROM lineitem WHERE l_returnflag = 'R' GROUP BY ALL) SELECT least(a, b) AS a, greatest(a, b) AS b, max(n) AS n FROM a GROUP BY 1, 2""")
+def merged_pairs(spark, sf_dir):
+    lines = _table(spark, sf_dir, "lineitem")
+    known = lines.where("l_returnflag = 'R'").groupBy(F.col("l_suppkey").alias("a"), F.col("l_partkey").alias("b")).agg(F.count("*").alias("n"))
+    return sessions.merged_pairs(lines.groupBy(F.col("l_partkey").alias("a"), F.col("l_suppkey").alias("b")).agg(F.count("*").alias("n")), known)
+
+
+_VERIFY = [("s1", "src/ab.ts", "cancel", "A"), ("s1", "src/model.ts", "audit", None), ("s2", "src/ab.ts", "cancel", "A"), ("s3", "src/ab.ts", "cancel", "B"), ("s3", "src/util/index.ts", "format", None), ("s4", "src/model.ts", "cancelOrder", "OrderService"), ("s5", "lib/c.ts", "cancel", "Q")]
+_TEXTS = [("s1", "Use a.cancel, not audit_log or Audit."), ("s2", "We cancel things."), ("s3", "See ab.ts: cancel and format()."), ("s4", "cancelOrder$ or cancelOrder"), ("s5", "cancel only")]
+
+
+@_query("SELECT * FROM (VALUES ('s1', 'src/ab.ts', 'cancel', 'A'), ('s3', 'src/ab.ts', 'cancel', 'B'), ('s3', 'src/util/index.ts', 'format', NULL), ('s4', 'src/model.ts', 'cancelOrder', 'OrderService')) t(section, path, name, parent_class)")
+def verified_links(spark, sf_dir):
+    symbols = frame(spark, "symbols").select("path", "name").union(spark.createDataFrame([("lib/c.ts", "cancel")], "path string, name string"))
+    links = spark.createDataFrame(_VERIFY, "section string, path string, name string, parent_class string")
+    return graph.verified_links(links, spark.createDataFrame(_TEXTS, "section string, text string"), symbols)
+
+
+@_query("""SELECT 'hub' AS part, CAST(row_number() OVER (ORDER BY n DESC, path) AS INT) AS rank, path || ' (imported by ' || n || ')' AS line FROM (SELECT p_type AS path, count(*) AS n FROM part GROUP BY 1) QUALIFY row_number() OVER (ORDER BY n DESC, path) <= 6
+UNION ALL SELECT 'activity', CAST(row_number() OVER (ORDER BY event_id DESC) AS INT), event_type FROM events QUALIFY row_number() OVER (ORDER BY event_id DESC) <= 5
+UNION ALL SELECT 'link', CAST(row_number() OVER (ORDER BY p_retailprice DESC, p_name) AS INT), p_name FROM part QUALIFY row_number() OVER (ORDER BY p_retailprice DESC, p_name) <= 5
+UNION ALL SELECT 'macro', CAST(row_number() OVER (ORDER BY n_nationkey) AS INT), n_name FROM nation QUALIFY row_number() OVER (ORDER BY n_nationkey) <= 4
+UNION ALL SELECT 'pair', CAST(row_number() OVER (ORDER BY c_custkey DESC) AS INT), c_name FROM customer QUALIFY row_number() OVER (ORDER BY c_custkey DESC) <= 4""")
+def onboarding_brief(spark, sf_dir):
+    part = _table(spark, sf_dir, "part")
+    hubs = part.groupBy(F.col("p_type").alias("path")).agg(F.count("*").alias("n"))
+    activities = _table(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), F.col("event_type").alias("line"))
+    links = part.select(F.col("p_retailprice").alias("score"), F.col("p_name").alias("line"))
+    macros = _table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("line"))
+    return graph.brief(hubs, activities, links, macros, _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("n"), F.col("c_name").alias("line")))

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import ast
+import json
+import posixpath
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -87,3 +90,23 @@ class PythonCalls:
 
 def write_json_lines(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
+
+
+def load_aliases(spark: SparkSession, path: str, depth: int = 8) -> list[tuple[str, list[str]]]:
+    """Alias patterns of a compiler configuration for ``resolve_aliases``; what it extends is read where it has none itself.
+
+    Comments and trailing commas are allowed. Targets are joined to ``baseUrl``, relative to the file that sets them.
+    """
+    for _ in range(depth):
+        raw = spark.read.text(path, wholetext=True).select(strip_json_comments(F.col("value"))).first()[0]
+        config = json.loads(re.sub(r",(\s*[}\]])", r"\1", raw))
+        options = config.get("compilerOptions", {})
+        if "paths" in options:
+            base = posixpath.normpath(options.get("baseUrl", "."))
+            return [(pattern, [posixpath.normpath(posixpath.join(base, t)) for t in targets]) for pattern, targets in options["paths"].items()]
+        parent = config.get("extends")
+        if not isinstance(parent, str) or not parent.startswith("."):
+            return []
+        path = posixpath.normpath(posixpath.join(posixpath.dirname(path), parent))
+        path += "" if path.endswith(".json") else ".json"
+    return []

@@ -129,3 +129,27 @@ def test_lexical_nulls(spark):
     assert L.json_shape(None) is None and L.json_shape("{bad") is None and L.json_shape("3") == "(root): 3"
     deep = '{"a": {"b": {"c": {"d": {"e": 1}}}}, "z": [], "s": "' + "x" * 50 + '"}'
     assert L.json_shape(deep).split("\n") == ["        a.b.c.d: {…} [1 keys, depth cap 4]", "  z: [0 items]", '  s: "' + "x" * 40 + '…"']
+
+
+def test_pdf_and_config(spark, tmp_path):
+    import zlib
+
+    from loomquery.functions.snippets import pdf_text
+    from loomquery.sources.readers import load_aliases
+
+    packed = zlib.compress(b"BT [(two) -5 (\\(three\\))] TJ ET")
+    raw = b"%PDF-1.4\nBT (one) Tj ET\nstream\n" + packed + b"\nendstream stream\nraw\nendstream"
+    assert pdf_text(raw) == "one\ntwo (three)" and pdf_text(b"none") is None and pdf_text(None) is None
+    (tmp_path / "base.json").write_text('{ // roots\n "compilerOptions": {"baseUrl": "./src", "paths": {"@/*": ["*"], "x": ["a//b"],},}, }')
+    (tmp_path / "tsconfig.json").write_text('{"extends": "./base"}')
+    assert load_aliases(spark, str(tmp_path / "tsconfig.json")) == [("@/*", ["src/*"]), ("x", ["src/a/b"])]
+    (tmp_path / "none.json").write_text("{}")
+    assert load_aliases(spark, str(tmp_path / "none.json")) == []
+
+
+def test_verified_links_quote(spark):
+    from loomquery.operators.graph import verified_links
+
+    links = spark.createDataFrame([("s", "p", "a.b", None), ("s", "p", "axb", None)], "section string, path string, name string, parent_class string")
+    got = verified_links(links, spark.createDataFrame([("s", "see a.b")], "section string, text string"), spark.createDataFrame([], "path string, name string")).collect()
+    assert [r.name for r in got] == ["a.b"]
