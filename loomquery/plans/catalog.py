@@ -192,15 +192,17 @@ def reach_6(spark, sf_dir):
     return graph.reachable(spark.createDataFrame([("c1",)], "node string"), edges)
 
 
-_SNAPSHOTS = """a AS (SELECT o_orderkey AS path, CAST(o_totalprice AS VARCHAR) AS f FROM orders WHERE o_orderkey % 10 <> 3),
-b AS (SELECT o_orderkey AS path, CASE WHEN o_orderkey % 7 = 0 THEN 'new' ELSE CAST(o_totalprice AS VARCHAR) END AS f FROM orders WHERE o_orderkey % 10 <> 4)"""
+_SNAPSHOTS = """a AS (SELECT o_orderkey AS path, CAST(o_totalprice AS VARCHAR) AS f FROM orders WHERE o_orderstatus <> 'P'),
+b AS (SELECT o_orderkey AS path, CASE WHEN o_orderpriority = '2-HIGH' THEN 'new' ELSE CAST(o_totalprice AS VARCHAR) END AS f FROM orders WHERE o_orderpriority <> '1-URGENT')"""
 
 
 @_query(f"""WITH {_SNAPSHOTS} SELECT coalesce(a.path, b.path) AS path, CASE WHEN a.path IS NULL THEN 'added' WHEN b.path IS NULL THEN 'removed' WHEN a.f = b.f THEN 'same' ELSE 'changed' END AS status FROM a FULL JOIN b ON a.path = b.path""")
 def fingerprint_diff(spark, sf_dir):
-    orders = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("path"), F.col("o_totalprice").cast("string").alias("fingerprint"))
-    old = orders.where("path % 10 <> 3")
-    new = orders.where("path % 10 <> 4").withColumn("fingerprint", F.when(F.col("path") % 7 == 0, "new").otherwise(F.col("fingerprint")))
+    """Two states of a store: before, open orders are not in it; after, urgent ones are gone and high ones changed."""
+    path, price = F.col("o_orderkey").alias("path"), F.col("o_totalprice").cast("string")
+    orders = _table(spark, sf_dir, "orders")
+    old = orders.where("o_orderstatus <> 'P'").select(path, price.alias("fingerprint"))
+    new = orders.where("o_orderpriority <> '1-URGENT'").select(path, F.when(F.col("o_orderpriority") == "2-HIGH", "new").otherwise(price).alias("fingerprint"))
     return graph.fingerprint_diff(old, new)
 
 

@@ -72,17 +72,13 @@ def affected_tests(spark, sf_dir):
     return lookup.affected_tests(frame(spark, "changed"), frame(spark, "module_imports"), frame(spark, "open_imports"), frame(spark, "files"))
 
 
-@_query("""WITH s AS (SELECT p_partkey AS symbol, lower(p_type) AS key, lower(p_brand || p_type) AS qualified FROM part), d AS (SELECT page_id AS section, list_distinct(regexp_extract_all(lower(url || ' ' || html), '[a-z0-9#]+')) AS keys FROM pages
-  UNION ALL SELECT -p_partkey, [lower(p_type), lower(p_brand || p_type)] FROM part WHERE p_size = 1)
-SELECT symbol, count(*) AS sections, CAST(sum(length) AS BIGINT) AS total FROM (SELECT symbol, section, max(length(k)) AS length FROM (SELECT symbol, unnest([key, qualified]) AS k FROM s) a JOIN (SELECT section, unnest(keys) AS k2 FROM d) b ON k = k2 WHERE symbol % 100 = 0 GROUP BY ALL) GROUP BY 1""")
+@_query("""WITH k AS (SELECT c_custkey AS symbol, unnest(['c' || c_custkey, 'c' || c_custkey || 'n' || c_nationkey]) AS k FROM customer), d AS (SELECT o_orderkey AS section, unnest(list_distinct(['c' || o_custkey, 'c' || o_custkey || 'n' || o_orderkey % 25])) AS k FROM orders)
+SELECT symbol, section, max(length(k)) AS length FROM k JOIN d USING (k) WHERE length('c' || symbol) >= 3 GROUP BY ALL""")
 def explicit_links(spark, sf_dir):
-    part = _table(spark, sf_dir, "part")
-    both = F.lower(F.concat("p_brand", "p_type"))
-    symbols = part.where("p_partkey % 100 = 0").select(F.col("p_partkey").alias("symbol"), F.lower("p_type").alias("key"), both.alias("qualified"))
-    keys = F.regexp_extract_all(F.lower(F.concat("url", F.lit(" "), "html")), F.lit("[a-z0-9#]+"), F.lit(0))
-    sections = _table(spark, sf_dir, "pages").select(F.col("page_id").alias("section"), keys.alias("keys"))
-    sections = sections.union(part.where("p_size = 1").select(-F.col("p_partkey"), F.array(F.lower("p_type"), both)))
-    return lookup.explicit_links(symbols, sections).groupBy("symbol").agg(F.count("*").alias("sections"), F.sum("length").alias("total"))
+    key, told = F.concat(F.lit("c"), F.col("c_custkey").cast("string")), F.concat(F.lit("c"), F.col("o_custkey").cast("string"))
+    symbols = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("symbol"), key.alias("key"), F.concat(key, F.lit("n"), F.col("c_nationkey").cast("string")).alias("qualified"))
+    sections = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("section"), F.array(told, F.concat(told, F.lit("n"), (F.col("o_orderkey") % 25).cast("string"))).alias("keys"))
+    return lookup.explicit_links(symbols, sections).withColumn("length", F.col("length").cast("bigint"))
 
 
 @_query(f"""WITH names AS (SELECT DISTINCT url AS symbol FROM pages), t AS (SELECT item_id AS key, unnest({_words_sql('text')}) AS token FROM benchmark),
@@ -134,9 +130,9 @@ def word_stems(spark, sf_dir):
 
 
 @_query(f"""SELECT doc_id, list_sort(list_filter(list_distinct(regexp_extract_all(text, '\\b[A-Z][a-zA-Z0-9_]*\\b')), lambda n: length(n) > 1 AND NOT (regexp_matches(n, '^[A-Z0-9_]+$') AND length(n) > 2)
-AND n NOT IN ({', '.join(f"'{x}'" for x in L.BUILTIN_TYPES)}))) AS types FROM documents WHERE source = 'src1'""")
+AND n NOT IN ({', '.join(f"'{x}'" for x in L.BUILTIN_TYPES)}))) AS types FROM documents""")
 def type_references(spark, sf_dir):
-    return _table(spark, sf_dir, "documents").where("source = 'src1'").select("doc_id", F.array_sort(L.type_references(F.col("text"))).alias("types"))
+    return _table(spark, sf_dir, "documents").select("doc_id", F.array_sort(L.type_references(F.col("text"))).alias("types"))
 
 
 @_query(f"WITH {cte('type_texts')} SELECT * FROM type_texts")
@@ -159,10 +155,13 @@ def json_skeleton(spark, sf_dir):
     return turns.select("conv_id", L.json_skeleton(content).alias("skeleton"))
 
 
-@_query("""SELECT source, CAST(sum(greatest(1, (length(text) + 3) // 4)) AS BIGINT) AS raw_tokens, CAST(sum(greatest(1, (length(left(text, 200)) + 3) // 4)) AS BIGINT) AS kept_tokens,
-round(100 - 100 * sum(greatest(1, (length(left(text, 200)) + 3) // 4)) / sum(greatest(1, (length(text) + 3) // 4)), 1) AS saved FROM documents WHERE regexp_matches(text, '^[\\x00-\\x7F]*$') GROUP BY 1""")
+_UNITS = "(length({0}) + len(regexp_extract_all({0}, '[\\x{{10000}}-\\x{{10FFFF}}]')))"
+_TOKENS = "CAST(sum(greatest(1, (" + _UNITS + " + 3) // 4)) AS BIGINT)"
+
+
+@_query(f"""WITH s AS (SELECT source, {_TOKENS.format('text')} AS raw_tokens, {_TOKENS.format('left(text, 200)')} AS kept_tokens FROM documents GROUP BY 1) SELECT *, round(100 - 100 * kept_tokens / raw_tokens, 1) AS saved FROM s""")
 def token_savings(spark, sf_dir):
-    docs = _table(spark, sf_dir, "documents").where(F.col("text").rlike(r"\A[\x00-\x7F]*\z"))
+    docs = _table(spark, sf_dir, "documents")
     sums = docs.groupBy("source").agg(F.sum(T.token_estimate(F.col("text"))).alias("raw_tokens"), F.sum(T.token_estimate(F.substring("text", 1, 200))).alias("kept_tokens"))
     return sums.select("source", "raw_tokens", "kept_tokens", F.round(100 - 100 * F.col("kept_tokens") / F.col("raw_tokens"), 1).alias("saved"))
 
