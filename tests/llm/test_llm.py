@@ -123,6 +123,18 @@ def test_near_groups(spark):
     assert simhash.near_groups(docs.limit(0)).count() == 0
 
 
+def test_near_groups_of_repeated_lines(spark):
+    """Equal shingle sets are one group, however often a line of them repeats."""
+    rng = random.Random(4)
+    out = []
+    for g in range(25):
+        words, line = [f"u{g}x{rng.getrandbits(40)}" for _ in range(120)], [f"r{g}x{rng.getrandbits(40)}" for _ in range(13)]
+        out += [" ".join(words + line * 40), " ".join(words + line * 2)]
+    far = sum((simhash.fingerprint(a, 5) ^ simhash.fingerprint(b, 5)).bit_count() > simhash.WIDE_HAMMING for a, b in zip(out[::2], out[1::2]))
+    got = {r.id: r.component for r in simhash.near_groups(_docs(spark, out)).collect()}
+    assert far and [got[i] for i in range(len(out))] == [i - i % 2 for i in range(len(out))]
+
+
 def test_chain_test_keeps_all_within_the_budget():
     rng = np.random.default_rng(5)
     x = np.zeros(500, dtype=np.uint64)
