@@ -200,6 +200,8 @@ HASHES, BANDS, ROWS = 256, 20, 6
 WIDE_HAMMING, WIDE_SEGMENTS = 24, 8
 #: Estimates this far from the threshold decide (4 deviations at 0.8); nearer ones are settled by the texts.
 MARGIN = 0.1
+#: Rows of a band key that a probe is compared with in one task at once.
+CHUNK = 2000
 
 
 def _shingle_hashes(text: str | bytes | None, shingle: int) -> np.ndarray:
@@ -270,22 +272,10 @@ def _estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return ((a == b).mean(axis=1) - chance) / (1 - chance)
 
 
-def wide_edges(reps: DataFrame, docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float) -> DataFrame:
-    """Edges (src, dst) between texts whose shingle sets have the given Jaccard similarity or more.
-
-    ``reps(id, fp, bands, sketch)`` has one row for each distinct fingerprint. All rows that share a
-    band key are compared with one of them, another one for each key, so a group gives a star of
-    edges a band, never all its pairs; a pair at 0.8 shares a key with probability 0.998.
-    Sketches decide clear cases, whole texts the others.
-    """
-    keyed = reps.select(F.explode("bands").alias("key"), "id")
-    hubs = keyed.groupBy("key").agg(F.min_by("id", F.xxhash64("key", "id")).alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
-    pairs = keyed.join(hubs, "key").where("id <> hub").select(F.least("id", "hub").alias("src"), F.greatest("id", "hub").alias("dst")).distinct()
-    side = lambda c, n: reps.select(F.col("id").alias(c), F.col("sketch").alias(f"sketch{n}"))
-    both = pairs.join(side("src", 1), "src").join(side("dst", 2), "dst").select("src", "dst", "sketch1", "sketch2")
-    found = materialize(both.mapInArrow(_estimates, "src bigint, dst bigint, estimate double").where(F.col("estimate") >= similarity - MARGIN), "simhash-wide")
+def _linked(found: DataFrame, docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float) -> DataFrame:
+    """Edges (src, dst) among pairs with estimates: clear ones by the estimate, the others by the whole texts."""
     sure = found.where(F.col("estimate") >= similarity + MARGIN).select("src", "dst")
-    close = found.where(F.col("estimate") < similarity + MARGIN).select("src", "dst")
+    close = found.where((F.col("estimate") >= similarity - MARGIN) & (F.col("estimate") < similarity + MARGIN)).select("src", "dst")
     whole = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("t"))
     whole = whole.join(close.select(F.explode(F.array("src", "dst")).alias("id")), "id", "left_semi").groupBy("id").agg(F.min("t").alias("t"))
     text = lambda c, n: whole.select(F.col("id").alias(c), F.col("t").alias(f"t{n}"))
@@ -303,6 +293,87 @@ def wide_edges(reps: DataFrame, docs: DataFrame, id_col: str, text_col: str, shi
     return sure.union(exact.mapInArrow(verify, "src bigint, dst bigint"))
 
 
+def wide_edges(reps: DataFrame, docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float, also: DataFrame | None = None) -> DataFrame:
+    """Edges (src, dst) between texts whose shingle sets have the given Jaccard similarity or more.
+
+    ``reps(id, bands, sketch)`` has one row for each distinct shingle set. Candidates are rows that share a band key,
+    which a pair at 0.8 does with probability 0.998, and the pairs of ``also(src, dst)``. First all rows
+    that share a key are compared with one of them, another one for each key: a group gives a star of
+    edges a band. Then the rows of a key that are not yet connected are compared with each other, so each pair that
+    shares a key is compared or connected. Sketches decide clear cases, whole texts the others.
+    """
+    keyed = reps.select(F.explode("bands").alias("key"), "id")
+    hubs = keyed.groupBy("key").agg(F.min_by("id", F.xxhash64("key", "id")).alias("hub"), F.count("*").alias("n")).where("n > 1").drop("n")
+    pairs = keyed.join(hubs, "key").where("id <> hub").select(F.least("id", "hub").alias("src"), F.greatest("id", "hub").alias("dst"))
+    pairs = (pairs.union(also.select(F.least("src", "dst"), F.greatest("src", "dst"))) if also is not None else pairs).distinct()
+    side = lambda c, n: reps.select(F.col("id").alias(c), F.col("sketch").alias(f"sketch{n}"))
+    both = pairs.join(side("src", 1), "src").join(side("dst", 2), "dst").select("src", "dst", "sketch1", "sketch2")
+    found = materialize(both.mapInArrow(_estimates, "src bigint, dst bigint, estimate double").where(F.col("estimate") >= similarity - MARGIN), "simhash-wide")
+    stars = _linked(found, docs, id_col, text_col, shingle, similarity)
+    parts = materialize(connected_components(stars), "simhash-parts")
+    rest = materialize(_unconnected(reps, hubs, parts).mapInArrow(_cross(similarity - MARGIN), "src bigint, dst bigint, estimate double"), "simhash-cross")
+    joined = parts.select(F.col("component").alias("src"), F.col("node").alias("dst"))
+    return joined.union(_linked(rest, docs, id_col, text_col, shingle, similarity))
+
+
+def _unconnected(reps: DataFrame, hubs: DataFrame, parts: DataFrame) -> DataFrame:
+    """Rows (grp, probe, key, id, part, bands, sketch) of the keys whose rows, without the hub, are in several parts.
+
+    A key's rows are dealt to chunks of about CHUNK; those outside its largest part go as probes to all of them.
+    """
+    named = reps.where(F.size("bands") > 0).join(parts, reps.id == parts.node, "left").select("id", "bands", "sketch", F.coalesce("component", "id").alias("part"))
+    keyed = named.select(F.explode("bands").alias("key"), "id", "part").join(hubs, "key").where("id <> hub").drop("hub")
+    sizes = keyed.groupBy("key", "part").agg(F.count("*").alias("n"))
+    keys = sizes.groupBy("key").agg(F.max_by("part", F.struct("n", "part")).alias("big"), F.sum("n").alias("n"), F.count("*").alias("k")).where("k > 1")
+    chunks = F.ceil(F.col("n") / CHUNK)
+    rows = keyed.join(keys, "key").withColumn("chunks", chunks).drop("n", "k")
+    own = rows.select("key", "id", "big", F.pmod(F.xxhash64("id"), "chunks").alias("chunk"), F.lit(False).alias("probe"))
+    probes = rows.where("part <> big").select("key", "id", "big", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1)).alias("chunk"), F.lit(True).alias("probe"))
+    dealt = own.union(probes).join(named, "id").withColumn("grp", F.xxhash64("key", "chunk"))
+    return dealt.select("grp", "probe", "key", "id", "part", F.col("part") == F.col("big"), "bands", "sketch").repartition("grp").sortWithinPartitions("grp", "probe")
+
+
+def _cross(least: float):
+    """(src, dst, estimate) of pairs of a probe and a row of another part, at the first key that the two share."""
+
+    def columns(batch):
+        ints = [batch.column(c).to_numpy(zero_copy_only=False) for c in (2, 3, 4, 5)]
+        bands = np.asarray(batch.column(6).flatten()).reshape(-1, BANDS)
+        return [*ints, bands, np.frombuffer(b"".join(batch.column(7).to_pylist()), dtype=np.uint8).reshape(-1, HASHES)]
+
+    def run(batches):
+        grp, held, index = None, [], None
+        for g, part in groups(batches, 0):
+            if g != grp:
+                grp, held, index = g, [], None
+            probe = part.column(1).to_numpy(zero_copy_only=False)
+            first = int((~probe).sum())  # rows of the chunk come before its probes
+            if first:
+                held.append(columns(part.slice(0, first)))
+            if first == part.num_rows:
+                continue
+            index = index or [np.concatenate(x) for x in zip(*held)]
+            _, ids, parts, big, bands, sketch = index
+            src, dst, value = [], [], []
+            for key, i, own, _, b, s in zip(*columns(part.slice(first))):
+                at = np.flatnonzero((parts != own) & (big | (ids > i)))  # two probes meet twice: once counts
+                if not at.size:
+                    continue
+                same = bands[at] == b
+                at = at[same.any(axis=1) & (b[same.argmax(axis=1)] == key)]
+                if not at.size:
+                    continue
+                e = _estimate(sketch[at], s)
+                at, e = at[e >= least], e[e >= least]
+                src += [i] * len(at)
+                dst += ids[at].tolist()
+                value += e.tolist()
+            if src:
+                yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64()), pa.array(value, pa.float64())], ["src", "dst", "estimate"])
+
+    return run
+
+
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, bucket: int = BUCKET) -> DataFrame:
     """(id, fp, component) of every row: groups linked by 3 bits or fewer, or by shingle sets of the given similarity.
 

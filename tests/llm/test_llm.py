@@ -123,6 +123,31 @@ def test_near_groups(spark):
     assert simhash.near_groups(docs.limit(0)).count() == 0
 
 
+def _template(rng, members, near, words=360):
+    """Texts that share a passage and are 0.77 alike, the last two of them 0.82."""
+    base = [f"b{rng.getrandbits(40)}" for _ in range(words)]
+    out = []
+    for m in range(members):
+        own = [f"m{m}x{rng.getrandbits(40)}" for _ in range(words // 7)]
+        out.append(" ".join(base + own))
+    twin = out[-1].split()
+    twin[-near:] = [f"t{rng.getrandbits(40)}" for _ in range(near)]
+    return [*out, " ".join(twin)]
+
+
+@pytest.mark.parametrize("chunk", [2000, 30])
+def test_near_pairs_within_a_template(spark, monkeypatch, chunk):
+    """Pairs at 0.8 or more are found although most rows that share their keys are below it to both."""
+    monkeypatch.setattr(simhash, "CHUNK", chunk)
+    rng = random.Random(8)
+    texts = [t for _ in range(12) for t in _template(rng, 80, 40)]
+    sets = [set(simhash._shingle_hashes(t, 5).tolist()) for t in texts]
+    alike = [(i, j) for j in range(len(texts)) for i in range(j) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    assert len(alike) == 12
+    got = {r.id: r.component for r in simhash.near_groups(_docs(spark, texts)).collect()}
+    assert all(got[i] == got[j] for i, j in alike)
+
+
 def test_near_groups_of_repeated_lines(spark):
     """Equal shingle sets are one group, however often a line of them repeats."""
     rng = random.Random(4)
