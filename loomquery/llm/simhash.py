@@ -225,7 +225,10 @@ def _bands(least: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """(id, fp, bands, sketch) of every row: minima of the shingle hashes under HASHES mixings, one byte of each kept."""
+    """(id, fp, cls, bands, sketch) of every row: minima of the shingle hashes under HASHES mixings, one byte of each kept.
+
+    cls: hash of the whole shingle set, so that texts of one class are at similarity 1.
+    """
 
     def run(batches):
         rng = np.random.default_rng(SEED)
@@ -233,10 +236,11 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataF
         odd |= np.uint64(1)
         for batch in batches:
             for part in pieces(batch, 1):
-                fps, bands, kept = [], [], []
+                fps, classes, bands, kept = [], [], [], []
                 for t in part.column(1).to_pylist():
                     fps.append(fingerprint(t, shingle))
                     h = _shingle_hashes(t, shingle)
+                    classes.append(xxhash.xxh64_intdigest(h.tobytes(), SEED))
                     if not len(h):
                         bands.append([]), kept.append(b"")
                         continue
@@ -244,11 +248,12 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataF
                     for at in range(0, len(h), 4096):
                         np.minimum(least, ((h[at : at + 4096] ^ flip) * odd).min(axis=1), out=least)
                     bands.append(_bands(least).view("<i8").tolist()), kept.append(mix(least).astype(np.uint8).tobytes())
-                arrays = [part.column(0), pa.array(np.array(fps, dtype="<u8").view("<i8")), pa.array(bands, pa.list_(pa.int64())), pa.array(kept, pa.binary())]
-                yield pa.RecordBatch.from_arrays(arrays, ["id", "fp", "bands", "sketch"])
+                numbers = [pa.array(np.array(x, dtype="<u8").view("<i8")) for x in (fps, classes)]
+                arrays = [part.column(0), *numbers, pa.array(bands, pa.list_(pa.int64())), pa.array(kept, pa.binary())]
+                yield pa.RecordBatch.from_arrays(arrays, ["id", "fp", "cls", "bands", "sketch"])
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("t"))
-    return rows.mapInArrow(run, "id bigint, fp bigint, bands array<bigint>, sketch binary")
+    return rows.mapInArrow(run, "id bigint, fp bigint, cls bigint, bands array<bigint>, sketch binary")
 
 
 def _chain_within(x: np.ndarray, budget: int) -> np.ndarray:
@@ -375,18 +380,21 @@ def _cross(least: float):
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, bucket: int = BUCKET) -> DataFrame:
-    """(id, fp, component) of every row: groups linked by 3 bits or fewer, or by shingle sets of the given similarity.
+    """(id, fp, component) of every row: groups linked by shingle sets of the given similarity.
 
-    Nulls, repeated rows and empty tables as in ``simhash_components``.
+    Texts of equal shingle sets are one class. Fingerprints within 3 bits only give candidates, checked like
+    those of the band keys. Nulls, repeated rows and empty tables as in ``simhash_components``.
     """
     rows = materialize(sketches(docs, id_col, text_col, shingle), "simhash-sketches")
-    classes = materialize(rows.groupBy("fp").agg(F.min("id").alias("id")), "simhash-classes")
-    reps = rows.join(classes.where("id is not null"), ["id", "fp"], "left_semi").groupBy("id", "fp").agg(F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
-    reps = materialize(reps, "simhash-reps")
-    edges = hamming_edges(reps.select("id", "fp"), bucket).union(wide_edges(reps, docs, id_col, text_col, shingle, similarity))
-    parts = connected_components(edges)
-    named = classes.join(parts, classes.id == parts.node, "left").select("fp", F.coalesce("component", "id").alias("component"))
-    return rows.select("id", "fp").join(named, "fp", "left").select("id", "fp", "component")
+    classes = materialize(rows.groupBy("cls").agg(F.min("id").alias("id")), "simhash-classes")
+    reps = rows.join(classes.where("id is not null"), ["id", "cls"], "left_semi").groupBy("id", "cls").agg(*(F.first(c).alias(c) for c in ("fp", "bands", "sketch")))
+    reps = materialize(reps.where(F.size("bands") > 0), "simhash-reps")
+    firsts = reps.groupBy("fp").agg(F.min("id").alias("first"))
+    near = hamming_edges(firsts.select(F.col("first").alias("id"), "fp"), bucket)
+    near = near.union(reps.join(firsts, "fp").where("id <> first").select("first", "id"))
+    parts = connected_components(wide_edges(reps, docs, id_col, text_col, shingle, similarity, near))
+    named = classes.join(parts, classes.id == parts.node, "left").select("cls", F.coalesce("component", "id").alias("component"))
+    return rows.select("id", "fp", "cls").join(named, "cls", "left").select("id", "fp", "component")
 
 
 def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -160,6 +160,17 @@ def test_near_groups_of_repeated_lines(spark):
     assert far and [got[i] for i in range(len(out))] == [i - i % 2 for i in range(len(out))]
 
 
+def test_near_groups_keep_unlike_texts_apart(spark):
+    """Texts that one repeated line dominates have close fingerprints, yet are no near copies."""
+    rng = random.Random(6)
+    line = " ".join(f"r{rng.getrandbits(40)}" for _ in range(13))
+    out = [" ".join([line] * 60 + [f"u{g}x{rng.getrandbits(40)}" for _ in range(60)]) for g in range(30)]
+    fps = [simhash.fingerprint(t, 5) for t in out]
+    assert any((fps[0] ^ f).bit_count() <= 3 for f in fps[1:])
+    got = {r.id: r.component for r in simhash.near_groups(_docs(spark, out)).collect()}
+    assert got == {i: i for i in range(len(out))}
+
+
 def test_chain_test_keeps_all_within_the_budget():
     rng = np.random.default_rng(5)
     x = np.zeros(500, dtype=np.uint64)
