@@ -8,14 +8,16 @@ from pyspark.sql import functions as F
 from loomquery.llm import decontaminate, langid, mixing, sharding, simhash
 from loomquery.llm._common import new_path, table
 
-#: Outputs below this are no language's: a text must be far from all that was learned.
+#: Outputs below this are no language's. With K languages an output is 1 / K at least, so up to five never fall below.
 MIN_SCORE = 0.2
+#: Texts whose n-grams are less usual than this in every language are far from all that was learned; 0 is chance, 1 the least usual learned texts.
+MIN_NEAR = 0.5
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops texts without a letter, null texts and texts that score below MIN_SCORE for every language."""
+    """Drops texts without a letter, null texts and texts below MIN_SCORE or MIN_NEAR for every language."""
     out = langid.predict(docs, langid.train(docs))
-    return out.where((F.col("__lang_pred") != langid.UNKNOWN) & (F.col("__score") >= MIN_SCORE)).select(*docs.columns)
+    return out.where((F.col("__lang_pred") != langid.UNKNOWN) & (F.col("__score") >= MIN_SCORE) & (F.col("__near") >= MIN_NEAR)).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

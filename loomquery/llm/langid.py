@@ -51,11 +51,18 @@ def presence(text: str | None, flags: np.ndarray) -> bool:
 
 @dataclass
 class Model:
-    """Languages and, for each, the weight of every n-gram bucket and an offset."""
+    """Languages and, for each, the weight of every n-gram bucket and an offset.
+
+    usual: share of each language's fitted texts that hold a bucket; chance and low: mean of it over all buckets, and over
+    those of the fitted texts, each against the others, at the lowest hundredth.
+    """
 
     langs: list[str]
     weights: np.ndarray = field(default_factory=lambda: np.zeros((SIZE, 0), np.float32))
     offset: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    usual: np.ndarray = field(default_factory=lambda: np.zeros((SIZE, 0), np.float32))
+    chance: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    low: np.ndarray = field(default_factory=lambda: np.zeros(0))
 
     def score(self, x: np.ndarray) -> np.ndarray:
         """One-versus-rest outputs of a batch of presence rows: k(x, landmarks) times the coefficients.
@@ -65,6 +72,14 @@ class Model:
         norm = np.sqrt(np.maximum(x.sum(axis=1, dtype=np.float64), 1))
         return (x.astype(np.float32) @ self.weights) / norm[:, None] + self.offset
 
+    def nearness(self, x: np.ndarray) -> np.ndarray:
+        """How usual the n-grams of presence rows are in the language nearest by this: 0 as by chance, 1 as in its least usual texts.
+
+        Unlike the outputs, which sum to a constant, this is low for texts unlike all that was learned.
+        """
+        mean = (x.astype(np.float32) @ self.usual) / np.maximum(x.sum(axis=1, dtype=np.float64), 1)[:, None]
+        return ((mean - self.chance) / np.maximum(self.low - self.chance, 1e-6)).max(axis=1)
+
 
 def fit(packed: np.ndarray, langs: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
     """Kernel ridge regression, one language against the rest, on Nystroem features.
@@ -93,7 +108,14 @@ def fit(packed: np.ndarray, langs: list[str], landmarks: int = LANDMARKS, ridge:
     mean, center = (share * phi).sum(0) / share.sum(), (share * y).sum(0) / share.sum()
     a, b = phi - mean, y - center
     beta = np.linalg.solve(a.T @ (share * a) + ridge * np.eye(a.shape[1]), a.T @ (share * b))
-    return Model(names, (z.T @ (root @ beta).astype(np.float32)).astype(np.float32), center - mean @ beta)
+    usual, low = np.zeros((SIZE, len(names)), np.float32), np.zeros(len(names))
+    for k in range(len(names)):
+        at = np.flatnonzero(own == k)
+        held = sum(np.unpackbits(packed[at[i : i + 256]], axis=1).sum(axis=0, dtype=np.int64) for i in range(0, len(at), 256))
+        usual[:, k] = held / len(at)
+        rest = (held - 1) / max(len(at) - 1, 1)  # without the text itself
+        low[k] = np.quantile([rest[np.unpackbits(packed[i]) > 0].mean() for i in at], 0.01)
+    return Model(names, (z.T @ (root @ beta).astype(np.float32)).astype(np.float32), center - mean @ beta, usual, usual.mean(axis=0, dtype=np.float64), low)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -132,8 +154,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", rows: int = FIT_ROWS) -> Mode
     return fit(packed, [r["lang"] for r in sample])
 
 
-def _predict(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-    langs, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
+def _predict(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    langs, score, near = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
     for at in range(0, len(texts), 64):
         part = texts[at : at + 64]
         x = np.zeros((len(part), SIZE), np.uint8)
@@ -145,25 +167,26 @@ def _predict(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarr
         for i in np.flatnonzero(has):
             langs[at + i] = model.langs[best[i]]
         score[at : at + len(part)] = np.where(has, np.clip((s.max(axis=1) + 1) / 2, 0, 1), 0)
-    return langs, score
+        near[at : at + len(part)] = np.where(has, model.nearness(x), 0)
+    return langs, score, near
 
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """``docs`` with __lang_pred and __score, from the text alone.
+    """``docs`` with __lang_pred, __score and __near (``Model.nearness``), from the text alone.
 
-    A null text or one without a letter is ``und`` with score 0, and so is every text if nothing was
+    A null text or one without a letter is ``und`` with score and nearness 0, and so is every text if nothing was
     learned. Repeated rows get equal results; an empty table gives no rows. Other columns pass through.
     """
     at = docs.columns.index(text_col)
-    names = [*docs.columns, "__lang_pred", "__score"]
+    names = [*docs.columns, "__lang_pred", "__score", "__near"]
 
     def run(batches):
         for batch in batches:
             for part in pieces(batch, at):
-                langs, score = _predict(model, part.column(at).to_pylist())
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(langs, pa.string()), pa.array(score)], names)
+                langs, score, near = _predict(model, part.column(at).to_pylist())
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(langs, pa.string()), pa.array(score), pa.array(near)], names)
 
-    schema = T.StructType([*docs.schema.fields, T.StructField("__lang_pred", T.StringType()), T.StructField("__score", T.DoubleType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField("__lang_pred", T.StringType()), T.StructField("__score", T.DoubleType()), T.StructField("__near", T.DoubleType())])
     return docs.mapInArrow(run, schema)
 
 

@@ -345,6 +345,21 @@ def test_langid(spark):
     assert {r["__lang_pred"] for r in langid.predict(docs.limit(3), none).collect()} == {"und"}
 
 
+def test_language_stage_drops_unlearned_alphabets(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rng = random.Random(2)
+    words = lambda a, n: " ".join("".join(rng.choice(a) for _ in range(rng.randint(2, 9))) for _ in range(n))
+    greek, cyrillic = "αβγδεζηθικλμνξοπρστυφχψω", "абвгдежзийклмнопрстуфхцчшщыэюя"
+    odd = [words(a, n) for a in (greek, cyrillic, "".join(map(chr, range(0x4E00, 0x5500))), "bcdfghjklmnpqrstvwxz") for n in (60, 400, 4000)]
+    rows = [(1_000_000 + i, t) for i, t in enumerate(odd)]
+    more = spark.createDataFrame(rows, "doc_id long, text string")
+    got = corpus_pipeline.identify_language(spark, docs.unionByName(more, allowMissingColumns=True), "")
+    assert got.where("doc_id >= 1000000").count() == 0
+    assert got.count() == docs.where("text is not null").count()
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
