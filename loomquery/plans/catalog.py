@@ -159,6 +159,24 @@ def near_match(spark, sf_dir):
     return retrieval.near_matches(rows.where("doc_id % 2 = 0"), rows.where("doc_id % 2 = 1"), "doc_id", "w")
 
 
+@_query()
+def near_lines(spark, sf_dir):
+    """Best document line of each benchmark item: all items against all lines of the whole texts.
+
+    A line this similar to an item has 86 % of its words from the items, so the others are left out first. The words
+    of the items go to the driver.
+    """
+    words = T.words(F.col("text"), 4)
+    line = F.posexplode(F.split("text", "\r?\n")).alias("line", "text")
+    lines = _table(spark, sf_dir, "documents").select("doc_id", line).select(F.struct("doc_id", "line").alias("key"), words.alias("w"))
+    items = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("key"), words.alias("w")).where(F.size("w") >= 3)
+    known = frozenset(r[0] for r in items.select(F.explode("w")).distinct().collect())
+    share = F.pandas_udf(lambda ws: ws.map(lambda w: sum(x in known for x in w) / max(len(w), 1)), "double")
+    near = lines.where(F.size("w") >= 3).where(share("w") >= 0.86 - 1e-6).persist()  # read twice; scores are rounded to six places
+    best = retrieval.near_matches(items, near, "key", "w")
+    return best.select(F.col("own").alias("item_id"), "other.doc_id", "other.line", "score")
+
+
 @_query(f"""WITH {_BM25}, r AS (SELECT query, section, row_number() OVER (PARTITION BY query ORDER BY score DESC, section) AS rank FROM links)
 SELECT CAST(count(*) AS BIGINT) AS n_queries, round(avg(CASE WHEN rank <= 1 THEN 1.0 ELSE 0 END), 6) AS p_at_1 FROM
 (SELECT query, min(rank) AS rank FROM r JOIN documents d ON d.doc_id = section JOIN benchmark b ON b.item_id = query AND contains(d.text, b.text) GROUP BY 1)""")

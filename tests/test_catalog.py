@@ -41,6 +41,34 @@ def test_greedy_caps(spark):
     assert {(r["query"], r["section"]) for r in got.collect()} == {(1, 0), (1, 1), (1, 2), (2, 0), (3, 0)}
 
 
+def test_near_lines(spark, tmp_path):
+    """Every item against every line by brute force: items and documents of any parity, lines past the first full stop."""
+    import random
+    import re
+
+    rng = random.Random(5)
+    vocab = [f"word{c}{d}" for c in "abcdefgh" for d in "klmnopqr"]
+    items = [(i, " ".join(rng.sample(vocab, 12))) for i in range(8)] + [(8, None), (9, "two words")]
+    docs = []
+    for d in range(12):
+        near = items[d % 8][1].split()
+        near[d % 12] = near[d % 12] if d % 3 else "other"
+        docs.append((d, "\n".join(["First. " + " ".join(rng.sample(vocab, 12)), " ".join(near), ""])))
+    docs.append((12, None))
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    words = lambda t: set(re.findall("[a-z0-9]{4,}", (t or "").lower()))
+    want = {}
+    for i, t in items:
+        for d, text in docs:
+            for n, line in enumerate((text or "").split("\n")):
+                a, b = words(t), words(line)
+                if min(len(a), len(b)) >= 3 and (score := round(len(a & b) / len(a | b), 6)) >= 0.86:
+                    want[i] = min(want.get(i, (0, 0, 0)), (-score, d, n))
+    got = {r.item_id: (-r.score, r.doc_id, r.line) for r in catalog.queries()["near_lines"](spark, str(tmp_path)).collect()}
+    assert got == want and {(i % 2, v[1] % 2) for i, v in got.items()} == {(0, 0), (1, 1)} and all(v[2] == 1 for v in got.values())
+
+
 def test_python_source_parser(spark):
     from loomquery.sources.readers import PythonCalls, PythonSymbols
 
