@@ -7,7 +7,8 @@ import tempfile
 import uuid
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _WRITTEN: list[str] = []
 
@@ -19,11 +20,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset, as in local tests,
-    a temporary folder of this machine is used.
+    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset and the master is local, as in tests,
+    a temporary folder of this machine is used; a cluster without the setting is an error.
     """
     where = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = f"file://{tempfile.mkdtemp(prefix='loomquery-')}"
         spark.sparkContext.setCheckpointDir(where)
     elif not spark.sparkContext.getCheckpointDir():
@@ -58,6 +61,29 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of a table that may be broadcast.
+BROADCAST_BYTES = 32 << 20
+SALTS = 64
+
+
+def _small(df: DataFrame, row_bytes: Column) -> bool:
+    return (df.agg(F.sum(row_bytes.cast("bigint"))).first()[0] or 0) <= BROADCAST_BYTES
+
+
+def broadcast_checked(df: DataFrame, row_bytes: Column) -> DataFrame:
+    """``df``, a written table, marked for broadcast if its rows sum up to BROADCAST_BYTES at most by the size given for each."""
+    return F.broadcast(df) if _small(df, row_bytes) else df
+
+
+def salted_join(rows: DataFrame, side: DataFrame, key: str, side_key: str, spread: Column, row_bytes: Column) -> DataFrame:
+    """Inner join with a written table of unique keys: by broadcast if that is small, else by (key, salt), so that hot keys are dealt out."""
+    if _small(side, row_bytes):
+        return rows.join(F.broadcast(side), F.col(key) == F.col(side_key)).drop(side_key)
+    salted = side.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt2"))
+    rows = rows.withColumn("salt", F.pmod(spread, F.lit(SALTS)).cast("int"))
+    return rows.join(salted, (F.col(key) == F.col(side_key)) & (F.col("salt") == F.col("salt2"))).drop("salt", "salt2", side_key)
+
+
 def pieces(batch: pa.RecordBatch, column: int, max_bytes: int = 4 << 20):
     """Slices of a batch that hold about max_bytes of one string column; one row at least."""
     col = batch.column(column)

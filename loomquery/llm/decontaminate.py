@@ -6,6 +6,7 @@ import re
 from dataclasses import dataclass
 from functools import reduce
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -15,8 +16,10 @@ from ._common import pieces, table
 from ._text import code_points, mix
 
 Q = 8
-#: Edits allowed for each character of a benchmark item, and the shortest normalised item that is searched for.
+#: Edits allowed for each character of a benchmark item, and the shortest normalised item that they are allowed in.
 EDIT_RATE, MIN_CHARS = 0.1, 40
+#: Characters of a text that are searched at once, and postings that are expanded at once.
+SEGMENT, POSTINGS = 1 << 19, 1 << 20
 #: Benchmark text that one pass holds in each task; a larger benchmark is searched in several passes.
 PASS_BYTES = 8 << 20
 SLOT_BITS = 20
@@ -40,7 +43,10 @@ def grams(points: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Items:
-    """Benchmark items with an index of their q-grams: slots filters, keys sorted, postings by key."""
+    """Benchmark items with an index of their q-grams: slots filters, keys sorted, postings by key.
+
+    ``short``: those under MIN_CHARS, as whole words.
+    """
 
     ids: list[int]
     texts: list[str]
@@ -51,6 +57,8 @@ class Items:
     first: np.ndarray
     item: np.ndarray
     at: np.ndarray
+    short: list[tuple[int, str]]
+    longest: int
 
 
 def index(rows: list[tuple[int, str]]) -> Items:
@@ -59,7 +67,7 @@ def index(rows: list[tuple[int, str]]) -> Items:
     An item's most frequent q-grams (over the benchmark) are left out of the index, as long as its
     requirement, lowered by one for each, stays at a quarter: the lemma then still misses nothing.
     """
-    rows = [(i, t) for i, t in rows if len(t) >= MIN_CHARS]
+    short, rows = [(i, t) for i, t in rows if 0 < len(t) < MIN_CHARS], [(i, t) for i, t in rows if len(t) >= MIN_CHARS]
     budget = np.array([min(int(EDIT_RATE * len(t)), (len(t) - Q) // Q) for _, t in rows], np.int64)
     hashes = [grams(code_points(t)) for _, t in rows]
     need = np.array([len(h) - Q * e for h, e in zip(hashes, budget)], np.int64)
@@ -76,7 +84,7 @@ def index(rows: list[tuple[int, str]]) -> Items:
     keys, first = np.unique(flat[keep], return_index=True)
     slots = np.zeros(1 << SLOT_BITS, bool)
     slots[(keys >> np.uint64(64 - SLOT_BITS)).astype(np.intp)] = True
-    return Items([i for i, _ in rows], [t for _, t in rows], budget, need, slots, keys, np.append(first, len(keep)), item[keep], at[keep])
+    return Items([i for i, _ in rows], [t for _, t in rows], budget, need, slots, keys, np.append(first, len(keep)), item[keep], at[keep], short, max((len(t) for _, t in rows), default=0))
 
 
 def banded_distance(item: str, region: str, low: int, high: int, limit: int) -> tuple[int, int]:
@@ -107,31 +115,88 @@ def banded_distance(item: str, region: str, low: int, high: int, limit: int) ->
     return (int(row[best]), low + len(a) + best) if row[best] <= limit else (limit + 1, -1)
 
 
-def matches(texts: list[str], items: Items) -> list[tuple[int, int, int, int]]:
-    """(text number, item number, edits, end) of each item found in each normalised text, at its best."""
-    if not items.ids:
-        return []
-    points = code_points("\0".join(texts) + "\0")
-    starts = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])[:-1]])
+def _band_counts(points: np.ndarray, starts: np.ndarray, items: Items) -> tuple[np.ndarray, ...]:
+    """(text, item, band, shared q-grams), sorted, of all bands of one step that hold any."""
     h = grams(points)
     pos = np.flatnonzero(items.slots[(h >> np.uint64(64 - SLOT_BITS)).astype(np.intp)])
     k = np.minimum(np.searchsorted(items.keys, h[pos]), len(items.keys) - 1)
     good = items.keys[k] == h[pos]
     pos, k = pos[good], k[good]
     n = items.first[k + 1] - items.first[k]
-    post = np.repeat(items.first[k], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    pos, item = np.repeat(pos, n), items.item[post]
     doc = np.searchsorted(starts, pos, side="right") - 1
-    step = items.budget[item] + 1
-    diagonal = pos - starts[doc] - items.at[post] + max(len(t) for t in items.texts)
-    band = diagonal // step
-    order = np.lexsort((band, item, doc))
-    doc, item, band = doc[order], item[order], band[order]
-    new = np.ones(len(doc), bool)
-    new[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (band[1:] != band[:-1])
-    at = np.flatnonzero(new)
-    count = np.diff(np.append(at, len(doc)))
-    doc, item, band = doc[at], item[at], band[at]
+    bands, many = len(points) + 2 * items.longest + 1, len(items.ids)
+    out, ends = [], np.cumsum(n)
+    a = 0
+    while a < len(pos):  # a frequent q-gram of a text may meet many postings
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + POSTINGS, side="right")))
+        m = n[a:b]
+        post = np.repeat(items.first[k[a:b]] - np.cumsum(m) + m, m) + np.arange(m.sum())
+        item = items.item[post]
+        band = (np.repeat(pos[a:b] - starts[doc[a:b]] + items.longest, m) - items.at[post]) // (items.budget[item] + 1)
+        out.append(_counted((np.repeat(doc[a:b], m) * many + item) * bands + band))
+        if len(out) > 8:
+            out = [_merged(out)]
+        a = b
+    cell, count = _merged(out)
+    return cell // bands // many, cell // bands % many, cell % bands, count
+
+
+def _counted(cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct numbers, sorted, with their counts."""
+    low = cells.min()
+    if cells.max() - low < 1 << 22:
+        count = np.bincount(cells - low)
+        at = np.flatnonzero(count)
+        return at + low, count[at]
+    return np.unique(cells, return_counts=True)
+
+
+def _merged(parts: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+    if not parts:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    cells, counts = (np.concatenate(x) for x in zip(*parts))
+    order = cells.argsort(kind="stable")
+    cells, counts = cells[order], counts[order]
+    at = np.flatnonzero(np.append(True, cells[1:] != cells[:-1]))
+    return cells[at], np.add.reduceat(counts, at)
+
+
+def matches(texts: list[str], items: Items) -> list[tuple[int, int, int, int]]:
+    """(text number, item number, edits, end) of each item found in each normalised text, at its best.
+
+    Texts of over SEGMENT characters are searched in parts that overlap by more than any match's length.
+    Items under MIN_CHARS, numbered after the others, are found as whole words, without edits.
+    """
+    found = {}
+    if items.short:
+        words = ahocorasick.Automaton()
+        for i, (_, t) in enumerate(items.short):
+            words.add_word(f" {t} ", [*words.get(f" {t} ", []), i])
+        words.make_automaton()
+        for d, t in enumerate(texts):
+            for end, which in words.iter(f" {t} "):
+                for i in which:
+                    found.setdefault((d, len(items.ids) + i), (0, end - 1))
+    if items.ids:
+        overlap = items.longest + int(items.budget.max()) + Q
+        parts = [(d, a, t[a : a + SEGMENT + overlap]) for d, t in enumerate(texts) for a in range(0, max(1, len(t)), SEGMENT)]
+        while parts:
+            take, size = 0, 0
+            while take < len(parts) and (not take or size + len(parts[take][2]) <= 2 * SEGMENT):
+                size += len(parts[take][2])
+                take += 1
+            for (p, i), (e, end) in _best([t for _, _, t in parts[:take]], items).items():
+                d, a, _ = parts[p]
+                found[d, i] = min(found.get((d, i), (1 << 30, 0)), (e, a + end))
+            del parts[:take]
+    return [(d, i, e, end) for (d, i), (e, end) in sorted(found.items())]
+
+
+def _best(texts: list[str], items: Items) -> dict[tuple[int, int], tuple[int, int]]:
+    """{(text number, item number): (edits, end)} at the fewest edits, then the first end."""
+    points = code_points("\0".join(texts) + "\0")
+    starts = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])[:-1]])
+    doc, item, band, count = _band_counts(points, starts, items)
     follows = np.zeros(len(doc), np.int64)  # bands overlap: each is two steps wide, one step apart
     if len(doc) > 1:
         adjacent = (doc[1:] == doc[:-1]) & (item[1:] == item[:-1]) & (band[1:] == band[:-1] + 1)
@@ -143,13 +208,13 @@ def matches(texts: list[str], items: Items) -> list[tuple[int, int, int, int]]:
         if have[0] == 0:
             continue
         text, b, e = items.texts[i], int(band[c]), int(items.budget[i])
-        low = b * (e + 1) - max(len(t) for t in items.texts)
+        low = b * (e + 1) - items.longest
         low, high = low - e, low + 2 * (e + 1) + e
         a = max(0, low)
         edits, end = banded_distance(text, texts[d][a : high + len(text) + e], low - a, high - a, e)
         if edits <= e and (edits, a + end) < have:
             best[d, i] = edits, a + end
-    return [(d, i, e, end) for (d, i), (e, end) in sorted(best.items())]
+    return best
 
 
 def _passes(bench: DataFrame, text_col: str, id_col: str) -> list[DataFrame]:
@@ -164,7 +229,8 @@ def benchmark_matches(docs: DataFrame, bench: DataFrame, text_col: str = "text",
 
     A document holds an item if the whole item occurs in the whole text with at most EDIT_RATE edits a
     character, both normalised (case, punctuation and white space don't count); ``end_char`` is in the
-    normalised text. Items under MIN_CHARS normalised characters are not searched for. Null and empty
+    normalised text. Items under MIN_CHARS normalised characters are held where they occur as whole words, without edits;
+    items that normalise to nothing are in no text. Null and empty
     texts hold nothing; repeated items and rows each give their rows. The benchmark's parts, of a
     size that is checked, are the only data that go to every task.
     """
@@ -177,7 +243,8 @@ def benchmark_matches(docs: DataFrame, bench: DataFrame, text_col: str = "text",
                 for part in pieces(batch, 1, 1 << 20):
                     found = matches([normalize(t) for t in part.column(1).to_pylist()], items)
                     ids = part.column(0).to_pylist()
-                    cols = zip(*((ids[d], items.ids[i], e, end) for d, i, e, end in found)) if found else ([], [], [], [])
+                    names = [*items.ids, *(i for i, _ in items.short)]
+                    cols = zip(*((ids[d], names[i], e, end) for d, i, e, end in found)) if found else ([], [], [], [])
                     yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in cols], ["id", "item_id", "edits", "end_char"])
 
         out.append(docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("t")).mapInArrow(run, "id bigint, item_id bigint, edits bigint, end_char bigint"))

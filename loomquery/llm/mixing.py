@@ -5,46 +5,37 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import materialize, table
+from ._common import broadcast_checked, materialize, salted_join, table
 from .sharding import hash60
 
 #: Blocks that a source gets in each period while it lasts: its target weight, as a whole number.
 WEIGHTS = {"src0": 12, "src1": 6, "src2": 6, "src3": 4}
 DEFAULT_WEIGHT = 3
 BLOCK_ROWS = 16
-#: Rows that one rank bucket aims at, and sources up to which the plan of slots is broadcast.
-BUCKET_ROWS, BROADCAST_SOURCES = 16_000, 5_000
+#: Rows that one rank bucket aims at; bits of a pending block's number that name its source.
+BUCKET_ROWS, SOURCE_BITS = 4_000, 20
 
 
-def edf_order(counts: Column) -> Column:
-    """array<int>: the source of each slot in a period of sum(counts) slots.
+def edf_slots(kinds: DataFrame) -> DataFrame:
+    """(first, slots): the source of each slot of a period, for ``kinds(first, width, counts)``, width the sum of the counts.
 
     Block i (from 0) of a source with c of L slots is released at floor(i L / c) and due at
     ceil((i + 1) L / c). Each slot goes to the released block that is due first, ties to the earlier
     source. On one processor that order meets every deadline, so in each prefix of the period
-    a source is less than one block from its share.
+    a source is less than one block from its share. A pending block is one number, its deadline before its source;
+    a slot costs three passes over the pending blocks, of which each source has one at most.
     """
-    total = F.aggregate(counts, F.lit(0), lambda a, c: a + c)
-
-    def step(state, t):
-        due = F.transform(
-            F.sequence(F.lit(0), F.size(counts) - 1),
-            lambda s: F.struct(
-                F.when(
-                    (state.done[s] < counts[s]) & (F.floor(state.done[s] * total / F.greatest(counts[s], F.lit(1))) <= t),
-                    F.ceil((state.done[s] + 1) * total / F.greatest(counts[s], F.lit(1))).cast("bigint"),
-                ).otherwise(F.lit(1 << 40).cast("bigint")).alias("due"),
-                s.alias("s"),
-            ),
-        )
-        best = F.array_min(due).s
-        return F.struct(
-            F.transform(state.done, lambda d, i: F.when(i == best, d + 1).otherwise(d)).alias("done"),
-            F.concat(state.order, F.array(best)).alias("order"),
-        )
-
-    start = F.struct(F.transform(counts, lambda c: F.lit(0).cast("bigint")).alias("done"), F.expr("cast(array() as array<int>)").alias("order"))
-    return F.aggregate(F.when(total > 0, F.sequence(F.lit(0).cast("bigint"), total.cast("bigint") - 1)).otherwise(F.expr("cast(array() as array<bigint>)")), start, step, lambda s: s.order)
+    shares = kinds.select("first", "width", F.posexplode("counts").alias("s", "c")).where("c > 0")
+    blocks = shares.select("first", "width", "s", "c", F.explode(F.expr("sequence(0L, c - 1)")).alias("i"))
+    jobs = blocks.select("first", F.expr("(i * width) div c").alias("t"), F.expr(f"shiftleft(((i + 1) * width + c - 1) div c, {SOURCE_BITS}) | s").alias("job"))
+    times = kinds.select("first", F.explode(F.expr("sequence(0L, width - 1)")).alias("t"), F.expr("cast(null as bigint)").alias("job"))
+    released = jobs.union(times).groupBy("first", "t").agg(F.collect_list("job").alias("jobs"))
+    periods = released.groupBy("first").agg(F.array_sort(F.collect_list(F.struct("t", "jobs"))).alias("released"))
+    step = f"""
+      (x, r) -> transform(array(concat(x.pending, r.jobs)), p -> struct(
+        array_remove(p, array_min(p)) as pending, concat(x.slots, array(cast(array_min(p) & {(1 << SOURCE_BITS) - 1} as int))) as slots))[0]"""
+    none = "struct(cast(array() as array<bigint>) as pending, cast(array() as array<int>) as slots)"
+    return periods.select("first", F.expr(f"aggregate(released, {none}, {step}, x -> x.slots)").alias("slots"))
 
 
 def source_key(source: Column) -> Column:
@@ -52,51 +43,45 @@ def source_key(source: Column) -> Column:
     return F.coalesce(F.concat(F.lit("="), source.cast("string")), F.lit(""))
 
 
-def ranked(df: DataFrame, source: str, key: str) -> DataFrame:
-    """``df`` with __rank from 0 within its source, in the order of (hash of key, key).
+def _ranked(rows: DataFrame, ties: list[Column]) -> DataFrame:
+    """``rows(s, h, key, ...)`` with rank from 0 within its source, in the order of (hash of key, key, ties).
 
     A source is cut into hash-prefix buckets of about BUCKET_ROWS rows: a bucket's offset is the count of
     the buckets before it, so no task sorts a whole source, however hot.
     """
-    n = df.count()
+    n = rows.count()
     bits = max(0, (n // BUCKET_ROWS).bit_length() + (1 if n > BUCKET_ROWS else 0))
-    rows = df.withColumns({"__s": source_key(F.col(source)), "__h": hash60(F.col(key))})
-    rows = rows.withColumn("__b", F.shiftright("__h", 60 - bits) if bits else F.lit(0).cast("bigint"))
-    size = rows.groupBy("__s", "__b").agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy("__s").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offset = materialize(size.select(F.col("__s").alias("__s2"), F.col("__b").alias("__b2"), before.alias("__before")), "mix-offsets")
-    if offset.count() <= BROADCAST_SOURCES:
-        offset = F.broadcast(offset)
-    others = [F.xxhash64(c) for c, t in df.dtypes if c not in (source, key) and not t.startswith(("map", "variant"))]
-    inner = F.row_number().over(Window.partitionBy("__s", "__b").orderBy("__h", F.col(key), *others))
-    rows = rows.withColumn("__i", inner)
-    rows = rows.join(offset, (F.col("__s") == F.col("__s2")) & (F.col("__b") == F.col("__b2")))
-    return rows.withColumn("__rank", F.col("__before") + F.col("__i") - 1).drop("__s2", "__b2", "__before", "__i", "__b")
+    rows = rows.withColumn("b", F.shiftright("h", 60 - bits) if bits else F.lit(0).cast("bigint"))
+    size = rows.groupBy("s", "b").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("s").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offset = materialize(size.select(F.col("s").alias("s2"), F.col("b").alias("b2"), before.alias("before")), "mix-offsets")
+    rows = rows.withColumn("i", F.row_number().over(Window.partitionBy("s", "b").orderBy("h", "key", *ties)))
+    rows = rows.join(broadcast_checked(offset, F.octet_length("s2") + 40), (F.col("s") == F.col("s2")) & (F.col("b") == F.col("b2")))
+    return rows.withColumn("rank", F.col("before") + F.col("i") - 1).drop("s2", "b2", "before", "i", "b")
 
 
 def schedule(counts: DataFrame) -> DataFrame:
-    """Slots of each source: ``counts(source, rows, weight, blocks)`` to (source, weight, kinds).
+    """Slots of each source: ``counts(source, weight, blocks)``, no source twice, to (source, weight, firsts, bases, widths, slots).
 
     Periods run until all blocks are placed. In period e a source has min(weight, blocks left) blocks, so
-    periods between two sources' ends are alike: at most two kinds for each source. ``kinds`` lists
-    (first period, first slot, slots of the period, slots of this source), by first period.
+    periods between two sources' ends are alike: at most two kinds for each source. The arrays list a source's kinds by
+    first period: that period, its first slot, the slots of a period, and those of this source in it.
     """
-    all_ = counts.agg(F.array_sort(F.collect_list(F.struct(F.coalesce("source", F.lit("")).alias("o"), "source", "weight", "blocks"))).alias("all"))
-    ends = F.array_sort(F.array_distinct(F.flatten(F.transform("all", lambda x: F.array(F.floor(x.blocks / x.weight), F.ceil(x.blocks / x.weight))))))
-    starts = all_.withColumn("firsts", F.array_sort(F.array_union(F.array(F.lit(0).cast("bigint")), ends)))
-    kinds = starts.select("all", F.explode("firsts").alias("first")).withColumn(
-        "counts", F.transform("all", lambda x: F.greatest(F.lit(0).cast("bigint"), F.least(x.weight.cast("bigint"), x.blocks - F.col("first") * x.weight)))
-    )
-    kinds = kinds.withColumns(
-        {
-            "base": F.aggregate("all", F.lit(0).cast("bigint"), lambda a, x: a + F.least(x.blocks, F.col("first") * x.weight)),
-            "width": F.aggregate("counts", F.lit(0).cast("bigint"), lambda a, c: a + c),
-        }
-    ).where("width > 0")
-    slots = kinds.select("all", "first", "base", "width", F.posexplode(edf_order(F.transform("counts", lambda c: c.cast("int")))).alias("slot", "s"))
-    slots = slots.select("first", "base", "width", "slot", F.element_at("all", F.col("s") + 1).alias("x"))
-    per = slots.groupBy(F.col("x.source").alias("source"), F.col("x.weight").alias("weight"), "first", "base", "width").agg(F.array_sort(F.collect_list("slot")).alias("slots"))
-    return per.groupBy("source", "weight").agg(F.array_sort(F.collect_list(F.struct("first", "base", "width", "slots"))).alias("kinds"))
+    all_ = counts.agg(F.array_sort(F.collect_list(F.struct(source_key(F.col("source")).alias("o"), "source", "weight", "blocks"))).alias("all"))
+    ends = F.array_distinct(F.flatten(F.transform("all", lambda x: F.array(F.floor(x.blocks / x.weight), F.ceil(x.blocks / x.weight)))))
+    kinds = all_.select("all", F.explode(F.array_union(F.array(F.lit(0).cast("bigint")), ends)).alias("first"))
+    share = lambda x: F.greatest(F.lit(0).cast("bigint"), F.least(x.weight.cast("bigint"), x.blocks - F.col("first") * x.weight))
+    kinds = kinds.select(
+        "first",
+        F.transform("all", share).alias("counts"),
+        F.aggregate("all", F.lit(0).cast("bigint"), lambda a, x: a + F.least(x.blocks, F.col("first") * x.weight)).alias("base"),
+    ).withColumn("width", F.aggregate("counts", F.lit(0).cast("bigint"), lambda a, c: a + c))
+    kinds = materialize(kinds.where("width > 0"), "mix-kinds")
+    placed = edf_slots(kinds).select("first", F.posexplode("slots").alias("slot", "s"))
+    per = placed.groupBy("s", "first").agg(F.array_sort(F.collect_list("slot")).alias("slots"))
+    per = per.join(kinds.select("first", "base", "width"), "first").groupBy("s").agg(F.array_sort(F.collect_list(F.struct("first", "base", "width", "slots"))).alias("k"))
+    named = all_.select(F.posexplode("all").alias("s", "x")).select("s", "x.source", "x.weight")
+    return named.join(per, "s").select("source", "weight", F.col("k.first").alias("firsts"), F.col("k.base").alias("bases"), F.col("k.width").alias("widths"), F.col("k.slots").alias("slots"))
 
 
 def pfair_mix(df: DataFrame, source: str = "source", key: str = "doc_id", weights: dict | None = None, default: int = DEFAULT_WEIGHT, block: int = BLOCK_ROWS) -> DataFrame:
@@ -105,24 +90,26 @@ def pfair_mix(df: DataFrame, source: str = "source", key: str = "doc_id", weight
     A source's rows, in hash order, form blocks; blocks follow the schedule above, so at every
     block boundary each source with blocks left is within one block of its share of the weights, and
     the weights of exhausted sources pass to the rest in proportion. A null source is a source of its own;
-    sources without a weight get ``default``. The last block of a source may be short. Empty in, empty out.
+    sources without a weight get ``default``. The last block of a source may be short. Equal keys are ordered by the other
+    columns. Columns named __mix_block or __mix_pos are replaced, all others pass through. Empty in, empty out.
     The plan's size depends on the number of sources and the sum of their weights alone.
     """
     weights = WEIGHTS if weights is None else weights
-    rows = ranked(df, source, key)
-    given = F.coalesce(*([F.element_at(F.create_map(*(F.lit(x) for kv in weights.items() for x in kv)), F.coalesce("source", F.lit("")))] if weights else []), F.lit(default))
-    counts = df.groupBy(F.col(source).cast("string").alias("source")).agg(F.count("*").alias("rows"))
-    counts = counts.withColumns({"weight": given, "blocks": F.ceil(F.col("rows") / block)})
-    plan = materialize(schedule(counts).select(source_key(F.col("source")).alias("__s2"), F.col("weight").alias("__w"), F.col("kinds").alias("__kinds")), "mix-plan")
-    if plan.count() <= BROADCAST_SOURCES:
-        plan = F.broadcast(plan)
-    rows = rows.join(plan, F.col("__s") == F.col("__s2"))
-    rows = rows.withColumns({"__block": F.floor(F.col("__rank") / block)})
-    rows = rows.withColumns({"__e": F.floor(F.col("__block") / F.col("__w")), "__j": (F.col("__block") % F.col("__w")).cast("int")})
-    rows = rows.withColumn("__kind", F.expr("element_at(filter(__kinds, k -> k.first <= __e), -1)"))
-    place = F.expr("__kind.base + (__e - __kind.first) * __kind.width + element_at(__kind.slots, __j + 1)")
-    rows = rows.withColumn("__mix_block", place.cast("bigint")).withColumn("__mix_pos", F.col("__mix_block") * block + F.col("__rank") % block)
-    return rows.drop("__s", "__h", "__s2", "__w", "__kinds", "__block", "__e", "__j", "__kind", "__rank")
+    kept = [c for c in df.columns if c not in ("__mix_block", "__mix_pos")]
+    rows = df.select(source_key(F.col(source)).alias("s"), hash60(F.col(key)).alias("h"), F.col(key).alias("key"), F.struct(*kept).alias("row"))
+    ties = [F.xxhash64(F.col("row")[c]) for c, t in df.dtypes if c in kept and c not in (source, key) and "map<" not in t and "variant" not in t]
+    rows = _ranked(rows, ties)
+    known = F.create_map(*(x for name, w in weights.items() for x in (source_key(F.lit(name).cast("string")), F.lit(w))))
+    given = F.coalesce(F.element_at(known, source_key(F.col("source"))), F.lit(default)) if weights else F.lit(default)
+    counts = df.groupBy(F.col(source).cast("string").alias("source")).agg(F.ceil(F.count("*") / block).alias("blocks")).withColumn("weight", given)
+    plan = schedule(materialize(counts, "mix-counts"))
+    plan = materialize(plan.select(source_key(F.col("source")).alias("s2"), F.col("weight").alias("w"), "firsts", "bases", "widths", "slots"), "mix-plan")
+    size = F.octet_length("s2") + 32 * F.size("firsts") + 4 * F.size(F.flatten("slots")) + 100
+    rows = salted_join(rows, plan, "s", "s2", F.col("h"), size)
+    rows = rows.withColumn("block", F.floor(F.col("rank") / block)).withColumns({"e": F.floor(F.col("block") / F.col("w")), "j": (F.col("block") % F.col("w")).cast("int")})
+    rows = rows.withColumn("k", F.expr("size(filter(firsts, f -> f <= e))"))
+    place = F.expr("element_at(bases, k) + (e - element_at(firsts, k)) * element_at(widths, k) + element_at(element_at(slots, k), j + 1)").cast("bigint")
+    return rows.select("row.*", place.alias("__mix_block"), (place * block + F.col("rank") % block).alias("__mix_pos"))
 
 
 def op5_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

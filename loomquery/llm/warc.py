@@ -6,18 +6,23 @@ import base64
 import hashlib
 import uuid
 import zlib
+from functools import reduce
 from urllib.parse import quote
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import new_path, table
+from ._common import broadcast_checked, materialize, new_path, table
 
 DATE = "2024-01-01T00:00:00Z"
-#: Payload bytes that a range of keys aims at, compressed bytes at which a file is closed, and bins that ranges are made of.
-RANGE_BYTES, FILE_BYTES, BINS = 64 << 20, 32 << 20, 8192
+#: Payload bytes that a range of keys aims at, compressed bytes at which a file is closed.
+RANGE_BYTES, FILE_BYTES = 64 << 20, 32 << 20
+#: Cells that the first histogram of ids has for each range, as bits, bits that a further level adds, and bits of the first level at most.
+SLACK_BITS, LEVEL_BITS, FIRST_BITS = 3, 8, 22
+#: Tasks of the writer and the reader, at most.
+TASKS = 20_000
 LEVEL = 6
 
 
@@ -53,7 +58,7 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
 
 
 class _Files:
-    """Writes gzip members into files under temporary names; a full file is renamed to its final name."""
+    """Writes gzip members into files under temporary names of this attempt alone."""
 
     def __init__(self, root: str, limit: int):
         self.fs, self.root = fs.FileSystem.from_uri(root)
@@ -76,12 +81,12 @@ class _Files:
         if self.out:
             self.out.close()
             name = f"pages-{self.shard:06d}-{self.part:04d}.warc.gz"
-            self.fs.move(self.temp, f"{self.root}/{name}")
-            self.done.append((name, self.size, self.rows, self.first, self.last, self.sha.hexdigest()))
+            self.done.append((self.temp.rpartition("/")[2], name, self.size, self.rows, self.first, self.last, self.sha.hexdigest()))
             self.out = None
 
 
 _MANIFEST = "file string, bytes bigint, records bigint, first_id bigint, last_id bigint, sha256 string"
+_WRITTEN = f"temp string, {_MANIFEST}"
 
 
 def _writer(root: str, limit: int):
@@ -101,12 +106,64 @@ def _writer(root: str, limit: int):
                 pack = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
                 files.add(shard[i].as_py(), pack.compress(record(page_id, url[i].as_py(), payload, target)) + pack.flush(), page_id)
         files.close()
-        cols = list(zip(*files.done)) if files.done else [()] * 6
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()))], ["file", "bytes", "records", "first_id", "last_id", "sha256"])
+        cols = list(zip(*files.done)) if files.done else [()] * 7
+        types = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["temp", "file", "bytes", "records", "first_id", "last_id", "sha256"])
 
     return run
 
 
+def _publish(root: str):
+    """Renames the written files to their final names; a retry finds those that an attempt before it has renamed."""
+
+    def run(batches):
+        files, base = fs.FileSystem.from_uri(root)
+        for batch in batches:
+            for temp, name in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if files.get_file_info(f"{base}/{temp}").type == fs.FileType.File:
+                    files.move(f"{base}/{temp}", f"{base}/{name}")
+                elif files.get_file_info(f"{base}/{name}").type != fs.FileType.File:
+                    raise FileNotFoundError(f"{base}/{temp}")
+            yield pa.RecordBatch.from_arrays(batch.columns[1:], batch.schema.names[1:])
+
+    return run
+
+
+def id_ranges(rows: DataFrame, range_bytes: int) -> tuple[list[tuple[int, DataFrame]], int]:
+    """([(shift, table(cell, shard))], least id): consecutive ids whose payloads sum up to about ``range_bytes`` have one shard.
+
+    A cell is a prefix of id - least id, as an unsigned number without its lowest ``shift`` bits. Cells of more than
+    ``range_bytes`` are split on further bits, alone, until they hold less or one id; so an outlying id costs a level
+    and no balance. The shards depend on the rows alone. Null ids are in no cell.
+    """
+    lo, hi, total = rows.agg(F.min("page_id"), F.max("page_id"), F.sum(F.octet_length("payload"))).first()
+    if lo is None:
+        return [], 0
+    bits = (hi - lo).bit_length()
+    shift = bits - min(bits, FIRST_BITS, SLACK_BITS + (total // range_bytes).bit_length())
+    sizes = rows.where("page_id is not null").groupBy(_offset(lo).alias("u")).agg(F.sum(F.octet_length("payload")).alias("b"))
+    sizes, levels = materialize(sizes, "warc-sizes"), []
+    pending = sizes
+    while True:
+        cells = materialize(pending.groupBy(F.shiftrightunsigned("u", shift).alias("cell")).agg(F.sum("b").alias("b")), "warc-cells")
+        over = cells.where((F.col("b") > range_bytes) & F.lit(shift > 0)).select(F.col("cell").alias("over"))
+        levels.append((shift, cells.join(over, F.col("cell") == F.col("over"), "left_anti")))
+        if not shift or over.isEmpty():
+            break
+        pending = pending.join(over, F.shiftrightunsigned("u", shift) == F.col("over"), "left_semi")
+        shift = max(0, shift - LEVEL_BITS)
+    every = reduce(DataFrame.union, (cells.select(F.lit(s).alias("shift"), "cell", F.shiftleft("cell", s).alias("start"), "b") for s, cells in levels))
+    # one number a cell, 8 cells a range or so, in one task: starts are compared as unsigned numbers
+    before = F.coalesce(F.sum("b").over(Window.orderBy(F.shiftrightunsigned("start", 1), F.col("start").bitwiseAND(F.lit(1))).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shards = materialize(every.select("shift", "cell", F.floor(before / range_bytes).cast("bigint").alias("shard")), "warc-shards")
+    return [(s, shards.where(F.col("shift") == s).select(F.col("cell").alias(f"cell{s}"), F.col("shard").alias(f"shard{s}"))) for s, _ in levels], lo
+
+
+def _offset(lo: int) -> Column:
+    """id - lo modulo 2 ** 64."""
+    return F.expr(f"cast((cast(page_id as decimal(20,0)) - {lo}BD + 9223372036854775808BD) % 18446744073709551616BD - 9223372036854775808BD as bigint)")
+
+
 def revisits(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """(page_id, digest, ref) of each page whose payload a page of larger id has too; payloads are not shuffled."""
     meta = pages.select("page_id", F.sha1("payload").alias("digest"), F.octet_length("payload").alias("n")).where(F.col("n") >= min_bytes)
@@ -119,30 +176,31 @@ def write_warc(pages: DataFrame, root: str, min_bytes: int = 0, range_bytes: int
 
     Of equal payloads of at least ``min_bytes`` bytes, the page with the largest id is a response and
     those with smaller ids revisit it; repeated rows of that largest id are all responses. Records are
-    sorted by page id: ids fall into BINS equal ranges, and consecutive bins of about ``range_bytes`` payload
-    form a shard. Names and contents depend on the rows and parameters alone. A shard's files roll at
-    ``file_bytes`` compressed bytes (a larger record has a file of its own). Tasks write under temporary
-    names and rename whole files, so a retry replaces equal files; the archive is what the manifest
-    lists, which Spark commits last. Null html is empty, a null url becomes urn:page:<id>, a null page
-    id sorts first. An empty table gives an empty manifest.
+    sorted by page id, and ranges of about ``range_bytes`` payload form shards (``id_ranges``). Names and contents depend on
+    the rows and parameters alone. A shard's files roll at ``file_bytes`` compressed bytes (a larger record has a file
+    of its own). Tasks write under temporary names of their own; Spark commits the list of what finished tasks wrote, the
+    files on it are renamed, and the manifest is committed last: the archive is what it lists. Null html is
+    empty, a null url becomes urn:page:<id>, a null page id sorts first. An empty table gives an empty manifest.
     """
     rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string").cast("binary"), F.lit(b"")).alias("payload"))
     same = revisits(rows, min_bytes)
-    lo, hi = rows.agg(F.min("page_id"), F.max("page_id")).first()
-    width = -(-((hi or 0) - (lo or 0) + 1) // BINS)
-    bin_ = F.coalesce(F.floor((F.col("page_id") - F.lit(lo or 0)) / F.lit(width)), F.lit(-1))
-    sizes = rows.groupBy(bin_.alias("bin")).agg(F.sum(F.octet_length("payload")).alias("b"))
-    before = F.coalesce(F.sum("b").over(Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    shards = F.broadcast(sizes.select("bin", F.floor(before / range_bytes).cast("bigint").alias("shard")))  # BINS + 1 rows at most
+    levels, lo = id_ranges(rows, range_bytes)
     none = F.lit(None)
-    both = rows.select("page_id", F.lit(1).alias("kind"), "url", "payload", none.cast("bigint").alias("ref"), none.cast("string").alias("digest")).union(
+    placed = rows.select("page_id", F.lit(1).alias("kind"), "url", "payload", none.cast("bigint").alias("ref"), none.cast("string").alias("digest")).union(
         same.select("page_id", F.lit(0), none.cast("string"), none.cast("binary"), "ref", "digest")
     )
-    placed = both.withColumn("bin", bin_).join(shards, "bin").select("shard", "page_id", "kind", "url", "payload", "ref", "digest")
+    for shift, shards in levels:
+        placed = placed.join(broadcast_checked(shards, F.lit(40)), F.shiftrightunsigned(_offset(lo), shift) == F.col(f"cell{shift}"), "left").drop(f"cell{shift}")
+    shard = F.coalesce(*(f"shard{shift}" for shift, _ in levels), F.lit(0).cast("bigint"))
+    placed = placed.select(shard.alias("shard"), "page_id", "kind", "url", "payload", "ref", "digest")
+    ranges = max([1, *(shards.agg(F.coalesce(F.max(f"shard{s}"), F.lit(0))).first()[0] + 1 for s, shards in levels)])
     order = ["shard", "page_id", "kind", F.col("url"), F.sha1("payload")]
-    done = placed.repartition("shard").sortWithinPartitions(*order).mapInArrow(_writer(f"{root}/data", file_bytes), _MANIFEST)
-    done.write.parquet(f"{root}/manifest")
-    return pages.sparkSession.read.schema(_MANIFEST).parquet(f"{root}/manifest")
+    spark = pages.sparkSession
+    done = placed.repartition(min(ranges, TASKS), "shard").sortWithinPartitions(*order).mapInArrow(_writer(f"{root}/data", file_bytes), _WRITTEN)
+    done.write.parquet(f"{root}/written")
+    written = spark.read.schema(_WRITTEN).parquet(f"{root}/written")
+    written.mapInArrow(_publish(f"{root}/data"), _MANIFEST).write.parquet(f"{root}/manifest")
+    return spark.read.schema(_MANIFEST).parquet(f"{root}/manifest")
 
 
 def _members(stream):
@@ -191,7 +249,8 @@ def read_warc(manifest: DataFrame, root: str) -> DataFrame:
                             rows = []
                 yield _batch(rows)
 
-    files = manifest.select("file").repartition("file")
+    files = manifest.select("file")
+    files = files.repartition(max(1, min(files.count(), TASKS)))
     return files.mapInArrow(run, "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint")
 
 

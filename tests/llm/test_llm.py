@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import random
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -10,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from loomquery.llm import chat, decontaminate, embeddings, langid, mixing, quality, sharding, simhash, suffix_dedup, warc
+from loomquery.llm import _common, chat, decontaminate, embeddings, langid, mixing, quality, sharding, simhash, suffix_dedup, warc
 from loomquery.llm.components import connected_components
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, id string, key string"
@@ -45,13 +46,51 @@ def test_suffix_dedup(spark, texts):
         return out
 
     want = brute()
-    for limit in (suffix_dedup.GROUP_ROWS, 1):  # 1: every gram takes the windows
+    for limit in (suffix_dedup.GROUP_ROWS, 3, 1):  # small: grams are split by the bytes around them, some of them twice
         got = {r["id"]: (bytes(r["kept"]), r["n_bytes"], r["runs"]) for r in suffix_dedup.remove_repeats(_docs(spark, texts), group_rows=limit).collect()}
         assert [got[i][0] for i in range(len(texts))] == want
         assert all(n - sum(b - a for a, b in runs) == len(kept) for kept, n, runs in got.values())
     assert suffix_dedup.remove_repeats(_docs(spark, texts).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("limit", [suffix_dedup.GROUP_ROWS, 2])
+def test_repeat_groups(spark, texts, limit):
+    """Each group holds every occurrence of its string; together they cover every byte of a repeated window."""
+    docs = _docs(spark, texts + texts[:4] + [texts[3][100:900]])
+    raws = [(t or "").encode() for t in texts + texts[:4] + [texts[3][100:900]]]
+    found = defaultdict(set)
+    for r in suffix_dedup.repeat_groups(docs, group_rows=limit).collect():
+        found[r["repeat"]].add((r["id"], r["start"], r["n_bytes"]))
+    covered = [bytearray(len(r)) for r in raws]
+    for at in found.values():
+        (string,) = {raws[i][a : a + n] for i, a, n in at}
+        assert len(string) >= 200 and len(at) > 1
+        assert {(i, a) for i, a, _ in at} == {(i, a) for i, r in enumerate(raws) for a in range(len(r)) if r.startswith(string, a)}
+        for i, a, n in at:
+            covered[i][a : a + n] = b"\1" * n
+    seen = Counter(r[i : i + 200] for r in raws for i in range(len(r) - 199))
+    for r, c in zip(raws, covered):
+        want = bytearray(len(r))
+        for i in range(len(r) - 199):
+            if seen[r[i : i + 200]] > 1:
+                want[i : i + 200] = b"\1" * 200
+        assert c == want
+
+
+def test_anchors_of_slices(monkeypatch):
+    """A text cut into slices has the anchors and contexts that it has whole."""
+    rng = random.Random(5)
+    raw = bytes(rng.choice(b"abcd") for _ in range(5000)) + b"z" * 1500 + bytes(rng.choice(b"ab") for _ in range(900))
+    whole = suffix_dedup.anchors([(raw, 0, len(raw) - 199)])
+    want = dict(zip(whole[1].tolist(), zip(whole[2].tolist(), whole[3].tolist())))
+    monkeypatch.setattr(suffix_dedup, "SLICE", 300)
+    got = {}
+    for offset, part in suffix_dedup._cut(raw):
+        _, pos, gram, context = suffix_dedup.anchors([part])
+        got.update(zip((pos + offset).tolist(), zip(gram.tolist(), context.tolist())))
+    assert got == want
+
+
 def test_interval_tree():
     assert list(suffix_dedup.intervals([2, 3, 0, 1])) == [(3, 1, 2), (2, 0, 2), (1, 3, 4)]
     assert suffix_dedup.lce(b"abcd", b"abxd") == 2 and suffix_dedup.lce(b"", b"a") == 0 and suffix_dedup.lce(b"aa", b"aab") == 2
@@ -203,6 +242,14 @@ def test_warc(spark, tmp_path):
         want = {(i, len(t.encode()), base64.b32encode(hashlib.sha1(t.encode()).digest()).decode(), "response" if i == max(g) else "revisit", None if i == max(g) else max(g)) for t, g in ids.items() for i in g}
         assert got == want and len(names[k]) > 3
     assert names[0] == names[1] and not list(tmp_path.glob("w*/data/.*tmp"))
+    far = [(None, "u", "a"), (-(1 << 63), "u", "b"), ((1 << 63) - 1, None, "b"), (5, "u", None), (5, "u", None), *((i, "u", f"{i}" * 400) for i in range(40))]
+    far = spark.createDataFrame([(*r, "z") for r in far], "page_id long, url string, html string, digest string")
+    manifest = warc.write_warc(far, f"file://{tmp_path}/f", range_bytes=4000, file_bytes=1500)
+    got = warc.read_warc(manifest, f"file://{tmp_path}/f").collect()
+    assert sorted((r["page_id"] is not None, r["page_id"] or 0) for r in got) == sorted((r[0] is not None, r[0] or 0) for r in far.collect())
+    assert Counter(r["record_type"] for r in got) == {"response": 44, "revisit": 1}
+    files = manifest.orderBy("file").collect()
+    assert len(files) > 4 and all(a["last_id"] <= b["first_id"] for a, b in zip(files, files[1:]) if a["last_id"] is not None)
     empty = warc.write_warc(pages.limit(0), f"file://{tmp_path}/e")
     assert warc.read_warc(empty, f"file://{tmp_path}/e").count() == 0
 
@@ -249,6 +296,55 @@ def test_pfair(spark):
     assert mixing.pfair_mix(df.limit(0)).count() == 0
 
 
+def _edf(counts):
+    """Earliest deadline first, slot by slot."""
+    total, done, out = sum(counts), [0] * len(counts), []
+    for t in range(total):
+        ready = [(-(-(done[s] + 1) * total // c), s) for s, c in enumerate(counts) if done[s] < c and done[s] * total // c <= t]
+        s = min(ready)[1]
+        done[s] += 1
+        out.append(s)
+    return out
+
+
+def test_edf_slots(spark):
+    rng = random.Random(3)
+    counts = [[rng.randint(0, 9) for _ in range(rng.randint(1, 12))] for _ in range(40)] + [[1], [7, 7], [0, 1, 0]]
+    counts = [c for c in counts if sum(c)]
+    kinds = spark.createDataFrame([(i, sum(c), c) for i, c in enumerate(counts)], "first long, width long, counts array<bigint>")
+    got = {r["first"]: r["slots"] for r in mixing.edf_slots(kinds).collect()}
+    assert got == {i: _edf(c) for i, c in enumerate(counts)}
+
+
+def test_pfair_many_sources(spark):
+    """Sources of different sizes: every block has a place, in the periods that the weights give."""
+    df = spark.createDataFrame([(i, f"s{i:03d}", i % 37 + 1) for i in range(200)], "k long, source string, blocks long")
+    plan = {r["source"]: r for r in mixing.schedule(df.select("source", F.lit(3).alias("weight"), "blocks")).collect()}
+    places = []
+    for r in df.collect():
+        p = plan[r["source"]]
+        for b in range(r["blocks"]):
+            k = sum(f <= b // 3 for f in p["firsts"]) - 1
+            places.append(p["bases"][k] + (b // 3 - p["firsts"][k]) * p["widths"][k] + p["slots"][k][b % 3])
+    assert sorted(places) == list(range(len(places)))
+
+
+def test_pfair_edges(spark):
+    """Clashing names, repeated rows, an all-null source, a plan joined by salts."""
+    names = "doc_id long, source string, s string, h string, row string, rank long, w long, e long, __mix_pos string, blocks map<string,int>"
+    df = spark.createDataFrame([(i // 2, None if i % 3 else "a", "x", "y", "z", 1, 2, 3, "gone", {"a": 1}) for i in range(100)], names)
+    before = _common.BROADCAST_BYTES
+    try:
+        out = []
+        for _common.BROADCAST_BYTES in (before, 0):
+            got = mixing.pfair_mix(df, weights={"a": 2, None: 1}, block=4)
+            assert got.columns == [*(c for c in df.columns if c != "__mix_pos"), "__mix_block", "__mix_pos"]
+            out.append(sorted((r["__mix_pos"], r["doc_id"], r["source"] or "") for r in got.collect()))
+        assert out[0] == out[1] and len({x[0] for x in out[0]}) == 100
+    finally:
+        _common.BROADCAST_BYTES = before
+
+
 def test_decontaminate(spark):
     rng = random.Random(4)
     item = " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 8))) for _ in range(25))
@@ -264,6 +360,53 @@ def test_decontaminate(spark):
     assert decontaminate.benchmark_matches(_docs(spark, texts), bench.limit(0)).count() == 0
 
 
+def _holds(text, item):
+    """Fewest edits of a whole item anywhere in a text, by the full table."""
+    row = [0] * (len(text) + 1)
+    for i, x in enumerate(item, 1):
+        new = [i]
+        for j, y in enumerate(text, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return min(row)
+
+
+@pytest.mark.parametrize("segment, postings", [(1 << 19, 1 << 20), (64, 16)])
+def test_decontaminate_brute_force(spark, monkeypatch, segment, postings):
+    """All items against all texts: exactly those within the budget, short items as whole words, repeats and clashing names."""
+    monkeypatch.setattr(decontaminate, "SEGMENT", segment)
+    monkeypatch.setattr(decontaminate, "POSTINGS", postings)
+    rng = random.Random(12)
+    items = ["".join(rng.choice("abc ") for _ in range(n)) for n in (45, 60, 90, 120, 60)] + ["a" * 50, "yes no", "b", "", "...", "ab ab", None]
+    texts = [None, "", "b", "yes, NO!", "abc yes no way", "a" * 400, "xab abx"]
+    for i, t in enumerate(items[:5]):
+        for edits in (0, 1, len(t) // 10, len(t) // 10 + 4):
+            chars = list(decontaminate.normalize(t))
+            for p in rng.sample(range(len(chars)), edits):
+                chars[p] = rng.choice(["", "x", chars[p] + "y"])
+            texts.append("".join(rng.choice("abc ") for _ in range(rng.randint(0, 150))) + " " + "".join(chars) + " " + "".join(rng.choice("xyz ") for _ in range(40)))
+    want = set()
+    for d, t in enumerate(map(decontaminate.normalize, texts)):
+        for i, m in enumerate(map(decontaminate.normalize, items)):
+            limit = min(int(decontaminate.EDIT_RATE * len(m)), (len(m) - decontaminate.Q) // decontaminate.Q)
+            if (f" {m} " in f" {t} " and m) if len(m) < decontaminate.MIN_CHARS else _holds(t, m) <= limit:
+                want.add((d, i))
+    bench = spark.createDataFrame([(i, t, "x") for i, t in enumerate(items)] * 2, "item_id long, text string, id string")
+    docs = _docs(spark, texts)
+    got = Counter((r["id"], r["item_id"]) for r in decontaminate.benchmark_matches(docs.union(docs), bench).collect())
+    assert set(got) == want and set(got.values()) == {4} and len(want) > 15
+    assert {r["doc_id"] for r in decontaminate.clean_rows(docs, bench).collect()} == set(range(len(texts))) - {d for d, _ in want}
+
+
+def test_decontaminate_one_character():
+    """A text and an item of one character: postings meet all positions, in parts."""
+    items = decontaminate.index([(1, "a" * 500)])
+    tracemalloc.start()
+    assert decontaminate.matches(["a" * 200_000], items) == [(0, 0, 0, 500)]
+    assert tracemalloc.get_traced_memory()[1] < 300 << 20
+    tracemalloc.stop()
+
+
 def test_banded_distance_is_the_edit_distance():
     rng = random.Random(2)
     for _ in range(60):
@@ -293,6 +436,12 @@ def test_sharding(spark):
     names = sorted(s for s in held if "-" not in s)
     assert not any(b != a and b.startswith(a) for a in names for b in names)
     assert sharding.extendible_shards(_docs(spark, texts).limit(0)).count() == 0
+    names = "doc_id long, text string, h long, p string, d int, bytes long, rows long, __shard string, leaf0 int, m map<string,int>"
+    odd = spark.createDataFrame([(None, "x" * 90, 1, "p", 2, 3, 4, "gone", 5, {"a": 1})] * 70 + [(1, None, 1, "p", 2, 3, 4, None, 5, None)], names)
+    out = sharding.extendible_shards(odd, max_bytes=1000)
+    assert out.columns == [*(c for c in odd.columns if c != "__shard"), "__shard", "__depth", "__shard_bytes", "__n_bytes"]
+    got = out.collect()
+    assert len({r["__shard"] for r in got}) == 71 and all(r["__shard_bytes"] in (0, 90) for r in got)
 
 
 @pytest.mark.parametrize("part_rows", [4096, 7])
