@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
-from itertools import accumulate, combinations
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -22,23 +23,47 @@ SEGMENTS, WIDTH = 4, 16
 BUCKET = 50_000
 
 
-def fingerprint(text: str | bytes | None, shingle: int = 3) -> int:
-    """64-bit SimHash of the word shingles of a text, repeats included; zero for a text without words."""
+_SPACES = re.compile(rb"[\x09-\x0d\x20]+")
+#: Shingles that are hashed at once.
+HASHED = 1 << 15
+
+
+def _digests(text: str | bytes | None, shingle: int):
+    """Hashes of the word shingles of a whole text, repeats included, in arrays of HASHED at most; none for a text without words."""
     raw = text.encode("utf-8") if isinstance(text, str) else text or b""
-    words = raw.lower().split()
-    if not words:
-        return 0
-    joined = b" ".join(words)
-    if len(words) <= shingle:
-        return xxhash.xxh64_intdigest(joined, SEED)
+    joined = _SPACES.sub(b" ", raw.lower()).strip(b" ")
+    if not joined:
+        return
     digest = xxhash.xxh64_intdigest
-    ends = [x - 1 for x in accumulate(len(w) + 1 for w in words)]
-    starts = [0, *(x + 1 for x in ends[: len(ends) - shingle])]
-    over, n = np.zeros(64, dtype=np.int64), len(starts)
-    for at in range(0, n, 1 << 16):
-        h = np.array([digest(joined[a:b], SEED) for a, b in zip(starts[at : at + (1 << 16)], ends[at + shingle - 1 :])], dtype="<u8")
-        over += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * over > n, bitorder="little").tobytes(), "little")
+    gaps = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32)
+    n = max(1, len(gaps) + 2 - shingle)
+    starts, ends = np.append(0, gaps + 1)[:n], np.append(gaps, len(joined))[-n:]
+    for at in range(0, n, HASHED):
+        pairs = zip(starts[at : at + HASHED].tolist(), ends[at : at + HASHED].tolist())
+        yield np.array([digest(joined[a:b], SEED) for a, b in pairs], dtype="<u8")
+
+
+class _Bits:
+    """Counts how often each bit is set in hashes that are added."""
+
+    def __init__(self):
+        self.over, self.n = np.zeros(64, dtype=np.int64), 0
+
+    def add(self, h: np.ndarray) -> np.ndarray:
+        self.over += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        self.n += len(h)
+        return h
+
+    def fingerprint(self) -> int:
+        return int.from_bytes(np.packbits(2 * self.over > self.n, bitorder="little").tobytes(), "little")
+
+
+def fingerprint(text: str | bytes | None, shingle: int = 3) -> int:
+    """64-bit SimHash of the word shingles of a text, repeats included; zero for a text without words."""
+    bits = _Bits()
+    for h in _digests(text, shingle):
+        bits.add(h)
+    return bits.fingerprint()
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
@@ -206,14 +231,7 @@ CHUNK = 2000
 
 def _shingle_hashes(text: str | bytes | None, shingle: int) -> np.ndarray:
     """Distinct hashes of the word shingles of a whole text, as ``fingerprint`` takes them."""
-    raw = text.encode("utf-8") if isinstance(text, str) else text or b""
-    words = raw.lower().split()
-    if not words:
-        return np.zeros(0, dtype=np.uint64)
-    joined, digest = b" ".join(words), xxhash.xxh64_intdigest
-    ends = [x - 1 for x in accumulate(len(w) + 1 for w in words)]
-    starts = [0, *(x + 1 for x in ends[: max(len(ends) - shingle, 0)])]
-    return np.unique(np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, ends[min(shingle, len(ends)) - 1 :])), np.uint64, len(starts)))
+    return np.unique(np.concatenate([np.zeros(0, np.uint64), *_digests(text, shingle)]))
 
 
 def _bands(least: np.ndarray) -> np.ndarray:
@@ -235,18 +253,21 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataF
         flip, odd = rng.integers(0, 1 << 64, (2, HASHES, 1), dtype=np.uint64)
         odd |= np.uint64(1)
         for batch in batches:
-            for part in pieces(batch, 1):
+            for part in pieces(batch, 1, 1 << 20):
                 fps, classes, bands, kept = [], [], [], []
                 for t in part.column(1).to_pylist():
-                    fps.append(fingerprint(t, shingle))
-                    h = _shingle_hashes(t, shingle)
+                    bits = _Bits()
+                    h = np.unique(np.concatenate([np.zeros(0, np.uint64), *(bits.add(x) for x in _digests(t, shingle))]))
+                    fps.append(bits.fingerprint())
                     classes.append(xxhash.xxh64_intdigest(h.tobytes(), SEED))
                     if not len(h):
                         bands.append([]), kept.append(b"")
                         continue
                     least = np.full(HASHES, (1 << 64) - 1, dtype=np.uint64)
-                    for at in range(0, len(h), 4096):
-                        np.minimum(least, ((h[at : at + 4096] ^ flip) * odd).min(axis=1), out=least)
+                    for at in range(0, len(h), 1024):
+                        mixed = h[at : at + 1024] ^ flip
+                        mixed *= odd
+                        np.minimum(least, mixed.min(axis=1), out=least)
                     bands.append(_bands(least).view("<i8").tolist()), kept.append(mix(least).astype(np.uint8).tobytes())
                 numbers = [pa.array(np.array(x, dtype="<u8").view("<i8")) for x in (fps, classes)]
                 arrays = [part.column(0), *numbers, pa.array(bands, pa.list_(pa.int64())), pa.array(kept, pa.binary())]
