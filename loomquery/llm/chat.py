@@ -61,6 +61,8 @@ MAPPINGS = [
 ]
 ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant"}
 _CHOSEN: dict[str, dict | None] = {}
+#: Layouts that a worker remembers the mapping of.
+LAYOUTS = 10_000
 
 
 def mapping(value) -> dict | None:
@@ -72,6 +74,8 @@ def mapping(value) -> dict | None:
     key = fingerprint(value)
     if key not in _CHOSEN:
         have = paths(value)
+        if len(_CHOSEN) >= LAYOUTS:
+            _CHOSEN.clear()
         _CHOSEN[key] = next((m for m in sorted(MAPPINGS, key=lambda m: -len(m["needs"])) if m["needs"] <= have), None)
     return _CHOSEN[key]
 
@@ -211,6 +215,11 @@ def turn_records(conversations: DataFrame) -> DataFrame:
 
 
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every conversation of ``conversations``, and conversation -1, read back from their formatted strings.
+
+    Null texts and roles are empty; rows of equal turn are ordered by their formatted text, those of a null turn come first;
+    null conversation ids are one conversation. Conversation -1 is there for an empty table too.
+    """
     rows = turn_records(table(spark, sf_dir, "conversations"))
     say = "</s>[INST] ok [/INST]"
     probe = json.dumps({"messages": [{"role": "user", "content": say}, {"role": "assistant", "content": say}]})

@@ -268,5 +268,6 @@ def clean_rows(docs: DataFrame, bench: DataFrame, text_col: str = "text", item_c
 
 
 def op6_qgram_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item that a whole text of ``documents`` holds, with its edits; cases as in ``benchmark_matches``."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return benchmark_matches(docs, table(spark, sf_dir, "benchmark")).withColumnRenamed("id", "doc_id")

@@ -81,7 +81,8 @@ def fit(sample: np.ndarray, total: int, recall: float = RECALL, seed: int = 5) -
     """
     k = int(np.clip(round(np.sqrt(total / CELL_ROWS)), 1, min(MAX_CODES, len(sample))))
     cut = max(1, sample.shape[1] // 2)
-    model = MultiIndex(_codebook(sample[:, :cut], k), _codebook(sample[:, cut:], k), 1)
+    apart = CALIBRATION if len(sample) >= 4 * CALIBRATION else 0  # where there are enough, recall is measured on vectors that no codebook was fitted on
+    model = MultiIndex(_codebook(sample[apart:, :cut], k), _codebook(sample[apart:, cut:], k), 1)
     x = sample[:CALIBRATION]
     noise = np.random.default_rng(seed).standard_normal(x.shape)
     noise -= (noise * x).sum(1)[:, None] * x
@@ -253,5 +254,6 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
 
 
 def op8_multi_index_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and component of every row of ``embeddings``, whatever its label; cases as in ``near_duplicates``."""
     out = near_duplicates(table(spark, sf_dir, "embeddings"))
     return out.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), "kept")

@@ -175,8 +175,10 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """``docs`` with __lang_pred, __score and __near (``Model.nearness``), from the text alone.
 
     A null text or one without a letter is ``und`` with score and nearness 0, and so is every text if nothing was
-    learned. Repeated rows get equal results; an empty table gives no rows. Other columns pass through.
+    learned. Repeated rows get equal results; an empty table gives no rows. Columns named like a result are
+    replaced, all others pass through.
     """
+    docs = docs.select(*(c for c in docs.columns if c not in ("__lang_pred", "__score", "__near")))
     at = docs.columns.index(text_col)
     names = [*docs.columns, "__lang_pred", "__score", "__near"]
 
@@ -191,6 +193,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
 
 
 def op10_string_kernel_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every whole text of ``documents``, learned from those not held out; cases as in ``predict``."""
     docs = table(spark, sf_dir, "documents")
     out = predict(docs.select("doc_id", "text"), train(docs))
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("__lang_pred").alias("lang_pred"), F.col("__score").alias("score"))

@@ -113,5 +113,6 @@ def pfair_mix(df: DataFrame, source: str = "source", key: str = "doc_id", weight
 
 
 def op5_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place of every row of ``documents`` in the mixture of their sources; cases as in ``pfair_mix``."""
     out = pfair_mix(table(spark, sf_dir, "documents").select("doc_id", "source"))
     return out.select("doc_id", "source", F.col("__mix_block").alias("mix_block"), F.col("__mix_pos").alias("mix_pos"))

@@ -43,12 +43,12 @@ def _count(batches):
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(raw[at]), pa.array(target[at])], ["bucket", "raw", "target"])
 
 
-def log_ratio(docs: DataFrame, targets: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> np.ndarray:
-    """log(p_target / p_raw) of each bucket, shrunk by its evidence.
+def log_ratio(docs: DataFrame, targets: DataFrame, text_col: str = "text", id_col: str = "doc_id", least_z: float = LEAST_Z, smooth: float = SMOOTH) -> np.ndarray:
+    """log(p_target / p_raw) of each bucket, by models smoothed with ``smooth``, shrunk by its evidence.
 
     With e the target count that the raw model expects and z the deviation from it in standard deviations, the ratio
-    is log((target + SMOOTH) / (e + SMOOTH)) * max(0, 1 - (LEAST_Z / z) ** 2): else the sum over a text's many rare
-    buckets, each nearly without evidence, drowns the few that tell. Counts are summed and weighed in the executors;
+    is log((target + smooth) / (e + smooth)) * max(0, 1 - (least_z / z) ** 2): else the sum over a text's many rare
+    buckets, each nearly without evidence, drowns the few that tell. ``least_z`` 0 gives the plain ratio of the models. Counts are summed and weighed in the executors;
     the driver gets the buckets that weigh, BUCKETS rows at most whatever the corpus. ``targets(id)`` must be bounded
     (TARGET_ROWS): it is broadcast.
     """
@@ -61,8 +61,8 @@ def log_ratio(docs: DataFrame, targets: DataFrame, text_col: str = "text", id_co
         return ratio
     share = all_target / all_raw
     expected, target = F.col("raw") * F.lit(share), F.col("target")
-    chance = F.lit(LEAST_Z**2) * expected * F.lit(1 - share) / F.pow(target - expected, F.lit(2))
-    weighed = F.log((target + SMOOTH) / (expected + SMOOTH)) * (1 - chance)
+    chance = F.lit(float(least_z) ** 2) * expected * F.lit(1 - share) / F.pow(target - expected, F.lit(2))
+    weighed = F.log((target + smooth) / (expected + smooth)) * (1 - chance)
     rows = counts.where((target != expected) & (chance < 1)).select("bucket", weighed.alias("ratio")).toArrow()
     ratio[rows.column(0).to_numpy()] = rows.column(1).to_numpy()
     return ratio
@@ -123,17 +123,17 @@ def target_sample(labels: DataFrame, rows: int = TARGET_ROWS) -> DataFrame:
     return good.select(F.col("doc_id").alias("id")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
 
 
-def importance_resample(docs: DataFrame, labels: DataFrame, fraction: float | None = None, temperature: float = 1.0) -> DataFrame:
+def importance_resample(docs: DataFrame, labels: DataFrame, fraction: float | None = None, temperature: float = 1.0, least_z: float = LEAST_Z, smooth: float = SMOOTH) -> DataFrame:
     """(id, log_weight, n_features, key, kept): documents resampled towards the labelled good ones.
 
     The log weight of a text is the sum over its hashed words and word pairs of log(p_target / p_raw), shrunk
     towards 0 as far as chance explains the difference (see ``log_ratio``).
     ``key`` adds Gumbel noise; the top k keys are a sample without replacement in proportion to the
-    weights. k is ``fraction`` of all rows, by default the share of good documents among the labelled.
+    weights to the power 1 / ``temperature``. k is ``fraction`` of all rows, by default the share of good documents among the labelled.
     Null and empty texts have weight 0; without labels all weights are 0. Empty in, empty out.
     """
     share = labels.agg(F.avg(F.expr("cast(quality = 1 and coalesce(toxic, 0) = 0 as double)"))).first()[0]
-    ratio = log_ratio(docs, target_sample(labels))
+    ratio = log_ratio(docs, target_sample(labels), least_z=least_z, smooth=smooth)
     out = scores(docs, ratio).withColumn("key", F.col("log_weight") / F.lit(temperature) + gumbel(F.coalesce("id", F.lit(-1))))
     out = materialize(out, "quality-scores")
     n = out.count()
@@ -141,5 +141,6 @@ def importance_resample(docs: DataFrame, labels: DataFrame, fraction: float | No
 
 
 def op9_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weight, noisy key and choice of every row of ``documents`` by ``labels``; cases as in ``importance_resample``."""
     out = importance_resample(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
     return out.select(F.col("id").alias("doc_id"), "log_weight", "n_features", F.col("key").alias("gumbel_key"), "kept")

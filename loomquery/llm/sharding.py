@@ -85,6 +85,7 @@ def _singles(rows: DataFrame) -> DataFrame:
 
 
 def op7_extendible_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard of every row of ``documents``; cases as in ``extendible_shards``."""
     out = extendible_shards(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", F.col("__n_bytes").alias("n_bytes"), F.col("__shard").alias("shard"), F.col("__depth").alias("depth"), F.col("__shard_bytes").alias("shard_bytes"))
 

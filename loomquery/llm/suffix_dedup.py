@@ -460,6 +460,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text of ``documents`` without its repeated 200-byte strings, as counts and a digest; cases as in ``remove_repeats``."""
     out = remove_repeats(table(spark, sf_dir, "documents"))
     return out.select(
         F.col("id").alias("doc_id"),

@@ -261,5 +261,6 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def op3_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of ``pages`` written to WARC files and read back from them; cases as in ``write_warc``."""
     root = new_path(spark, "warc")
     return read_warc(write_warc(table(spark, sf_dir, "pages"), root), root)

@@ -464,6 +464,52 @@ def test_embeddings(spark, part_rows):
     assert embeddings.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_embeddings_recall(spark):
+    """Pairs at the threshold and a little above, in many cells: recall against all pairs."""
+    rng = np.random.default_rng(21)
+    centers = rng.standard_normal((60, 32))
+    x = centers[rng.integers(0, 60, 6000)] + rng.standard_normal((6000, 32)) * 0.7
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    noise = rng.standard_normal((2000, 32))
+    noise -= (noise * x[:2000]).sum(1)[:, None] * x[:2000]
+    noise /= np.linalg.norm(noise, axis=1, keepdims=True)
+    cosine = rng.uniform(0.9501, 0.97, (2000, 1))
+    vecs = np.concatenate([x, cosine * x[:2000] + np.sqrt(1 - cosine**2) * noise])
+    want = (vecs @ vecs.T >= 0.95).sum(axis=1) - 1
+    got = {r["id"]: r["n_links"] for r in embeddings.near_duplicates(spark.createDataFrame([(i, v) for i, v in enumerate(vecs.tolist())], "vec_id long, embedding array<double>")).collect()}
+    assert all(got[i] <= want[i] for i in got)
+    recall = sum(got.values()) / want.sum()
+    print("recall", recall, "links", want.sum())
+    assert recall >= 0.99
+
+
+def test_quality_weights(spark):
+    """Weights against a direct computation, shrunk and plain, over repeated rows, nulls and clashing names."""
+    rng = random.Random(15)
+    texts = [" ".join(f"w{int(rng.paretovariate(0.7)) % 300}" for _ in range(30)) for _ in range(150)] + [None, "", "w1", "w1"]
+    labels = [(i, int(rng.random() < 0.6), int(rng.random() < 0.2)) for i in range(0, 154, 2)] + [(None, 1, 0), (9999, 1, None)]
+    good = {i for i, q, t in labels if q == 1 and not t and i is not None}
+    raw, target, each = Counter(), Counter(), []
+    for i, t in enumerate(texts):
+        bucket = quality.features([t])[0].tolist()
+        each.append(bucket)
+        raw.update(bucket)
+        target.update(bucket if i in good else [])
+    share = sum(target.values()) / sum(raw.values())
+    docs, frame = _docs(spark, texts), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    for least_z in (quality.LEAST_Z, 0.0):
+        ratio = {}
+        for b in raw:
+            e = raw[b] * share
+            z2 = (target[b] - e) ** 2 / (e * (1 - share))
+            ratio[b] = np.log((target[b] + 0.1) / (e + 0.1)) * (max(0, 1 - least_z**2 / z2) if z2 else 0)
+        got = quality.importance_resample(docs, frame, fraction=0.5, least_z=least_z, smooth=0.1).collect()
+        for r in got:
+            assert r["log_weight"] == pytest.approx(sum(ratio[b] for b in each[r["id"]]), abs=1e-9) and r["n_features"] == len(each[r["id"]])
+        kept = sorted(got, key=lambda r: (-r["key"], r["id"]))[:77]
+        assert {r["id"] for r in got if r["kept"]} == {r["id"] for r in kept}
+
+
 def test_quality(spark):
     rng = random.Random(5)
     good, bad = [f"good{i}" for i in range(60)], [f"bad{i}" for i in range(60)]
@@ -509,6 +555,110 @@ def test_language_stage_drops_unlearned_alphabets(spark):
     assert got.count() == docs.where("text is not null").count()
 
 
+def test_langid_scores(spark):
+    """Predictions against kernels and ridge outputs computed text by text; rows repeat, names clash."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = langid.train(docs)
+    rows = docs.limit(40).collect()
+    odd = spark.createDataFrame([(r["doc_id"], r["text"], "l", 1.0, "n") for r in rows * 2] + [(None, None, "l", 1.0, "n")], "doc_id long, text string, __lang_pred string, __score double, other string")
+    got = langid.predict(odd, model)
+    assert got.columns == ["doc_id", "text", "other", "__lang_pred", "__score", "__near"]
+    for r in got.collect():
+        x = np.zeros((1, langid.SIZE), np.uint8)
+        if not langid.presence(r["text"], x[0]):
+            assert (r["__lang_pred"], r["__score"]) == ("und", 0)
+            continue
+        s = model.score(x)[0]
+        assert r["__lang_pred"] == model.langs[int(s.argmax())] and r["__score"] == pytest.approx(float(np.clip((s.max() + 1) / 2, 0, 1)), abs=1e-4)
+
+
+def test_sharding_sql(spark):
+    """The registered SQL with a small limit, so that buckets split."""
+    import duckdb
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    sql = sharding.OP7_SQL.replace(str(sharding.MAX_BYTES), "60000").replace("FROM documents", "FROM '/root/testdata/sf0.001/documents.parquet'")
+    out = sharding.extendible_shards(docs, max_bytes=60000).select("doc_id", "__n_bytes", "__shard", "__depth", "__shard_bytes")
+    got = sorted(tuple(r) for r in out.collect())
+    assert got == sorted(duckdb.sql(sql).fetchall()) and len({r[2] for r in got}) > 4
+
+
+def test_chat_query(spark, tmp_path):
+    """The query's digests, conversation -1 included, against a direct computation: nulls, equal turns, an empty table."""
+    say = "</s>[INST] ok [/INST]"
+    rows = [(1, 0, "user", "hi"), (1, 1, "assistant", None), (1, 2, None, "x<s>"), (2, 0, "assistant", "é𠮷"), (2, 0, "assistant", "é𠮷"), (None, 0, "user", "n"), (3, 1, "assistant", "b"), (3, 0, "assistant", "a\\N\n")]
+    for name, part in (("some", rows), ("none", [])):
+        spark.createDataFrame(part, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/{name}/conversations.parquet")
+        got = {r["conv_id"]: r for r in chat.op4_chat_format(spark, f"{tmp_path}/{name}").collect()}
+        want = defaultdict(list)
+        for conv, _, role, text in sorted(part, key=lambda r: (r[0] or 0, r[1])):
+            want[conv].append((role or "", text or ""))
+        want[-1] = [("user", say), ("assistant", say)]
+        assert set(got) == set(want)
+        for conv, turns in want.items():
+            loss = "".join(t for r, t in turns if r == "assistant")
+            assert (got[conv]["n_turns"], got[conv]["loss_chars"]) == (len(turns), len(loss))
+            assert got[conv]["turns_sha256"] == hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest()
+            assert got[conv]["loss_sha256"] == hashlib.sha256(loss.encode()).hexdigest()
+
+
+def test_pipeline_stages_by_brute_force(spark, tmp_path):
+    """Every stage on nulls, empty texts, repeated rows and clashing names, and on no rows."""
+    import corpus_pipeline
+
+    rng = random.Random(31)
+    base = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    names = ["row", "id", "__score", "__mix_pos", "__shard", "h", "near_id", "at"]
+    docs = base.select("*", *(F.lit(n).alias(n) for n in names))
+    first = docs.limit(5).collect()
+    extra = [(900001, None), (900002, ""), (900003, "123"), (None, first[0]["text"]), (None, None), (first[1]["doc_id"], first[1]["text"])]
+    more = spark.createDataFrame(extra, "doc_id long, text string").withColumns({n: F.lit(n) for n in names})
+    docs = docs.unionByName(more, allowMissingColumns=True)
+    docs.write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    rows = docs.collect()
+    sf_dir = "/root/testdata/sf0.001"
+
+    kept = corpus_pipeline.near_dedup(spark, docs, sf_dir)
+    sets = {}
+    for r in rows:
+        sets.setdefault(r["doc_id"], set(simhash._shingle_hashes(r["text"], 5).tolist()))
+    ids = sorted(i for i in sets if i is not None)
+    root = {i: i for i in ids}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for n, i in enumerate(ids):
+        for j in ids[:n]:
+            a, b = sets[i], sets[j]
+            if (not a and not b) or (a and b and len(a & b) >= 0.8 * len(a | b)):
+                x, y = sorted((find(i), find(j)))
+                root[y] = x
+    want = Counter([i for i in ids if find(i) == i] + [None] * 2)
+    assert Counter(r["doc_id"] for r in kept.collect()) == want and kept.columns == docs.columns
+
+    mixed = corpus_pipeline.mix_sources(spark, docs, sf_dir)
+    mixed.write.parquet(f"{tmp_path}/mixed")
+    placed = mixing.pfair_mix(docs.select("doc_id", "source", "text"))
+    order = [r["doc_id"] for r in placed.orderBy("__mix_pos").collect()]
+    out = corpus_pipeline.shard(spark, spark.read.parquet(f"{tmp_path}/mixed"), sf_dir)
+    got = out.orderBy("mix_file", "mix_row").collect()
+    sources = {r["doc_id"]: r["source"] for r in rows}
+    assert [sources[r["doc_id"]] for r in got] == [sources[i] for i in order] and len(got) == len(rows)
+    assert set(out.columns) == {*docs.columns, "shard", "shard_depth", "shard_bytes", "mix_file", "mix_row"}
+
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), sf_dir).count() == 0
+        whole = stage(spark, docs, sf_dir)
+        assert set(docs.columns) <= set(whole.columns)
+        if name in ("language_id", "decontamination"):
+            texts = Counter(r["text"] for r in whole.collect())
+            assert texts <= Counter(r["text"] for r in rows) and (None in texts) == (name == "decontamination")
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
