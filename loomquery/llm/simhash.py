@@ -218,13 +218,15 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return fps.join(named, "fp", "left").select("id", "fp", "component")
 
 
-#: Hash functions of a sketch; the first BANDS * ROWS of them make the band keys.
-HASHES, BANDS, ROWS = 256, 20, 6
+#: Band keys of a set, and the min-wise hashes that each is made of.
+BANDS, ROWS = 20, 6
+#: Bins of a sketch: a byte of the least hash in each, 0 where there is none.
+BINS = 512
 #: Bits that texts of similarity 0.8 or more and few repeats differ in at most: 9.7 are expected, with a deviation of 2.9. Not a filter of
 #: ``wide_edges``: texts of one shingle set differ in more if one repeats a line.
 WIDE_HAMMING, WIDE_SEGMENTS = 24, 8
-#: Estimates this far from the threshold decide (4 deviations at 0.8); nearer ones are settled by the texts.
-MARGIN = 0.1
+#: Deviations that an estimate must lie off the threshold to decide; nearer ones are settled by the texts.
+DEVIATIONS = 4
 #: Rows of a band key that a probe is compared with in one task at once.
 CHUNK = 2000
 
@@ -235,22 +237,30 @@ def _shingle_hashes(text: str | bytes | None, shingle: int) -> np.ndarray:
 
 
 def _bands(least: np.ndarray) -> np.ndarray:
-    """One key a band from the minima of a sketch."""
-    rows, key = mix(least[: BANDS * ROWS]).reshape(BANDS, ROWS), np.arange(BANDS, dtype=np.uint64)
+    """One key a band from the minima of a set."""
+    rows, key = mix(least).reshape(BANDS, ROWS), np.arange(BANDS, dtype=np.uint64)
     for c in range(ROWS):
         key = mix(key * np.uint64(0x9E3779B97F4A7C15) + rows[:, c])
     return key
 
 
+def _sketch(h: np.ndarray) -> bytes:
+    """One byte, never 0, of the least of the sorted hashes in each of BINS ranges; a small set is there nearly whole."""
+    out, bins = np.zeros(BINS, np.uint8), (h >> np.uint64(65 - BINS.bit_length())).astype(np.intp)
+    first = np.flatnonzero(np.append(True, bins[1:] != bins[:-1]))
+    out[bins[first]] = 1 + mix(h[first]) % np.uint64(255)
+    return out.tobytes()
+
+
 def sketches(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """(id, fp, cls, bands, sketch) of every row: minima of the shingle hashes under HASHES mixings, one byte of each kept.
+    """(id, fp, cls, bands, sketch) of every row; one pass over the shingles gives all of them.
 
     cls: hash of the whole shingle set, so that texts of one class are at similarity 1.
     """
 
     def run(batches):
         rng = np.random.default_rng(SEED)
-        flip, odd = rng.integers(0, 1 << 64, (2, HASHES, 1), dtype=np.uint64)
+        flip, odd = rng.integers(0, 1 << 64, (2, BANDS * ROWS, 1), dtype=np.uint64)
         odd |= np.uint64(1)
         for batch in batches:
             for part in pieces(batch, 1, 1 << 20):
@@ -263,12 +273,12 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataF
                     if not len(h):
                         bands.append([]), kept.append(b"")
                         continue
-                    least = np.full(HASHES, (1 << 64) - 1, dtype=np.uint64)
+                    least = np.full(BANDS * ROWS, (1 << 64) - 1, dtype=np.uint64)
                     for at in range(0, len(h), 1024):
                         mixed = h[at : at + 1024] ^ flip
                         mixed *= odd
                         np.minimum(least, mixed.min(axis=1), out=least)
-                    bands.append(_bands(least).view("<i8").tolist()), kept.append(mix(least).astype(np.uint8).tobytes())
+                    bands.append(_bands(least).view("<i8").tolist()), kept.append(_sketch(h))
                 numbers = [pa.array(np.array(x, dtype="<u8").view("<i8")) for x in (fps, classes)]
                 arrays = [part.column(0), *numbers, pa.array(bands, pa.list_(pa.int64())), pa.array(kept, pa.binary())]
                 yield pa.RecordBatch.from_arrays(arrays, ["id", "fp", "cls", "bands", "sketch"])
@@ -284,24 +294,41 @@ def _chain_within(x: np.ndarray, budget: int) -> np.ndarray:
     return np.any([np.all(np.cumsum(np.roll(n, -i, axis=1), axis=1) <= share, axis=1) for i in range(WIDE_SEGMENTS)], axis=0)
 
 
-def _estimates(batches):
-    """(src, dst, estimate) of all pairs, by their sketches alone: fingerprints count repeats, similarity does not."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint8).reshape(-1, HASHES) for c in (2, 3))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(_estimate(a, b))], ["src", "dst", "estimate"])
+_PAIR = "src bigint, dst bigint, sure boolean"
 
 
-def _estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    chance = 1 / 256
-    return ((a == b).mean(axis=1) - chance) / (1 - chance)
+def _estimates(similarity: float):
+    """(src, dst, sure) of the pairs that may have the similarity, by their sketches alone: fingerprints count repeats, similarity does not."""
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2048):
+                part = batch.slice(at, 2048)
+                a, b = (np.frombuffer(b"".join(part.column(c).to_pylist()), dtype=np.uint8).reshape(-1, BINS) for c in (2, 3))
+                may, sure = _decided(a, b, similarity)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sure)], ["src", "dst", "sure"]).filter(pa.array(may))
+
+    return run
+
+
+def _decided(a: np.ndarray, b: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Whether pairs of sketches may have the similarity, and whether they have it beyond doubt.
+
+    The k bins that either fills are a sample of the n hashes in either set, without replacement; bytes of
+    different hashes are equal by a chance of 1 in 255. DEVIATIONS are taken at the threshold, and one hash more.
+    """
+    k = np.maximum(((a != 0) | (b != 0)).sum(axis=1), 1)
+    both, same = ((a != 0) & (b != 0)).sum(axis=1), ((a == b) & (a != 0)).sum(axis=1)
+    estimate = (same - both / 255) / (1 - 1 / 255) / k
+    n = np.maximum(-BINS * np.log(np.maximum(1 - k / BINS, 1e-9)), k)
+    spread = similarity * (1 - similarity) / k * (1 - k / n) + (1 - similarity) / (255 * k)
+    margin = DEVIATIONS * np.sqrt(spread) + 1 / k
+    return estimate >= similarity - margin, estimate >= similarity + margin
 
 
 def _linked(found: DataFrame, docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float) -> DataFrame:
-    """Edges (src, dst) among pairs with estimates: clear ones by the estimate, the others by the whole texts."""
-    sure = found.where(F.col("estimate") >= similarity + MARGIN).select("src", "dst")
-    close = found.where((F.col("estimate") >= similarity - MARGIN) & (F.col("estimate") < similarity + MARGIN)).select("src", "dst")
+    """Edges (src, dst) among ``found(src, dst, sure)``: the others by the whole texts."""
+    close = found.where("not sure").select("src", "dst")
     whole = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("t"))
     whole = whole.join(close.select(F.explode(F.array("src", "dst")).alias("id")), "id", "left_semi").groupBy("id").agg(F.min("t").alias("t"))
     text = lambda c, n: whole.select(F.col("id").alias(c), F.col("t").alias(f"t{n}"))
@@ -316,7 +343,7 @@ def _linked(found: DataFrame, docs: DataFrame, id_col: str, text_col: str, shing
                 keep.append(common >= similarity * (len(a) + len(b) - common) > 0)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["src", "dst"]).filter(pa.array(keep, pa.bool_()))
 
-    return sure.union(exact.mapInArrow(verify, "src bigint, dst bigint"))
+    return found.where("sure").select("src", "dst").union(exact.mapInArrow(verify, "src bigint, dst bigint"))
 
 
 def wide_edges(reps: DataFrame, docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float, also: DataFrame | None = None) -> DataFrame:
@@ -334,10 +361,10 @@ def wide_edges(reps: DataFrame, docs: DataFrame, id_col: str, text_col: str, shi
     pairs = (pairs.union(also.select(F.least("src", "dst"), F.greatest("src", "dst"))) if also is not None else pairs).distinct()
     side = lambda c, n: reps.select(F.col("id").alias(c), F.col("sketch").alias(f"sketch{n}"))
     both = pairs.join(side("src", 1), "src").join(side("dst", 2), "dst").select("src", "dst", "sketch1", "sketch2")
-    found = materialize(both.mapInArrow(_estimates, "src bigint, dst bigint, estimate double").where(F.col("estimate") >= similarity - MARGIN), "simhash-wide")
+    found = materialize(both.mapInArrow(_estimates(similarity), _PAIR), "simhash-wide")
     stars = _linked(found, docs, id_col, text_col, shingle, similarity)
     parts = materialize(connected_components(stars), "simhash-parts")
-    rest = materialize(_unconnected(reps, hubs, parts).mapInArrow(_cross(similarity - MARGIN), "src bigint, dst bigint, estimate double"), "simhash-cross")
+    rest = materialize(_unconnected(reps, hubs, parts).mapInArrow(_cross(similarity), _PAIR), "simhash-cross")
     joined = parts.select(F.col("component").alias("src"), F.col("node").alias("dst"))
     return joined.union(_linked(rest, docs, id_col, text_col, shingle, similarity))
 
@@ -359,19 +386,29 @@ def _unconnected(reps: DataFrame, hubs: DataFrame, parts: DataFrame) -> DataFram
     return dealt.select("grp", "probe", "key", "id", "part", F.col("part") == F.col("big"), "bands", "sketch").repartition("grp").sortWithinPartitions("grp", "probe")
 
 
-def _cross(least: float):
-    """(src, dst, estimate) of pairs of a probe and a row of another part, at the first key that the two share."""
+def _cross(similarity: float):
+    """(src, dst, sure) of pairs of a probe and a row of another part, at the first key that the two share.
+
+    Parts that a sure pair connects are one from then on, so a group costs a pair for each part; only pairs in doubt that
+    are still apart are given all.
+    """
 
     def columns(batch):
         ints = [batch.column(c).to_numpy(zero_copy_only=False) for c in (2, 3, 4, 5)]
         bands = np.asarray(batch.column(6).flatten()).reshape(-1, BANDS)
-        return [*ints, bands, np.frombuffer(b"".join(batch.column(7).to_pylist()), dtype=np.uint8).reshape(-1, HASHES)]
+        return [*ints, bands, np.frombuffer(b"".join(batch.column(7).to_pylist()), dtype=np.uint8).reshape(-1, BINS)]
 
     def run(batches):
-        grp, held, index = None, [], None
+        grp, held, index, label = None, [], None, {}
+
+        def name(part):
+            while label.get(part, part) != part:
+                part = label[part]
+            return part
+
         for g, part in groups(batches, 0):
             if g != grp:
-                grp, held, index = g, [], None
+                grp, held, index, label = g, [], None, {}
             probe = part.column(1).to_numpy(zero_copy_only=False)
             first = int((~probe).sum())  # rows of the chunk come before its probes
             if first:
@@ -380,22 +417,25 @@ def _cross(least: float):
                 continue
             index = index or [np.concatenate(x) for x in zip(*held)]
             _, ids, parts, big, bands, sketch = index
-            src, dst, value = [], [], []
+            sure_, doubt = [], []
             for key, i, own, _, b, s in zip(*columns(part.slice(first))):
-                at = np.flatnonzero((parts != own) & (big | (ids > i)))  # two probes meet twice: once counts
-                if not at.size:
-                    continue
+                mine = name(int(own))
+                at = np.flatnonzero((parts != mine) & (big | (ids > i)))  # two probes meet twice: once counts
                 same = bands[at] == b
                 at = at[same.any(axis=1) & (b[same.argmax(axis=1)] == key)]
                 if not at.size:
                     continue
-                e = _estimate(sketch[at], s)
-                at, e = at[e >= least], e[e >= least]
-                src += [i] * len(at)
-                dst += ids[at].tolist()
-                value += e.tolist()
-            if src:
-                yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64()), pa.array(value, pa.float64())], ["src", "dst", "estimate"])
+                may, sure = _decided(sketch[at], s, similarity)
+                for other, j in dict(zip(parts[at[sure]].tolist(), at[sure].tolist())).items():
+                    sure_.append((int(i), int(ids[j])))
+                    label[other] = mine
+                    parts[parts == other] = mine
+                doubt += [(int(i), int(own), j) for j in at[may & ~sure].tolist()]
+            doubt = [(i, int(ids[j])) for i, own, j in doubt if parts[j] != name(own)]
+            rows = sure_ + doubt
+            if rows:
+                src, dst = zip(*rows)
+                yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64()), pa.array([True] * len(sure_) + [False] * len(doubt))], ["src", "dst", "sure"])
 
     return run
 
@@ -419,6 +459,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate component of every row of ``documents``; cases as in ``simhash_components``."""
     out = simhash_components(table(spark, sf_dir, "documents"))
     return out.select(
         F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id")
