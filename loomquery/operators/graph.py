@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomquery.operators._lineage import checkpointed
+
 KINDS = ["defines", "imports", "calls", "doc-links-code", "co-edit"]
 MAX_EDGES = 5000
 
@@ -26,17 +28,20 @@ def hubs(files: DataFrame, imports: DataFrame, top: int = 6) -> DataFrame:
     return files.join(degree, files.id == degree.target, "left").select("id", F.coalesce("n", F.lit(0)).alias("importers")).orderBy(F.desc("importers"), "id").limit(top)
 
 
-def closure(parents: DataFrame, depth: int = 16) -> DataFrame:
-    """(child, ancestor, depth) of a single-parent hierarchy, nearest depth first, safe on cycles.
+def closure(parents: DataFrame, depth: int | None = None) -> DataFrame:
+    """(child, ancestor, depth) of a single-parent hierarchy, nearest depth first, safe on cycles; ``depth`` levels, by default all.
 
-    Doubles path lengths each round, so log2(depth) joins; rows are checkpointed each round.
+    Doubles path lengths each round, so a chain takes as many joins as its length has bits; rows are checkpointed each round.
     """
     known = parents.where("child <> parent").groupBy("child").agg(F.min("parent").alias("ancestor")).withColumn("depth", F.lit(1))
-    reach = 1
-    while reach < depth:
+    known, reach, n = checkpointed(known), 1, -1
+    while (depth is None or reach < depth) and (m := known.count()) != n:
+        n = m
         a, b = known.alias("a"), known.alias("b")
-        longer = a.join(b, F.col("a.ancestor") == F.col("b.child")).select("a.child", "b.ancestor", (F.col("a.depth") + F.col("b.depth")).alias("depth")).where(f"child <> ancestor and depth <= {depth}")
-        known = known.union(longer).groupBy("child", "ancestor").agg(F.min("depth").alias("depth"))
+        longer = a.join(b, F.col("a.ancestor") == F.col("b.child")).select("a.child", "b.ancestor", (F.col("a.depth") + F.col("b.depth")).alias("depth")).where("child <> ancestor")
+        if depth is not None:
+            longer = longer.where(F.col("depth") <= depth)
+        known = checkpointed(known.union(longer).groupBy("child", "ancestor").agg(F.min("depth").alias("depth")))
         reach *= 2
     return known
 

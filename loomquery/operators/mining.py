@@ -75,7 +75,9 @@ def pmi(windows: DataFrame, window: str, left: str, right: str, top: int = 4) ->
     z = both.select(window, F.explode(left).alias("z")).groupBy("z").agg(F.count("*").alias("zc"))
     e = both.select(window, F.explode(right).alias("e")).groupBy("e").agg(F.count("*").alias("ec"))
     if total >= 20:
-        z, e = z.where(F.col("zc") / total <= 0.12), e.where(F.col("ec") / total <= 0.08)
+        # tokens in over a tenth or so of the windows: as many as a window holds on average, ten times or so
+        usual = lambda counts, n, rate: F.array(*(F.lit(r[0]) for r in counts.where(F.col(n) / total > rate).collect()))
+        both = both.select(window, F.array_except(left, usual(z, "zc", 0.12).cast("array<string>")).alias(left), F.array_except(right, usual(e, "ec", 0.08).cast("array<string>")).alias(right))
     pairs = both.select(F.explode(left).alias("z"), right).select("z", F.explode(right).alias("e")).groupBy("z", "e").agg(F.count("*").alias("s"))
     scored = pairs.join(z, "z").join(e, "e").withColumn("pmi", F.log2(F.col("s") * F.lit(total) / (F.col("zc") * F.col("ec"))))
     perfect = (F.col("zc") == F.col("ec")) & (F.col("ec") == F.col("s"))

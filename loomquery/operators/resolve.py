@@ -20,19 +20,45 @@ def enclosing(points: DataFrame, spans: DataFrame) -> DataFrame:
     return points.join(best, ["path", "point"], "left").select("path", "point", "name")
 
 
+#: Endings tried after a path without one, in order, by language.
+TRIED = ["", ".ts", ".tsx", ".js", ".mjs", "/index.ts", "/index.js"]
+C_FILES = r"\.(c|h|cc|cpp|hpp|cxx|hxx)$"
+
+
+def normal_path(path):
+    """A path without ``.`` and empty segments, ``..`` resolved; those that lead out of the root stay in front."""
+
+    def step(out, part):
+        up = (part == "..") & (F.size(out) > 0) & (F.element_at(F.concat(F.array(F.lit("..")), out), -1) != "..")
+        return F.when(part.isin("", "."), out).when(up, F.slice(out, 1, F.greatest(F.size(out) - 1, F.lit(0)))).otherwise(F.concat(out, F.array(part)))
+
+    return F.array_join(F.aggregate(F.split(path, "/"), F.expr("cast(array() as array<string>)"), step), "/")
+
+
 def import_candidates(module: str = "module", path: str = "path"):
-    """Candidate files of a relative import, in order."""
-    folder = F.regexp_extract(path, r"^(.*)/[^/]*$", 1)
-    joined = F.concat(folder, F.lit("/"), F.regexp_replace(module, r"^\./", ""))
-    up = F.concat(F.regexp_extract(folder, r"^(.*?)/?[^/]*$", 1), F.lit("/"), F.regexp_replace(module, r"^\.\./", ""))
-    stem = F.regexp_replace(F.when(F.col(module).startswith("../"), up).otherwise(joined), r"(^/|\.js$)", "")
-    return F.transform(F.array(*map(F.lit, ["", ".ts", ".tsx", ".js", ".jsx", ".py", "/index.ts", "/index.js", "/__init__.py"])), lambda s: F.concat(stem, s))
+    """Candidate files of an import, in order, by the rules of the importing file's language; none outside the root."""
+    folder, spec = F.regexp_extract(path, r"^(.*)/[^/]*$", 1), F.col(module)
+    inside = lambda *parts: normal_path(F.concat_ws("/", *parts))
+    each = lambda *paths: F.array(*paths)
+    dots = F.regexp_extract(spec, r"^(\.*)", 1)
+    dotted = F.replace(F.regexp_replace(spec, r"^\.+", ""), F.lit("."), F.lit("/"))
+    base = inside(folder, F.repeat(F.lit("../"), F.length(dots) - 1), dotted)
+    python = F.when(F.length(dots) > 0, each(F.concat(base, F.lit(".py")), F.concat(base, F.lit("/__init__.py")))).when(
+        dotted != "", F.transform(each(F.concat_ws("/", F.nullif(folder, F.lit("")), dotted), dotted, F.concat(F.lit("src/"), dotted), F.concat(dotted, F.lit("/__init__"))), lambda x: F.concat(x, F.lit(".py")))
+    )
+    crate = F.replace(F.regexp_replace(spec, "^(crate|super|self)::", ""), F.lit("::"), F.lit("/"))
+    rust = F.transform(each(inside(folder, crate), F.concat(F.lit("src/"), crate), crate, F.concat(F.lit("src/"), crate, F.lit("/mod"))), lambda x: F.concat(x, F.lit(".rs")))
+    c = F.transform(each(F.concat_ws("/", folder, spec), spec, F.concat(F.lit("include/"), spec), F.concat(F.lit("src/"), spec)), normal_path)
+    near = inside(folder, spec)
+    bare = F.regexp_replace(near, r"(?i)\.(js|mjs|cjs)$", "")
+    script = F.when(spec.startswith("."), F.transform(F.array(*map(F.lit, TRIED)), lambda x: F.when(x == "", near).otherwise(F.concat(bare, x))))
+    found = F.when(F.col(path).rlike(r"\.pyi?$"), python).when(F.col(path).rlike(r"\.rs$"), rust).when(F.col(path).rlike(C_FILES), c).otherwise(script)
+    return F.filter(found, lambda x: ~x.startswith(".."))
 
 
 def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
     """(path, module, target): the first candidate that is a known file, or null."""
-    relative = imports.where(F.col("module").startswith("."))
-    tried = relative.select("path", "module", F.posexplode(import_candidates()).alias("prio", "candidate"))
+    tried = imports.select("path", "module", F.posexplode(import_candidates()).alias("prio", "candidate"))
     best = tried.join(files.select(F.col("path").alias("candidate")), "candidate").groupBy("path", "module").agg(F.min_by("candidate", "prio").alias("target"))
     return imports.select("path", "module").distinct().join(best, ["path", "module"], "left")
 

@@ -43,12 +43,12 @@ def _words_sql(column: str, least: int = 4) -> str:
 # History mining
 
 _BASKETS = """rows AS (SELECT DISTINCT l_orderkey AS basket, l_partkey AS item FROM lineitem
-  WHERE l_orderkey IN (SELECT l_orderkey FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_partkey) <= 5)),
+  WHERE l_orderkey IN (SELECT l_orderkey FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_partkey) <= 20)),
 n AS (SELECT item, count(*) AS n FROM rows GROUP BY 1)"""
 
 
 def _baskets(spark, sf_dir):
-    return mining.baskets(_table(spark, sf_dir, "lineitem"), "l_orderkey", "l_partkey", 5)
+    return mining.baskets(_table(spark, sf_dir, "lineitem"), "l_orderkey", "l_partkey", 20)
 
 
 @_query(f"""WITH {_BASKETS},

@@ -7,6 +7,8 @@ import json
 import posixpath
 import re
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
@@ -14,11 +16,34 @@ from pyspark.sql.functions import udtf
 from loomquery.functions import text as T
 
 
-def read_files(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
-    """(path, content, size, mtime_ms) of the text files under a folder, state and generated folders left out."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)
+#: Larger files are not read.
+MAX_FILE_BYTES = 2 << 20
+
+
+def read_files(spark: SparkSession, root: str, pattern: str = "*", max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
+    """(path, content, size, mtime_ms) of the text files under a folder, state and generated folders and large files left out."""
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root).where(F.col("length") <= max_bytes)
     rows = raw.select(F.col("path"), F.decode("content", "UTF-8").alias("content"), F.col("length").alias("size"), (F.unix_millis("modificationTime")).cast("double").alias("mtime_ms"))
-    return rows.where(T.is_trackable(F.regexp_extract("path", r"([^/]+/)?[^/]+$", 0)))
+    base = re.sub(r"^file:/*", "/", root).rstrip("/")
+    inside = F.regexp_replace(F.regexp_replace("path", "^file:/*", "/"), "^" + re.escape(base) + "/", "")
+    return rows.where(T.is_trackable(inside))
+
+
+def tail_journal(spark: SparkSession, folder: str) -> DataFrame:
+    """A stream of (raw, ok, value) of the JSON-lines files of a folder, complete lines only; its checkpoint resumes after the files that were read."""
+    rows = spark.readStream.text(folder).where("trim(value) <> ''").select(F.col("value").alias("raw"))
+    return rows.withColumn("value", F.expr("try_parse_json(raw)")).withColumn("ok", F.coalesce(F.expr("startswith(schema_of_variant(value), 'OBJECT')"), F.lit(False)))
+
+
+def append_json_lines(df: DataFrame, path: str) -> None:
+    """Appends the rows of a table to a JSON-lines log."""
+    df.write.mode("append").option("ignoreNullFields", "false").json(path)
+
+
+def export_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
+    """Writes a graph's nodes and edges as JSON lines, sorted, for viewers."""
+    nodes.orderBy("id").write.mode("overwrite").json(f"{path}/nodes")
+    edges.orderBy("kind", "source", "target").write.mode("overwrite").json(f"{path}/edges")
 
 
 def read_journal(spark: SparkSession, path: str) -> DataFrame:

@@ -5,7 +5,7 @@ import decimal
 import duckdb
 import pytest
 
-from loomquery.plans import catalog, edits, lookup  # noqa: F401
+from loomquery.plans import catalog, edits, lookup, workspace  # noqa: F401
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -181,3 +181,59 @@ def test_verified_links_quote(spark):
     links = spark.createDataFrame([("s", "p", "a.b", None), ("s", "p", "axb", None)], "section string, path string, name string, parent_class string")
     got = verified_links(links, spark.createDataFrame([("s", "see a.b")], "section string, text string"), spark.createDataFrame([], "path string, name string")).collect()
     assert [r.name for r in got] == ["a.b"]
+
+
+def test_import_paths(spark):
+    from loomquery.operators import resolve
+
+    files = ["x.ts", "a/x.ts", "a/b/x.ts", "a/b/index.ts", "pkg/mod.py", "pkg/sub/__init__.py", "src/lib.py", "src/net/tcp.rs", "src/net/mod.rs", "include/h.h", "a/h.h"]
+    cases = {
+        ("a/b/c.ts", "../../x"): "x.ts", ("a/b/c.ts", "../x"): "a/x.ts", ("a/b/c.ts", "./x.js"): "a/b/x.ts", ("a/b/c.ts", "."): "a/b/index.ts", ("a/b/c.ts", "../../../x"): None, ("c.ts", "./x"): "x.ts", ("a/b/c.ts", "x"): None,
+        ("pkg/sub/m.py", "..mod"): "pkg/mod.py", ("q/m.py", "pkg.mod"): "pkg/mod.py", ("q/m.py", "lib"): "src/lib.py", ("pkg/m.py", ".sub"): "pkg/sub/__init__.py", ("pkg/m.py", "mod"): "pkg/mod.py",
+        ("src/net/a.rs", "super::tcp"): "src/net/tcp.rs", ("src/main.rs", "crate::net::tcp"): "src/net/tcp.rs", ("src/main.rs", "crate::net"): "src/net/mod.rs",
+        ("a/b/c.c", "../h.h"): "a/h.h", ("z/c.cpp", "h.h"): "include/h.h", ("z/c.cpp", "../../h.h"): None,
+    }
+    imports = spark.createDataFrame(list(cases), "path string, module string")
+    got = {(r["path"], r["module"]): r["target"] for r in resolve.resolve_imports(imports, spark.createDataFrame([(f,) for f in files], "path string")).collect()}
+    assert got == cases
+
+
+def test_closure_of_a_long_chain(spark):
+    from loomquery.operators.graph import closure
+
+    chain = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(50, 51), (51, 50)], "child long, parent long")
+    got = {(r["child"], r["ancestor"]): r["depth"] for r in closure(chain).collect()}
+    assert got == {**{(i, j): j - i for i in range(41) for j in range(i + 1, 41)}, (50, 51): 1, (51, 50): 1}
+    assert closure(chain, 4).agg({"depth": "max"}).first()[0] == 4
+
+
+def test_files_and_logs(spark, tmp_path):
+    from loomquery.sources import readers
+
+    for name, text in {"a/b.js": "x", "node_modules/b.js": "x", "node_modules/a/b.js": "x", "src/big.ts": "x" * 300, "src/s.ts": "é"}.items():
+        (tmp_path / "w" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "w" / name).write_text(text)
+    got = {r["path"].split("/w/")[1]: r["content"] for r in readers.read_files(spark, str(tmp_path / "w"), max_bytes=200).collect()}
+    assert got == {"a/b.js": "x", "src/s.ts": "é"}
+    log, out = str(tmp_path / "log"), str(tmp_path / "out")
+    for part in range(2):
+        readers.append_json_lines(spark.createDataFrame([(part, None)], "id int, note string"), log)
+        (tmp_path / "log" / f"bad{part}.json").write_text("[1]\n{bad\n\n")
+        stream = readers.tail_journal(spark, log).selectExpr("raw", "ok").writeStream.trigger(availableNow=True)
+        stream.option("checkpointLocation", str(tmp_path / "check")).format("json").start(out).awaitTermination()
+    rows = [(r["raw"], r["ok"]) for r in spark.read.json(out).collect()]
+    assert sorted(rows) == sorted([('{"id":0,"note":null}', True), ('{"id":1,"note":null}', True), ("[1]", False), ("[1]", False), ("{bad", False), ("{bad", False)])
+    readers.export_graph(spark.createDataFrame([("a",)], "id string"), spark.createDataFrame([("calls", "a", "a")], "kind string, source string, target string"), f"{tmp_path}/g")
+    assert spark.read.json(f"{tmp_path}/g/edges").count() == spark.read.json(f"{tmp_path}/g/nodes").count() == 1
+
+
+def test_receipts_cover_the_text(spark):
+    from loomquery.operators.workspace import receipt_pages
+
+    texts = spark.createDataFrame([(1, "abc" * 100), (2, ""), (3, None), (4, "x" * 36)], "id long, text string")
+    rows = receipt_pages(texts, 40).orderBy("id", "start").collect()
+    for i, text in ((1, "abc" * 100), (2, ""), (3, ""), (4, "x" * 36)):
+        pages = [r for r in rows if r["id"] == i]
+        assert "".join(p["body"] for p in pages) == text and [p["next"] for p in pages] == [*(p["start"] for p in pages[1:]), None]
+    with pytest.raises(ValueError):
+        receipt_pages(texts, 39)
