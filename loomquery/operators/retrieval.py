@@ -6,12 +6,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomquery.functions import text as T
+from loomquery.operators._lineage import checkpointed
 
 K1, B = 1.2, 0.75
 
 
 def postings(df: DataFrame, key: str, tokens: Column) -> DataFrame:
-    return df.select(F.col(key).alias("key"), F.explode(tokens).alias("token"))
+    """(key, len, token): a row for each token, with the number of tokens of its key."""
+    each = df.select(F.col(key).alias("key"), tokens.alias("tokens")).withColumn("len", F.size("tokens").cast("bigint"))
+    return each.select("key", "len", F.explode("tokens").alias("token"))
 
 
 def document_frequency(index: DataFrame) -> DataFrame:
@@ -26,16 +29,17 @@ def mentions(index: DataFrame, names: DataFrame, name: str) -> DataFrame:
 
 
 def bm25(queries: DataFrame, sections: DataFrame, least_shared: int = 2) -> DataFrame:
-    """(query, section, shared, score) over postings ``(key, token)`` on both sides, tokens distinct by key.
+    """(query, section, shared, score) over ``postings`` on both sides, tokens distinct by key.
 
-    Tokens in a quarter of the sections or more (four at least) are no evidence.
+    Tokens in a quarter of the sections or more (four at least) are no evidence. Only sections' tokens that a query has are
+    shuffled; each comes with its section's length.
     """
-    n, average = sections.groupBy("key").agg(F.count("*").alias("len")).agg(F.count("*"), F.avg("len")).first()
-    length = sections.groupBy("key").agg(F.count("*").alias("len"))
-    df = document_frequency(sections).where(~((F.col("df") >= 4) & (F.col("df") / F.lit(n or 1) >= 0.25)))
+    n, average = sections.groupBy("key").agg(F.first("len").alias("len")).agg(F.count("*"), F.avg("len")).first()
+    wanted = queries.select("token").distinct()
+    mine = sections.join(wanted, "token", "left_semi").select(F.col("key").alias("section"), "len", "token")
+    df = document_frequency(mine).where(~((F.col("df") >= 4) & (F.col("df") / F.lit(n or 1) >= 0.25)))
     idf = df.select("token", F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
-    hits = queries.select(F.col("key").alias("query"), "token").join(idf, "token").join(sections.select(F.col("key").alias("section"), "token"), "token")
-    hits = hits.join(length.withColumnRenamed("key", "section"), "section")
+    hits = queries.select(F.col("key").alias("query"), "token").join(idf, "token").join(mine, "token")
     tf = (K1 + 1) / (1 + K1 * (1 - B + B * F.col("len") / F.lit(average or 1.0)))
     return hits.groupBy("query", "section").agg(F.count("*").alias("shared"), F.round(F.sum(F.col("idf") * tf), 6).alias("score")).where(F.col("shared") >= least_shared)
 
@@ -73,19 +77,21 @@ def capped_ranking(scored: DataFrame, group: str, item: str, score: str, per_gro
 
 
 def greedy_caps(links: DataFrame, per_query: int = 3, per_section: int = 3) -> DataFrame:
-    """Takes links best first while both ends have room. Ends are coupled, so it runs over connected groups' rows.
+    """Takes links best first, ties by (query, section), while both ends have room.
 
-    ``links`` has a ``grp`` column such that no two groups share an end.
+    In rounds: a link that is among the best left of each end, as many as that end has room for, is taken whatever
+    becomes of the others; then ends without room lose what they have left. The best link left is always taken, and links that share no
+    end don't wait for each other, so no task or driver gathers a connected group. Rows of equal ends count once.
     """
-    import pandas as pd
-
-    def take(rows: pd.DataFrame) -> pd.DataFrame:
-        rows, q, s, keep = rows.sort_values(["score", "query", "section"], ascending=[False, True, True]), {}, {}, []
-        for a, b in zip(rows["query"], rows["section"]):
-            ok = q.get(a, 0) < per_query and s.get(b, 0) < per_section
-            keep.append(ok)
-            if ok:
-                q[a], s[b] = q.get(a, 0) + 1, s.get(b, 0) + 1
-        return rows[keep][["query", "section", "score"]]
-
-    return links.groupBy("grp").applyInPandas(take, "query bigint, section bigint, score double")
+    order = (F.desc("score"), "query", "section")
+    left = checkpointed(links.groupBy("query", "section").agg(F.max("score").alias("score")).withColumns({"rq": F.lit(per_query), "rs": F.lit(per_section)}))
+    taken = None
+    while not left.isEmpty():
+        ranks = {"kq": F.row_number().over(Window.partitionBy("query").orderBy(*order)), "ks": F.row_number().over(Window.partitionBy("section").orderBy(*order))}
+        ranked = left.withColumns(ranks).withColumn("now", (F.col("kq") <= F.col("rq")) & (F.col("ks") <= F.col("rs")))
+        used = {"uq": F.sum(F.col("now").cast("int")).over(Window.partitionBy("query")), "us": F.sum(F.col("now").cast("int")).over(Window.partitionBy("section"))}
+        ranked = checkpointed(ranked.withColumns(used))
+        now = ranked.where("now").select("query", "section", "score")
+        taken = now if taken is None else taken.union(now)
+        left = ranked.where("not now and uq < rq and us < rs").select("query", "section", "score", (F.col("rq") - F.col("uq")).cast("int").alias("rq"), (F.col("rs") - F.col("us")).cast("int").alias("rs"))
+    return links.select("query", "section", "score").limit(0) if taken is None else taken

@@ -145,10 +145,15 @@ def capped_search(spark, sf_dir):
     return retrieval.capped_ranking(_bm25(spark, sf_dir), "query", "section", "score", 2, 20)
 
 
-@_query()
+_GREEDY = """r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, section) AS rq, row_number() OVER (PARTITION BY section ORDER BY score DESC, query) AS rs FROM links),
+b AS (SELECT *, max(score) OVER (PARTITION BY query) AS best FROM r WHERE rq <= 8 AND rs <= 8),
+k AS (SELECT list([{'q': query, 's': section, 'v': score}] ORDER BY score DESC, query, section) AS l FROM b WHERE score >= greatest(4, 0.2 * best) AND score / (score + 8) >= 0.32),
+g AS (SELECT unnest(list_reduce(l, lambda a, x: CASE WHEN len(list_filter(a, lambda y: y.q = x[1].q)) < 3 AND len(list_filter(a, lambda y: y.s = x[1].s)) < 3 THEN list_concat(a, x) ELSE a END)) AS x FROM k)"""
+
+
+@_query(f"WITH {_BM25}, {_GREEDY} SELECT x.q AS query, x.s AS section, x.v AS score FROM g")
 def greedy_doc_links(spark, sf_dir):
-    links = retrieval.reciprocal_top(_bm25(spark, sf_dir), k=8, margin=0.2)
-    return retrieval.greedy_caps(links.withColumn("grp", F.lit(0)))  # at most eight links for each benchmark item
+    return retrieval.greedy_caps(retrieval.reciprocal_top(_bm25(spark, sf_dir), k=8, margin=0.2))
 
 
 @_query(f"""WITH w AS (SELECT doc_id, {_words_sql("split_part(text, '.', 1)")} AS w FROM documents WHERE doc_id < 1e18), v AS (SELECT * FROM w WHERE len(w) >= 3),
@@ -281,8 +286,12 @@ def enclosing_interval(spark, sf_dir):
     return resolve.enclosing(events.select(F.col("user_id").alias("path"), F.col("event_id").alias("point")), spans.withColumn("ordinal", F.col("first")))
 
 
-@_query(f"""WITH {cte('calls', 'symbols')} SELECT c.path, c.line, c.callee, s.parent_class AS target_class, s.path AS target_path, CAST(CASE WHEN s.parent_class = receiver_class THEN 0.95 ELSE 0.9 END AS DOUBLE) AS confidence
-FROM calls c JOIN symbols s ON s.name = c.callee AND (s.parent_class = receiver_class OR (receiver_class = 'C' AND s.parent_class = 'B'))""")
+@_query(f"""WITH RECURSIVE {cte('calls', 'symbols', 'parents')}, k(child, ancestor, depth) AS (SELECT DISTINCT receiver_class, receiver_class, 0 FROM calls WHERE receiver_class IS NOT NULL
+  UNION SELECT k.child, p.parent, depth + 1 FROM k JOIN parents p ON p.child = k.ancestor WHERE depth < 30),
+h AS (SELECT c.path, c.line, c.callee, s.parent_class AS target_class, s.path AS target_path, CAST(CASE WHEN k.depth = 0 THEN 0.95 ELSE 0.9 END AS DOUBLE) AS confidence,
+  row_number() OVER (PARTITION BY c.path, c.line, c.callee ORDER BY k.depth, s.path <> c.path, s.path, s.ordinal) AS r
+  FROM calls c JOIN k ON k.child = c.receiver_class JOIN symbols s ON s.name = c.callee AND s.parent_class = k.ancestor)
+SELECT path, line, callee, target_class, target_path, confidence FROM h WHERE r = 1""")
 def method_resolution(spark, sf_dir):
     return resolve.resolve_methods(frame(spark, "calls"), frame(spark, "symbols"), graph.closure(frame(spark, "parents")))
 
@@ -416,12 +425,24 @@ def budget_fold(spark, sf_dir):
 
 # Scalar functions
 
-@_query(f"""WITH {cte('files')} SELECT path, CASE WHEN path LIKE '%.ts' OR path LIKE '%.js' THEN 'js' WHEN path LIKE '%.py' THEN 'python' WHEN path LIKE '%.go' THEN 'go' WHEN path LIKE '%.cs' THEN 'csharp' ELSE 'other' END AS family,
-NOT (path LIKE 'dist/%' OR path = 'Cargo.lock') AS trackable, path IN ('py/test_model.py', 'go/engine_test.go', 'cs/OrderTests.cs', 'src/__tests__/app.spec.ts') AS is_test,
-CASE path WHEN 'src/util/index.ts' THEN 'index,util' ELSE regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_extract(path, '([^/]*)$', 1), '(\\.(test|spec))?\\.(ts|js|py|go|cs)$', ''), '^test_', ''), '_test$', ''), 'Tests?$', '') END AS stems FROM files""")
+# Paths of sixteen kinds, made of the keys of a table, in the dialect of both engines.
+_PATH_KINDS = """CASE p_partkey % 16 WHEN 0 THEN 'src/m' || p_partkey || '.ts' WHEN 1 THEN 'src/__tests__/m' || p_partkey || '.tsx' WHEN 2 THEN 'py/test_m' || p_partkey || '.py' WHEN 3 THEN 'py/m' || p_partkey || '_test.py'
+WHEN 4 THEN 'py/tests/conftest.py' WHEN 5 THEN 'go/m' || p_partkey || '_test.go' WHEN 6 THEN 'cs/M' || p_partkey || 'Tests.cs' WHEN 7 THEN 'cs/M' || p_partkey || 'Test.cs' WHEN 8 THEN 'web/m' || p_partkey || '.spec.js'
+WHEN 9 THEN 'rs/m' || p_partkey || '_test.rs' WHEN 10 THEN 'dist/m' || p_partkey || '.js' WHEN 11 THEN 'a/Cargo.lock' WHEN 12 THEN 'src/m' || p_partkey || '/index.ts' WHEN 13 THEN 'tests/m' || p_partkey || '.go'
+WHEN 14 THEN 'py/m' || p_partkey || '/__init__.py' ELSE 'c/m' || p_partkey || '.cpp' END"""
+
+
+@_query(f"""WITH f AS (SELECT DISTINCT {_PATH_KINDS} AS path FROM part), n AS (SELECT path, regexp_extract(path, '([^/]*)$', 1) AS base, lower(regexp_extract(path, '(\.[^./]*)$', 1)) AS ext, regexp_extract(path, '([^/]+)/[^/]*$', 1) AS parent FROM f),
+s AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(regexp_replace(base, '(\.(test|spec))?\.(ts|tsx|js|py|go|rs|cs|cpp)$', ''), '^test_', ''), '_test$', ''), 'Tests?$', '') AS stem FROM n)
+SELECT path, CASE WHEN ext IN ('.ts', '.tsx', '.js') THEN 'js' WHEN ext = '.py' THEN 'python' WHEN ext = '.go' THEN 'go' WHEN ext = '.rs' THEN 'rust' WHEN ext = '.cs' THEN 'csharp' WHEN ext = '.cpp' THEN 'c' ELSE 'other' END AS family,
+NOT (starts_with(path, 'dist/') OR base = 'Cargo.lock') AS trackable,
+CASE WHEN base IN ('conftest.py', '__init__.py') THEN FALSE WHEN ext = '.py' THEN starts_with(base, 'test_') OR ends_with(base, '_test.py') WHEN ext = '.go' THEN ends_with(base, '_test.go') WHEN ext = '.cs' THEN ends_with(base, 'Test.cs') OR ends_with(base, 'Tests.cs')
+  ELSE regexp_matches(path, '(^|/)(test|tests|__tests__|spec)/') OR contains(path, '.test.') OR contains(path, '.spec.') OR ends_with(base, '_test.rs') END AS is_test,
+CASE WHEN stem IN ('index', '__init__', 'mod') AND parent <> '' THEN stem || ',' || parent ELSE stem END AS stems FROM s""")
 def path_functions(spark, sf_dir):
     p = F.col("path")
-    return frame(spark, "files").select("path", T.language_family(p).alias("family"), T.is_trackable(p).alias("trackable"), T.is_test_path(p).alias("is_test"), F.array_join(T.path_stems(p), ",").alias("stems"))
+    paths = _table(spark, sf_dir, "part").selectExpr(f"{_PATH_KINDS} AS path").distinct()
+    return paths.select("path", T.language_family(p).alias("family"), T.is_trackable(p).alias("trackable"), T.is_test_path(p).alias("is_test"), F.array_join(T.path_stems(p), ",").alias("stems"))
 
 
 @_query(f"""WITH {cte('commands')} SELECT cmd, cmd IN ('git status', 'ls -la') AS noise, cmd IN ('cargo run', 'npm run dev &') OR contains(cmd, 'vite') AS long_running,

@@ -39,6 +39,18 @@ def test_greedy_caps(spark):
     rows = [(0, 1, s, 9.0 - s) for s in range(5)] + [(0, 2, 0, 8.5), (0, 3, 0, 8.4), (0, 4, 0, 8.3)]
     got = greedy_caps(spark.createDataFrame(rows, "grp int, query long, section long, score double"))
     assert {(r["query"], r["section"]) for r in got.collect()} == {(1, 0), (1, 1), (1, 2), (2, 0), (3, 0)}
+    import random
+
+    rng = random.Random(1)
+    rows = [(0, q, s, float(rng.randint(1, 6))) for q in range(12) for s in range(12) if rng.random() < 0.6]
+    want, q, s = set(), {}, {}
+    for _, a, b, v in sorted(rows, key=lambda r: (-r[3], r[1], r[2])):
+        if q.get(a, 0) < 3 and s.get(b, 0) < 3:
+            want.add((a, b))
+            q[a], s[b] = q.get(a, 0) + 1, s.get(b, 0) + 1
+    got = greedy_caps(spark.createDataFrame(rows, "grp int, query long, section long, score double"))
+    assert {(r["query"], r["section"]) for r in got.collect()} == want
+    assert greedy_caps(got.limit(0)).count() == 0
 
 
 def test_near_lines(spark, tmp_path):
@@ -100,6 +112,21 @@ def test_circuit_breaker_stream(spark, tmp_path):
     assert [tuple(r) for r in spark.sql("select streak, tripped from breaker order by seq").collect()] == [(1, False), (2, False), (1, False), (2, False), (3, True), (0, False)]
 
 
+def test_dedup_stream(spark, tmp_path):
+    """Reads of one content in a row are repeats, across batches too; sessions and files are apart."""
+    from loomquery.streaming.state import dedup_reads
+
+    schema = "session string, key string, seq long, digest string"
+    parts = [[("s", "f", 1, "a"), ("s", "f", 2, "a"), ("s", "g", 3, "a"), ("t", "f", 4, "a")], [("s", "f", 5, "a"), ("s", "f", 6, "b"), ("t", "f", 7, "a"), ("s", "g", 8, "b")]]
+    for n, rows in enumerate(parts):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = dedup_reads(spark.readStream.schema(schema).parquet(str(tmp_path / "in")))
+        q = stream.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start(str(tmp_path / "out"))
+        q.awaitTermination()
+    got = {r["seq"]: r["repeat"] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {1: False, 2: True, 3: False, 4: False, 5: True, 6: False, 7: True, 8: False}
+
+
 def test_snippets(spark):
     import io
     import zipfile
