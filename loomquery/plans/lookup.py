@@ -118,7 +118,7 @@ _STEMS = (
     "WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM documents), c AS (SELECT w, regexp_extract(w, '^(.{3,}?)(" + "|".join(L.SUFFIXES) + ")$', 1) AS cut, regexp_extract(w, '^(.{3,}?)("
     + "|".join(L.SUFFIXES) + ")$', 2) AS suf FROM w), d AS (SELECT w, CASE WHEN suf = '' OR (suf = 's' AND w[-2:] IN ('ss', 'us', 'is')) THEN w WHEN suf IN ('ies', 'ied') THEN cut || 'y' ELSE cut END AS x FROM c), "
     "e AS (SELECT w, CASE WHEN length(x) >= 4 AND x[-1] = x[-2] AND x[-1] NOT IN ('l', 's', 'z') THEN x[:-2] ELSE x END AS x FROM d), i AS (SELECT * FROM (VALUES "
-    + ", ".join(f"('{w}', '{base}')" for base, words in L.IRREGULAR.items() for w in words) + ") t(w, own)) "
+    + ", ".join(f"('{w}', '{base}')" for w, base in L.STEMS.items()) + ") t(w, own)) "
     "SELECT e.w AS word, CASE WHEN length(e.w) <= 3 THEN e.w WHEN own IS NOT NULL THEN own WHEN length(x) >= 5 AND x[-1] = 'e' THEN x[:-2] ELSE x END AS stem FROM e LEFT JOIN i ON i.w = e.w"
 )
 
