@@ -344,10 +344,10 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _contexts_of(rows: DataFrame, asked: DataFrame) -> DataFrame:
-    """The contexts of ``asked(h, dk, pos, own)``; texts of equal key are read once."""
+    """The contexts of ``asked(h, dk, pos, own)``; the texts are dealt as they are for removal, so that Spark reuses the exchange."""
     by_text = asked.groupBy("dk").agg(F.collect_list(F.struct("h", "pos", "own")).alias("marks"))
-    joined = rows.dropDuplicates(["dk"]).join(by_text.hint("shuffle_hash"), "dk")
-    return joined.select("dk", "text", "marks").mapInArrow(_contexts, _CONTEXT)
+    joined = rows.select("id", "dk", "text").join(by_text.hint("shuffle_hash"), "dk")
+    return joined.select("dk", "text", "marks", "id").mapInArrow(_contexts, _CONTEXT)
 
 
 def _scanned(rows: DataFrame, asked: DataFrame, hot: DataFrame, group_rows: int, whole: bool) -> DataFrame:
@@ -378,7 +378,7 @@ def _scanned(rows: DataFrame, asked: DataFrame, hot: DataFrame, group_rows: int,
 def repeat_spans(rows: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
     """(dk, start, stop, repeat): occurrences of maximal repeats; their union is every byte in a repeated window.
 
-    ``rows(dk, text)``. Occurrences with equal ``repeat`` hold equal strings. A gram that holds over 1 / HEAVY of all
+    ``rows(id, dk, text)``. Occurrences with equal ``repeat`` hold equal strings. A gram that holds over 1 / HEAVY of all
     anchors is dealt by salts of the context, so that no task reads it whole.
     """
     found = materialize(rows.select("dk", "text").mapInArrow(_anchor_rows, _ANCHOR), "repeat-anchors")
@@ -405,7 +405,7 @@ def repeat_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     text are an occurrence each. An empty table gives no rows.
     """
     rows = keyed(docs, id_col, text_col)
-    rows = materialize(rows.withColumn("dk", F.monotonically_increasing_id()), "group-rows")
+    rows = materialize(rows.select("id", "text").withColumn("dk", F.monotonically_increasing_id()), "group-rows")
     found = materialize(rows.select("dk", "text").mapInArrow(_anchor_rows, _ANCHOR).select("h", "c", "dk", "pos"), "group-anchors")
     leaves = found.groupBy("h", "c").agg(F.count("*").alias("n"), F.min(F.struct("dk", "pos")).alias("at"))
     leaves = materialize(leaves.select("h", "c", "n", "at.dk", "at.pos"), "group-leaves")
