@@ -432,8 +432,8 @@ WHEN 9 THEN 'rs/m' || p_partkey || '_test.rs' WHEN 10 THEN 'dist/m' || p_partkey
 WHEN 14 THEN 'py/m' || p_partkey || '/__init__.py' ELSE 'c/m' || p_partkey || '.cpp' END"""
 
 
-@_query(f"""WITH f AS (SELECT DISTINCT {_PATH_KINDS} AS path FROM part), n AS (SELECT path, regexp_extract(path, '([^/]*)$', 1) AS base, lower(regexp_extract(path, '(\.[^./]*)$', 1)) AS ext, regexp_extract(path, '([^/]+)/[^/]*$', 1) AS parent FROM f),
-s AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(regexp_replace(base, '(\.(test|spec))?\.(ts|tsx|js|py|go|rs|cs|cpp)$', ''), '^test_', ''), '_test$', ''), 'Tests?$', '') AS stem FROM n)
+@_query(f"""WITH f AS (SELECT DISTINCT {_PATH_KINDS} AS path FROM part), n AS (SELECT path, regexp_extract(path, '([^/]*)$', 1) AS base, lower(regexp_extract(path, '(\\.[^./]*)$', 1)) AS ext, regexp_extract(path, '([^/]+)/[^/]*$', 1) AS parent FROM f),
+s AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(regexp_replace(base, '(\\.(test|spec))?\\.(ts|tsx|js|py|go|rs|cs|cpp)$', ''), '^test_', ''), '_test$', ''), 'Tests?$', '') AS stem FROM n)
 SELECT path, CASE WHEN ext IN ('.ts', '.tsx', '.js') THEN 'js' WHEN ext = '.py' THEN 'python' WHEN ext = '.go' THEN 'go' WHEN ext = '.rs' THEN 'rust' WHEN ext = '.cs' THEN 'csharp' WHEN ext = '.cpp' THEN 'c' ELSE 'other' END AS family,
 NOT (starts_with(path, 'dist/') OR base = 'Cargo.lock') AS trackable,
 CASE WHEN base IN ('conftest.py', '__init__.py') THEN FALSE WHEN ext = '.py' THEN starts_with(base, 'test_') OR ends_with(base, '_test.py') WHEN ext = '.go' THEN ends_with(base, '_test.go') WHEN ext = '.cs' THEN ends_with(base, 'Test.cs') OR ends_with(base, 'Tests.cs')
