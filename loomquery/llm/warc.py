@@ -196,7 +196,9 @@ def write_warc(pages: DataFrame, root: str, min_bytes: int = 0, range_bytes: int
     ranges = max([1, *(shards.agg(F.coalesce(F.max(f"shard{s}"), F.lit(0))).first()[0] + 1 for s, shards in levels)])
     order = ["shard", "page_id", "kind", F.col("url"), F.sha1("payload")]
     spark = pages.sparkSession
-    done = placed.repartition(min(ranges, TASKS), "shard").sortWithinPartitions(*order).mapInArrow(_writer(f"{root}/data", file_bytes), _WRITTEN)
+    tasks = min(ranges, TASKS)
+    placed = placed.repartitionById(tasks, F.pmod("shard", F.lit(tasks)).cast("int"))  # a task a shard; hashes of few shards collide
+    done = placed.sortWithinPartitions(*order).mapInArrow(_writer(f"{root}/data", file_bytes), _WRITTEN)
     done.write.parquet(f"{root}/written")
     written = spark.read.schema(_WRITTEN).parquet(f"{root}/written")
     written.mapInArrow(_publish(f"{root}/data"), _MANIFEST).write.parquet(f"{root}/manifest")
