@@ -10,6 +10,9 @@ from loomquery.operators._lineage import checkpointed
 
 K1, B = 1.2, 0.75
 
+#: Bytes of the words, 64 more for each, that ``within_vocabulary`` gathers at most.
+VOCABULARY_BYTES = 16 << 20
+
 
 def postings(df: DataFrame, key: str, tokens: Column) -> DataFrame:
     """(key, len, token): a row for each token, with the number of tokens of its key."""
@@ -68,6 +71,19 @@ def near_matches(left: DataFrame, right: DataFrame, key: str, words: str, least:
     return scored.withColumn("rank", best).where("rank = 1").select("own", "other", "score")
 
 
+def within_vocabulary(rows: DataFrame, left: DataFrame, words: str, least: float = 0.86, most: int = VOCABULARY_BYTES) -> DataFrame:
+    """The ``rows`` that ``near_matches`` can give a left row for, and maybe others: ``least`` of their words are words of the left rows.
+
+    A vocabulary of over ``most`` bytes is not gathered; then all rows stay, and only the rarest words decide.
+    """
+    vocabulary = left.select(F.explode(words).alias("word")).distinct()
+    if (vocabulary.agg(F.sum(F.octet_length("word") + 64)).first()[0] or 0) > most:
+        return rows
+    known = frozenset(r[0] for r in vocabulary.collect())
+    share = F.pandas_udf(lambda lists: lists.map(lambda ws: sum(w in known for w in ws) / max(len(ws), 1)), "double")
+    return rows.where(share(words) >= least - 1e-6)  # scores are rounded to six places
+
+
 def capped_ranking(scored: DataFrame, group: str, item: str, score: str, per_group: int, top: int, cut: float = 0.72) -> DataFrame:
     """Global top rows with at most ``per_group`` of a group, cut off below a share of the best score."""
     w = Window.partitionBy(group).orderBy(F.desc(score), item)

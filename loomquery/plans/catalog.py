@@ -156,28 +156,34 @@ def greedy_doc_links(spark, sf_dir):
     return retrieval.greedy_caps(retrieval.reciprocal_top(_bm25(spark, sf_dir), k=8, margin=0.2))
 
 
-@_query(f"""WITH w AS (SELECT doc_id, {_words_sql("split_part(text, '.', 1)")} AS w FROM documents WHERE doc_id < 1e18), v AS (SELECT * FROM w WHERE len(w) >= 3),
-p AS (SELECT a.doc_id AS own, b.doc_id AS other, round(len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))), 6) AS score FROM v a JOIN v b ON a.doc_id % 2 = 0 AND b.doc_id % 2 = 1 AND list_has_any(a.w, b.w))
-SELECT own, other, score FROM p WHERE score >= 0.86 QUALIFY row_number() OVER (PARTITION BY own ORDER BY score DESC, other) = 1""")
+_SENTENCES_SQL = """SELECT {key}, place, {words} AS w FROM (SELECT {key}, unnest(l) AS text, generate_subscripts(l, 1) - 1 AS place FROM (SELECT {key}, string_split_regex(text, '[.!?\\n]+') AS l FROM {table}))"""
+
+
+@_query(f"""WITH a AS ({_SENTENCES_SQL.format(key='item_id', table='benchmark', words=_words_sql('text'))}), b AS ({_SENTENCES_SQL.format(key='doc_id', table='documents', words=_words_sql('text'))}),
+p AS (SELECT item_id, a.place AS sentence, doc_id, b.place AS doc_sentence, round(len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))), 6) AS score
+  FROM a JOIN b ON len(a.w) >= 3 AND len(b.w) >= 3 AND len(b.w) BETWEEN 0.85 * len(a.w) AND len(a.w) / 0.85)
+SELECT item_id, CAST(sentence AS INT) AS sentence, doc_id, CAST(doc_sentence AS INT) AS doc_sentence, score FROM p WHERE score >= 0.86
+QUALIFY row_number() OVER (PARTITION BY item_id, sentence ORDER BY score DESC, doc_id, doc_sentence) = 1""")
 def near_match(spark, sf_dir):
-    rows = _table(spark, sf_dir, "documents").select("doc_id", T.words(F.split_part("text", F.lit("."), F.lit(1)), 4).alias("w")).where(F.size("w") >= 3)
-    return retrieval.near_matches(rows.where("doc_id % 2 = 0"), rows.where("doc_id % 2 = 1"), "doc_id", "w")
+    """Best document sentence of each benchmark sentence: all of them, of the whole texts, of three words or more."""
+    def sentences(name, key):
+        rows = _table(spark, sf_dir, name).select(key, F.posexplode(F.split("text", "[.!?\n]+")).alias("place", "text"))
+        return rows.select(F.struct(key, "place").alias("key"), T.words(F.col("text"), 4).alias("w")).where(F.size("w") >= 3)
+
+    left = sentences("benchmark", "item_id")
+    near = retrieval.within_vocabulary(sentences("documents", "doc_id"), left, "w").persist()  # read twice
+    best = retrieval.near_matches(left, near, "key", "w")
+    return best.select("own.item_id", F.col("own.place").alias("sentence"), "other.doc_id", F.col("other.place").alias("doc_sentence"), "score")
 
 
 @_query()
 def near_lines(spark, sf_dir):
-    """Best document line of each benchmark item: all items against all lines of the whole texts.
-
-    A line this similar to an item has 86 % of its words from the items, so the others are left out first. The words
-    of the items go to the driver.
-    """
+    """Best document line of each benchmark item: all items against all lines of the whole texts."""
     words = T.words(F.col("text"), 4)
     line = F.posexplode(F.split("text", "\r?\n")).alias("line", "text")
     lines = _table(spark, sf_dir, "documents").select("doc_id", line).select(F.struct("doc_id", "line").alias("key"), words.alias("w"))
     items = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("key"), words.alias("w")).where(F.size("w") >= 3)
-    known = frozenset(r[0] for r in items.select(F.explode("w")).distinct().collect())
-    share = F.pandas_udf(lambda ws: ws.map(lambda w: sum(x in known for x in w) / max(len(w), 1)), "double")
-    near = lines.where(F.size("w") >= 3).where(share("w") >= 0.86 - 1e-6).persist()  # read twice; scores are rounded to six places
+    near = retrieval.within_vocabulary(lines.where(F.size("w") >= 3), items, "w").persist()  # read twice
     best = retrieval.near_matches(items, near, "key", "w")
     return best.select(F.col("own").alias("item_id"), "other.doc_id", "other.line", "score")
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from loomquery.functions import lexical
 from loomquery.operators import resolve
 from loomquery.operators import workspace as W
 from loomquery.plans.catalog import _query, _table
@@ -240,3 +241,36 @@ def glossary_covered(spark, sf_dir):
     keys = _table(spark, sf_dir, "part").select(F.col("p_name").alias("key")).distinct()
     known = _table(spark, sf_dir, "region").select(F.substring(F.lower("r_name"), 2, 1).alias("known"))
     return W.glossary_covered(keys.select("key"), known)
+
+
+# Type blocks of six languages, with a comment, a method or a call among the fields.
+_BLOCK = """CASE p_partkey % 6
+WHEN 0 THEN 'class K:' || chr(10) || '    a{s}: int' || chr(10) || '    # c: no' || chr(10) || '    def f(self):' || chr(10) || '        self.B{s} = 1' || chr(10) || '        self.a{s}: int = 2'
+WHEN 1 THEN 'type K struct {{' || chr(10) || chr(9) || 'a{s} string' || chr(10) || chr(9) || 'B{s} *pkg.T' || chr(10) || '}}'
+WHEN 2 THEN 'pub struct K {{' || chr(10) || '    pub a{s}: u32,' || chr(10) || '    // c: u8' || chr(10) || '    pub(crate) B{s}: String,' || chr(10) || '}}'
+WHEN 3 THEN 'public record K(string a{s}, int B{s})' || chr(13) || chr(10) || '{{' || chr(10) || '    public int C{s} {{ get; set; }}' || chr(10) || '    public void M() {{ }}' || chr(10) || '}}'
+WHEN 4 THEN 'struct K {{' || chr(10) || '  const int a{s} = 3;' || chr(10) || '  void m(int x);' || chr(10) || '  std::vector<int> *B{s};' || chr(10) || '}};'
+ELSE 'interface K {{' || chr(10) || '  readonly a{s}?: string;' || chr(10) || '  m();' || chr(10) || '  B{s}: (x: number) => void;' || chr(10) || '}}' END""".format(s="' || p_size || '")
+_ENDING = "'f' || p_partkey || CASE p_partkey % 6 WHEN 0 THEN '.py' WHEN 1 THEN '.go' WHEN 2 THEN '.rs' WHEN 3 THEN '.cs' WHEN 4 THEN '.hpp' ELSE '.ts' END"
+
+
+@_query("SELECT p_partkey, 'a' || p_size || ',B' || p_size || CASE WHEN p_partkey % 6 = 3 THEN ',C' || p_size ELSE '' END AS fields FROM part")
+def struct_fields(spark, sf_dir):
+    blocks = _table(spark, sf_dir, "part").selectExpr("p_partkey", f"{_BLOCK} AS block", f"{_ENDING} AS path")
+    return blocks.select("p_partkey", F.array_join(lexical.struct_fields(F.col("block"), F.col("path")), ",").alias("fields"))
+
+
+# Signatures that give the type T of the part's size, or none; every tenth size has a declared type too.
+_SIGNATURE = """CASE p_partkey % 6
+WHEN 0 THEN 'def f(x: int) -> Optional[T{s}]:'
+WHEN 1 THEN 'func (r *R) F(a map[string]int) *T{s} {{'
+WHEN 2 THEN 'fn f(&self) -> Result<T{s}, Error> {{'
+WHEN 3 THEN '(int x)'
+WHEN 4 THEN 'static const ns::T{s} Foo::bar(int x)'
+ELSE 'export function f(a: number): Promise<T{s}[]> {{' END""".format(s="' || p_size || '")
+
+
+@_query("SELECT p_partkey, CASE WHEN p_size % 10 = 0 THEN 'D' || p_size WHEN p_partkey % 6 <> 3 THEN 'T' || p_size END AS type FROM part")
+def return_types(spark, sf_dir):
+    rows = _table(spark, sf_dir, "part").selectExpr("p_partkey", f"{_SIGNATURE} AS signature", f"{_ENDING} AS path", "CASE WHEN p_size % 10 = 0 THEN 'D' || p_size || '[]' END AS declared")
+    return rows.select("p_partkey", lexical.return_type(F.col("signature"), F.col("path"), F.col("declared")).alias("type"))

@@ -81,6 +81,30 @@ def test_near_lines(spark, tmp_path):
     assert got == want and {(i % 2, v[1] % 2) for i, v in got.items()} == {(0, 0), (1, 1)} and all(v[2] == 1 for v in got.values())
 
 
+def test_within_vocabulary(spark):
+    """A vocabulary too large to gather leaves every row in, and the matches are the same."""
+    from loomquery.operators.retrieval import near_matches, within_vocabulary
+
+    left = spark.createDataFrame([(1, ["a", "b", "c"]), (2, ["d", "e", "f", "g"])], "key long, w array<string>")
+    right = spark.createDataFrame([(7, ["a", "b", "c"]), (8, ["a", "b", "x"]), (9, [])], "key long, w array<string>")
+    few, every = within_vocabulary(right, left, "w"), within_vocabulary(right, left, "w", most=10)
+    assert [r.key for r in few.collect()] == [7] and every.count() == 3 and within_vocabulary(right, left.limit(0), "w").count() == 0
+    assert near_matches(left, few, "key", "w").collect() == near_matches(left, every, "key", "w").collect()
+
+
+def test_fields_and_return_types_of_odd_sources(spark):
+    from pyspark.sql import functions as F
+
+    from loomquery.functions import lexical
+
+    blocks = [(None, "a.py", None), ("", "a.ts", []), ("record R(int A, string? B = 1)", "a.CS", ["A"]), ("struct S {\n  int (*f)(int);\n  // int y;\n}", "a.c", []), ("x {\n  a: 1\n  a: 2", "a", ["a"])]
+    got = [r[0] for r in spark.createDataFrame([(i, b, p) for i, (b, p, _) in enumerate(blocks)], "i int, b string, p string").orderBy("i").select(lexical.struct_fields(F.col("b"), F.col("p"))).collect()]
+    assert got == [w for _, _, w in blocks]
+    signatures = [(None, "a.go", None, None), ("", "a.py", None, None), ("T f()", "a.c", "void | U", "U"), ("func F() (int, error)", "a.go", None, "func"), ("def f(x)", "a.py", None, "def"), ("f(): A | B {", "a.ts", None, None)]
+    got = [r[0] for r in spark.createDataFrame([(i, *x[:3]) for i, x in enumerate(signatures)], "i int, s string, p string, d string").orderBy("i").select(lexical.return_type(F.col("s"), F.col("p"), F.col("d"))).collect()]
+    assert got == [x[3] for x in signatures]
+
+
 def test_python_source_parser(spark):
     from loomquery.sources.readers import PythonCalls, PythonSymbols
 
