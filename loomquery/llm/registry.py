@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, embeddings, langid, mixing, point_in_time, quality, sharding, simhash, suffix_dedup, warc
+from . import chat, decontaminate, divergence, embeddings, langid, mixing, point_in_time, quality, sharding, simhash, suffix_dedup, warc
 
-MODULES = [suffix_dedup, simhash, warc, chat, mixing, decontaminate, sharding, embeddings, quality, langid, point_in_time]
+MODULES = [suffix_dedup, simhash, warc, chat, mixing, decontaminate, sharding, embeddings, quality, langid, point_in_time, divergence]
 
 
 def queries() -> dict:
@@ -12,5 +12,5 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    out = {"op7_extendible_sharding": sharding.OP7_SQL, "op11_point_in_time": point_in_time.OP11_SQL}
+    out = {"op7_extendible_sharding": sharding.OP7_SQL, "op11_point_in_time": point_in_time.OP11_SQL, "op12_divergence": divergence.OP12_SQL}
     return out
