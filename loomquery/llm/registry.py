@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, divergence, embeddings, langid, mixing, point_in_time, quality, sharding, simhash, suffix_dedup, warc
+from . import chat, decontaminate, divergence, embeddings, langid, mixing, pii, point_in_time, quality, sharding, simhash, suffix_dedup, warc
 
-MODULES = [suffix_dedup, simhash, warc, chat, mixing, decontaminate, sharding, embeddings, quality, langid, point_in_time, divergence]
+MODULES = [suffix_dedup, simhash, warc, chat, mixing, decontaminate, sharding, embeddings, quality, langid, point_in_time, divergence, pii]
 
 
 def queries() -> dict:
