@@ -178,11 +178,15 @@ _CONTEXT = "h bigint, dk bigint, pos int, own boolean, before binary, after bina
 
 
 def _contexts(batches):
-    """The context bytes of the asked-for anchors of each text; ``before`` runs backwards."""
+    """The context bytes of the asked-for anchors of each text; ``before`` runs backwards. Of equal rows, which are in one task, only the first counts."""
+    seen = set()
     for batch in batches:
         for part in pieces(batch, 1):
             out = []
             for key, text, marks in zip(*(part.column(i).to_pylist() for i in range(3))):
+                if key in seen:
+                    continue
+                seen.add(key)
                 raw = (text or "").encode("utf-8", "surrogatepass")
                 out += [(m["h"], key, m["pos"], m["own"], raw[max(0, m["pos"] - LEFT) : m["pos"]][::-1], raw[m["pos"] : m["pos"] + LENGTH]) for m in marks]
             cols = list(zip(*out)) if out else [()] * 6
@@ -345,7 +349,7 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def _contexts_of(rows: DataFrame, asked: DataFrame) -> DataFrame:
     """The contexts of ``asked(h, dk, pos, own)``; the texts are dealt as they are for removal, so that Spark reuses the exchange."""
-    by_text = asked.groupBy("dk").agg(F.collect_list(F.struct("h", "pos", "own")).alias("marks"))
+    by_text = asked.groupBy("dk").agg(F.collect_set(F.struct("h", "pos", "own")).alias("marks"))
     joined = rows.select("id", "dk", "text").join(by_text.hint("shuffle_hash"), "dk")
     return joined.select("dk", "text", "marks", "id").mapInArrow(_contexts, _CONTEXT)
 
@@ -438,10 +442,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     A byte goes if any LENGTH-byte string over it also starts elsewhere, in this or another text; ``runs`` are the
     maximal removed [start, stop). Null text is empty; texts shorter than LENGTH never change. A repeated
-    row is a copy like any other. An empty table gives no rows.
+    row is a copy like any other; equal rows share one set of spans. An empty table gives no rows.
     """
     rows = keyed(docs, id_col, text_col)
-    spans = repeat_spans(rows, group_rows).groupBy("dk").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    spans = repeat_spans(rows, group_rows).groupBy("dk").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
     joined = rows.select("id", "dk", "text").join(spans.hint("shuffle_hash"), "dk", "left")
 
     def run(batches):

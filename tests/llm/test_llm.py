@@ -53,6 +53,17 @@ def test_suffix_dedup(spark, texts):
     assert suffix_dedup.remove_repeats(_docs(spark, texts).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("limit", [suffix_dedup.GROUP_ROWS, 2])
+def test_suffix_dedup_of_one_row_many_times(spark, limit):
+    """Copies of a row, and of one that differs in the middle, share their spans: no list grows with the copies."""
+    rng = random.Random(8)
+    text = "".join(rng.choice("abcdefgh ") for _ in range(3_000))
+    texts = [text] * 2_000 + [text[:1_000] + "#" + text[1_000:]] * 1_000 + ["x" * 10 + text[1_500:1_800]]
+    ids = [7] * 3_000 + [None]
+    got = Counter((r["id"], bytes(r["kept"]), r["n_bytes"]) for r in suffix_dedup.remove_repeats(_docs(spark, texts, ids), group_rows=limit).collect())
+    assert got == {(7, b"", 3_000): 2_000, (7, b"", 3_001): 1_000, (None, b"x" * 10, 310): 1}
+
+
 @pytest.mark.parametrize("limit", [suffix_dedup.GROUP_ROWS, 2])
 def test_repeat_groups(spark, texts, limit):
     """Each group holds every occurrence of its string; together they cover every byte of a repeated window."""
