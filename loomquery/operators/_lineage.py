@@ -1,18 +1,55 @@
-"""Cutting the lineage of iterative plans."""
+"""Cutting the lineage of iterative plans, and tables in the shared folder."""
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
+_WRITTEN: list[str] = []
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df``, written to the folder in spark.checkpoint.dir; a temporary folder serves only where that is unset and the master is local."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        where = context.getConf().get("spark.checkpoint.dir", None)
-        if not where and not context.master.startswith("local"):
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir; a temporary folder serves only where that is unset and the master is local."""
+    context = spark.sparkContext
+    where = context.getConf().get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not where:
+        if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        context.setCheckpointDir(where or f"file://{tempfile.mkdtemp(prefix='loomquery-')}")
+        where = f"file://{tempfile.mkdtemp(prefix='loomquery-')}"
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(where)
+    return where.rstrip("/")
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df``, written to the shared folder."""
+    shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def shared_path(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder; what is written there is deleted at exit."""
+    path = f"{shared_dir(spark)}/loomquery/{label}-{uuid.uuid4().hex}"
+    if not _WRITTEN:
+        atexit.register(_remove_written)
+    _WRITTEN.append(path)
+    return path
+
+
+def _remove_written() -> None:
+    spark = SparkSession.getActiveSession()
+    if spark is None or spark.sparkContext._jsc is None:
+        return
+    while _WRITTEN:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """``df``, written to the shared folder as a table and read again: with the columns' statistics, and only those that are asked for."""
+    path = shared_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

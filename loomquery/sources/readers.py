@@ -7,14 +7,12 @@ import json
 import posixpath
 import re
 
-import re
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 
 from loomquery.functions import text as T
-
+from loomquery.sources.journal import parsed
 
 #: Larger files are not read.
 MAX_FILE_BYTES = 2 << 20
@@ -29,12 +27,6 @@ def read_files(spark: SparkSession, root: str, pattern: str = "*", max_bytes: in
     return rows.where(T.is_trackable(inside))
 
 
-def tail_journal(spark: SparkSession, folder: str) -> DataFrame:
-    """A stream of (raw, ok, value) of the JSON-lines files of a folder, complete lines only; its checkpoint resumes after the files that were read."""
-    rows = spark.readStream.text(folder).where("trim(value) <> ''").select(F.col("value").alias("raw"))
-    return rows.withColumn("value", F.expr("try_parse_json(raw)")).withColumn("ok", F.coalesce(F.expr("startswith(schema_of_variant(value), 'OBJECT')"), F.lit(False)))
-
-
 def append_json_lines(df: DataFrame, path: str) -> None:
     """Appends the rows of a table to a JSON-lines log."""
     df.write.mode("append").option("ignoreNullFields", "false").json(path)
@@ -47,10 +39,8 @@ def export_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
 
 
 def read_journal(spark: SparkSession, path: str) -> DataFrame:
-    """(raw, ok, value) of a JSON-lines log; lines that are no JSON object are kept with ok = false."""
-    rows = spark.read.text(path).where("trim(value) <> ''").select(F.col("value").alias("raw"))
-    value = F.expr("try_parse_json(raw)")
-    return rows.select("raw", value.alias("value")).withColumn("ok", F.coalesce(F.expr("startswith(schema_of_variant(value), 'OBJECT')"), F.lit(False)))
+    """(raw, value, ok) of a JSON-lines log; lines that are no JSON object are kept with ok = false."""
+    return parsed(spark.read.text(path).where("trim(value) <> ''").select(F.col("value").alias("raw")))
 
 
 def parse_log(spark: SparkSession, path: str) -> DataFrame:
@@ -113,10 +103,6 @@ class PythonCalls:
                     yield node.func.attr, node.lineno, len(node.args), node.func.value.id if isinstance(node.func.value, ast.Name) else None
 
 
-def write_json_lines(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").json(path)
-
-
 def load_aliases(spark: SparkSession, path: str, depth: int = 8) -> list[tuple[str, list[str]]]:
     """Alias patterns of a compiler configuration for ``resolve_aliases``; what it extends is read where it has none itself.
 
