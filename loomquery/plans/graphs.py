@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loomquery.operators import incremental
+from loomquery.functions import lexical
+from loomquery.operators import incremental, lookup
+from loomquery.operators._lineage import written
 from loomquery.plans.catalog import _query, _table
 from loomquery.plans.workspace import _CODE_SQL, _MODULE, _path
+from loomquery.sources import declarations
 
 # At time 1 a tenth of the files has come, another has gone, and a third has other names and parent classes. The expressions are both Spark's and SQL's.
 _SHIFT = "CASE WHEN {k} % 10 = 5 THEN {t} ELSE 0 END"
@@ -80,3 +83,33 @@ def graph_increment(spark, sf_dir):
 def graph_kinds(spark, sf_dir):
     """Edges of each kind of the full graph at time 1."""
     return incremental.edges(incremental.rebuild(_code(spark, sf_dir, 1))).groupBy("kind").agg(F.count("*").alias("edges"))
+
+
+# A class in six languages: its method calls on a parameter, a variable, the variable after another branch has set it anew, itself, a field and its base.
+_RECEIVERS = """CASE p_partkey % 6
+WHEN 0 THEN 'import {{ P }} from "./p";' || chr(10) || 'export class K{s}<T> extends ns.B{s} {{' || chr(10) || '  private f: F{s}[] = [];' || chr(10) || '  async run(p: P{s} | null, n = 1): Promise<void> {{' || chr(10) || '    let v = new V{s}(p);' || chr(10)
+  || '    p.a(); // v = new X();' || chr(10) || '    v.b({{ x: 1 }});' || chr(10) || '    if (n) {{ v = new W{s}() }}' || chr(10) || '    v.c();' || chr(10) || '    this.d(); this.f.e(); super.g();' || chr(10) || '  }}' || chr(10) || '}}'
+WHEN 1 THEN 'class K{s}(object, ns.B{s}):' || chr(10) || '    def __init__(self):' || chr(10) || '        self.f: list[F{s}] = []' || chr(10) || '    def run(self, p: "Optional[P{s}]", n=1) -> None:' || chr(10) || '        v = V{s}(p)  # v = X()' || chr(10) || '        p.a()' || chr(10)
+  || '        v.b({{1: 2}})' || chr(10) || '        if n:' || chr(10) || '            v = W{s}()' || chr(10) || '        v.c()' || chr(10) || '        self.d(); self.f.e(); super().x(); super.g()' || chr(10)
+WHEN 2 THEN 'package m' || chr(10) || 'type K{s} struct {{' || chr(10) || '  f *F{s}' || chr(10) || '}}' || chr(10) || 'func (k *K{s}) Run(p *P{s}, n int) error {{' || chr(10) || '  v := &V{s}{{A: 1}}' || chr(10) || '  p.a()' || chr(10) || '  v.b()' || chr(10)
+  || '  if n > 0 {{ v = W{s}{{}} }}' || chr(10) || '  v.c()' || chr(10) || '  k.d(); k.f.e()' || chr(10) || '  return nil' || chr(10) || '}}'
+WHEN 3 THEN 'pub struct K{s} {{ pub f: Box<F{s}>, n: u8 }}' || chr(10) || 'impl<T> K{s} {{' || chr(10) || '  pub fn run(&self, p: &mut P{s}, n: u8) -> Result<(), E> {{' || chr(10) || '    let mut v = V{s}::new(p);' || chr(10) || '    p.a();' || chr(10) || '    v.b();' || chr(10)
+  || '    if n > 0 {{ v = W{s}::new(1); }}' || chr(10) || '    v.c();' || chr(10) || '    self.d(); self.f.e();' || chr(10) || '  }}' || chr(10) || '}}'
+WHEN 4 THEN '#include "p.h"' || chr(10) || 'template <class T> class K{s} : public virtual ns::B{s} {{' || chr(10) || ' public:' || chr(10) || '  int run(const P{s} &p, int n) const {{' || chr(10) || '    auto v = new V{s}(p);' || chr(10) || '    p.a();' || chr(10) || '    v->b();' || chr(10)
+  || '    if (n) {{ v = new W{s}(); }}' || chr(10) || '    v->c();' || chr(10) || '    this->d(); this->f->e(); B{s}::g();' || chr(10) || '  }}' || chr(10) || '  F{s} *f;' || chr(10) || '}};'
+ELSE 'using N.P;' || chr(10) || 'namespace N {{' || chr(10) || '[A(1)]' || chr(10) || 'public sealed class K{s} : N.B{s}, IFace {{' || chr(10) || '  private readonly List<F{s}> f = new();' || chr(10) || '  public async Task<int> Run(P{s} p, int n = 1) {{' || chr(10)
+  || '    var v = new V{s}(p);' || chr(10) || '    p.a();' || chr(10) || '    v.b();' || chr(10) || '    if (n > 0) {{ v = new W{s}(); }}' || chr(10) || '    v.c();' || chr(10) || '    this.d(); this.f.e(); base.g();' || chr(10) || '  }}' || chr(10) || '}} }}' END""".format(s="' || p_partkey || '")
+_SOURCE = "'s' || p_partkey || CASE p_partkey % 6 WHEN 0 THEN '.ts' WHEN 1 THEN '.py' WHEN 2 THEN '.go' WHEN 3 THEN '.rs' WHEN 4 THEN '.cpp' ELSE '.cs' END"
+
+
+@_query(f"""WITH w AS (SELECT * FROM (VALUES ('a', 'P'), ('b', 'V'), ('c', NULL), ('d', 'K'), ('e', 'F'), ('g', 'B')) t(callee, letter))
+SELECT {_SOURCE} AS path, callee, letter || p_partkey AS type FROM part, w WHERE callee <> 'g' OR p_partkey % 6 NOT IN (2, 3)""")
+def typed_calls(spark, sf_dir):
+    """Types of the receivers of member calls, read from source texts."""
+    found = declarations.parse(written(_table(spark, sf_dir, "part").selectExpr(f"{_SOURCE} AS path", f"{_RECEIVERS} AS content"), "sources"))
+    calls = found["calls"].where("receiver is not null").select("path", "ordinal", "callee", F.col("line"), F.col("receiver").alias("name"), "scope", F.col("owner").alias("class"))
+    fields = found["fields"].select(F.col("owner").alias("class"), "name", lexical.unwrap_type(F.regexp_replace("type", "[*&]", "")).alias("type")).where("type is not null")
+    parents = found["parents"].where("base <> 'object'").groupBy("child").agg(F.min_by("base", F.struct("line", "ordinal")).alias("parent"))
+    types = found["symbols"].where("parent_class is null and kind not in ('function', 'method')").select("path", "name")
+    typed = lookup.receiver_types(calls.drop("ordinal", "callee").distinct(), found["bindings"], fields, parents, types)
+    return calls.join(typed, ["path", "line", "name"]).select("path", "callee", "type").distinct()

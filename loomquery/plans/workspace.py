@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loomquery.functions import lexical
 from loomquery.operators import resolve
 from loomquery.operators import workspace as W
 from loomquery.plans.catalog import _query, _table
+from loomquery.sources import declarations
 
 # Files of four languages, and imports between them that climb none, one or two folders. The expressions are both Spark's and SQL's.
 _PLACE = "'p' || ({k} % 3) || '/m' || ({k} % 5) || '/f' || {k}"
@@ -226,14 +226,18 @@ _CLASS = """CASE p_partkey % 4 WHEN 0 THEN 'export class K' || (p_partkey % 90)
 WHEN 1 THEN 'class K' || (p_partkey % 90) || '(object, ' || CASE WHEN p_partkey % 7 = 0 THEN 'low' ELSE 'pkg.known' END || ', B' || (p_size % 9) || '):'
 WHEN 2 THEN '  public sealed class K' || (p_partkey % 90) || ' : Ns.B' || (p_size % 9) || ', IFace {'
 ELSE 'template <class T> class K' || (p_partkey % 90) || ' : public virtual ns::' || CASE WHEN p_partkey % 7 = 0 THEN 'low' ELSE 'B' || (p_size % 9) END || ' {' END"""
-_FAMILY = "CASE p_partkey % 4 WHEN 0 THEN 'js' WHEN 1 THEN 'python' WHEN 2 THEN 'csharp' ELSE 'c' END"
+_CLASS_FILE = "CASE p_partkey % 4 WHEN 0 THEN '.ts' WHEN 1 THEN '.py' WHEN 2 THEN '.cs' ELSE '.cpp' END"
 
 
 @_query("""WITH c AS (SELECT p_partkey AS path, 'K' || (p_partkey % 90) AS name, CASE WHEN p_partkey % 4 = 1 AND p_partkey % 7 > 0 THEN 'known' WHEN p_partkey % 4 = 3 AND p_partkey % 7 = 0 THEN NULL ELSE 'B' || (p_size % 9) END AS parent FROM part)
 SELECT name, arg_min(parent, path) AS parent FROM c WHERE parent IS NOT NULL GROUP BY 1""")
 def class_parents(spark, sf_dir):
-    lines = _table(spark, sf_dir, "part").selectExpr("p_partkey AS path", "1 AS line", f"{_FAMILY} AS family", f"{_CLASS} AS text", "array('known') AS known")
-    return W.class_parents(lines)
+    files = _table(spark, sf_dir, "part").selectExpr(f"p_partkey || {_CLASS_FILE} AS path", f"{_CLASS} AS content")
+    parents = declarations.parse(files)["parents"].withColumnRenamed("child", "name")
+    bases = F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "base"))), lambda b: b.base)
+    family = F.expr("element_at(map('ts', 'js', 'py', 'python', 'cs', 'csharp', 'cpp', 'c'), split_part(path, '.', -1))")
+    headers = parents.groupBy("path", "name", "line").agg(bases.alias("bases")).select("*", family.alias("family"), F.array(F.lit("known")).alias("known"))
+    return W.class_parents(headers.withColumn("path", F.split("path", r"\.")[0].cast("bigint")))
 
 
 @_query("SELECT DISTINCT p_name AS key FROM part WHERE EXISTS (SELECT 1 FROM region WHERE contains(lower(p_name), substr(lower(r_name), 2, 1)))")
@@ -257,7 +261,7 @@ _ENDING = "'f' || p_partkey || CASE p_partkey % 6 WHEN 0 THEN '.py' WHEN 1 THEN
 @_query("SELECT p_partkey, 'a' || p_size || ',B' || p_size || CASE WHEN p_partkey % 6 = 3 THEN ',C' || p_size ELSE '' END AS fields FROM part")
 def struct_fields(spark, sf_dir):
     blocks = _table(spark, sf_dir, "part").selectExpr("p_partkey", f"{_BLOCK} AS block", f"{_ENDING} AS path")
-    return blocks.select("p_partkey", F.array_join(lexical.struct_fields(F.col("block"), F.col("path")), ",").alias("fields"))
+    return blocks.select("p_partkey", F.array_join(declarations.struct_fields(F.col("block"), F.col("path")), ",").alias("fields"))
 
 
 # Signatures that give the type T of the part's size, or none; every tenth size has a declared type too.
@@ -273,4 +277,4 @@ ELSE 'export function f(a: number): Promise<T{s}[]> {{' END""".format(s="' || p_
 @_query("SELECT p_partkey, CASE WHEN p_size % 10 = 0 THEN 'D' || p_size WHEN p_partkey % 6 <> 3 THEN 'T' || p_size END AS type FROM part")
 def return_types(spark, sf_dir):
     rows = _table(spark, sf_dir, "part").selectExpr("p_partkey", f"{_SIGNATURE} AS signature", f"{_ENDING} AS path", "CASE WHEN p_size % 10 = 0 THEN 'D' || p_size || '[]' END AS declared")
-    return rows.select("p_partkey", lexical.return_type(F.col("signature"), F.col("path"), F.col("declared")).alias("type"))
+    return rows.select("p_partkey", declarations.return_type(F.col("signature"), F.col("path"), F.col("declared")).alias("type"))

@@ -96,13 +96,13 @@ def test_within_vocabulary(spark):
 def test_fields_and_return_types_of_odd_sources(spark):
     from pyspark.sql import functions as F
 
-    from loomquery.functions import lexical
+    from loomquery.sources import declarations
 
     blocks = [(None, "a.py", None), ("", "a.ts", []), ("record R(int A, string? B = 1)", "a.CS", ["A"]), ("struct S {\n  int (*f)(int);\n  return x;\n}", "a.c", ["x"]), ("x {\n  a: 1\n  a: 2", "a", ["a"])]
-    got = [r[0] for r in spark.createDataFrame([(i, b, p) for i, (b, p, _) in enumerate(blocks)], "i int, b string, p string").orderBy("i").select(lexical.struct_fields(F.col("b"), F.col("p"))).collect()]
+    got = [r[0] for r in spark.createDataFrame([(i, b, p) for i, (b, p, _) in enumerate(blocks)], "i int, b string, p string").orderBy("i").select(declarations.struct_fields(F.col("b"), F.col("p"))).collect()]
     assert got == [w for _, _, w in blocks]
     signatures = [(None, "a.go", None, None), ("", "a.py", None, None), ("T f()", "a.c", "void | U", "U"), ("func F() (int, error)", "a.go", None, "func"), ("def f(x)", "a.py", None, "def"), ("f(): A | B {", "a.ts", None, None)]
-    got = [r[0] for r in spark.createDataFrame([(i, *x[:3]) for i, x in enumerate(signatures)], "i int, s string, p string, d string").orderBy("i").select(lexical.return_type(F.col("s"), F.col("p"), F.col("d"))).collect()]
+    got = [r[0] for r in spark.createDataFrame([(i, *x[:3]) for i, x in enumerate(signatures)], "i int, s string, p string, d string").orderBy("i").select(declarations.return_type(F.col("s"), F.col("p"), F.col("d"))).collect()]
     assert got == [x[3] for x in signatures]
 
 
