@@ -32,6 +32,14 @@ def head_tail(rows: DataFrame, most: int, head: int, tail: int) -> DataFrame:
     return out.groupBy("key").agg(F.count("*").alias("shown"), (F.max("n") - F.count("*")).alias("omitted"))
 
 
+def folded(text: Column, most: int, head: int, tail: int) -> Column:
+    """A text of over ``most`` lines as its first and last ones, with the number of those left out between them."""
+    rows = F.split(text, r"\r?\n")
+    note = F.concat(F.lit("... "), (F.size(rows) - (head + tail)).cast("string"), F.lit(" lines"))
+    short = F.concat(F.slice(rows, 1, head), F.array(note), F.slice(rows, -tail, tail))
+    return F.when(F.size(rows) > most, F.array_join(short, "\n")).otherwise(text)
+
+
 def squeeze_blanks(rows: DataFrame) -> DataFrame:
     """Runs of blank lines become one."""
     w = Window.partitionBy("key").orderBy("no")

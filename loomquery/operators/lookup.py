@@ -70,14 +70,18 @@ def resolve_exports(wanted: DataFrame, symbols: DataFrame, reexports: DataFrame,
 def last_assignment(uses: DataFrame, assignments: DataFrame) -> DataFrame:
     """(path, scope, name, line, found, type): the latest assignment strictly before each use.
 
-    The type is null where that assignment has none, or where the earlier ones differ over several blocks.
+    The type is null where that assignment has none, or where the earlier ones differ over several blocks; of several on one line the
+    largest type counts. Uses and assignments of a name pass one window in the order of lines, so no use meets each assignment.
     """
-    earlier = assignments.select("path", "scope", "name", F.col("line").alias("at"), "type", "block")
-    pairs = uses.select("path", "scope", "name", "line").distinct().join(earlier, ["path", "scope", "name"], "left").where("at is null or at < line")
-    seen = pairs.groupBy("path", "scope", "name", "line").agg(F.count("at").alias("n"), F.max_by("type", "at").alias("last"), F.countDistinct("type").alias("types"), F.countDistinct("block").alias("blocks"))
-    known = F.when((F.col("types") <= 1) | (F.col("blocks") <= 1), F.col("last"))
-    kept = seen.select("path", "scope", "name", "line", (F.col("n") > 0).alias("found"), known.alias("type"))
-    return uses.select("path", "scope", "name", "line").distinct().join(kept, ["path", "scope", "name", "line"], "left").withColumn("found", F.coalesce("found", F.lit(False)))
+    at = ["path", "scope", "name", "line"]
+    asked = uses.select(*at).distinct().withColumn("use", F.lit(True))
+    both = asked.unionByName(assignments.select(*at, "type", "block", F.struct("line", "type").alias("set")), allowMissingColumns=True)
+    before = Window.partitionBy("path", "scope", "name").orderBy("line").rangeBetween(Window.unboundedPreceding, -1)
+    seen = {"last": F.max("set"), "t0": F.min("type"), "t1": F.max("type"), "b0": F.min("block"), "b1": F.max("block")}
+    seen = both.withColumns({k: c.over(before) for k, c in seen.items()}).where("use")
+    one = lambda low, high: F.coalesce(F.col(low) == F.col(high), F.lit(True))
+    known = F.when(one("t0", "t1") | one("b0", "b1"), F.col("last.type"))
+    return seen.select(*at, F.col("last").isNotNull().alias("found"), known.alias("type"))
 
 
 def receiver_types(calls: DataFrame, assignments: DataFrame, fields: DataFrame, parents: DataFrame, types: DataFrame) -> DataFrame:
@@ -151,17 +155,18 @@ def explicit_links(symbols: DataFrame, sections: DataFrame) -> DataFrame:
     return keys.join(named, "key").groupBy("symbol", "section").agg(F.max(F.length("key")).alias("length"))
 
 
-def bridge_links(symbols: DataFrame, postings: DataFrame, own: DataFrame, least: int = 4, longest: int = 64) -> DataFrame:
+def bridge_links(symbols: DataFrame, postings: DataFrame, own: DataFrame, least: int = 4, head: int = 64) -> DataFrame:
     """(symbol, key, token): section tokens inside a symbol's name that are none of the symbol's own tokens.
 
-    ``symbols(symbol, name)``, ``postings(key, token)``, ``own(symbol, token)``. Every piece of a name is a key of the
-    join, so no pair of a symbol and a token is compared; tokens over ``longest`` letters are left to ``explicit_links``.
+    ``symbols(symbol, name)``, ``postings(key, token)``, ``own(symbol, token)``. Every piece of a name of up to ``head`` letters is a key of the
+    join, so no pair of a symbol and a token is compared; a longer token is found by its first ``head`` letters, then compared as a whole.
     """
     name = F.regexp_replace(F.lower("name"), "[^a-z0-9]", "")
     starts = symbols.select("symbol", name.alias("n")).where(F.length("n") >= least).select("symbol", "n", F.explode(F.sequence(F.lit(1), F.length("n") - (least - 1))).alias("i"))
-    pieces = starts.select("symbol", F.explode(F.transform(F.sequence(F.lit(least), F.least(F.lit(longest), F.length("n") - F.col("i") + 1)), lambda k: F.substring("n", F.col("i"), k))).alias("token")).distinct()
-    tokens = postings.where(F.col("token").rlike(f"^[a-z]{{{least},}}$"))
-    return pieces.join(own, ["symbol", "token"], "left_anti").join(tokens, "token").select("symbol", "key", "token")
+    pieces = starts.select("symbol", "n", F.explode(F.transform(F.sequence(F.lit(least), F.least(F.lit(head), F.length("n") - F.col("i") + 1)), lambda k: F.substring("n", F.col("i"), k))).alias("piece")).distinct()
+    tokens = postings.where(F.col("token").rlike(f"^[a-z]{{{least},}}$")).withColumn("piece", F.substring("token", 1, head))
+    found = pieces.join(tokens, "piece").where((F.length("token") <= head) | F.contains("n", F.col("token")))
+    return found.select("symbol", "key", "token").join(own, ["symbol", "token"], "left_anti").select("symbol", "key", "token")
 
 
 def partner_hints(edited: DataFrame, pairs: DataFrame) -> DataFrame:

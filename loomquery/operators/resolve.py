@@ -11,13 +11,21 @@ from loomquery.functions import text as T
 
 
 def enclosing(points: DataFrame, spans: DataFrame) -> DataFrame:
-    """Innermost span around each point of the same file; ties to the first declared.
+    """Innermost span around each point of the same file; ties to the first declared. Spans may cross.
 
-    ``points(path, point)``, ``spans(path, name, first, last, ordinal)``.
+    ``points(path, point)``, ``spans(path, name, first, last, ordinal)``, in whole numbers. A span is cut into aligned pieces of 1, 2, 4 ... numbers, two of a
+    size at most, and the best span of each piece is kept; a point looks up the piece of each size of its file that holds it. So the
+    join is on equal keys, and its rows are as many as points and spans, a logarithm of the longest span each.
     """
-    hits = points.join(spans, "path").where("point between first and last")
-    best = hits.groupBy("path", "point").agg(F.min_by("name", F.struct(F.col("last") - F.col("first"), "ordinal")).alias("name"))
-    return points.join(best, ["path", "point"], "left").select("path", "point", "name")
+    cut = F.expr("""aggregate(sequence(0, cast(log2(last - first + 1) as int) + 1), struct(cast(first as bigint) as a, cast(last as bigint) as b, cast(array() as array<struct<size: int, piece: bigint>>) as p), (s, i) ->
+      if(s.a > s.b, s, struct(shiftright(s.a + 1, 1) as a, shiftright(s.b - 1, 1) as b, concat(s.p, if(s.a & 1 = 1, array(struct(i as size, s.a as piece)), array()), if(s.b & 1 = 0, array(struct(i as size, s.b as piece)), array())) as p)), s -> s.p)""")
+    pieces = spans.where("first <= last").select("path", F.struct((F.col("last") - F.col("first")).alias("long"), "ordinal", "name").alias("span"), F.explode(cut).alias("c"))
+    best = pieces.groupBy("path", "c.size", "c.piece").agg(F.min("span").alias("span"))
+    sizes = best.groupBy("path").agg(F.collect_set("size").alias("sizes"))
+    asked = points.select("path", "point").distinct().join(sizes, "path")
+    asked = asked.select("path", "point", F.explode("sizes").alias("size")).withColumn("piece", F.expr("shiftright(cast(point as bigint), size)"))
+    found = asked.join(best, ["path", "size", "piece"]).groupBy("path", "point").agg(F.min("span").alias("span"))
+    return points.join(found, ["path", "point"], "left").select("path", "point", F.col("span.name").alias("name"))
 
 
 #: Endings tried after a path without one, in order, by language.

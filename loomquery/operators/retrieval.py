@@ -6,12 +6,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomquery.functions import text as T
-from loomquery.operators._lineage import checkpointed
+from loomquery.operators._lineage import checkpointed, written
 
 K1, B = 1.2, 0.75
 
 #: Bytes of the words, 64 more for each, that ``within_vocabulary`` gathers at most.
 VOCABULARY_BYTES = 16 << 20
+#: Links left at most that ``greedy_caps`` takes in one task.
+FEW_LINKS = 100_000
 
 
 def postings(df: DataFrame, key: str, tokens: Column) -> DataFrame:
@@ -35,11 +37,13 @@ def bm25(queries: DataFrame, sections: DataFrame, least_shared: int = 2) -> Data
     """(query, section, shared, score) over ``postings`` on both sides, tokens distinct by key.
 
     Tokens in a quarter of the sections or more (four at least) are no evidence. Only sections' tokens that a query has are
-    shuffled; each comes with its section's length.
+    shuffled; each comes with its section's length. They are written once and read for the frequencies and for the hits. A section
+    of len rows adds 1 / len for each to the number of sections, so no shuffle is needed for it.
     """
-    n, average = sections.groupBy("key").agg(F.first("len").alias("len")).agg(F.count("*"), F.avg("len")).first()
+    rows, n = sections.agg(F.count("*"), F.round(F.sum(1 / F.col("len"))).cast("bigint")).first()
+    average = rows / n if n else None
     wanted = queries.select("token").distinct()
-    mine = sections.join(wanted, "token", "left_semi").select(F.col("key").alias("section"), "len", "token")
+    mine = written(sections.join(wanted, "token", "left_semi").select(F.col("key").alias("section"), "len", "token"), "bm25-postings")
     df = document_frequency(mine).where(~((F.col("df") >= 4) & (F.col("df") / F.lit(n or 1) >= 0.25)))
     idf = df.select("token", F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
     hits = queries.select(F.col("key").alias("query"), "token").join(idf, "token").join(mine, "token")
@@ -71,6 +75,15 @@ def near_matches(left: DataFrame, right: DataFrame, key: str, words: str, least:
     return scored.withColumn("rank", best).where("rank = 1").select("own", "other", "score")
 
 
+def equal_texts(left: DataFrame, right: DataFrame, key: str, text: str) -> DataFrame:
+    """(own, other, score): the least key of ``right`` with each left row's text, white space at its ends and case apart; blank texts have none."""
+    plain = F.lower(F.trim(F.col(text)))
+    others = right.select(plain.alias("plain"), F.col(key).alias("other"))
+    own = left.select(F.col(key).alias("own"), plain.alias("plain")).where("plain <> ''")
+    first = others.join(own.select("plain").distinct(), "plain", "left_semi").groupBy("plain").agg(F.min("other").alias("other"))
+    return own.join(first, "plain").select("own", "other", F.lit(1.0).alias("score"))
+
+
 def within_vocabulary(rows: DataFrame, left: DataFrame, words: str, least: float = 0.86, most: int = VOCABULARY_BYTES) -> DataFrame:
     """The ``rows`` that ``near_matches`` can give a left row for, and maybe others: ``least`` of their words are words of the left rows.
 
@@ -92,17 +105,31 @@ def capped_ranking(scored: DataFrame, group: str, item: str, score: str, per_gro
     return capped.where(F.col(score) >= F.lit(cut) * F.lit(best)).select(group, item, score).orderBy(F.desc(score), group, item).limit(top)
 
 
-def greedy_caps(links: DataFrame, per_query: int = 3, per_section: int = 3) -> DataFrame:
+def _in_order(frames):
+    """Takes the links of one task, sorted, while both ends have room; ``rq`` and ``rs`` are the room of the ends at first."""
+    used_q, used_s = {}, {}
+    for frame in frames:
+        keep = []
+        for q, s, rq, rs in zip(frame["query"], frame["section"], frame["rq"], frame["rs"]):
+            fits = used_q.get(q, 0) < rq and used_s.get(s, 0) < rs
+            keep.append(fits)
+            if fits:
+                used_q[q], used_s[s] = used_q.get(q, 0) + 1, used_s.get(s, 0) + 1
+        yield frame[keep][["query", "section", "score"]]
+
+
+def greedy_caps(links: DataFrame, per_query: int = 3, per_section: int = 3, few: int = FEW_LINKS) -> DataFrame:
     """Takes links best first, ties by (query, section), while both ends have room.
 
     In rounds: a link that is among the best left of each end, as many as that end has room for, is taken whatever
     becomes of the others; then ends without room lose what they have left. The best link left is always taken, and links that share no
-    end don't wait for each other, so no task or driver gathers a connected group. Rows of equal ends count once.
+    end don't wait for each other. When ``few`` links or less are left, as in the end of long chains, one task takes them in order. Rows of
+    equal ends count once.
     """
     order = (F.desc("score"), "query", "section")
     left = checkpointed(links.groupBy("query", "section").agg(F.max("score").alias("score")).withColumns({"rq": F.lit(per_query), "rs": F.lit(per_section)}))
     taken = None
-    while not left.isEmpty():
+    while (rest := left.count()) > few:
         ranks = {"kq": F.row_number().over(Window.partitionBy("query").orderBy(*order)), "ks": F.row_number().over(Window.partitionBy("section").orderBy(*order))}
         ranked = left.withColumns(ranks).withColumn("now", (F.col("kq") <= F.col("rq")) & (F.col("ks") <= F.col("rs")))
         used = {"uq": F.sum(F.col("now").cast("int")).over(Window.partitionBy("query")), "us": F.sum(F.col("now").cast("int")).over(Window.partitionBy("section"))}
@@ -110,4 +137,6 @@ def greedy_caps(links: DataFrame, per_query: int = 3, per_section: int = 3) -> D
         now = ranked.where("now").select("query", "section", "score")
         taken = now if taken is None else taken.union(now)
         left = ranked.where("not now and uq < rq and us < rs").select("query", "section", "score", (F.col("rq") - F.col("uq")).cast("int").alias("rq"), (F.col("rs") - F.col("us")).cast("int").alias("rs"))
-    return links.select("query", "section", "score").limit(0) if taken is None else taken
+    kinds = ", ".join(f"{c} {dict(left.dtypes)[c]}" for c in ("query", "section", "score"))
+    last = left.coalesce(1).sortWithinPartitions(*order).mapInPandas(_in_order, kinds) if rest else left.select("query", "section", "score")
+    return last if taken is None else taken.union(last)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loomquery.functions import text as T
 from loomquery.operators import folding, graph, mining, resolve, retrieval, sessions
+from loomquery.operators._lineage import written
 from loomquery.plans.fixtures import cte, frame
 
 _QUERIES: dict = {}
@@ -105,7 +106,7 @@ def pmi_pairs(spark, sf_dir):
 SELECT token, count(*) AS df FROM p GROUP BY 1""")
 def identifier_postings(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents")
-    return retrieval.document_frequency(retrieval.postings(docs, "doc_id", T.name_tokens(F.col("text"))))
+    return retrieval.document_frequency(docs.select(F.explode(T.name_tokens(F.col("text"))).alias("token")))
 
 
 @_query("""WITH p AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-z_$][A-Za-z0-9_$]{2,}')) AS token FROM documents), q AS (SELECT DISTINCT unnest(['the', 'is', 'token', 'idiot', 'License', 'nosuchword']) AS name)
@@ -156,35 +157,37 @@ def greedy_doc_links(spark, sf_dir):
     return retrieval.greedy_caps(retrieval.reciprocal_top(_bm25(spark, sf_dir), k=8, margin=0.2))
 
 
-_SENTENCES_SQL = """SELECT {key}, place, {words} AS w FROM (SELECT {key}, unnest(l) AS text, generate_subscripts(l, 1) - 1 AS place FROM (SELECT {key}, string_split_regex(text, '[.!?\\n]+') AS l FROM {table}))"""
+_SENTENCES_SQL = """SELECT {key}, place, text, {words} AS w FROM (SELECT {key}, unnest(l) AS text, generate_subscripts(l, 1) - 1 AS place FROM (SELECT {key}, string_split_regex(text, '[.!?\\n]+') AS l FROM {table}))"""
 
 
 @_query(f"""WITH a AS ({_SENTENCES_SQL.format(key='item_id', table='benchmark', words=_words_sql('text'))}), b AS ({_SENTENCES_SQL.format(key='doc_id', table='documents', words=_words_sql('text'))}),
 p AS (SELECT item_id, a.place AS sentence, doc_id, b.place AS doc_sentence, round(len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))), 6) AS score
-  FROM a JOIN b ON len(a.w) >= 3 AND len(b.w) >= 3 AND len(b.w) BETWEEN 0.85 * len(a.w) AND len(a.w) / 0.85)
+  FROM a JOIN b ON len(a.w) >= 3 AND len(b.w) >= 3 AND len(b.w) BETWEEN 0.85 * len(a.w) AND len(a.w) / 0.85
+  UNION ALL SELECT item_id, a.place, doc_id, b.place, 1.0 FROM a JOIN b ON len(a.w) < 3 AND lower(trim(a.text)) = lower(trim(b.text)) AND trim(a.text) <> '')
 SELECT item_id, CAST(sentence AS INT) AS sentence, doc_id, CAST(doc_sentence AS INT) AS doc_sentence, score FROM p WHERE score >= 0.86
 QUALIFY row_number() OVER (PARTITION BY item_id, sentence ORDER BY score DESC, doc_id, doc_sentence) = 1""")
 def near_match(spark, sf_dir):
-    """Best document sentence of each benchmark sentence: all of them, of the whole texts, of three words or more."""
+    """Best document sentence of each benchmark sentence, of the whole texts: by words, those of under three words by the whole text."""
     def sentences(name, key):
         rows = _table(spark, sf_dir, name).select(key, F.posexplode(F.split("text", "[.!?\n]+")).alias("place", "text"))
-        return rows.select(F.struct(key, "place").alias("key"), T.words(F.col("text"), 4).alias("w")).where(F.size("w") >= 3)
+        return rows.select(F.struct(key, "place").alias("key"), "text", T.words(F.col("text"), 4).alias("w"))
 
-    left = sentences("benchmark", "item_id")
-    near = retrieval.within_vocabulary(sentences("documents", "doc_id"), left, "w").persist()  # read twice
-    best = retrieval.near_matches(left, near, "key", "w")
+    left, right = sentences("benchmark", "item_id"), sentences("documents", "doc_id")
+    some = F.size("w") >= 3
+    near = written(retrieval.within_vocabulary(right.where(some).drop("text"), left.where(some), "w"), "near-sentences")  # read twice
+    best = retrieval.near_matches(left.where(some), near, "key", "w").unionByName(retrieval.equal_texts(left.where(~some), right, "key", "text"))
     return best.select("own.item_id", F.col("own.place").alias("sentence"), "other.doc_id", F.col("other.place").alias("doc_sentence"), "score")
 
 
 @_query()
 def near_lines(spark, sf_dir):
-    """Best document line of each benchmark item: all items against all lines of the whole texts."""
-    words = T.words(F.col("text"), 4)
+    """Best document line of each benchmark item: all items against all lines of the whole texts, items of under three words by the whole text."""
+    words, some = T.words(F.col("text"), 4), F.size("w") >= 3
     line = F.posexplode(F.split("text", "\r?\n")).alias("line", "text")
-    lines = _table(spark, sf_dir, "documents").select("doc_id", line).select(F.struct("doc_id", "line").alias("key"), words.alias("w"))
-    items = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("key"), words.alias("w")).where(F.size("w") >= 3)
-    near = retrieval.within_vocabulary(lines.where(F.size("w") >= 3), items, "w").persist()  # read twice
-    best = retrieval.near_matches(items, near, "key", "w")
+    lines = _table(spark, sf_dir, "documents").select("doc_id", line).select(F.struct("doc_id", "line").alias("key"), "text", words.alias("w"))
+    items = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("key"), "text", words.alias("w"))
+    near = written(retrieval.within_vocabulary(lines.where(some).drop("text"), items.where(some), "w"), "near-lines")  # read twice
+    best = retrieval.near_matches(items.where(some), near, "key", "w").unionByName(retrieval.equal_texts(items.where(~some), lines, "key", "text"))
     return best.select(F.col("own").alias("item_id"), "other.doc_id", "other.line", "score")
 
 
@@ -469,11 +472,25 @@ def text_functions(spark, sf_dir):
     return _table(spark, sf_dir, "benchmark").select("item_id", T.token_estimate(t).alias("tokens"), T.identifier_key(t).alias("key"), F.sha2(t, 256).alias("digest"))
 
 
-@_query(f"""WITH {cte('outputs')} SELECT id, CASE WHEN output LIKE 'TIMEOUT%' THEN 'TIMEOUT' WHEN output LIKE 'NONE [%' THEN 'NO_TESTS' WHEN output LIKE 'PASS%' THEN 'PASS' WHEN output LIKE 'FAIL%' THEN 'FAIL' ELSE 'UNKNOWN' END AS status,
-CASE WHEN id = 2 THEN 'Error|src/a.ts:3:4|[exit=1]|run (src/a.ts:3:4)' ELSE 'unknown|unknown|unknown|unknown' END AS parts FROM outputs""")
+# Outputs of runs; the status line of a failed one comes before the names of its tests.
+_OUTPUT = """CASE event_id % 6 WHEN 0 THEN 'PASS' || chr(10) || user_id || ' passed' WHEN 1 THEN 'FAIL [exit=' || (user_id % 3) || ']' || chr(10) || CASE WHEN user_id % 4 = 0 THEN '' ELSE 'FAIL' || CASE WHEN user_id % 4 = 1 THEN 'ED' ELSE '' END || ' adds item ' || user_id || chr(10) END
+|| CASE WHEN user_id % 3 = 0 THEN 'TS2304: no name' ELSE 'AssertionError: ' || event_type END || chr(10) || '  at run (src' || CASE WHEN user_id % 5 = 0 THEN chr(92) ELSE '/' END || 'a' || (user_id % 9) || '.ts:3:' || event_id || ')'
+WHEN 2 THEN 'TIMEOUT after 5 s' WHEN 3 THEN 'NONE [affected-tests]' WHEN 4 THEN 'x' || chr(10) || 'FAIL [exit=1] y' || chr(10) || '✗ ' || event_type || chr(13) || chr(10) || 'EACCES lib.py:7 seen' ELSE 'hello' END"""
+_PART = "coalesce(nullif(regexp_extract({x}, '{p}', 1), ''), 'unknown')"
+_PARTS_SQL = [
+    _PART.format(x="output", p="\\b(TS[0-9]{4}|E[A-Z_]{2,}|AssertionError|Error)\\b"), _PART.format(x="output", p="\\b([a-zA-Z0-9_./\\\\-]+\\.(?:ts|tsx|js|py|go|rs|cs|cpp|c):[0-9]+(?::[0-9]+)?)"),
+    _PART.format(x="regexp_replace(output, '(?m)^FAIL \\[exit=', '.', 'g')", p="(?m)^(?:FAIL|FAILED|✗)\\s+([^\\r\\n]{1,100})"), _PART.format(x="output", p="\\bat\\s+([^\\r\\n]{1,100})"),
+]
+
+
+@_query(f"""WITH o AS (SELECT event_id, 'run ' || (user_id % 7) AS command, {_OUTPUT} AS output FROM events),
+p AS (SELECT event_id, command, output, [{', '.join(_PARTS_SQL)}] AS parts FROM o)
+SELECT event_id, CASE WHEN regexp_matches(output, '(?m)^TIMEOUT\\b') THEN 'TIMEOUT' WHEN regexp_matches(output, '(?m)^NONE \\[affected-tests\\]') THEN 'NO_TESTS' WHEN regexp_matches(output, '(?m)^PASS\\b') THEN 'PASS' WHEN regexp_matches(output, '(?m)^FAIL\\b') THEN 'FAIL' ELSE 'UNKNOWN' END AS status,
+  array_to_string(parts, '|') AS parts, 'sha256:' || sha256('["' || command || '","' || array_to_string(list_transform(parts, lambda x: replace(x, chr(92), chr(92) || chr(92))), '","') || '","h"]') AS fingerprint FROM p""")
 def output_functions(spark, sf_dir):
+    rows = _table(spark, sf_dir, "events").selectExpr("event_id", "'run ' || (user_id % 7) AS command", f"{_OUTPUT} AS output")
     o = F.col("output")
-    return frame(spark, "outputs").select("id", T.run_status(o).alias("status"), F.array_join(T.failure_parts(o), "|").alias("parts"))
+    return rows.select("event_id", T.run_status(o).alias("status"), F.array_join(T.failure_parts(o), "|").alias("parts"), T.failure_fingerprint(F.col("command"), o, F.lit("h")).alias("fingerprint"))
 
 
 @_query("SELECT s_name AS name, regexp_replace(s_name, '[^A-Za-z0-9._-]+', '_', 'g')[1:48] || '-' || sha1(s_name)[1:8] AS branch FROM supplier")

@@ -95,7 +95,7 @@ def bridge_links(spark, sf_dir):
 e AS (SELECT DISTINCT p FROM r WHERE o % 3 = 0), both_ AS (SELECT a AS path, b AS partner, n FROM n UNION ALL SELECT b, a, n FROM n)
 SELECT * FROM both_ WHERE path IN (SELECT p FROM e) AND partner NOT IN (SELECT p FROM e)""")
 def partner_hints(spark, sf_dir):
-    rows = mining.baskets(_table(spark, sf_dir, "lineitem"), "l_orderkey", "l_partkey", 1000)
+    rows = _table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("basket"), F.col("l_partkey").alias("item")).distinct()
     a, b = rows.select("basket", F.col("item").alias("a")), rows.select("basket", F.col("item").alias("b"))
     pairs = a.join(b, "basket").where("a < b").groupBy("a", "b").agg(F.count("*").alias("n")).where("n >= 2")
     return lookup.partner_hints(rows.where("basket % 3 = 0").select(F.col("item").alias("path")), pairs)
@@ -159,10 +159,12 @@ _UNITS = "(length({0}) + len(regexp_extract_all({0}, '[\\x{{10000}}-\\x{{10FFFF}
 _TOKENS = "CAST(sum(greatest(1, (" + _UNITS + " + 3) // 4)) AS BIGINT)"
 
 
-@_query(f"""WITH s AS (SELECT source, {_TOKENS.format('text')} AS raw_tokens, {_TOKENS.format('left(text, 200)')} AS kept_tokens FROM documents GROUP BY 1) SELECT *, round(100 - 100 * kept_tokens / raw_tokens, 1) AS saved FROM s""")
+@_query(f"""WITH d AS (SELECT source, text, string_split_regex(text, '\\r?\\n') AS l FROM documents),
+f AS (SELECT source, text, CASE WHEN len(l) > 12 THEN array_to_string(l[1:4] || ['... ' || (len(l) - 8) || ' lines'] || l[-4:], chr(10)) ELSE text END AS kept FROM d),
+s AS (SELECT source, {_TOKENS.format('text')} AS raw_tokens, {_TOKENS.format('kept')} AS kept_tokens FROM f GROUP BY 1) SELECT *, round(100 - 100 * kept_tokens / raw_tokens, 1) AS saved FROM s""")
 def token_savings(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents")
-    sums = docs.groupBy("source").agg(F.sum(T.token_estimate(F.col("text"))).alias("raw_tokens"), F.sum(T.token_estimate(F.substring("text", 1, 200))).alias("kept_tokens"))
+    sums = docs.groupBy("source").agg(F.sum(T.token_estimate(F.col("text"))).alias("raw_tokens"), F.sum(T.token_estimate(folding.folded(F.col("text"), 12, 4, 4))).alias("kept_tokens"))
     return sums.select("source", "raw_tokens", "kept_tokens", F.round(100 - 100 * F.col("kept_tokens") / F.col("raw_tokens"), 1).alias("saved"))
 
 

@@ -165,15 +165,16 @@ def rename_residue(spark, sf_dir):
 
 
 @_query(f"""WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL),
-s AS (SELECT *, CASE doc_id % 3 WHEN 0 THEN l[2] || chr(10) || l[3] WHEN 1 THEN '  ' || l[2] || chr(10) || chr(9) || l[3] || ' ' ELSE l[1] || ' not there' END AS old FROM d WHERE len(l) >= 3),
+s AS (SELECT *, CASE doc_id % 3 WHEN 0 THEN coalesce(l[2] || chr(10) || l[3], l[1]) WHEN 1 THEN '  ' || coalesce(l[2] || chr(10) || chr(9) || l[3], l[1]) || ' ' ELSE l[1] || ' not there' END AS old FROM d),
 t AS (SELECT *, string_split(old, chr(10)) AS w, instr(text, old) AS place, list_transform(l, lambda x: {_TRIM.format(x='x')}) AS lt, list_transform(string_split(old, chr(10)), lambda x: {_TRIM.format(x='x')}) AS wt FROM s),
 f AS (SELECT doc_id, len(w) AS n, CASE WHEN place > 0 THEN len(string_split(substr(text, 1, place - 1), chr(10))) WHEN len(list_filter(wt, lambda x: x <> '')) > 0
   THEN list_filter(range(1, len(l) - len(w) + 2), lambda i: lt[i:i + len(w) - 1] = wt)[1] END AS first FROM t)
 SELECT doc_id, CAST(first AS INT) AS first, CAST(first + n - 1 AS INT) AS last FROM f""")
 def snippet_lines(spark, sf_dir):
-    docs = _table(spark, sf_dir, "documents").where("text is not null").withColumn("l", F.split("text", "\n")).where("size(l) >= 3")
-    line = lambda i: F.col("l")[i - 1]
-    old = F.when(F.col("doc_id") % 3 == 0, F.concat(line(2), F.lit("\n"), line(3))).when(F.col("doc_id") % 3 == 1, F.concat(F.lit("  "), line(2), F.lit("\n\t"), line(3), F.lit(" "))).otherwise(F.concat(line(1), F.lit(" not there")))
+    docs = _table(spark, sf_dir, "documents").where("text is not null").withColumn("l", F.split("text", "\n"))
+    line = lambda i: F.get("l", F.lit(i - 1))
+    two = lambda between: F.coalesce(F.concat(line(2), F.lit(between), line(3)), line(1))
+    old = F.when(F.col("doc_id") % 3 == 0, two("\n")).when(F.col("doc_id") % 3 == 1, F.concat(F.lit("  "), two("\n\t"), F.lit(" "))).otherwise(F.concat(line(1), F.lit(" not there")))
     return docs.select("doc_id", W.locate_snippet(F.col("text"), old).alias("at")).select("doc_id", "at.first", "at.last")
 
 
