@@ -124,10 +124,11 @@ def greedy_caps(links: DataFrame, per_query: int = 3, per_section: int = 3, few:
     In rounds: a link that is among the best left of each end, as many as that end has room for, is taken whatever
     becomes of the others; then ends without room lose what they have left. The best link left is always taken, and links that share no
     end don't wait for each other. When ``few`` links or less are left, as in the end of long chains, one task takes them in order. Rows of
-    equal ends count once.
+    equal ends count once. ``rq`` and ``rs``, if the links have them, are the room of their query and section.
     """
     order = (F.desc("score"), "query", "section")
-    left = checkpointed(links.groupBy("query", "section").agg(F.max("score").alias("score")).withColumns({"rq": F.lit(per_query), "rs": F.lit(per_section)}))
+    room = {c: F.min(c) if c in links.columns else F.lit(most) for c, most in (("rq", per_query), ("rs", per_section))}
+    left = checkpointed(links.groupBy("query", "section").agg(F.max("score").alias("score"), *(c.cast("int").alias(n) for n, c in room.items())))
     taken = None
     while (rest := left.count()) > few:
         ranks = {"kq": F.row_number().over(Window.partitionBy("query").orderBy(*order)), "ks": F.row_number().over(Window.partitionBy("section").orderBy(*order))}

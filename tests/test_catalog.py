@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from loomquery.plans import activity, catalog, edits, graphs, lookup, workspace  # noqa: F401
+from loomquery.plans import activity, catalog, doclinks, edits, graphs, lookup, workspace  # noqa: F401
 
 DATA = "/root/testdata/sf0.001"
 TABLES = sorted(name.removesuffix(".parquet") for name in os.listdir(DATA) if name.endswith(".parquet"))
