@@ -22,12 +22,17 @@ def journal_harvest(spark, sf_dir):
     """Entries, invalid ones and uses of each client's journal: written in two parts, read by a stream that is started again on its checkpoint."""
     lines = _table(spark, sf_dir, "clicks").select(F.expr(_LINE).alias("value"), F.pmod(F.xxhash64("click_id"), F.lit(2)).alias("part"))
     log, out, check = (shared_path(spark, f"journal-{x}") for x in ("log", "out", "check"))
+
+    def keep(batch, number):
+        # A batch that is run again after a failure replaces its own part.
+        journal.harvest(journal.parsed(batch)).write.mode("overwrite").parquet(f"{out}/batch={number}")
+
     for part in range(2):
         lines.where(F.col("part") == part).select("value").write.mode("append").text(log)
         rows = journal.tail_journal(spark, log)
         rows = rows.select(F.concat(F.lit("c"), F.regexp_extract("raw", '"client": ([0-9]+|null)', 1)).alias("file"), "raw")
-        rows.writeStream.trigger(availableNow=True).option("checkpointLocation", check).option("path", out).format("parquet").start().awaitTermination()
-    return journal.harvest(journal.parsed(spark.read.parquet(out)))
+        rows.writeStream.trigger(availableNow=True).option("checkpointLocation", check).foreachBatch(keep).start().awaitTermination()
+    return spark.read.parquet(out).groupBy("file").agg(*(F.sum(c).alias(c) for c in ("entries", "invalid", "uses")))
 
 
 # Names of parts in Chinese characters, one a letter, the space being a stop word; pieces of names are the lexicon.
