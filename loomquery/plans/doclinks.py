@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loomquery.functions import text as T
-from loomquery.operators import doclinks, retrieval
+from loomquery.operators import doclinks, documents, retrieval
 from loomquery.plans.catalog import _query, _table, _words_sql
 
 # Benchmark items are symbols, named by their first 40 characters; documents are sections, titled by their first line.
@@ -58,3 +58,27 @@ def capped_doc_links(spark, sf_dir):
     items, docs = items.withColumn("k", F.col("item_id") % 40), docs.withColumn("k", F.col("doc_id") % 40)
     explicit = items.join(docs, "k").where("(item_id + doc_id) % 3 = 0").select(F.col("item_id").alias("symbol"), F.col("doc_id").alias("section"), (3 + F.col("doc_id") % 5).alias("length"))
     return doclinks.capped_links(explicit, _concepts(spark, sf_dir), most=100_000)
+
+
+# Documents of three formats made of the pages' HTML: as it is, as elements with names, and with short lines as headings.
+_KIND = "CASE page_id % 3 WHEN 0 THEN 'html' WHEN 1 THEN 'md' ELSE 'xml' END"
+_CONTENT = "CASE page_id % 3 WHEN 0 THEN html WHEN 1 THEN replace(replace(html, '<p>', chr(10)), '<h', chr(10) || '# <h') ELSE replace(replace(html, '<h', chr(10) || '<part name=\"a' || page_id || '\" h'), '<p>', chr(10) || '<p>') END"
+
+
+@_query(f"""WITH p AS (SELECT page_id, {_KIND} AS format, {_CONTENT} AS content FROM pages),
+h AS (SELECT page_id, format, regexp_replace(regexp_replace(regexp_replace(regexp_replace(content, '<(script)\\b[^>]*>.*?</script>', '', 'gis'), '<(style)\\b[^>]*>.*?</style>', '', 'gis'), '<h[1-4]\\b[^>]*>(.*?)</h[1-4]>', chr(10) || '# \\1' || chr(10), 'gis'), '<[^>]+>', ' ', 'g') AS t FROM p WHERE format = 'html'),
+x AS (SELECT page_id, format, array_to_string(list_filter(flatten(list_transform(string_split_regex(content, '\\r?\\n'), lambda l: [
+    CASE WHEN regexp_matches(l, '(?i)<([a-z0-9_:-]+)\\b[^>]*\\b(?:name|id|key|symbol)="([^"]+)"') THEN '# ' || regexp_extract(l, '(?i)<([a-z0-9_:-]+)\\b[^>]*\\b(?:name|id|key|symbol)="([^"]+)"', 1) || ': ' || regexp_extract(l, '(?i)<([a-z0-9_:-]+)\\b[^>]*\\b(?:name|id|key|symbol)="([^"]+)"', 2) END,
+    nullif(replace(replace(replace(replace(replace(trim(regexp_replace(l, '<[^>]+>', ' ', 'g')), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '&quot;', '"'), '&apos;', ''''), '')])), lambda y: y IS NOT NULL), chr(10)) AS t FROM p WHERE format = 'xml'),
+d AS (SELECT page_id, format, replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '&quot;', '"'), '&apos;', '''') AS t FROM h UNION ALL SELECT * FROM x UNION ALL SELECT page_id, format, content FROM p WHERE format = 'md'),
+l AS (SELECT page_id, format, unnest(string_split_regex(t, '\\r?\\n')) AS line, generate_subscripts(string_split_regex(t, '\\r?\\n'), 1) AS no FROM d WHERE regexp_matches(t, '\\S')),
+m AS (SELECT *, regexp_matches(line, '^#{{1,4}}\\s+.') AS heading, regexp_replace(line, '^\\s+|\\s+$', '', 'g') AS trimmed FROM l),
+r AS (SELECT *, sum(CAST(heading AS INT)) OVER (PARTITION BY page_id ORDER BY no) AS n FROM m),
+s AS (SELECT page_id, format, n, max(regexp_replace(regexp_replace(line, '^#{{1,4}}\\s+', ''), '\\s+$', '')) FILTER (heading) AS title, min(no) AS first, max(no) AS last, coalesce(string_agg(trimmed, chr(10) ORDER BY no) FILTER (NOT heading AND trimmed <> ''), '') AS body FROM r GROUP BY ALL),
+k AS (SELECT *, max(CAST(body <> '' AS INT)) OVER (PARTITION BY page_id) AS any_body, max(n) OVER (PARTITION BY page_id) AS final FROM s)
+SELECT 'docs/' || page_id || '.' || format AS path, CAST(row_number() OVER (PARTITION BY page_id ORDER BY n) AS INT) AS n, coalesce(title, page_id || '.' || format) AS title, CAST(CASE WHEN n = 0 THEN 1 ELSE first END AS INT) AS start_line, CAST(last AS INT) AS end_line,
+  substr(regexp_replace(body, '\\s+', ' ', 'g'), 1, 220) AS summary FROM k WHERE body <> '' OR (any_body = 0 AND n = final)""")
+def document_outline(spark, sf_dir):
+    """Sections of documents in three formats."""
+    pages = _table(spark, sf_dir, "pages").selectExpr(f"concat('docs/', page_id, '.', {_KIND}) AS path", f"{_KIND} AS format", f"{_CONTENT} AS content")
+    return documents.sections(pages).select("path", "n", "title", "start_line", "end_line", "summary")
