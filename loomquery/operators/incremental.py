@@ -63,7 +63,8 @@ def contribution(code: Code, all_files: Code, lineage: DataFrame) -> dict[str, D
     """(edges, queried, probed) of the files of ``code``, resolved among ``all_files``."""
     probed = code.imports.select("path", F.explode(resolve.import_candidates()).alias("candidate")).distinct()
     resolved = resolve.resolve_imports(code.imports, all_files.files)
-    brought = code.imports.join(resolved, ["path", "module"]).select("path", "target", "names")
+    brought = written(code.imports.join(resolved, ["path", "module"]).select("path", "target", "names"), "graph-brought")
+    code, lineage = replace(code, calls=written(code.calls, "graph-calls")), written(lineage, "graph-lineage")
     imports = brought.where("target <> path").select("path", F.lit("imports").alias("kind"), file_id(F.col("path")).alias("source"), file_id(F.col("target")).alias("target"))
     own = all_files.symbols.join(code.files.select("path"), "path", "left_semi")
     defines = own.select("path", F.lit("defines").alias("kind"), file_id(F.col("path")).alias("source"), symbol_id(F.col("path"), F.col("name"), F.col("parent_class")).alias("target"))
@@ -73,6 +74,7 @@ def contribution(code: Code, all_files: Code, lineage: DataFrame) -> dict[str, D
     typed = code.calls.where("receiver_class is not null").select("path", "callee", "receiver_class").distinct()
     typed = resolve.resolve_methods(typed.withColumn("line", F.col("receiver_class")), all_files.symbols, lineage).where(F.col("confidence") >= CONFIDENT)
     typed = typed.select("path", F.col("line").alias("receiver_class"), "callee", "target_class", "target_path")
+    plain, typed = written(plain, "graph-plain"), written(typed, "graph-typed")
     at = ["path", "callee", "receiver_class"]
     hits = code.calls.join(plain.drop("receiver_class"), ["path", "line", "callee"]).where("receiver_class is null").select("path", "caller", "callee", "target_class", "target_path")
     hits = hits.union(code.calls.join(typed, at).select("path", "caller", "callee", "target_class", "target_path"))
@@ -107,6 +109,7 @@ def dirty_paths(code: Code, old: State) -> DataFrame:
 
 def rebuild(code: Code, old: State | None = None) -> State:
     """The state of ``code``, written to the shared folder: of all files, or, given the state before, of the dirty ones and what stays of it."""
+    code = replace(code, symbols=written(code.symbols, "graph-symbols"))
     dirty = code.files.select("path") if old is None else written(dirty_paths(code, old), "graph-dirty")
     part = replace(code.of(dirty), files=code.files.join(dirty, "path", "left_semi"))
     new = contribution(part, code, _lineage(code.parents))
