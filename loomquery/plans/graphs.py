@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loomquery.functions import lexical
-from loomquery.operators import incremental, lookup
+from loomquery.operators import graph, incremental, lookup, resolve
 from loomquery.operators._lineage import written
 from loomquery.plans.catalog import _query, _table
 from loomquery.plans.workspace import _CODE_SQL, _MODULE, _path
@@ -113,3 +113,96 @@ def typed_calls(spark, sf_dir):
     types = found["symbols"].where("parent_class is null and kind not in ('function', 'method')").select("path", "name")
     typed = lookup.receiver_types(calls.drop("ordinal", "callee").distinct(), found["bindings"], fields, parents, types)
     return calls.join(typed, ["path", "line", "name"]).select("path", "callee", "type").distinct()
+
+
+_CODE_CTE = _EDGES_SQL[: _EDGES_SQL.index("hits AS (")].rstrip().rstrip(",")
+_CALLS_SQL = f"""{_CODE_CTE},
+family AS (SELECT p.path, p.line, p.callee, f.path AS target, count(*) OVER (PARTITION BY p.path, p.line, p.callee) AS n FROM (SELECT DISTINCT path, line, callee FROM calls WHERE receiver_class IS NULL) p
+  JOIN (SELECT path, name FROM symbols WHERE parent_class IS NULL) f ON f.name = p.callee AND regexp_extract(f.path, '[^.]+$') = regexp_extract(p.path, '[^.]+$')),
+staged AS (SELECT path, line, callee, target, stage, CASE stage WHEN 1 THEN 0.9 ELSE 0.95 END AS confidence FROM ways UNION ALL SELECT path, line, callee, target, 4, 0.6 FROM family WHERE n = 1),
+found AS (SELECT path, line, callee, arg_min(target, (stage, target)) AS target, arg_min(confidence, (stage, target)) AS confidence FROM staged GROUP BY ALL)"""
+
+
+def _calls(spark, sf_dir):
+    code = _code(spark, sf_dir, 1)
+    brought = code.imports.join(resolve.resolve_imports(code.imports, code.files), ["path", "module"]).select("path", "target", "names")
+    return code, resolve.resolve_calls(code.calls.select("path", "line", "callee", "receiver_class").distinct(), code.symbols, brought)
+
+
+@_query(f"""{_CALLS_SQL} SELECT c.path, c.line, c.callee, f.target AS target_path, CAST(coalesce(f.confidence, 0) AS DOUBLE) AS confidence
+FROM (SELECT DISTINCT path, line, callee FROM calls WHERE receiver_class IS NULL) c LEFT JOIN found f ON f.path = c.path AND f.line = c.line AND f.callee = c.callee""")
+def code_calls(spark, sf_dir):
+    """Targets of plain calls of the generated code, with the confidence of the stage that found them."""
+    return _calls(spark, sf_dir)[1]
+
+
+@_query(f"""{_CODE_CTE} SELECT path, callee, receiver_class, t[1] AS target_class, t[2] AS target_path FROM typed""")
+def code_methods(spark, sf_dir):
+    """Targets of member calls of the generated code, the nearest class of the receiver's lineage first."""
+    code = _code(spark, sf_dir, 1)
+    asked = code.calls.where("receiver_class is not null").select("path", "callee", "receiver_class").distinct().withColumn("line", F.col("receiver_class"))
+    out = resolve.resolve_methods(asked, code.symbols, graph.closure(code.parents.select("child", "parent")))
+    return out.select("path", "callee", F.col("line").alias("receiver_class"), "target_class", "target_path")
+
+
+@_query(f"""WITH RECURSIVE {_EDGES_SQL[_EDGES_SQL.index("symbols AS ("):_EDGES_SQL.index("lineage AS (")].replace(f"brought AS ({_NOW['imports']}), calls AS ({_NOW['calls']}),", "").strip().rstrip(",")}
+SELECT child, ancestor, CAST(min(depth) AS INT) AS depth FROM chain GROUP BY ALL""")
+def class_lineage(spark, sf_dir):
+    """All ancestors of the generated classes."""
+    return graph.closure(_code(spark, sf_dir, 1).parents.select("child", "parent"))
+
+
+@_query(f"""{_CALLS_SQL}, most AS (SELECT target, callee FROM found WHERE confidence >= 0.75 GROUP BY ALL ORDER BY count(*) DESC, target, callee LIMIT 1)
+SELECT c.path, c.line, c.n AS total, CAST(c.r AS INT) AS rank FROM (SELECT f.path, f.line, count(*) OVER () AS n, row_number() OVER (ORDER BY f.path, f.line) AS r FROM found f JOIN most m ON f.target = m.target AND f.callee = m.callee WHERE f.confidence >= 0.75) c WHERE r <= 6""")
+def code_blast_radius(spark, sf_dir):
+    """Proven callers of the generated code's most called function."""
+    found = written(_calls(spark, sf_dir)[1], "resolved-calls")
+    most = found.where(F.col("confidence") >= 0.75).groupBy("target_path", "callee").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "target_path", "callee").first()
+    return resolve.blast_radius(found, most["target_path"] if most else "", most["callee"] if most else "").select("path", "line", "total", "rank")
+
+
+# Two states of interfaces: parameters, exported names, fields and imports that an edit takes away.
+
+
+@_query("""WITH old AS (SELECT 'fn' || p_partkey AS name, p_size % 4 AS was, (p_size * 7 + p_partkey) % 4 AS now FROM part),
+calls AS (SELECT l_orderkey AS path, l_linenumber AS line, 'fn' || l_partkey AS callee, l_suppkey % 5 AS args_count FROM lineitem)
+SELECT path, line, callee, args_count, was, now FROM calls JOIN old ON name = callee WHERE was <> now AND (args_count > now OR (now > was AND args_count < now))""")
+def code_guard_arity(spark, sf_dir):
+    """Calls that changed parameter counts break."""
+    part = _table(spark, sf_dir, "part")
+    name = F.concat(F.lit("fn"), "p_partkey")
+    old = part.select(name.alias("name"), (F.col("p_size") % 4).alias("params_count"))
+    new = part.select(name.alias("name"), ((F.col("p_size") * 7 + F.col("p_partkey")) % 4).alias("params_count"))
+    calls = _table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("path"), F.col("l_linenumber").alias("line"), F.concat(F.lit("fn"), "l_partkey").alias("callee"), (F.col("l_suppkey") % 5).alias("args_count"))
+    return resolve.arity_guard(calls, old, new)
+
+
+@_query("""WITH old AS (SELECT p_partkey % 50 AS path, 'fn' || p_partkey AS name FROM part WHERE p_partkey % 3 > 0), gone AS (SELECT * FROM old WHERE NOT (substr(name, 3)::BIGINT % 7 > 0)),
+calls AS (SELECT l_suppkey % 50 AS path, 'fn' || l_partkey AS callee FROM lineitem)
+SELECT g.path AS from_path, g.name, count(*) AS uses FROM gone g JOIN calls c ON c.callee = g.name AND c.path <> g.path GROUP BY ALL""")
+def code_guard_removed(spark, sf_dir):
+    """Exported names that an edit removes although other files call them."""
+    part = _table(spark, sf_dir, "part")
+    symbols = part.select((F.col("p_partkey") % 50).alias("path"), F.concat(F.lit("fn"), "p_partkey").alias("name"), (F.col("p_partkey") % 3 > 0).alias("exported"), "p_partkey")
+    calls = _table(spark, sf_dir, "lineitem").select((F.col("l_suppkey") % 50).alias("path"), F.concat(F.lit("fn"), "l_partkey").alias("callee"))
+    return resolve.removed_exports(symbols, symbols.where("p_partkey % 7 > 0").select("path", "name"), calls)
+
+
+@_query("""WITH was AS (SELECT l_orderkey AS name, list(DISTINCT 'f' || l_suppkey) AS f FROM lineitem GROUP BY 1), now AS (SELECT l_orderkey AS name, list(DISTINCT 'f' || l_suppkey) AS f FROM lineitem WHERE l_linenumber <> 2 GROUP BY 1)
+SELECT was.name, unnest(list_filter(was.f, lambda x: NOT list_contains(now.f, x))) AS field FROM was JOIN now ON was.name = now.name""")
+def code_guard_fields(spark, sf_dir):
+    """Fields that an edit takes away."""
+    fields = _table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("name"), F.concat(F.lit("f"), "l_suppkey").alias("f"), "l_linenumber")
+    of = lambda rows: rows.groupBy("name").agg(F.collect_set("f").alias("fields"))
+    return resolve.removed_fields(of(fields), of(fields.where("l_linenumber <> 2")))
+
+
+
+
+@_query(f"WITH {_CODE_SQL}, old AS (SELECT DISTINCT {_path('l_partkey')} AS path, {_MODULE} AS module FROM lineitem WHERE l_linenumber < 4) SELECT path, module FROM resolved r WHERE target IS NULL AND module LIKE '.%' AND NOT EXISTS (SELECT 1 FROM old o WHERE o.path = r.path AND o.module = r.module)")
+def code_guard_imports(spark, sf_dir):
+    """Relative imports that an edit adds and that lead nowhere."""
+    files = _table(spark, sf_dir, "part").selectExpr(f"{_path('p_partkey')} AS path")
+    lines = _table(spark, sf_dir, "lineitem")
+    imports = lambda rows: rows.selectExpr(f"{_path('l_partkey')} AS path", f"{_MODULE} AS module").distinct()
+    return resolve.broken_imports(imports(lines.where("l_linenumber < 4")), imports(lines), files)
