@@ -10,7 +10,7 @@ from loomquery.operators._lineage import checkpointed, written
 
 K1, B = 1.2, 0.75
 
-#: Bytes of the words, 64 more for each, that ``within_vocabulary`` gathers at most.
+#: Bytes of the words, 64 more for each, that ``within_vocabulary`` gathers and ``bm25`` broadcasts at most.
 VOCABULARY_BYTES = 16 << 20
 #: Links left at most that ``greedy_caps`` takes in one task.
 FEW_LINKS = 100_000
@@ -42,7 +42,9 @@ def bm25(queries: DataFrame, sections: DataFrame, least_shared: int = 2) -> Data
     """
     rows, n = sections.agg(F.count("*"), F.round(F.sum(1 / F.col("len"))).cast("bigint")).first()
     average = rows / n if n else None
-    wanted = queries.select("token").distinct()
+    wanted = written(queries.select("token").distinct(), "bm25-tokens")
+    if (wanted.agg(F.sum(F.octet_length("token") + 64)).first()[0] or 0) <= VOCABULARY_BYTES:
+        wanted = F.broadcast(wanted)  # else all tokens of the sections are shuffled
     mine = written(sections.join(wanted, "token", "left_semi").select(F.col("key").alias("section"), "len", "token"), "bm25-postings")
     df = document_frequency(mine).where(~((F.col("df") >= 4) & (F.col("df") / F.lit(n or 1) >= 0.25)))
     idf = df.select("token", F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
