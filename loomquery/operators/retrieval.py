@@ -16,10 +16,10 @@ VOCABULARY_BYTES = 16 << 20
 FEW_LINKS = 100_000
 
 
-def postings(df: DataFrame, key: str, tokens: Column) -> DataFrame:
-    """(key, len, token): a row for each token, with the number of tokens of its key."""
+def postings(df: DataFrame, key: str, tokens: Column, marked: bool = False) -> DataFrame:
+    """(key, len, token): a row for each token, with the number of tokens of its key; ``marked``: and one of the empty token for each key that has any."""
     each = df.select(F.col(key).alias("key"), tokens.alias("tokens")).withColumn("len", F.size("tokens").cast("bigint"))
-    return each.select("key", "len", F.explode("tokens").alias("token"))
+    return each.select("key", "len", F.explode(F.when(F.size("tokens") > 0, F.array_append("tokens", F.lit("")))) if marked else F.explode("tokens")).toDF("key", "len", "token")
 
 
 def document_frequency(index: DataFrame) -> DataFrame:
@@ -34,18 +34,18 @@ def mentions(index: DataFrame, names: DataFrame, name: str) -> DataFrame:
 
 
 def bm25(queries: DataFrame, sections: DataFrame, least_shared: int = 2) -> DataFrame:
-    """(query, section, shared, score) over ``postings`` on both sides, tokens distinct by key.
+    """(query, section, shared, score) over ``postings`` on both sides, those of the sections marked, tokens distinct by key.
 
     Tokens in a quarter of the sections or more (four at least) are no evidence. Only sections' tokens that a query has are
-    shuffled; each comes with its section's length. They are written once and read for the frequencies and for the hits. A section
-    of len rows adds 1 / len for each to the number of sections, so no shuffle is needed for it.
+    shuffled; each comes with its section's length. They are written once, with the sections' marks, and read for the number of sections, the
+    frequencies and the hits, so texts are cut into tokens once.
     """
-    rows, n = sections.agg(F.count("*"), F.round(F.sum(1 / F.col("len"))).cast("bigint")).first()
-    average = rows / n if n else None
-    wanted = written(queries.select("token").distinct(), "bm25-tokens")
+    wanted = written(queries.select("token").union(queries.sparkSession.createDataFrame([("",)], "token string")).distinct(), "bm25-tokens")
     if (wanted.agg(F.sum(F.octet_length("token") + 64)).first()[0] or 0) <= VOCABULARY_BYTES:
         wanted = F.broadcast(wanted)  # else all tokens of the sections are shuffled
     mine = written(sections.join(wanted, "token", "left_semi").select(F.col("key").alias("section"), "len", "token"), "bm25-postings")
+    n, average = mine.where("token = ''").agg(F.count("*"), F.avg("len")).first()
+    mine = mine.where("token <> ''")
     df = document_frequency(mine).where(~((F.col("df") >= 4) & (F.col("df") / F.lit(n or 1) >= 0.25)))
     idf = df.select("token", F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
     hits = queries.select(F.col("key").alias("query"), "token").join(idf, "token").join(mine, "token")

@@ -127,8 +127,8 @@ links AS (SELECT query, section, count(*) AS shared, round(sum(idf * 2.2 / (1 +
 
 
 def _bm25(spark, sf_dir):
-    words = lambda name, key: retrieval.postings(_table(spark, sf_dir, name), key, T.words(F.col("text"), 4))
-    return retrieval.bm25(words("benchmark", "item_id"), words("documents", "doc_id"))
+    words = lambda name, key, marked: retrieval.postings(_table(spark, sf_dir, name), key, T.words(F.col("text"), 4), marked)
+    return retrieval.bm25(words("benchmark", "item_id", False), words("documents", "doc_id", True))
 
 
 _RECIPROCAL = """r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, section) AS rq, row_number() OVER (PARTITION BY section ORDER BY score DESC, query) AS rs FROM links),
