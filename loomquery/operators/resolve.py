@@ -111,11 +111,12 @@ def implementers(members: DataFrame, required: DataFrame) -> DataFrame:
 
 
 def blast_radius(resolved: DataFrame, target_path: str, name: str, show: int = 6) -> DataFrame:
-    """Proven callers of a symbol, production before tests; the total counts all of them."""
+    """Proven callers of a symbol, production before tests, the first ``show``; the total counts all of them."""
     hits = resolved.where((F.col("target_path") == target_path) & (F.col("callee") == name) & (F.col("confidence") >= 0.75))
     test = T.is_test_path(F.col("path"))
-    w = Window.orderBy(test, "path", "line")
-    return hits.select("path", "line", test.alias("is_test"), F.count("*").over(Window.partitionBy()).alias("total"), F.row_number().over(w).alias("rank")).where(F.col("rank") <= show)
+    first = hits.select("path", "line", test.alias("is_test")).orderBy("is_test", "path", "line").limit(show)
+    ranked = first.withColumn("rank", F.row_number().over(Window.orderBy("is_test", "path", "line")))
+    return ranked.join(F.broadcast(hits.agg(F.count("*").alias("total"))), how="cross").select("path", "line", "is_test", "total", "rank")  # one row
 
 
 def arity_guard(calls: DataFrame, old: DataFrame, new: DataFrame) -> DataFrame:

@@ -101,6 +101,7 @@ def within_vocabulary(rows: DataFrame, left: DataFrame, words: str, least: float
 
 def capped_ranking(scored: DataFrame, group: str, item: str, score: str, per_group: int, top: int, cut: float = 0.72) -> DataFrame:
     """Global top rows with at most ``per_group`` of a group, cut off below a share of the best score."""
+    scored = written(scored, "scored")  # read for the best score and for the rest
     w = Window.partitionBy(group).orderBy(F.desc(score), item)
     capped = scored.withColumn("rank_in_group", F.row_number().over(w)).where(F.col("rank_in_group") <= per_group)
     best = scored.agg(F.max(score)).first()[0]

@@ -117,3 +117,10 @@ def test_failure_parts_of_odd_outputs(spark):
     files = spark.createDataFrame([([("b", None), ("a", "x")],)], "f array<struct<path: string, content: string>>")
     want = hashlib.sha256(f"a:{hashlib.sha256(b'x').hexdigest()}|b:missing".encode()).hexdigest()
     assert files.select(T.changed_hash(F.col("f"))).first()[0] == want
+
+
+def test_glossary_by_pieces(spark):
+    keys = spark.createDataFrame([("largest bolt",), ("x",), ("",), (None,), ("bolt",), ("bolt",)], "key string")
+    for known, want in ((["olt", "zz"], ["bolt", "bolt", "largest bolt"]), (["x", "largest bolt!"], ["x"]), ([""], ["", "bolt", "bolt", "largest bolt", "x"]), ([], [])):
+        got = workspace.glossary_covered(keys, spark.createDataFrame([(k,) for k in known] + [(None,)], "known string"))
+        assert sorted(r["key"] for r in got.collect()) == want
