@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from loomquery.plans import activity, catalog, doclinks, edits, graphs, lookup, workspace  # noqa: F401
+from loomquery.plans import activity, catalog, doclinks, edits, graphs, lookup, takeover, workspace  # noqa: F401
 
 DATA = "/root/testdata/sf0.001"
 TABLES = sorted(name.removesuffix(".parquet") for name in os.listdir(DATA) if name.endswith(".parquet"))
@@ -26,10 +26,20 @@ def _plain(v):
 
 @pytest.mark.parametrize("name", sorted(catalog.oracle_sql()))
 def test_matches_sql(spark, duck, name):
-    df = catalog.queries()[name](spark, DATA)
+    _compare(spark, duck, catalog.queries()[name], catalog.oracle_sql()[name])
+
+
+@pytest.mark.parametrize("name", sorted(takeover.UNITS))
+def test_units_match_sql(spark, duck, name):
+    """The operators on the small code base of fixtures."""
+    _compare(spark, duck, *takeover.UNITS[name])
+
+
+def _compare(spark, duck, query, sql):
+    df = query(spark, DATA)
     cols = sorted(df.columns)
     got = sorted((tuple(_plain(r[c]) for c in cols) for r in df.collect()), key=str)
-    rel = duck.sql(catalog.oracle_sql()[name])
+    rel = duck.sql(sql)
     at = [list(rel.columns).index(c) for c in cols]
     assert got == sorted((tuple(_plain(r[i]) for i in at) for r in rel.fetchall()), key=str)
 
