@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomquery.operators._lineage import written
-from loomquery.operators.retrieval import B, K1, greedy_caps
+from loomquery.operators.retrieval import B, K1, VOCABULARY_BYTES, greedy_caps
 
 # Weights of a symbol's and a section's fields.
 SYMBOL_WEIGHTS = {"name": 3.0, "parent": 1.5, "signature": 0.8, "doc": 1.0, "path": 0.3, "imports": 0.2}
@@ -43,11 +43,15 @@ def concept_scores(symbols: DataFrame, sections: DataFrame, generic: list[str] =
     on top, always make pairs, and accepted links are pairs of their own, so the result is that without bounds (``prune=False``).
     """
     given = feedback or {}
+    symbols, sections = written(symbols, "link-symbols"), written(sections, "link-sections")  # read for lengths, frequencies and parts
     lengths = sections.groupBy("key").agg(F.greatest(F.lit(1.0), F.sum("weight")).alias("len"))
     n_sections, average = lengths.agg(F.count("*"), F.avg("len")).first()
     n_symbols = symbols.select("key").distinct().count()
     wanted = symbols.groupBy("token").agg(F.count("*").alias("symbol_df")).where(~_common(F.col("symbol_df"), n_symbols, COMMON_SYMBOLS) & ~F.col("token").isin(list(generic)))
-    mine = sections.join(wanted.select("token"), "token", "left_semi").join(lengths, "key")
+    known = written(wanted.select("token"), "link-known")
+    if (known.agg(F.sum(F.octet_length("token") + 64)).first()[0] or 0) <= VOCABULARY_BYTES:
+        known = F.broadcast(known)
+    mine = sections.join(known, "token", "left_semi").join(lengths, "key")
     saturated = F.col("weight") * (K1 + 1) / (F.col("weight") + K1 * (1 - B + B * F.col("len") / F.lit(max(1.0, average or 1.0))))
     mine = mine.select(F.col("key").alias("section"), "token", saturated.alias("tf"))
     stats = mine.groupBy("token").agg(F.count("*").alias("df"), F.max("tf").alias("most")).where(~_common(F.col("df"), n_sections, COMMON_SECTIONS))
