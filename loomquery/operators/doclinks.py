@@ -22,9 +22,9 @@ PER_SECTION, PER_SYMBOL, CONCEPTS_PER_SYMBOL, MOST_LINKS = 3, 3, 2, 400
 
 
 def weighted(fields: dict[str, DataFrame], weights: dict[str, float]) -> DataFrame:
-    """(key, token, weight) of ``(key, token)`` rows of each field: every occurrence adds its field's weight; tokens of one letter don't count."""
+    """(key, token, weight) of ``(key, token)`` rows of each field, one a row, to be summed: every occurrence has its field's weight; tokens of one letter don't count."""
     rows = [f.select("key", F.lower("token").alias("token"), F.lit(weights[name]).alias("weight")) for name, f in fields.items()]
-    return reduce(DataFrame.union, rows).where(F.length("token") >= 2).groupBy("key", "token").agg(F.sum("weight").alias("weight"))
+    return reduce(DataFrame.union, rows).where(F.length("token") >= 2)
 
 
 def _common(df: Column, n: int, limits: tuple[int, float]) -> Column:
@@ -32,7 +32,7 @@ def _common(df: Column, n: int, limits: tuple[int, float]) -> Column:
 
 
 def concept_scores(symbols: DataFrame, sections: DataFrame, generic: list[str] = (), feedback: dict[str, DataFrame] | None = None, prune: bool = True) -> DataFrame:
-    """(symbol, section, score, shared) of links by shared concepts, over ``(key, token, weight)`` of both sides.
+    """(symbol, section, score, shared) of links by shared concepts, over ``(key, token, weight)`` of both sides, weights of equal keys and tokens being summed.
 
     A token's part is its weight in the symbol, its idf and its saturated weight in the section. Common tokens and ``generic`` ones are no evidence. Two
     tokens have to be shared; pairs of rare ones add to the score. ``feedback`` may hold boosts(token, boost), accepted_tokens(token), and
@@ -43,7 +43,8 @@ def concept_scores(symbols: DataFrame, sections: DataFrame, generic: list[str] =
     on top, always make pairs, and accepted links are pairs of their own, so the result is that without bounds (``prune=False``).
     """
     given = feedback or {}
-    symbols, sections = written(symbols, "link-symbols"), written(sections, "link-sections")  # read for lengths, frequencies and parts
+    summed = lambda rows: rows.groupBy("key", "token").agg(F.sum("weight").alias("weight"))
+    symbols = written(summed(symbols), "link-symbols")
     lengths = sections.groupBy("key").agg(F.greatest(F.lit(1.0), F.sum("weight")).alias("len"))
     n_sections, average = lengths.agg(F.count("*"), F.avg("len")).first()
     n_symbols = symbols.select("key").distinct().count()
@@ -51,7 +52,7 @@ def concept_scores(symbols: DataFrame, sections: DataFrame, generic: list[str] =
     known = written(wanted.select("token"), "link-known")
     if (known.agg(F.sum(F.octet_length("token") + 64)).first()[0] or 0) <= VOCABULARY_BYTES:
         known = F.broadcast(known)
-    mine = sections.join(known, "token", "left_semi").join(lengths, "key")
+    mine = summed(sections.join(known, "token", "left_semi")).join(lengths, "key")  # other tokens are not shuffled
     saturated = F.col("weight") * (K1 + 1) / (F.col("weight") + K1 * (1 - B + B * F.col("len") / F.lit(max(1.0, average or 1.0))))
     mine = mine.select(F.col("key").alias("section"), "token", saturated.alias("tf"))
     stats = mine.groupBy("token").agg(F.count("*").alias("df"), F.max("tf").alias("most")).where(~_common(F.col("df"), n_sections, COMMON_SECTIONS))
