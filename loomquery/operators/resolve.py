@@ -82,21 +82,33 @@ def resolve_methods(calls: DataFrame, symbols: DataFrame, closure: DataFrame) ->
 
 
 def resolve_calls(calls: DataFrame, symbols: DataFrame, imports: DataFrame) -> DataFrame:
-    """Plain calls: same file 0.9, imported 0.95, same package if unique 0.8, unique in the language family 0.6."""
-    free = symbols.where("parent_class is null").select(F.col("name").alias("callee"), F.col("path").alias("target_path"), T.language_family(F.col("path")).alias("family"))
-    plain = calls.where("receiver_class is null").select("path", "line", "callee", T.language_family(F.col("path")).alias("family"))
+    """Plain calls: same file 0.9, imported 0.95, same package if unique 0.8, unique in the language family 0.6.
+
+    Each stage joins on equal keys with one row a key, and names that several files declare are counted before they are joined, so a call never
+    meets all the declarations of its name. What counts for a name in a file is found once for all its lines.
+    """
+    family = T.language_family(F.col("path"))
     folder = lambda c: F.regexp_extract(c, r"^(.*)/[^/]*$", 1)
-    pairs = plain.join(free, ["callee", "family"])
-    same = pairs.where("path = target_path").withColumns({"stage": F.lit(1), "confidence": F.lit(0.9)})
+    free = symbols.where("parent_class is null").select(F.col("name").alias("callee"), "path")
+    plain = calls.where("receiver_class is null").select("path", "line", "callee")
+    own = free.distinct().withColumn("own", F.lit(True))
     named = imports.where("target is not null").select("path", F.col("target").alias("target_path"), F.explode("names").alias("callee"))
-    imported = pairs.join(named, ["path", "target_path", "callee"], "left_semi").withColumns({"stage": F.lit(2), "confidence": F.lit(0.95)})
-    one = F.count("*").over(Window.partitionBy("path", "line", "callee"))
-    package = pairs.where((folder("path") == folder("target_path")) & F.col("family").isin("go", "csharp") & (F.col("path") != F.col("target_path")))
-    package = package.withColumn("c", one).where("c = 1").drop("c").withColumns({"stage": F.lit(3), "confidence": F.lit(0.8)})
-    unique = pairs.withColumn("c", one).where("c = 1").drop("c").withColumns({"stage": F.lit(4), "confidence": F.lit(0.6)})
-    every = reduce(DataFrame.unionByName, [same, imported, package, unique])
-    best = every.groupBy("path", "line", "callee").agg(F.min_by(F.struct("target_path", "confidence"), F.struct("stage", "target_path")).alias("t"))
-    return plain.join(best, ["path", "line", "callee"], "left").select("path", "line", "callee", F.col("t.target_path").alias("target_path"), F.coalesce("t.confidence", F.lit(0.0)).alias("confidence"))
+    named = named.join(free.select(F.col("path").alias("target_path"), "callee"), ["target_path", "callee"], "left_semi")
+    alike = F.when(family == T.language_family(F.col("target_path")), F.col("target_path"))  # not a filter: it would become a key of the join, computed at each comparison
+    brought = named.groupBy("path", "callee").agg(F.min(alike).alias("brought"))
+    by_family = free.withColumns({"family": family, "folder": folder("path")})
+    single = lambda rows, name, *keys: rows.groupBy(*keys).agg(F.count("*").alias("n"), F.min("path").alias(name)).where("n = 1").drop("n")
+    beside = single(by_family.where(F.col("family").isin("go", "csharp")), "beside", "callee", "family", "folder")
+    alone = single(by_family, "alone", "callee", "family")
+    asked = plain.select("path", "callee").distinct().join(own, ["path", "callee"], "left").join(brought, ["path", "callee"], "left")
+    asked = asked.withColumns({"family": family, "folder": folder("path")}).join(beside, ["callee", "family", "folder"], "left").join(alone, ["callee", "family"], "left")
+    # A call that comes twice in a line is not the only one of its name there, so the last two stages leave it.
+    once = F.count("*").over(Window.partitionBy("path", "line", "callee")) == 1
+    rows = plain.join(asked.select("path", "callee", "own", "brought", "beside", "alone"), ["path", "callee"], "left").withColumn("once", once)
+    pick = lambda target, confidence: F.struct(target.alias("target_path"), F.lit(confidence).alias("confidence"))
+    stages = [(F.col("own"), F.col("path"), 0.9), (F.col("brought").isNotNull(), F.col("brought"), 0.95), (F.col("once") & F.col("beside").isNotNull(), F.col("beside"), 0.8), (F.col("once") & F.col("alone").isNotNull(), F.col("alone"), 0.6)]
+    best = reduce(lambda c, stage: c.when(stage[0], pick(*stage[1:])), stages, F).otherwise(pick(F.lit(None).cast("string"), 0.0))
+    return rows.select("path", "line", "callee", best.alias("t")).select("path", "line", "callee", "t.target_path", "t.confidence")
 
 
 def implementers(members: DataFrame, required: DataFrame) -> DataFrame:
