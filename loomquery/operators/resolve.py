@@ -72,12 +72,24 @@ def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def resolve_methods(calls: DataFrame, symbols: DataFrame, closure: DataFrame) -> DataFrame:
-    """Member calls with a known receiver class: own method 0.95, the nearest inherited one 0.9."""
+    """Member calls with a known receiver class: own method 0.95, the nearest inherited one 0.9; of its files the caller's own, else the first.
+
+    The classes of a lineage are searched once for each receiver and member, not for each call, and by the first file of a member; a call then asks
+    only whether its own file declares the member too, so no call meets all the files that do.
+    """
     lineage = symbols.select(F.col("parent_class").alias("child")).where("child is not null").distinct()
     lineage = lineage.select("child", F.col("child").alias("ancestor"), F.lit(0).alias("depth")).union(closure)
     owned = symbols.where("parent_class is not null").select(F.col("parent_class").alias("ancestor"), F.col("name").alias("callee"), F.col("path").alias("target_path"), F.col("ordinal").alias("o"))
-    hits = calls.where("receiver_class is not null").join(lineage, F.col("receiver_class") == F.col("child")).join(owned, ["ancestor", "callee"])
-    best = hits.groupBy("path", "line", "callee").agg(F.min_by(F.struct("ancestor", "target_path", "depth"), F.struct("depth", F.col("target_path") != F.col("path"), "target_path", "o")).alias("t"))
+    first = owned.groupBy("ancestor", "callee").agg(F.min("target_path").alias("first"))
+    calls = calls.where("receiver_class is not null").select("path", "line", "callee", "receiver_class")
+    asked = calls.select(F.col("receiver_class").alias("child"), "callee").distinct()
+    found = asked.join(lineage, "child").join(first, ["ancestor", "callee"])
+    least = F.min("depth").over(Window.partitionBy("child", "callee"))
+    found = found.withColumn("least", least).where("depth = least").select(F.col("child").alias("receiver_class"), "callee", "ancestor", "depth", "first")
+    here = owned.select(F.col("target_path").alias("path"), "callee", "ancestor").distinct().withColumn("own", F.lit(True))
+    hits = calls.join(found, ["receiver_class", "callee"]).join(here, ["path", "callee", "ancestor"], "left")
+    target = F.when(F.col("own"), F.col("path")).otherwise(F.col("first"))
+    best = hits.groupBy("path", "line", "callee").agg(F.min(F.struct("depth", target != F.col("path"), target.alias("target_path"), "ancestor")).alias("t"))
     return best.select("path", "line", "callee", F.col("t.ancestor").alias("target_class"), F.col("t.target_path").alias("target_path"), F.when(F.col("t.depth") == 0, 0.95).otherwise(0.9).alias("confidence"))
 
 

@@ -36,3 +36,19 @@ def test_resolve_calls_of_a_common_name(spark):
     want += [("pkg/w.go", 1, "only", "pkg/x.go", 0.8), ("pkg/w.go", 1, "two", "pkg/y.go", 0.8), ("c0.ts", 9, "alone", "b.ts", 0.6), *[("c0.ts", 8, "alone", None, 0.0)] * 2, ("c0.py", 1, "alone", None, 0.0), ("c1.ts", 3, None, None, 0.0)]
     assert sorted(map(str, map(tuple, rows))) == sorted(map(str, want))
     assert most < 10 * n
+
+
+def test_resolve_methods_of_a_common_member(spark):
+    """A member that 400 files declare for one class and 400 lines call on it and on its heir."""
+    n = 400
+    symbols = [(f"a{i:03}.ts", "m", "Base", 0) for i in range(n)] + [("h.ts", "k", "Heir", 0), ("h.ts", "Heir", None, 1)]
+    calls = [(f"c{i}.ts", i, "m", "Heir" if i % 2 else "Base") for i in range(n)] + [("a007.ts", 1, "m", "Heir"), ("c0.ts", 5, "k", "Heir"), ("c0.ts", 6, "none", "Heir"), ("c0.ts", 7, "m", None), ("c0.ts", 8, "m", "Far")]
+    out = resolve.resolve_methods(
+        spark.createDataFrame(calls, "path string, line int, callee string, receiver_class string"), spark.createDataFrame(symbols, "path string, name string, parent_class string, ordinal int"),
+        spark.createDataFrame([("Heir", "Base", 1), ("Far", "Heir", 1), ("Far", "Base", 2)], "child string, ancestor string, depth int"),
+    )
+    rows, most = most_rows(spark, out)
+    want = {(f"c{i}.ts", i, "m", "Base", "a000.ts", 0.9 if i % 2 else 0.95) for i in range(n)}
+    want |= {("a007.ts", 1, "m", "Base", "a007.ts", 0.9), ("c0.ts", 5, "k", "Heir", "h.ts", 0.95), ("c0.ts", 8, "m", "Base", "a000.ts", 0.9)}
+    assert {tuple(r) for r in rows} == want and len(rows) == len(want)
+    assert most < 10 * n
