@@ -40,7 +40,8 @@ def normal_path(path):
         up = (part == "..") & (F.size(out) > 0) & (F.element_at(F.concat(F.array(F.lit("..")), out), -1) != "..")
         return F.when(part.isin("", "."), out).when(up, F.slice(out, 1, F.greatest(F.size(out) - 1, F.lit(0)))).otherwise(F.concat(out, F.array(part)))
 
-    return F.array_join(F.aggregate(F.split(path, "/"), F.expr("cast(array() as array<string>)"), step), "/")
+    plain = ~F.rlike(path, F.lit(r"(^|/)\.{0,2}(/|$)"))  # most have nothing to resolve
+    return F.when(plain, path).otherwise(F.array_join(F.aggregate(F.split(path, "/"), F.expr("cast(array() as array<string>)"), step), "/"))
 
 
 def import_candidates(module: str = "module", path: str = "path"):
@@ -51,24 +52,31 @@ def import_candidates(module: str = "module", path: str = "path"):
     dots = F.regexp_extract(spec, r"^(\.*)", 1)
     dotted = F.replace(F.regexp_replace(spec, r"^\.+", ""), F.lit("."), F.lit("/"))
     base = inside(folder, F.repeat(F.lit("../"), F.length(dots) - 1), dotted)
-    python = F.when(F.length(dots) > 0, each(F.concat(base, F.lit(".py")), F.concat(base, F.lit("/__init__.py")))).when(
+    python = F.when(F.length(dots) > 0, F.flatten(F.transform(each(base), lambda p: each(F.concat(p, F.lit(".py")), F.concat(p, F.lit("/__init__.py")))))).when(
         dotted != "", F.transform(each(F.concat_ws("/", F.nullif(folder, F.lit("")), dotted), dotted, F.concat(F.lit("src/"), dotted), F.concat(dotted, F.lit("/__init__"))), lambda x: F.concat(x, F.lit(".py")))
     )
     crate = F.replace(F.regexp_replace(spec, "^(crate|super|self)::", ""), F.lit("::"), F.lit("/"))
     rust = F.transform(each(inside(folder, crate), F.concat(F.lit("src/"), crate), crate, F.concat(F.lit("src/"), crate, F.lit("/mod"))), lambda x: F.concat(x, F.lit(".rs")))
     c = F.transform(each(F.concat_ws("/", folder, spec), spec, F.concat(F.lit("include/"), spec), F.concat(F.lit("src/"), spec)), normal_path)
-    near = inside(folder, spec)
-    bare = F.regexp_replace(near, r"(?i)\.(js|mjs|cjs)$", "")
-    script = F.when(spec.startswith("."), F.transform(F.array(*map(F.lit, TRIED)), lambda x: F.when(x == "", near).otherwise(F.concat(bare, x))))
+    # one path a case, not one an ending: what a lambda names it computes for each element
+    near = F.transform(F.array(inside(folder, spec)), lambda p: F.struct(p.alias("near"), F.regexp_replace(p, r"(?i)\.(js|mjs|cjs)$", "").alias("bare")))
+    script = F.when(spec.startswith("."), F.flatten(F.transform(near, lambda p: F.array(*[p["near"] if x == "" else F.concat(p["bare"], F.lit(x)) for x in TRIED]))))
     found = F.when(F.col(path).rlike(r"\.pyi?$"), python).when(F.col(path).rlike(r"\.rs$"), rust).when(F.col(path).rlike(C_FILES), c).otherwise(script)
     return F.filter(found, lambda x: ~x.startswith(".."))
 
 
 def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
-    """(path, module, target): the first candidate that is a known file, or null."""
-    tried = imports.select("path", "module", F.posexplode(import_candidates()).alias("prio", "candidate"))
-    best = tried.join(files.select(F.col("path").alias("candidate")), "candidate").groupBy("path", "module").agg(F.min_by("candidate", "prio").alias("target"))
-    return imports.select("path", "module").distinct().join(best, ["path", "module"], "left")
+    """(path, module, target): the first candidate that is a known file, or null.
+
+    Candidates depend on the importing file's folder and ending alone, so a module is resolved once for all files of a folder and an ending.
+    """
+    at = ["folder", "ending", "module"]
+    places = {"folder": F.regexp_extract("path", r"^(.*)/[^/]*$", 1), "ending": F.regexp_extract("path", r"(\.[^./]*)$", 1)}
+    rows = imports.select("path", "module").distinct().withColumns(places)
+    asked = imports.select("path", "module").withColumns(places).select(*at).distinct().withColumn("path", F.concat("folder", F.lit("/x"), "ending"))
+    tried = asked.select(*at, F.posexplode(import_candidates()).alias("prio", "candidate"))
+    best = tried.join(files.select(F.col("path").alias("candidate")), "candidate").groupBy(*at).agg(F.min_by("candidate", "prio").alias("target"))
+    return rows.join(best, at, "left").select("path", "module", "target")
 
 
 def resolve_methods(calls: DataFrame, symbols: DataFrame, closure: DataFrame) -> DataFrame:

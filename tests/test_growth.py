@@ -52,3 +52,14 @@ def test_resolve_methods_of_a_common_member(spark):
     want |= {("a007.ts", 1, "m", "Base", "a007.ts", 0.9), ("c0.ts", 5, "k", "Heir", "h.ts", 0.95), ("c0.ts", 8, "m", "Base", "a000.ts", 0.9)}
     assert {tuple(r) for r in rows} == want and len(rows) == len(want)
     assert most < 10 * n
+
+
+def test_resolve_imports_once_a_folder(spark):
+    """300 files of a folder import the same three modules: their candidates are tried once."""
+    n = 300
+    imports = [(f"src/a/f{i}.ts", m) for i in range(n) for m in ("./b.js", "../c//d", "../../../far")] + [("x.py", "..m"), ("src/p.py", ".q"), ("p.rs", "crate::a::b"), (None, "./b"), ("src/a/y.ts", None), ("src/a/z.PY", "./b.js")]
+    files = spark.createDataFrame([(p,) for p in ("src/a/b.ts", "src/a/b.js", "src/c/d/index.ts", "src/q/__init__.py", "src/a/b.rs", "far.ts")], "path string")
+    rows, most = most_rows(spark, resolve.resolve_imports(spark.createDataFrame(imports, "path string, module string"), files))
+    found = {"./b.js": "src/a/b.js", "../c//d": "src/c/d/index.ts", ".q": "src/q/__init__.py", "crate::a::b": "src/a/b.rs"}
+    assert {tuple(r) for r in rows} == {(p, m, found.get(m) if p else None) for p, m in imports} and len(rows) == len(imports)
+    assert most <= len(imports) + 10
