@@ -20,6 +20,9 @@ COMMON_SECTIONS, COMMON_SYMBOLS, RARE, RARE_TOKENS, PAIR_WEIGHT, PAIR_MOST = (4,
 # Links of a section, of a symbol, of a symbol by concepts, and in all.
 PER_SECTION, PER_SYMBOL, CONCEPTS_PER_SYMBOL, MOST_LINKS = 3, 3, 2, 400
 
+#: Tokens of pairs of a symbol and a section that a task sums, about.
+TASK_HITS = 2_000_000
+
 
 def weighted(fields: dict[str, DataFrame], weights: dict[str, float]) -> DataFrame:
     """(key, token, weight) of ``(key, token)`` rows of each field, one a row, to be summed: every occurrence has its field's weight; tokens of one letter don't count."""
@@ -39,8 +42,10 @@ def concept_scores(symbols: DataFrame, sections: DataFrame, generic: list[str] =
     accepted and rejected (symbol, section): boosts scale a link's score, accepted links gain and need no least score, rejected ones go.
 
     A token's part is at most its bound, that in the best section. Of each symbol's tokens, those of the least bounds that together stay below the least
-    score can't make a link alone: pairs are made by the others only, and then summed over all tokens. Rare and boosted tokens, whose gains come
-    on top, always make pairs, and accepted links are pairs of their own, so the result is that without bounds (``prune=False``).
+    score can't make a link alone: pairs that share none of the others go before they are scored. Rare and boosted tokens, whose gains come
+    on top, always count, and accepted links stay, so the result is that without bounds (``prune=False``).
+
+    Symbols' tokens are broadcast if few; then only sections' tokens are shuffled, by their section, and neither tokens of pairs nor pairs.
     """
     given = feedback or {}
     summed = lambda rows: rows.groupBy("key", "token").agg(F.sum("weight").alias("weight"))
@@ -56,8 +61,8 @@ def concept_scores(symbols: DataFrame, sections: DataFrame, generic: list[str] =
     saturated = F.col("weight") * (K1 + 1) / (F.col("weight") + K1 * (1 - B + B * F.col("len") / F.lit(max(1.0, average or 1.0))))
     mine = mine.select(F.col("key").alias("section"), "token", saturated.alias("tf"))
     stats = mine.groupBy("token").agg(F.count("*").alias("df"), F.max("tf").alias("most")).where(~_common(F.col("df"), n_sections, COMMON_SECTIONS))
-    idf = F.log(1 + (F.lit(n_sections) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    stats = stats.select("token", "df", "most", idf.alias("idf")).where("idf > 0")
+    idf_of = lambda df: F.log(1 + (F.lit(n_sections) - df + 0.5) / (df + 0.5))
+    stats = stats.select("token", "df", "most", idf_of(F.col("df")).alias("idf")).where("idf > 0")
     postings = written(mine.join(stats.select("token"), "token", "left_semi"), "link-postings")
     asked = symbols.join(stats, "token").select(F.col("key").alias("symbol"), "token", "df", "idf", (F.col("weight") * F.col("idf")).alias("w"), "most")
     special = F.col("df") <= RARE
@@ -69,14 +74,10 @@ def concept_scores(symbols: DataFrame, sections: DataFrame, generic: list[str] =
     ascending = Window.partitionBy("symbol").orderBy(F.col("w") * F.col("most"), "token")
     asked = asked.withColumn("leads", special | (F.sum(F.col("w") * F.col("most")).over(ascending) >= LEAST_SCORE - 1e-9))
     asked = written(asked.select("symbol", "token", "df", "idf", "w", "leads"), "link-tokens")
-    leading = asked.where("leads") if prune else asked
-    pairs = leading.select("symbol", "token").join(postings.select("token", "section"), "token").select("symbol", "section")
-    if "accepted" in given:
-        pairs = pairs.union(given["accepted"].select("symbol", "section"))
-    pairs = pairs.distinct()
-    if "rejected" in given:
-        pairs = pairs.join(given["rejected"].select("symbol", "section"), ["symbol", "section"], "left_anti")
-    hits = pairs.join(asked, "symbol").join(postings, ["section", "token"])
+    rows, size = asked.agg(F.sum("df"), F.sum(F.octet_length("token") + 64)).first()
+    # A section's tokens are laid together before they meet the symbols', so what they make of each pair is summed where it arises.
+    parts = max(int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(rows or 0) // TASK_HITS))
+    hits = postings.repartition(parts, "section").join(F.broadcast(asked), "token") if (size or 0) <= VOCABULARY_BYTES else postings.join(asked, "token")
     boost, accepted = F.lit(1.0), F.lit(False)
     if "boosts" in given:
         hits = hits.join(given["boosts"].groupBy("token").agg(F.max("boost").alias("boost")), "token", "left")
@@ -84,15 +85,24 @@ def concept_scores(symbols: DataFrame, sections: DataFrame, generic: list[str] =
     if "accepted_tokens" in given:
         hits = hits.join(given["accepted_tokens"].select("token", F.lit(ACCEPTED_TOKEN).alias("told")).distinct(), "token", "left")
         boost = boost * F.coalesce("told", F.lit(1.0))
-    rare = F.slice(F.reverse(F.array_sort(F.collect_list(F.when(F.col("df") <= RARE, F.col("idf"))))), 1, RARE_TOKENS)
-    found = hits.groupBy("symbol", "section").agg(F.sum(F.col("w") * F.col("tf")).alias("sum"), F.product(boost).alias("boost"), F.array_sort(F.collect_list("token")).alias("shared"), rare.alias("rare"))
+    # The idf depends on the df alone, so rare tokens are counted by it, the rarest first.
+    found = hits.groupBy("symbol", "section").agg(
+        F.sum(F.col("w") * F.col("tf")).alias("sum"), F.product(boost).alias("boost"), F.count("*").alias("n"), F.bool_or("leads").alias("leads"), F.array_sort(F.collect_list("token")).alias("shared"),
+        *(F.count_if(F.col("df") == df).cast("int").alias(f"n{df}") for df in range(1, RARE + 1)),
+    ).where("n >= 2")
+    rare = F.slice(F.concat(*(F.array_repeat(idf_of(F.lit(df)), F.least(F.col(f"n{df}"), F.lit(RARE_TOKENS))) for df in range(1, RARE + 1))), 1, RARE_TOKENS)
+    found = found.withColumn("rare", rare)
     of_pair = lambda i, j: F.when(F.size("rare") > j, F.least(F.lit(PAIR_MOST), F.get("rare", F.lit(i)) * F.get("rare", F.lit(j)) * PAIR_WEIGHT)).otherwise(0.0)
     bonus = sum(of_pair(i, j) for i in range(RARE_TOKENS) for j in range(i + 1, RARE_TOKENS))
-    found = found.where(F.size("shared") >= 2).withColumn("score", (F.col("sum") + bonus) * F.col("boost"))
+    found = found.withColumn("score", (F.col("sum") + bonus) * F.col("boost"))
+    if "rejected" in given:
+        found = found.join(given["rejected"].select("symbol", "section"), ["symbol", "section"], "left_anti")
     if "accepted" in given:
         found = found.join(given["accepted"].select("symbol", "section", F.lit(True).alias("told")).distinct(), ["symbol", "section"], "left")
         accepted = F.coalesce("told", F.lit(False))
         found = found.withColumn("score", F.col("score") + F.when(accepted, ACCEPTED_LINK).otherwise(0.0))
+    if prune:
+        found = found.where(F.col("leads") | accepted)
     kept = found.withColumn("score", F.round("score", 6)).where(accepted | ((F.col("score") >= LEAST_SCORE) & (F.col("score") / (F.col("score") + SOFTNESS) >= LEAST_CONFIDENCE)))
     return kept.select("symbol", "section", "score", "shared")
 

@@ -1,6 +1,6 @@
 """Plans whose intermediate rows must grow with the input, not with its square: the most rows that any step gives, and the results by direct computation."""
 
-from loomquery.operators import resolve
+from loomquery.operators import doclinks, resolve
 
 
 def most_rows(spark, frame):
@@ -63,3 +63,15 @@ def test_resolve_imports_once_a_folder(spark):
     found = {"./b.js": "src/a/b.js", "../c//d": "src/c/d/index.ts", ".q": "src/q/__init__.py", "crate::a::b": "src/a/b.rs"}
     assert {tuple(r) for r in rows} == {(p, m, found.get(m) if p else None) for p, m in imports} and len(rows) == len(imports)
     assert most <= len(imports) + 10
+
+
+def test_concept_scores_meet_shared_tokens_only(spark):
+    """40 symbols and 400 sections of 20 out of 100 words: no step gives more rows than there are shared tokens of pairs."""
+    side = lambda keys, step: [(k, f"w{(k * step + i * 5) % 100}", 1.0) for k in range(keys) for i in range(20)]
+    symbols, sections = side(40, 3), side(400, 7)
+    frame = lambda rows: spark.createDataFrame(rows, "key long, token string, weight double")
+    by_token = {}
+    for _, token, _ in sections:
+        by_token[token] = by_token.get(token, 0) + 1
+    rows, most = most_rows(spark, doclinks.concept_scores(frame(symbols), frame(sections)).drop("shared"))
+    assert rows and most <= sum(by_token.get(token, 0) for _, token, _ in symbols)
