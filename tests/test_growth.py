@@ -1,5 +1,7 @@
 """Plans whose intermediate rows must grow with the input, not with its square: the most rows that any step gives, and the results by direct computation."""
 
+import random
+
 from loomquery.operators import doclinks, resolve
 
 
@@ -67,8 +69,9 @@ def test_resolve_imports_once_a_folder(spark):
 
 def test_concept_scores_meet_shared_tokens_only(spark):
     """40 symbols and 400 sections of 20 out of 100 words: no step gives more rows than there are shared tokens of pairs."""
-    side = lambda keys, step: [(k, f"w{(k * step + i * 5) % 100}", 1.0) for k in range(keys) for i in range(20)]
-    symbols, sections = side(40, 3), side(400, 7)
+    rng = random.Random(3)
+    side = lambda keys: [(k, f"w{i}", 1.0) for k in range(keys) for i in rng.sample(range(100), 20)]
+    symbols, sections = side(40), side(400)
     frame = lambda rows: spark.createDataFrame(rows, "key long, token string, weight double")
     by_token = {}
     for _, token, _ in sections:
