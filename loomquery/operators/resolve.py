@@ -13,19 +13,27 @@ from loomquery.functions import text as T
 def enclosing(points: DataFrame, spans: DataFrame) -> DataFrame:
     """Innermost span around each point of the same file; ties to the first declared. Spans may cross.
 
-    ``points(path, point)``, ``spans(path, name, first, last, ordinal)``, in whole numbers. A span is cut into aligned pieces of 1, 2, 4 ... numbers, two of a
-    size at most, and the best span of each piece is kept; a point looks up the piece of each size of its file that holds it. So the
-    join is on equal keys, and its rows are as many as points and spans, a logarithm of the longest span each.
+    ``points(path, point)``, ``spans(path, name, first, last, ordinal)``, in whole numbers. The ends of a file's spans cut it into stretches, numbered in
+    order, with the same spans around all their numbers. A span is cut into aligned pieces of 1, 2, 4 ... stretches, two of a size at most, and the best
+    span of each piece is kept; a stretch looks up the piece of each size that holds it. A point then takes the stretch that starts last before it, in
+    one window over both, so points pass one shuffle as they are, and only spans are multiplied, by a logarithm of their number in a file.
     """
-    cut = F.expr("""aggregate(sequence(0, cast(log2(last - first + 1) as int) + 1), struct(cast(first as bigint) as a, cast(last as bigint) as b, cast(array() as array<struct<size: int, piece: bigint>>) as p), (s, i) ->
+    spans = spans.where("first <= last and path is not null").select("path", F.struct((F.col("last") - F.col("first")).alias("long"), "ordinal", "name").alias("span"), F.col("first").cast("bigint").alias("a"), (F.col("last").cast("bigint") + 1).alias("b"))
+    ends = spans.select("path", "span", F.explode(F.array("a", "b")).alias("start"), "a")
+    numbered = ends.withColumn("n", F.dense_rank().over(Window.partitionBy("path").orderBy("start")).cast("bigint"))
+    ranked = numbered.groupBy("path", "span", "a").agg(F.min("n").alias("first"), (F.max("n") - 1).alias("last"))
+    cut = F.expr("""aggregate(sequence(0, cast(log2(last - first + 1) as int) + 1), struct(first as a, last as b, cast(array() as array<struct<size: int, piece: bigint>>) as p), (s, i) ->
       if(s.a > s.b, s, struct(shiftright(s.a + 1, 1) as a, shiftright(s.b - 1, 1) as b, concat(s.p, if(s.a & 1 = 1, array(struct(i as size, s.a as piece)), array()), if(s.b & 1 = 0, array(struct(i as size, s.b as piece)), array())) as p)), s -> s.p)""")
-    pieces = spans.where("first <= last").select("path", F.struct((F.col("last") - F.col("first")).alias("long"), "ordinal", "name").alias("span"), F.explode(cut).alias("c"))
-    best = pieces.groupBy("path", "c.size", "c.piece").agg(F.min("span").alias("span"))
+    best = ranked.select("path", "span", F.explode(cut).alias("c")).groupBy("path", "c.size", "c.piece").agg(F.min("span").alias("span"))
     sizes = best.groupBy("path").agg(F.collect_set("size").alias("sizes"))
-    asked = points.select("path", "point").distinct().join(sizes, "path")
-    asked = asked.select("path", "point", F.explode("sizes").alias("size")).withColumn("piece", F.expr("shiftright(cast(point as bigint), size)"))
-    found = asked.join(best, ["path", "size", "piece"]).groupBy("path", "point").agg(F.min("span").alias("span"))
-    return points.join(found, ["path", "point"], "left").select("path", "point", F.col("span.name").alias("name"))
+    stretches = numbered.select("path", "n", "start").distinct()
+    asked = stretches.join(sizes, "path").select("path", "start", "n", F.explode("sizes").alias("size")).withColumn("piece", F.expr("shiftright(n, size)"))
+    # a stretch that no span is around ends the one before it
+    inner = asked.join(best, ["path", "size", "piece"], "left").groupBy("path", "start").agg(F.min("span").alias("span"))
+    starts = inner.select("path", F.col("start").alias("at"), F.struct(F.col("span.name").alias("name")).alias("starts"))
+    both = points.select("path", F.col("point").cast("bigint").alias("at"), "point").unionByName(starts, allowMissingColumns=True)
+    name = F.last("starts", ignorenulls=True).over(Window.partitionBy("path").orderBy("at", F.col("starts").isNull()).rowsBetween(Window.unboundedPreceding, 0))["name"]
+    return both.withColumn("name", name).where("starts is null").select("path", "point", "name")
 
 
 #: Endings tried after a path without one, in order, by language.

@@ -93,3 +93,15 @@ def test_receiver_types_without_broadcasts(spark):
     assert {tuple(r) for r in out.select("path", "name", "type").collect()} == {x for i in range(5) for x in ((f"f{i}.py", "p", f"P{i}"), (f"f{i}.py", "self", f"K{i}"))}
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "Broadcast" not in plan and "PythonUDTF" not in plan
+
+
+def test_enclosing_keeps_points_single(spark):
+    """2,000 points in spans of all lengths, crossing and apart: no step multiplies the points."""
+    rng = random.Random(5)
+    spans = [("f", f"s{i}", a, a + rng.choice([0, 1, 7, 100, 4000, 60000]), i) for i, a in enumerate(rng.sample(range(-500, 100_000), 40))] + [(None, "none", 0, 10**6, 90), ("g", "back", 5, 2, 91), ("f", None, 300_000, 300_009, 92)]
+    points = [("f", rng.randrange(-1000, 200_000)) for _ in range(2000)] + [("f", 5), ("f", 5), ("f", None), (None, 5), ("g", 3), ("f", 300_003)] + [("f", x + d) for _, _, a, b, _ in spans for x in (a, b) for d in (-1, 0, 1)]
+    out = resolve.enclosing(spark.createDataFrame(points, "path string, point long"), spark.createDataFrame(spans, "path string, name string, first long, last long, ordinal int"))
+    rows, most = most_rows(spark, out)
+    around = lambda p, x: min(((b - a, o, n) for f, n, a, b, o in spans if None not in (f, x) and f == p and a <= x <= b), default=(0, 0, None))[2]
+    assert sorted(map(str, map(tuple, rows))) == sorted(str((p, x, around(p, x))) for p, x in points)
+    assert most < 2 * len(points)
