@@ -36,14 +36,15 @@ class Code:
 @dataclass
 class State:
     """What a build leaves for the next: ``edges(path, kind, source, target)`` are each file's own contribution, ``queried(path, name)`` the names
-    that its calls were looked up by, ``probed(path, candidate)`` the files that its imports would lead to. The rest is the code's own."""
+    and receiver classes of its calls. The rest is the code's own. What follows from it, the candidates of imports and the ancestors of classes, is
+    not kept for each file, for it is much larger: the next build derives it once for all files."""
 
     files: DataFrame
     symbols: DataFrame
     parents: DataFrame
     edges: DataFrame
     queried: DataFrame
-    probed: DataFrame
+    imports: DataFrame
 
 
 def file_id(path: Column) -> Column:
@@ -60,30 +61,23 @@ def _lineage(parents: DataFrame) -> DataFrame:
 
 
 def contribution(code: Code, all_files: Code, lineage: DataFrame) -> dict[str, DataFrame]:
-    """(edges, queried, probed) of the files of ``code``, resolved among ``all_files``."""
-    probed = code.imports.select("path", F.explode(resolve.import_candidates()).alias("candidate")).distinct()
-    resolved = resolve.resolve_imports(code.imports, all_files.files)
-    brought = written(code.imports.join(resolved, ["path", "module"]).select("path", "target", "names"), "graph-brought")
-    code, lineage = replace(code, calls=written(code.calls, "graph-calls")), written(lineage, "graph-lineage")
+    """(edges, queried, imports) of the files of ``code``, resolved among ``all_files``."""
+    brought = resolve.resolve_imports(code.imports, all_files.files, keep=("names",)).where("target is not null")
+    brought, lineage = written(brought.select("path", "target", "names"), "graph-brought"), written(lineage, "graph-lineage")
     imports = brought.where("target <> path").select("path", F.lit("imports").alias("kind"), file_id(F.col("path")).alias("source"), file_id(F.col("target")).alias("target"))
     own = all_files.symbols.join(code.files.select("path"), "path", "left_semi")
     defines = own.select("path", F.lit("defines").alias("kind"), file_id(F.col("path")).alias("source"), symbol_id(F.col("path"), F.col("name"), F.col("parent_class")).alias("target"))
-    # Equal calls of a line and name are resolved once and joined to their callers again.
-    plain = resolve.resolve_calls(code.calls, all_files.symbols, brought).where(F.col("confidence") >= CONFIDENT)
-    plain = plain.select("path", "line", "callee", F.lit(None).cast("string").alias("receiver_class"), F.lit(None).cast("string").alias("target_class"), "target_path").distinct()
-    typed = code.calls.where("receiver_class is not null").select("path", "callee", "receiver_class").distinct()
-    typed = resolve.resolve_methods(typed.withColumn("line", F.col("receiver_class")), all_files.symbols, lineage).where(F.col("confidence") >= CONFIDENT)
-    typed = typed.select("path", F.col("line").alias("receiver_class"), "callee", "target_class", "target_path")
-    plain, typed = written(plain, "graph-plain"), written(typed, "graph-typed")
-    at = ["path", "callee", "receiver_class"]
-    hits = code.calls.join(plain.drop("receiver_class"), ["path", "line", "callee"]).where("receiver_class is null").select("path", "caller", "callee", "target_class", "target_path")
-    hits = hits.union(code.calls.join(typed, at).select("path", "caller", "callee", "target_class", "target_path"))
-    caller = F.coalesce("caller", file_id(F.col("path")))
-    calls = hits.select("path", F.lit("calls").alias("kind"), caller.alias("source"), symbol_id(F.col("target_path"), F.col("callee"), F.col("target_class")).alias("target"))
+    calls = code.calls.select("path", "line", "callee", "receiver_class", F.coalesce("caller", file_id(F.col("path"))).alias("caller"))
+    plain = resolve.resolve_calls(calls, all_files.symbols, brought, least=CONFIDENT, keep=("caller",)).withColumn("target_class", F.lit(None).cast("string"))
+    # Equal calls of a file are resolved once, whatever their lines; a receiver stands for the line.
+    typed = resolve.resolve_methods(calls.withColumn("line", F.col("receiver_class")), all_files.symbols, lineage, keep=("caller",))
+    edges = defines.distinct().union(imports.distinct())
+    for hits in (plain, typed):
+        hits = hits.where(F.col("confidence") >= CONFIDENT).select("path", "callee", "caller", "target_class", "target_path").distinct()
+        hits = hits.select("path", F.lit("calls").alias("kind"), F.col("caller").alias("source"), symbol_id(F.col("target_path"), F.col("callee"), F.col("target_class")).alias("target"))
+        edges = edges.union(hits.where("source <> target"))
     asked = code.calls.select("path", F.explode(F.array_compact(F.array("callee", "receiver_class"))).alias("name")).distinct()
-    above = code.calls.select("path", F.col("receiver_class").alias("child")).where("child is not null").distinct().join(lineage, "child").select("path", F.col("ancestor").alias("name"))
-    edges = defines.union(imports).union(calls.where("source <> target")).distinct()
-    return {"edges": edges, "queried": asked.union(above).distinct(), "probed": probed}
+    return {"edges": edges, "queried": asked, "imports": code.imports.select("path", "module")}
 
 
 def dirty_paths(code: Code, old: State) -> DataFrame:
@@ -101,8 +95,11 @@ def dirty_paths(code: Code, old: State) -> DataFrame:
 
     named = shift(old.symbols, code.symbols, "path", "name", "parent_class").select(F.explode(F.array_compact(F.array("name", "parent_class"))).alias("name"))
     above = shift(old.parents, code.parents, "path", "child", "parent").select(F.col("child").alias("name"))
-    asked = old.queried.join(named.union(above).distinct(), "name", "left_semi").select("path")
-    probed = old.probed.join(moved, "candidate", "left_semi").select("path")
+    names = written(named.union(above).distinct(), "graph-names")
+    heirs = _lineage(old.parents).join(names.withColumnRenamed("name", "ancestor"), "ancestor", "left_semi").select(F.col("child").alias("name"))
+    asked = old.queried.join(names.union(heirs).distinct(), "name", "left_semi").select("path").distinct()
+    places = resolve.tried_files(old.imports).join(moved, "candidate", "left_semi").select(*resolve.PLACE).distinct()
+    probed = resolve.placed(old.imports).join(places, resolve.PLACE, "left_semi").select("path")
     dirty = status.where("status in ('added', 'changed')").select("path").union(asked).union(probed)
     return dirty.join(code.files, "path", "left_semi").distinct()
 
@@ -120,14 +117,26 @@ def rebuild(code: Code, old: State | None = None) -> State:
     return State(**{f.name: written(tables[f.name], f"graph-{f.name}") for f in fields(State)})
 
 
-def nodes(state: State) -> DataFrame:
-    """(id, kind) of the files and symbols of a state."""
+def nodes(state: State | Code) -> DataFrame:
+    """(id, kind) of the files and symbols of a state or of code."""
     symbols = state.symbols.select(symbol_id(F.col("path"), F.col("name"), F.col("parent_class")).alias("id"), F.lit("symbol").alias("kind")).distinct()
     return state.files.select(file_id(F.col("path")).alias("id"), F.lit("file").alias("kind")).union(symbols)
 
 
 def edges(state: State) -> DataFrame:
-    """(kind, source, target) of a state, both ends known, each once."""
-    known = nodes(state).select("id")
-    rows = state.edges.select("kind", "source", "target").distinct()
-    return rows.join(known.withColumnRenamed("id", "source"), "source", "left_semi").join(known.withColumnRenamed("id", "target"), "target", "left_semi").select("kind", "source", "target")
+    """(kind, source, target) of a state, both ends known, each once.
+
+    A target is a file or symbol that the code declares, or its file would have been dirty, so only sources, which callers name, are looked up; the rows
+    of a source are then made distinct where they are.
+    """
+    return known_edges(state.edges, nodes(state))
+
+
+def known_edges(rows: DataFrame, known: DataFrame) -> DataFrame:
+    return rows.select("kind", "source", "target").join(known.select(F.col("id").alias("source")), "source", "left_semi").distinct().select("kind", "source", "target")
+
+
+def full_edges(code: Code) -> DataFrame:
+    """(kind, source, target) of ``code``, without a state for a next build."""
+    code = replace(code, symbols=written(code.symbols, "graph-symbols"))
+    return known_edges(contribution(code.of(code.files.select("path")), code, _lineage(code.parents))["edges"], nodes(code))

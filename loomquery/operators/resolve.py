@@ -73,70 +73,89 @@ def import_candidates(module: str = "module", path: str = "path"):
     return F.filter(found, lambda x: ~x.startswith(".."))
 
 
-def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
-    """(path, module, target): the first candidate that is a known file, or null.
+#: What the candidates of an import depend on, besides the files there are.
+PLACE = ["folder", "ending", "module"]
+
+
+def placed(imports: DataFrame) -> DataFrame:
+    """``imports(path, module)`` with the folder and the ending of the importing file."""
+    return imports.withColumns({"folder": F.regexp_extract("path", r"^(.*)/[^/]*$", 1), "ending": F.regexp_extract("path", r"(\.[^./]*)$", 1)})
+
+
+def tried_files(imports: DataFrame) -> DataFrame:
+    """(folder, ending, module, prio, candidate): the candidates of imports, once for all files of a folder and an ending."""
+    asked = placed(imports.select("path", "module")).select(*PLACE).distinct().withColumn("path", F.concat("folder", F.lit("/x"), "ending"))
+    return asked.select(*PLACE, F.posexplode(import_candidates()).alias("prio", "candidate"))
+
+
+def resolve_imports(imports: DataFrame, files: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(path, module, target): the first candidate that is a known file, or null; each once, or, with other columns to keep, each row of ``imports``.
 
     Candidates depend on the importing file's folder and ending alone, so a module is resolved once for all files of a folder and an ending.
     """
-    at = ["folder", "ending", "module"]
-    places = {"folder": F.regexp_extract("path", r"^(.*)/[^/]*$", 1), "ending": F.regexp_extract("path", r"(\.[^./]*)$", 1)}
-    rows = imports.select("path", "module").distinct().withColumns(places)
-    asked = imports.select("path", "module").withColumns(places).select(*at).distinct().withColumn("path", F.concat("folder", F.lit("/x"), "ending"))
-    tried = asked.select(*at, F.posexplode(import_candidates()).alias("prio", "candidate"))
-    best = tried.join(files.select(F.col("path").alias("candidate")), "candidate").groupBy(*at).agg(F.min_by("candidate", "prio").alias("target"))
-    return rows.join(best, at, "left").select("path", "module", "target")
+    rows = imports.select("path", "module", *keep)
+    best = tried_files(imports).join(files.select(F.col("path").alias("candidate")), "candidate").groupBy(*PLACE).agg(F.min_by("candidate", "prio").alias("target"))
+    return placed(rows if keep else rows.distinct()).join(best, PLACE, "left").select("path", "module", *keep, "target")
 
 
-def resolve_methods(calls: DataFrame, symbols: DataFrame, closure: DataFrame) -> DataFrame:
+def resolve_methods(calls: DataFrame, symbols: DataFrame, closure: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Member calls with a known receiver class: own method 0.95, the nearest inherited one 0.9; of its files the caller's own, else the first.
 
     The classes of a lineage are searched once for each receiver and member, not for each call, and by the first file of a member; a call then asks
-    only whether its own file declares the member too, so no call meets all the files that do.
+    only whether its own file declares the member too, so no call meets all the files that do. Calls and declarations of a file and member
+    pass one shuffle for that. Calls of a line are told apart by the columns to ``keep``, which come last.
     """
     lineage = symbols.select(F.col("parent_class").alias("child")).where("child is not null").distinct()
     lineage = lineage.select("child", F.col("child").alias("ancestor"), F.lit(0).alias("depth")).union(closure)
     owned = symbols.where("parent_class is not null").select(F.col("parent_class").alias("ancestor"), F.col("name").alias("callee"), F.col("path").alias("target_path"), F.col("ordinal").alias("o"))
     first = owned.groupBy("ancestor", "callee").agg(F.min("target_path").alias("first"))
-    calls = calls.where("receiver_class is not null").select("path", "line", "callee", "receiver_class")
+    calls = calls.where("receiver_class is not null").select("path", "line", "callee", "receiver_class", *keep)
     asked = calls.select(F.col("receiver_class").alias("child"), "callee").distinct()
     found = asked.join(lineage, "child").join(first, ["ancestor", "callee"])
     least = F.min("depth").over(Window.partitionBy("child", "callee"))
     found = found.withColumn("least", least).where("depth = least").select(F.col("child").alias("receiver_class"), "callee", "ancestor", "depth", "first")
-    here = owned.select(F.col("target_path").alias("path"), "callee", "ancestor").distinct().withColumn("own", F.lit(True))
-    hits = calls.join(found, ["receiver_class", "callee"]).join(here, ["path", "callee", "ancestor"], "left")
+    here = owned.select(F.col("target_path").alias("path"), "callee", "ancestor").where("path is not null").distinct().withColumn("own", F.lit(True))
+    hits = calls.join(found, ["receiver_class", "callee"]).drop("receiver_class").unionByName(here, allowMissingColumns=True).repartition("path", "callee")
+    hits = hits.withColumn("own", F.max("own").over(Window.partitionBy("path", "callee", "ancestor"))).where("depth is not null")
     target = F.when(F.col("own"), F.col("path")).otherwise(F.col("first"))
-    best = hits.groupBy("path", "line", "callee").agg(F.min(F.struct("depth", target != F.col("path"), target.alias("target_path"), "ancestor")).alias("t"))
-    return best.select("path", "line", "callee", F.col("t.ancestor").alias("target_class"), F.col("t.target_path").alias("target_path"), F.when(F.col("t.depth") == 0, 0.95).otherwise(0.9).alias("confidence"))
+    best = hits.groupBy("path", "line", "callee", *keep).agg(F.min(F.struct("depth", target != F.col("path"), target.alias("target_path"), "ancestor")).alias("t"))
+    return best.select("path", "line", "callee", F.col("t.ancestor").alias("target_class"), F.col("t.target_path").alias("target_path"), F.when(F.col("t.depth") == 0, 0.95).otherwise(0.9).alias("confidence"), *keep)
 
 
-def resolve_calls(calls: DataFrame, symbols: DataFrame, imports: DataFrame) -> DataFrame:
+def resolve_calls(calls: DataFrame, symbols: DataFrame, imports: DataFrame, least: float = 0.0, keep: tuple[str, ...] = ()) -> DataFrame:
     """Plain calls: same file 0.9, imported 0.95, same package if unique 0.8, unique in the language family 0.6.
 
     Each stage joins on equal keys with one row a key, and names that several files declare are counted before they are joined, so a call never
-    meets all the declarations of its name. What counts for a name in a file is found once for all its lines.
+    meets all the declarations of its name. What counts for a name in a file is found once for all its lines, and meets them in one window.
+    Stages below the confidence ``least`` are left out, so what they alone would find is unresolved. The columns to ``keep`` come last.
     """
     family = T.language_family(F.col("path"))
     folder = lambda c: F.regexp_extract(c, r"^(.*)/[^/]*$", 1)
-    free = symbols.where("parent_class is null").select(F.col("name").alias("callee"), "path")
-    plain = calls.where("receiver_class is null").select("path", "line", "callee")
+    free = symbols.where("parent_class is null and path is not null and name is not null").select(F.col("name").alias("callee"), "path")
+    plain = calls.where("receiver_class is null").select("path", "line", "callee", *keep)
     own = free.distinct().withColumn("own", F.lit(True))
-    named = imports.where("target is not null").select("path", F.col("target").alias("target_path"), F.explode("names").alias("callee"))
+    named = imports.where("target is not null and path is not null").select("path", F.col("target").alias("target_path"), F.explode("names").alias("callee"))
     named = named.join(free.select(F.col("path").alias("target_path"), "callee"), ["target_path", "callee"], "left_semi")
     alike = F.when(family == T.language_family(F.col("target_path")), F.col("target_path"))  # not a filter: it would become a key of the join, computed at each comparison
-    brought = named.groupBy("path", "callee").agg(F.min(alike).alias("brought"))
+    facts = [own, named.select("path", "callee", alike.alias("brought"))]
     by_family = free.withColumns({"family": family, "folder": folder("path")})
-    single = lambda rows, name, *keys: rows.groupBy(*keys).agg(F.count("*").alias("n"), F.min("path").alias(name)).where("n = 1").drop("n")
-    beside = single(by_family.where(F.col("family").isin("go", "csharp")), "beside", "callee", "family", "folder")
-    alone = single(by_family, "alone", "callee", "family")
-    asked = plain.select("path", "callee").distinct().join(own, ["path", "callee"], "left").join(brought, ["path", "callee"], "left")
-    asked = asked.withColumns({"family": family, "folder": folder("path")}).join(beside, ["callee", "family", "folder"], "left").join(alone, ["callee", "family"], "left")
+    asked = plain.where("path is not null").select("path", "callee").withColumns({"family": family, "folder": folder("path")})
+    packages = F.col("family").isin("go", "csharp")
+    stages = [("beside", 0.8, packages, ["callee", "family", "folder"]), ("alone", 0.6, F.lit(True), ["callee", "family"])]
+    for name, confidence, where, keys in stages:
+        single = by_family.where(where).groupBy(*keys).agg(F.count("*").alias("n"), F.min("path").alias(name)).where("n = 1").drop("n")
+        if confidence >= least:
+            facts.append(asked.where(where).distinct().join(single, keys).select("path", "callee", name))
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), facts, plain.withColumn("call", F.lit(1)))
+    rows = rows.withColumns({name: F.lit(None).cast("string") for name, *_ in stages if name not in rows.columns})
     # A call that comes twice in a line is not the only one of its name there, so the last two stages leave it.
-    once = F.count("*").over(Window.partitionBy("path", "line", "callee")) == 1
-    rows = plain.join(asked.select("path", "callee", "own", "brought", "beside", "alone"), ["path", "callee"], "left").withColumn("once", once)
+    once = F.sum("call").over(Window.partitionBy("path", "line", "callee")) == 1
+    of_name = Window.partitionBy("path", "callee")
+    rows = rows.repartition("path", "callee").withColumns({"own": F.max("own").over(of_name), **{c: F.min(c).over(of_name) for c in ("brought", "beside", "alone")}}).where("call = 1").withColumn("once", once)
     pick = lambda target, confidence: F.struct(target.alias("target_path"), F.lit(confidence).alias("confidence"))
-    stages = [(F.col("own"), F.col("path"), 0.9), (F.col("brought").isNotNull(), F.col("brought"), 0.95), (F.col("once") & F.col("beside").isNotNull(), F.col("beside"), 0.8), (F.col("once") & F.col("alone").isNotNull(), F.col("alone"), 0.6)]
-    best = reduce(lambda c, stage: c.when(stage[0], pick(*stage[1:])), stages, F).otherwise(pick(F.lit(None).cast("string"), 0.0))
-    return rows.select("path", "line", "callee", best.alias("t")).select("path", "line", "callee", "t.target_path", "t.confidence")
+    ways = [(F.col("own"), F.col("path"), 0.9), (F.col("brought").isNotNull(), F.col("brought"), 0.95), (F.col("once") & F.col("beside").isNotNull(), F.col("beside"), 0.8), (F.col("once") & F.col("alone").isNotNull(), F.col("alone"), 0.6)]
+    best = reduce(lambda c, way: c.when(way[0], pick(*way[1:])), ways, F).otherwise(pick(F.lit(None).cast("string"), 0.0))
+    return rows.withColumn("t", best).select("path", "line", "callee", "t.target_path", "t.confidence", *keep)
 
 
 def implementers(members: DataFrame, required: DataFrame) -> DataFrame:

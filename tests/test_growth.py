@@ -105,3 +105,13 @@ def test_enclosing_keeps_points_single(spark):
     around = lambda p, x: min(((b - a, o, n) for f, n, a, b, o in spans if None not in (f, x) and f == p and a <= x <= b), default=(0, 0, None))[2]
     assert sorted(map(str, map(tuple, rows))) == sorted(str((p, x, around(p, x))) for p, x in points)
     assert most < 2 * len(points)
+
+
+def test_resolve_calls_in_one_shuffle(spark):
+    """Calls pass one shuffle with what is known of their names, keep their callers, and leave out stages below the least confidence."""
+    calls = spark.createDataFrame([("a.ts", 1, "f", None, "x"), ("a.ts", 1, "f", None, "y"), ("a.ts", 2, "g", None, "x"), ("a.ts", 3, "h", None, None)], "path string, line int, callee string, receiver_class string, caller string")
+    symbols = spark.createDataFrame([("b.ts", "f", None), ("b.ts", "g", None), ("a.ts", "h", None)], "path string, name string, parent_class string")
+    out = resolve.resolve_calls(calls, symbols, spark.createDataFrame([("a.ts", "b.ts", ["f"])], "path string, target string, names array<string>"), least=0.75, keep=("caller",))
+    assert {tuple(r) for r in out.collect()} == {("a.ts", 1, "f", "b.ts", 0.95, "x"), ("a.ts", 1, "f", "b.ts", 0.95, "y"), ("a.ts", 2, "g", None, 0.0, "x"), ("a.ts", 3, "h", "a.ts", 0.9, None)}
+    plan = out._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("line#") and "Join LeftOuter" not in plan
