@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Pairs of tokens that one task counts, on average.
+PLACE_PAIRS = 4_000_000
+
+
 def baskets(df: DataFrame, basket: str, item: str, most: int = 20) -> DataFrame:
     """Distinct (basket, item) rows of baskets with 1 to ``most`` items."""
     rows = df.select(F.col(basket).alias("basket"), F.col(item).alias("item")).distinct()
@@ -68,18 +72,23 @@ def bundles(df: DataFrame, group: str, item: str, low: int = 2, high: int = 6, s
 def pmi(windows: DataFrame, window: str, left: str, right: str, top: int = 4) -> DataFrame:
     """Top partners of each left token by pointwise mutual information over windows with both sides.
 
-    ``windows`` has distinct rows (window, left array, right array).
+    ``windows`` has distinct rows (window, left array, right array). Pairs are made where they are counted, so none of them is shuffled.
     """
     both = windows.where((F.size(left) > 0) & (F.size(right) > 0))
-    total = both.count()
-    z = both.select(window, F.explode(left).alias("z")).groupBy("z").agg(F.count("*").alias("zc"))
-    e = both.select(window, F.explode(right).alias("e")).groupBy("e").agg(F.count("*").alias("ec"))
-    if total >= 20:
-        # tokens in over a tenth or so of the windows: as many as a window holds on average, ten times or so
-        usual = lambda counts, n, rate: F.array(*(F.lit(r[0]) for r in counts.where(F.col(n) / total > rate).collect()))
-        both = both.select(window, F.array_except(left, usual(z, "zc", 0.12).cast("array<string>")).alias(left), F.array_except(right, usual(e, "ec", 0.08).cast("array<string>")).alias(right))
-    pairs = both.select(F.explode(left).alias("z"), right).select("z", F.explode(right).alias("e")).groupBy("z", "e").agg(F.count("*").alias("s"))
-    scored = pairs.join(z, "z").join(e, "e").withColumn("pmi", F.log2(F.col("s") * F.lit(total) / (F.col("zc") * F.col("ec"))))
+    total, pairs = both.agg(F.count("*"), F.coalesce(F.sum(F.size(left).cast("bigint") * F.size(right)), F.lit(0))).first()
+
+    def counted(side, token, n, rate):
+        # tokens in over a tenth or so of the windows say nothing, once there are some windows
+        rows = both.select(window, F.explode(side).alias(token))
+        counts = rows.groupBy(token).agg(F.count("*").alias(n))
+        return rows.join(counts.where(F.col(n) / total <= rate) if total >= 20 else counts, token)
+
+    partners = counted(right, "e", "ec", 0.08).groupBy(window).agg(F.collect_list(F.struct("e", "ec")).alias("es"))
+    # a token goes to its place with the partners of a window in one row; there they are counted, scored and ranked, in places by the pairs there are
+    partners = partners.select(window, F.col("es.e").alias("e"), F.col("es.ec").cast("array<int>").alias("ec"))  # plain arrays take half of the room
+    placed = counted(left, "z", "zc", 0.12).join(partners, window).select("z", "zc", "e", "ec").repartition(pairs // PLACE_PAIRS + 1, "z")
+    pairs = placed.select("z", "zc", F.explode(F.arrays_zip("e", "ec")).alias("p")).select("z", "zc", "p.e", "p.ec").groupBy("z", "zc", "e", "ec").agg(F.count("*").alias("s"))
+    scored = pairs.withColumn("pmi", F.log2(F.col("s") * F.lit(total) / (F.col("zc") * F.col("ec"))))
     perfect = (F.col("zc") == F.col("ec")) & (F.col("ec") == F.col("s"))
     weak = ((F.col("s") == 1) & (F.col("ec") > 1) & (F.col("pmi") < 2)) | (F.col("pmi") <= 0)
     kept = scored.where(perfect | ~weak).withColumn("score", F.round("pmi", 6))

@@ -2,13 +2,14 @@
 
 import random
 
+import pandas as pd
 from pyspark.sql import functions as F
 
-from loomquery.operators import doclinks, lookup, resolve
+from loomquery.operators import doclinks, lookup, mining, resolve
 from loomquery.sources import declarations
 
 
-def most_rows(spark, frame):
+def most_rows(spark, frame, counted="number of output rows"):
     """(rows, the largest number of rows that a step of the plan gave)."""
     rows = frame.collect()
     store = spark._jsparkSession.sharedState().statusStore()
@@ -19,7 +20,7 @@ def most_rows(spark, frame):
     for i in range(last.metrics().size()):
         metric = last.metrics().apply(i)
         value = values.get(metric.accumulatorId())
-        if metric.name() == "number of output rows" and value.isDefined():
+        if metric.name() == counted and value.isDefined():
             most = max(most, int(value.get().replace(",", "")))
     return rows, most
 
@@ -115,3 +116,42 @@ def test_resolve_calls_in_one_shuffle(spark):
     assert {tuple(r) for r in out.collect()} == {("a.ts", 1, "f", "b.ts", 0.95, "x"), ("a.ts", 1, "f", "b.ts", 0.95, "y"), ("a.ts", 2, "g", None, 0.0, "x"), ("a.ts", 3, "h", "a.ts", 0.9, None)}
     plan = out._jdf.queryExecution().sparkPlan().toString()
     assert plan.count("line#") and "Join LeftOuter" not in plan
+
+
+def shuffled_rows(spark, frame):
+    """(rows, the largest number of rows that a shuffle of the plan took)."""
+    return most_rows(spark, frame, "shuffle records written")
+
+
+def test_pmi_shuffles_no_pairs(spark):
+    """40 windows of 30 and 30 tokens are 36,000 pairs, of which none is shuffled."""
+    rng = random.Random(2)
+    windows = [(i, [f"z{t}" for t in rng.sample(range(600), 30)], [f"e{t}" for t in rng.sample(range(900), 30)]) for i in range(40)]
+    rows, most = shuffled_rows(spark, mining.pmi(spark.createDataFrame(windows, "w long, l array<string>, r array<string>"), "w", "l", "r"))
+    assert rows and most < 5000
+
+
+def test_bridge_links_rows_by_letters(spark):
+    """A name of 200 letters gives as many rows, not a row for each of its pieces; tokens of any length are found."""
+    n = "abcdefghij" * 20
+    names = spark.createDataFrame([("s", n), ("t", "x-" + n[:50]), ("u", "abc"), ("v", None)], "symbol string, name string")
+    tokens = [(k, t) for k in range(3) for t in ("abcd", "bcdefg", n[3:120], "zzzz", "abcx", "ab1c")]
+    own = spark.createDataFrame([("t", "abcd")], "symbol string, token string")
+    rows, most = most_rows(spark, lookup.bridge_links(names, spark.createDataFrame(tokens, "key int, token string"), own))
+    assert sorted(map(tuple, rows)) == sorted((s, k, t) for k in range(3) for s, t in (("s", "abcd"), ("s", "bcdefg"), ("s", n[3:120]), ("t", "bcdefg")))
+    assert most < 400
+
+
+def test_basket_hints_make_no_other_pairs(spark):
+    """Baskets of 60 edited items and one that is not: 60 pairs each, not 1,830."""
+    rows = [(b, i) for b in range(3) for i in range(60)] + [(0, 100), (1, 100), (2, 101)]
+    out, most = most_rows(spark, lookup.basket_hints(spark.createDataFrame(rows, "basket int, item int"), spark.createDataFrame([(i,) for i in range(60)], "path int")))
+    assert {tuple(r) for r in out} == {(i, 100, 2) for i in range(60)} and most < 400
+
+
+def test_equal_blocks_are_read_once(monkeypatch):
+    read = []
+    monkeypatch.setattr(declarations, "fields_of", lambda b, p, f=declarations.fields_of: read.append(p) or f(b, p))
+    blocks = pd.Series(["type K struct {\n\ta string\n}", None, "class K:\n    a: int\n"] * 50)
+    out = declarations.fields_of_each(blocks, pd.Series(["a.go", "b.go", None] * 50))
+    assert len(read) == 3 and out.tolist()[:2] == [["a"], None]
