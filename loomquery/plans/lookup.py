@@ -96,9 +96,7 @@ e AS (SELECT DISTINCT p FROM r WHERE o % 3 = 0), both_ AS (SELECT a AS path, b A
 SELECT * FROM both_ WHERE path IN (SELECT p FROM e) AND partner NOT IN (SELECT p FROM e)""")
 def partner_hints(spark, sf_dir):
     rows = _table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("basket"), F.col("l_partkey").alias("item")).distinct()
-    a, b = rows.select("basket", F.col("item").alias("a")), rows.select("basket", F.col("item").alias("b"))
-    pairs = a.join(b, "basket").where("a < b").groupBy("a", "b").agg(F.count("*").alias("n")).where("n >= 2")
-    return lookup.partner_hints(rows.where("basket % 3 = 0").select(F.col("item").alias("path")), pairs)
+    return lookup.basket_hints(rows, rows.where("basket % 3 = 0").select(F.col("item").alias("path")))
 
 
 @_query("""WITH b AS (SELECT o_custkey AS id, list_distinct(list(o_orderpriority)) AS steps FROM orders GROUP BY 1)
