@@ -8,6 +8,8 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from loomquery.functions.text import let
+
 # Words with a stem of their own, and that stem.
 STEMS = {
     "authentication": "auth", "authenticate": "auth", "authenticated": "auth", "authorization": "auth", "authorize": "auth",
@@ -37,15 +39,17 @@ BUILTIN_TYPES = (
 def stem(word: Column) -> Column:
     """Stem of a lower-case English word: its irregular one, else without the longest known suffix that leaves three
     letters, then without a doubled last letter or a silent e. Words of up to three letters stay."""
-    w = F.trim(F.lower(word))
     pattern = f"^(.{{3,}}?)({'|'.join(SUFFIXES)})$"
-    cut, suffix = F.regexp_extract(w, pattern, 1), F.regexp_extract(w, pattern, 2)
-    kept = (suffix == "") | ((suffix == "s") & w.rlike("(s|u|i)s$"))
-    out = F.when(kept, w).when(suffix.isin("ies", "ied"), F.concat(cut, F.lit("y"))).otherwise(cut)
-    out = F.when(F.length(out) >= 4, F.regexp_replace(out, r"([^lsz])\1$", "$1")).otherwise(out)
-    out = F.when(F.length(out) >= 5, F.regexp_replace(out, "e$", "")).otherwise(out)
+
+    def cut(w):
+        parts = F.struct(F.regexp_extract(w, pattern, 1).alias("cut"), F.regexp_extract(w, pattern, 2).alias("suffix"))
+        kept = lambda p: (p["suffix"] == "") | ((p["suffix"] == "s") & w.rlike("(s|u|i)s$"))
+        return let(parts, lambda p: F.when(kept(p), w).when(p["suffix"].isin("ies", "ied"), F.concat(p["cut"], F.lit("y"))).otherwise(p["cut"]))
+
+    single = lambda x: F.when(F.length(x) >= 4, F.regexp_replace(x, r"([^lsz])\1$", "$1")).otherwise(x)
+    silent = lambda x: F.when(F.length(x) >= 5, F.regexp_replace(x, "e$", "")).otherwise(x)
     own = F.create_map(*[F.lit(x) for pair in STEMS.items() for x in pair])
-    return F.when(F.length(w) <= 3, w).otherwise(F.coalesce(F.try_element_at(own, w), out))
+    return let(F.trim(F.lower(word)), lambda w: F.when(F.length(w) <= 3, w).otherwise(F.coalesce(F.try_element_at(own, w), let(let(cut(w), single), silent))))
 
 
 def type_references(text: Column, own: Column | None = None) -> Column:

@@ -26,38 +26,38 @@ def stems(words: Column) -> Column:
     return F.filter(F.array_distinct(F.transform(words, L.stem)), lambda s: F.length(s) >= 2)
 
 
-def score(path: Column, name: Column, signature: Column, exported: Column, query: str) -> Column:
-    """Score of a symbol. All that depends on the query alone is folded to constants by the optimizer.
+def parts(query: Column) -> list[Column]:
+    """What a query asks for: exact names, words and their stems."""
+    names = F.transform(F.regexp_extract_all(query, F.lit(r"[a-zA-Z_$][a-zA-Z0-9_$/.:-]+"), F.lit(0)), F.lower)
+    return [F.filter(F.array_distinct(names), lambda x: ~x.isin(STOP_WORDS)).alias("exact"), query_words(query).alias("words"), stems(query_words(query)).alias("stems")]
+
+
+def score(path: Column, name: Column, signature: Column, exported: Column, exact: Column, words: Column, asked: Column) -> Column:
+    """Score of a symbol for the ``parts`` of a query.
 
     A word counts in the name while fewer than MOST_WORDS did, else, where the signature holds it, there; words and stems
-    take their turn in the order of the query.
+    take their turn in the order of the query. A symbol's own words and stems are worked out once.
     """
-    q = F.lit(query)
-    exact = F.filter(F.array_distinct(F.transform(F.regexp_extract_all(q, F.lit(r"[a-zA-Z_$][a-zA-Z0-9_$/.:-]+"), F.lit(0)), F.lower)), lambda x: ~x.isin(STOP_WORDS))
-    words = query_words(q)
-    low, low_path, low_signature = F.lower(name), F.lower(path), F.lower(signature)
-    own = query_words(name)
-    own_stems = stems(own)
-    in_path = PATH_NAME * F.size(F.filter(exact, low_path.contains)) + PATH_WORD * F.size(F.filter(words, low_path.contains))
-    by_name = F.when(F.array_contains(exact, low), EXACT).otherwise(PART_OF_NAME * F.least(F.lit(MOST_PARTS), F.size(F.filter(exact, low.contains))))
-
-    def word(state, w):
-        whole, part = (low == w) | F.array_contains(own, w), low.contains(w)
-        named = (whole | part) & (state["names"] < MOST_WORDS)
-        signed = ~named & low_signature.contains(w) & (state["signed"] < MOST_SIGNATURE)
-        gain = F.when(named & whole, WORD).when(named, F.when(F.length(w) >= 5, LONG_PART).otherwise(SHORT_PART)).when(signed, SIGNATURE).otherwise(0)
-        return F.struct((state["score"] + gain).alias("score"), (state["names"] + named.cast("int")).alias("names"), (state["signed"] + signed.cast("int")).alias("signed"))
-
-    def near(state, s):
-        same = F.array_contains(own_stems, s)
-        alike = (F.length(s) >= 4) & F.exists(own_stems, lambda o: T.fuzzy_equal(s, o))
-        gain = F.when(state["n"] >= MOST_STEMS, 0).when(same, STEM).when(alike, NEAR_STEM).otherwise(0)
-        return F.struct((state["score"] + gain).alias("score"), (state["n"] + (gain > 0).cast("int")).alias("n"))
-
-    zero = lambda *names: F.struct(*[F.lit(0).alias(n) for n in names])
-    by_words = F.aggregate(words, zero("score", "names", "signed"), word)["score"]
-    by_stems = F.aggregate(stems(words), zero("score", "n"), near)["score"]
-    return in_path + by_name + by_words + by_stems + F.when(exported, EXPORTED).otherwise(0)
+
+    def by_path(low):
+        return PATH_NAME * F.size(F.filter(exact, low.contains)) + PATH_WORD * F.size(F.filter(words, low.contains))
+
+    def by_name(s):
+        low, whole = s["name"], lambda w: (s["name"] == w) | F.array_contains(s["own"], w)
+        gain = lambda w: F.when(whole(w), WORD).when(F.length(w) >= 5, LONG_PART).otherwise(SHORT_PART)
+        whole_name = F.when(F.array_contains(exact, low), EXACT).otherwise(PART_OF_NAME * F.least(F.lit(MOST_PARTS), F.size(F.filter(exact, low.contains))))
+        first = F.slice(F.filter(words, lambda w: low.contains(w) | whole(w)), 1, MOST_WORDS)
+        signed = lambda named: F.filter(words, lambda w: low.isNotNull() & ~F.array_contains(named, w) & s["signature"].contains(w))
+        by_words = lambda named: F.aggregate(named, F.lit(0), lambda n, w: n + gain(w)) + SIGNATURE * F.least(F.lit(MOST_SIGNATURE), F.size(signed(named)))
+        return whole_name + T.let(first, by_words)
+
+    def by_stems(own):
+        alike = lambda a: (F.length(a) >= 4) & F.exists(own, lambda o: T.fuzzy_equal(a, o))
+        first = F.slice(F.filter(asked, lambda a: F.array_contains(own, a) | alike(a)), 1, MOST_STEMS)
+        return F.aggregate(first, F.lit(0), lambda n, a: n + F.when(F.array_contains(own, a), STEM).otherwise(NEAR_STEM))
+
+    symbol = F.struct(F.lower(name).alias("name"), F.lower(signature).alias("signature"), query_words(name).alias("own"))
+    return T.let(F.lower(path), by_path) + T.let(symbol, lambda s: by_name(s) + T.let(stems(s["own"]), by_stems)) + F.when(exported, EXPORTED).otherwise(0)
 
 
 def search(symbols: DataFrame, query: str, top: int | None = None, tests: bool = False) -> DataFrame:
@@ -67,9 +67,10 @@ def search(symbols: DataFrame, query: str, top: int | None = None, tests: bool =
     the best. Files of tests are left out unless asked for. One pass and a distributed top list, no shuffle of symbols.
     """
     rows = symbols if tests else symbols.where(~(F.col("path").startswith("tests/") | F.col("path").startswith("benchmarks/") | F.col("path").contains(".test.")))
-    points = score(F.col("path"), F.col("name"), F.coalesce("signature", F.lit("")), F.coalesce("exported", F.lit(False)), query)
-    scored = rows.select("path", "line", "name", points.alias("score")).where(F.col("score") >= LEAST_SCORE)
-    best = scored.orderBy(F.desc("score"), "path", "line", "name").limit(top or 3)
+    asked = symbols.sparkSession.range(0, 1, 1, 1).select(*parts(F.lit(query))).first()  # once: Spark folds no lambdas of constants
+    points = score(F.col("path"), F.col("name"), F.coalesce("signature", F.lit("")), F.coalesce("exported", F.lit(False)), *(F.array(*map(F.lit, x)).cast("array<string>") for x in asked))
+    scored = rows.select("path", "line", "name", points.alias("score"))
+    best = scored.orderBy(F.desc("score"), "path", "line", "name").limit(top or 3).where(F.col("score") >= LEAST_SCORE)  # before the limit, the filter would work out the score again
     if top is not None:
         return best
     ranked = best.groupBy().agg(F.sort_array(F.collect_list(F.struct(-F.col("score"), "path", "line", "name", "score"))).alias("r"))

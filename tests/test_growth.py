@@ -5,7 +5,7 @@ import random
 import pandas as pd
 from pyspark.sql import functions as F
 
-from loomquery.operators import doclinks, lookup, mining, resolve
+from loomquery.operators import doclinks, lookup, mining, resolve, search
 from loomquery.sources import declarations
 
 
@@ -155,3 +155,24 @@ def test_equal_blocks_are_read_once(monkeypatch):
     blocks = pd.Series(["type K struct {\n\ta string\n}", None, "class K:\n    a: int\n"] * 50)
     out = declarations.fields_of_each(blocks, pd.Series(["a.go", "b.go", None] * 50))
     assert len(read) == 3 and out.tolist()[:2] == [["a"], None]
+
+
+def test_search_scores_a_symbol_once(spark):
+    """The query's words are no work of each symbol, and a symbol's own words and stems are worked out once, by 7 expressions with patterns."""
+    symbols = [("a.ts", 1, "cancel_all_orders", "f(rod, bolts)", True), ("b.ts", 2, "Ordre", "cancel", None), ("c.ts", 3, None, "cancel rod", True)]
+    symbols += [("cancel/rod.ts", 4, "bolted_rods", None, False), ("d.ts", 5, "a_rod_bolt_cancel_order_widget_cold", "rod bolt cancel order widget cold", False)]
+    frame = spark.createDataFrame(symbols, "path string, line int, name string, signature string, exported boolean")
+    out = search.search(frame, "cancelled orders with cancel, widget, order, rod, bolt, cold", top=9)
+    assert [(r.line, r.score) for r in out.collect()] == [(5, 134), (1, 110), (4, 102), (2, 10)]
+    plan = out._jdf.queryExecution().optimizedPlan()
+    assert len(search_patterns(plan)) <= 10
+
+
+def search_patterns(plan):
+    """Names of the expressions with patterns anywhere in a plan."""
+    found, stack = [], [plan]
+    while stack:
+        node = stack.pop()
+        found += [w for w in node.verboseStringWithSuffix(100_000).replace("(", " ").split() if w.startswith("regexp_")]
+        stack += [node.children().apply(i) for i in range(node.children().size())]
+    return found
