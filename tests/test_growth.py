@@ -1,11 +1,13 @@
 """Plans whose intermediate rows must grow with the input, not with its square: the most rows that any step gives, and the results by direct computation."""
 
 import random
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import functions as F
 
-from loomquery.operators import doclinks, lookup, mining, resolve, search
+from loomquery.operators import doclinks, lookup, mining, resolve, search, sessions
+from loomquery.plans import lookup as plans
 from loomquery.sources import declarations
 
 
@@ -176,3 +178,21 @@ def search_patterns(plan):
         found += [w for w in node.verboseStringWithSuffix(100_000).replace("(", " ").split() if w.startswith("regexp_")]
         stack += [node.children().apply(i) for i in range(node.children().size())]
     return found
+
+
+def test_merged_pairs_in_places_by_rows(spark, monkeypatch):
+    """Rows meet in one shuffle, not in three and after hash tables of all pairs of a file's part, and in more places the more rows there are."""
+    plan = plans.merged_pairs(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "HashAggregate" not in plan[plan.index("Exchange hashpartitioning") :]
+    monkeypatch.setattr(sessions, "PLACE_ROWS", 100)
+    rng = random.Random(4)
+    item = lambda: rng.choice([None, *range(9)])
+    sides = [[(item(), item()) for _ in range(n)] for n in (900, 300)]
+    counts, want = [Counter(side) for side in sides], {}
+    for (a, b), n in [x for c in counts for x in c.items()]:
+        pair = sorted(x if x is not None else y for x, y in ((a, b), (b, a))) if a is not None or b is not None else [None, None]
+        want[tuple(pair)] = max(n, want.get(tuple(pair), 0))
+    out = sessions.merged_pairs(*(spark.createDataFrame(side, "a int, b int") for side in sides))
+    rows = [tuple(r) for r in out.collect()]
+    assert {(a, b): n for a, b, n in rows} == want and len(rows) == len(want)
+    assert out.rdd.getNumPartitions() == 13
