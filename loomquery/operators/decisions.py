@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Lines of step blocks that one task sorts, on average.
+PLACE_LINES = 1_000_000
+
 
 def recovery(files: DataFrame, journal: str, found: Column, before: Column, after: Column) -> DataFrame:
     """A journal is recoverable where each file equals its state before or after; those as after are restored."""
@@ -116,16 +119,20 @@ def step_blocks(rows: DataFrame) -> DataFrame:
     """(key, step, header, exit_line, output, extra) of step headers in lines(key, no, line).
 
     Output ends at the first exit line; what follows it, blank lines aside, is extra, as is what comes before the first
-    header (step 0). The last exit line of a block counts. Empty lines around the output go.
+    header (step 0). The last exit line of a block counts. Empty lines around the output go. Lines that lie by key already
+    are not shuffled; they are sorted once, and what is done is told by a block's first exit line.
     """
     head, ends = F.col("line").startswith("## step "), F.col("line").rlike(r"^\[exit=-?\d+\]$")
     rows = rows.withColumns({"h": head, "x": ends, "step": F.sum(head.cast("int")).over(Window.partitionBy("key").orderBy("no"))})
-    rows = rows.withColumn("done", F.sum(F.col("x").cast("int")).over(Window.partitionBy("key", "step").orderBy("no")))
-    late = (F.trim("line") != "") & ~F.col("h") & ((F.col("step") == 0) | (F.col("done") > 0) & ~F.col("x"))
-    output = ~F.col("h") & (F.col("step") > 0) & (F.col("done") == 0)
-    joined = lambda keep: F.array_join(F.array_sort(F.collect_list(F.when(keep, F.struct("no", "line"))))["line"], "\n")
     last = F.max_by("line", F.when(F.col("x") & (F.col("step") > 0), F.col("no")))
-    out = rows.groupBy("key", "step").agg(F.max_by("line", F.when(F.col("h"), F.col("no"))).alias("header"), F.coalesce(last, F.lit("")).alias("exit_line"), F.regexp_replace(joined(output), r"^\n+|\n+$", "").alias("output"), joined(late).alias("extra"))
+    blocks = rows.groupBy("key", "step").agg(
+        F.max_by("line", F.when(F.col("h"), F.col("no"))).alias("header"), F.coalesce(last, F.lit("")).alias("exit_line"),
+        F.min(F.when(F.col("x"), F.struct("no"))).alias("first"), F.array_sort(F.collect_list(F.when(~F.col("h"), F.struct("no", "line", "x")))).alias("lines"),
+    )
+    done = lambda r: F.coalesce(F.struct(r["no"]) >= F.col("first"), F.lit(False))
+    output = F.filter("lines", lambda r: (F.col("step") > 0) & ~done(r))
+    late = F.filter("lines", lambda r: (F.trim(r["line"]) != "") & ((F.col("step") == 0) | done(r) & ~r["x"]))
+    out = blocks.select("key", "step", "header", "exit_line", F.regexp_replace(F.array_join(output["line"], "\n"), r"^\n+|\n+$", "").alias("output"), F.array_join(late["line"], "\n").alias("extra"))
     return out.where("step > 0 or extra <> ''")
 
 

@@ -183,7 +183,10 @@ o_orderpriority || chr(10) || chr(10) || o_orderstatus AS output, CASE WHEN o_or
 def step_blocks(spark, sf_dir):
     status = F.col("o_orderstatus")
     block = F.array(F.concat(F.lit("## step "), F.col("o_orderkey").cast("string")), F.lit(""), F.col("o_orderpriority"), F.lit(""), status, F.lit(""), F.when(status == "F", "[exit=1]").otherwise("[exit=0]"), F.when(status == "P", "after").otherwise(" "))
-    rows = _table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("key"), "o_orderkey", F.posexplode(block).alias("i", "line"))
+    orders = _table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("key"), "o_orderkey", "o_orderpriority", "o_orderstatus")
+    # orders go to their place, where they become lines, so that no line is shuffled
+    places = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8 * orders.count() // decisions.PLACE_LINES + 1)
+    rows = orders.repartition(places, "key").select("key", "o_orderkey", F.posexplode(block).alias("i", "line"))
     return decisions.step_blocks(rows.select("key", (F.col("o_orderkey") * 10 + F.col("i")).alias("no"), "line"))
 
 

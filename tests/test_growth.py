@@ -6,7 +6,8 @@ from collections import Counter
 import pandas as pd
 from pyspark.sql import functions as F
 
-from loomquery.operators import doclinks, lookup, mining, resolve, search, sessions
+from loomquery.operators import decisions, doclinks, lookup, mining, resolve, search, sessions
+from loomquery.plans import edits
 from loomquery.plans import lookup as plans
 from loomquery.sources import declarations
 
@@ -196,3 +197,20 @@ def test_merged_pairs_in_places_by_rows(spark, monkeypatch):
     rows = [tuple(r) for r in out.collect()]
     assert {(a, b): n for a, b, n in rows} == want and len(rows) == len(want)
     assert out.rdd.getNumPartitions() == 13
+
+
+def test_step_blocks_shuffle_no_lines(spark, monkeypatch):
+    """Orders go to their places and become lines there, sorted once before the groups, in more places the more lines there are."""
+    plan = edits.step_blocks(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.index("Generate") < plan.index("Exchange") and plan.count("Sort [") == 1
+    monkeypatch.setattr(decisions, "PLACE_LINES", 1000)
+    orders = spark.read.parquet("/root/testdata/sf0.001/orders.parquet").count()
+    assert edits.step_blocks(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == 8 * orders // 1000 + 1
+
+
+def test_step_blocks_by_hand(spark):
+    text = "early\n\n[exit=9]\n## step a\n\none\n\ntwo\n\n[exit=1]\nmore\n \n[exit=-2]\nlast\n## step b\n## step c\n[exit=]\n\n".split("\n")
+    rows = [(k, n, x) for k in (1, 2) for n, x in enumerate(text)] + [(3, 0, None), (3, 1, " "), (1, 90, None)]
+    out = decisions.step_blocks(spark.createDataFrame(rows, "key int, no int, line string"))
+    want = [(0, None, "", "", "early\n[exit=9]"), (1, "## step a", "[exit=-2]", "one\n\ntwo", "more\nlast"), (2, "## step b", "", "", ""), (3, "## step c", "", "[exit=]", "")]
+    assert sorted((tuple(r) for r in out.select("key", "step", "header", "exit_line", "output", "extra").collect()), key=lambda r: r[:2]) == [(k, *w) for k in (1, 2) for w in want]
