@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Lines of step blocks that one task sorts, on average.
-PLACE_LINES = 1_000_000
+PLACE_LINES = 3_000_000
 
 
 def recovery(files: DataFrame, journal: str, found: Column, before: Column, after: Column) -> DataFrame:
