@@ -29,8 +29,9 @@ class Code:
     parents: DataFrame
 
     def of(self, paths: DataFrame) -> "Code":
-        """Imports and calls of some files among the symbols, parents and files of all."""
-        return replace(self, imports=self.imports.join(paths, "path", "left_semi"), calls=self.calls.join(paths, "path", "left_semi"))
+        """What some files hold, among the parents of all."""
+        rows = {f.name: getattr(self, f.name).join(paths, "path", "left_semi") for f in fields(self) if f.name != "parents"}
+        return replace(self, **rows)
 
 
 @dataclass
@@ -60,14 +61,18 @@ def _lineage(parents: DataFrame) -> DataFrame:
     return graph.closure(parents.select("child", "parent"))
 
 
-def contribution(code: Code, all_files: Code, lineage: DataFrame) -> dict[str, DataFrame]:
-    """(edges, queried, imports) of the files of ``code``, resolved among ``all_files``."""
-    brought = resolve.resolve_imports(code.imports, all_files.files, keep=("names",)).where("target is not null")
-    brought, lineage = written(brought.select("path", "target", "names"), "graph-brought"), written(lineage, "graph-lineage")
-    imports = brought.where("target <> path").select("path", F.lit("imports").alias("kind"), file_id(F.col("path")).alias("source"), file_id(F.col("target")).alias("target"))
-    own = all_files.symbols.join(code.files.select("path"), "path", "left_semi")
-    defines = own.select("path", F.lit("defines").alias("kind"), file_id(F.col("path")).alias("source"), symbol_id(F.col("path"), F.col("name"), F.col("parent_class")).alias("target"))
-    calls = code.calls.select("path", "line", "callee", "receiver_class", F.coalesce("caller", file_id(F.col("path"))).alias("caller"))
+def contribution(code: Code, all_files: Code) -> DataFrame:
+    """edges(path, kind, source, target) of the files of ``code``, resolved among ``all_files``, over tables in the shared folder.
+
+    Each kind of call is written by itself: one plan of all would be more than a driver holds. A caller that a call names may be of any file, so its
+    file is looked up here; other sources are the files themselves, and ``edges`` looks up those.
+    """
+    brought = resolve.resolve_imports(code.imports, all_files.files, keep=("names",)).where("target is not null").select("path", "target", "names")
+    brought, lineage = written(brought.distinct(), "graph-brought"), written(_lineage(all_files.parents), "graph-lineage")
+    here = file_id(F.col("path"))
+    imports = brought.where("target <> path").select("path", F.lit("imports").alias("kind"), here.alias("source"), file_id(F.col("target")).alias("target"))
+    defines = code.symbols.select("path", F.lit("defines").alias("kind"), here.alias("source"), symbol_id(F.col("path"), F.col("name"), F.col("parent_class")).alias("target"))
+    calls = code.calls.select("path", "line", "callee", "receiver_class", F.coalesce("caller", here).alias("caller"))
     plain = resolve.resolve_calls(calls, all_files.symbols, brought, least=CONFIDENT, keep=("caller",)).withColumn("target_class", F.lit(None).cast("string"))
     # Equal calls of a file are resolved once, whatever their lines; a receiver stands for the line.
     typed = resolve.resolve_methods(calls.withColumn("line", F.col("receiver_class")), all_files.symbols, lineage, keep=("caller",))
@@ -75,9 +80,10 @@ def contribution(code: Code, all_files: Code, lineage: DataFrame) -> dict[str, D
     for hits in (plain, typed):
         hits = hits.where(F.col("confidence") >= CONFIDENT).select("path", "callee", "caller", "target_class", "target_path").distinct()
         hits = hits.select("path", F.lit("calls").alias("kind"), F.col("caller").alias("source"), symbol_id(F.col("target_path"), F.col("callee"), F.col("target_class")).alias("target"))
-        edges = edges.union(hits.where("source <> target"))
-    asked = code.calls.select("path", F.explode(F.array_compact(F.array("callee", "receiver_class"))).alias("name")).distinct()
-    return {"edges": edges, "queried": asked, "imports": code.imports.select("path", "module")}
+        hits = written(hits.where("source <> target"), "graph-calls")
+        named = hits.where(F.col("source") != here).join(code.files.select("path").hint("shuffle_hash"), "path", "left_semi")
+        edges = edges.union(hits.where(F.col("source") == here)).union(named)
+    return edges
 
 
 def dirty_paths(code: Code, old: State) -> DataFrame:
@@ -86,8 +92,8 @@ def dirty_paths(code: Code, old: State) -> DataFrame:
     Those that are new or changed; those that looked up a name of which a declaration or a parent class came, went or moved; and those with an
     import that a file that came or went is a candidate of. A clean file's edges depend on nothing else.
     """
-    status = graph.fingerprint_diff(old.files, code.files)
-    moved = status.where("status in ('added', 'removed')").select(F.col("path").alias("candidate"))
+    status = written(graph.fingerprint_diff(old.files, code.files).where("status <> 'same'"), "graph-status")
+    moved = status.where("status in ('added', 'removed')").select("path")
 
     def shift(was: DataFrame, now: DataFrame, *columns: str) -> DataFrame:
         sides = was.select(*columns, F.lit(1).alias("side")).union(now.select(*columns, F.lit(-1).alias("side")))
@@ -97,24 +103,33 @@ def dirty_paths(code: Code, old: State) -> DataFrame:
     above = shift(old.parents, code.parents, "path", "child", "parent").select(F.col("child").alias("name"))
     names = written(named.union(above).distinct(), "graph-names")
     heirs = _lineage(old.parents).join(names.withColumnRenamed("name", "ancestor"), "ancestor", "left_semi").select(F.col("child").alias("name"))
-    asked = old.queried.join(names.union(heirs).distinct(), "name", "left_semi").select("path").distinct()
-    places = resolve.tried_files(old.imports).join(moved, "candidate", "left_semi").select(*resolve.PLACE).distinct()
-    probed = resolve.placed(old.imports).join(places, resolve.PLACE, "left_semi").select("path")
-    dirty = status.where("status in ('added', 'changed')").select("path").union(asked).union(probed)
-    return dirty.join(code.files, "path", "left_semi").distinct()
+    names = written(names.union(heirs).distinct(), "graph-names")
+    asked = old.queried.join(names, "name", "left_semi").select("path")
+    places = resolve.tried_files(old.imports, moved).join(moved.withColumnRenamed("path", "candidate").hint("shuffle_hash"), "candidate", "left_semi").select(*resolve.PLACE).distinct()
+    probed = resolve.placed(old.imports).join(places.hint("shuffle_hash"), resolve.PLACE, "left_semi").select("path")
+    dirty = status.where("status in ('added', 'changed')").select("path").union(asked).union(probed).distinct()
+    return dirty.join(code.files.select("path").hint("shuffle_hash"), "path", "left_semi")
+
+
+def build(code: Code, old: State | None = None) -> DataFrame:
+    """edges(path, kind, source, target) of ``code``, whose symbols are written: of all files, or, given the state before, of the dirty ones and what
+    stays of it. Where most files are dirty, all are done: to tell the others' imports and calls would take longer than they do."""
+    if old is None:
+        return contribution(code, code)
+    dirty = written(dirty_paths(code, old), "graph-dirty")
+    if 2 * dirty.count() > code.files.count():
+        return contribution(code, code)
+    kept = code.files.select("path").join(dirty, "path", "left_anti")
+    return written(contribution(code.of(dirty), code).union(old.edges.join(kept, "path", "left_semi")), "graph-edges")
 
 
 def rebuild(code: Code, old: State | None = None) -> State:
-    """The state of ``code``, written to the shared folder: of all files, or, given the state before, of the dirty ones and what stays of it."""
+    """The state of ``code``, in the shared folder, made from the state before, if given. What files ask for is read from ``code``, not resolved, so it is
+    that of all files."""
     code = replace(code, symbols=written(code.symbols, "graph-symbols"))
-    dirty = code.files.select("path") if old is None else written(dirty_paths(code, old), "graph-dirty")
-    part = replace(code.of(dirty), files=code.files.join(dirty, "path", "left_semi"))
-    new = contribution(part, code, _lineage(code.parents))
-    if old is not None:
-        kept = code.files.select("path").join(dirty, "path", "left_anti")
-        new = {k: rows.unionByName(getattr(old, k).join(kept, "path", "left_semi")) for k, rows in new.items()}
-    tables = {"files": code.files.select("path", "fingerprint"), "symbols": code.symbols.select("path", "name", "parent_class"), "parents": code.parents.select("path", "child", "parent"), **new}
-    return State(**{f.name: written(tables[f.name], f"graph-{f.name}") for f in fields(State)})
+    asked = code.calls.select("path", F.explode(F.array_compact(F.array("callee", "receiver_class"))).alias("name"))
+    tables = {"files": code.files.select("path", "fingerprint"), "parents": code.parents.select("path", "child", "parent"), "queried": asked, "imports": code.imports.select("path", "module")}
+    return State(symbols=code.symbols, edges=build(code, old), **{k: written(rows, f"graph-{k}") for k, rows in tables.items()})
 
 
 def nodes(state: State | Code) -> DataFrame:
@@ -133,10 +148,11 @@ def edges(state: State) -> DataFrame:
 
 
 def known_edges(rows: DataFrame, known: DataFrame) -> DataFrame:
-    return rows.select("kind", "source", "target").join(known.select(F.col("id").alias("source")), "source", "left_semi").distinct().select("kind", "source", "target")
+    known = known.select(F.col("id").alias("source")).hint("shuffle_hash")  # as many as files and symbols, so not broadcast
+    return rows.select("kind", "source", "target").join(known, "source", "left_semi").distinct().select("kind", "source", "target")
 
 
-def full_edges(code: Code) -> DataFrame:
-    """(kind, source, target) of ``code``, without a state for a next build."""
+def full_edges(code: Code, old: State | None = None) -> DataFrame:
+    """(kind, source, target) of ``code``, made from the state before, if given, without a state for a next build."""
     code = replace(code, symbols=written(code.symbols, "graph-symbols"))
-    return known_edges(contribution(code.of(code.files.select("path")), code, _lineage(code.parents))["edges"], nodes(code))
+    return known_edges(build(code, old), nodes(code))

@@ -41,6 +41,10 @@ TRIED = ["", ".ts", ".tsx", ".js", ".mjs", "/index.ts", "/index.js"]
 C_FILES = r"\.(c|h|cc|cpp|hpp|cxx|hxx)$"
 
 
+#: Segments that a normal path does not have.
+_ODD = r"(^|/)\.{0,2}(/|$)"
+
+
 def normal_path(path):
     """A path without ``.`` and empty segments, ``..`` resolved; those that lead out of the root stay in front."""
 
@@ -48,54 +52,84 @@ def normal_path(path):
         up = (part == "..") & (F.size(out) > 0) & (F.element_at(F.concat(F.array(F.lit("..")), out), -1) != "..")
         return F.when(part.isin("", "."), out).when(up, F.slice(out, 1, F.greatest(F.size(out) - 1, F.lit(0)))).otherwise(F.concat(out, F.array(part)))
 
-    plain = ~F.rlike(path, F.lit(r"(^|/)\.{0,2}(/|$)"))  # most have nothing to resolve
+    plain = ~F.rlike(path, F.lit(_ODD))  # most have nothing to resolve
     return F.when(plain, path).otherwise(F.array_join(F.aggregate(F.split(path, "/"), F.expr("cast(array() as array<string>)"), step), "/"))
 
 
-def import_candidates(module: str = "module", path: str = "path"):
-    """Candidate files of an import, in order, by the rules of the importing file's language; none outside the root."""
-    folder, spec = F.regexp_extract(path, r"^(.*)/[^/]*$", 1), F.col(module)
-    inside = lambda *parts: normal_path(F.concat_ws("/", *parts))
-    each = lambda *paths: F.array(*paths)
-    dots = F.regexp_extract(spec, r"^(\.*)", 1)
-    dotted = F.replace(F.regexp_replace(spec, r"^\.+", ""), F.lit("."), F.lit("/"))
-    base = inside(folder, F.repeat(F.lit("../"), F.length(dots) - 1), dotted)
-    python = F.when(F.length(dots) > 0, F.flatten(F.transform(each(base), lambda p: each(F.concat(p, F.lit(".py")), F.concat(p, F.lit("/__init__.py")))))).when(
-        dotted != "", F.transform(each(F.concat_ws("/", F.nullif(folder, F.lit("")), dotted), dotted, F.concat(F.lit("src/"), dotted), F.concat(dotted, F.lit("/__init__"))), lambda x: F.concat(x, F.lit(".py")))
-    )
-    crate = F.replace(F.regexp_replace(spec, "^(crate|super|self)::", ""), F.lit("::"), F.lit("/"))
-    rust = F.transform(each(inside(folder, crate), F.concat(F.lit("src/"), crate), crate, F.concat(F.lit("src/"), crate, F.lit("/mod"))), lambda x: F.concat(x, F.lit(".rs")))
-    c = F.transform(each(F.concat_ws("/", folder, spec), spec, F.concat(F.lit("include/"), spec), F.concat(F.lit("src/"), spec)), normal_path)
-    # one path a case, not one an ending: what a lambda names it computes for each element
-    near = F.transform(F.array(inside(folder, spec)), lambda p: F.struct(p.alias("near"), F.regexp_replace(p, r"(?i)\.(js|mjs|cjs)$", "").alias("bare")))
-    script = F.when(spec.startswith("."), F.flatten(F.transform(near, lambda p: F.array(*[p["near"] if x == "" else F.concat(p["bare"], F.lit(x)) for x in TRIED]))))
-    found = F.when(F.col(path).rlike(r"\.pyi?$"), python).when(F.col(path).rlike(r"\.rs$"), rust).when(F.col(path).rlike(C_FILES), c).otherwise(script)
-    return F.filter(found, lambda x: ~x.startswith(".."))
+def inside(folder, ups, rest, odd):
+    """``rest`` beside ``ups`` folders above ``folder``, normal; one outside the root starts with ``..``. Only where either is ``odd`` are segments resolved one by one."""
+    deep = F.when(folder == "", 0).otherwise(F.length(folder) - F.length(F.replace(folder, F.lit("/"), F.lit(""))) + 1)
+    above = F.call_function("substring_index", folder, F.lit("/"), deep - ups)
+    quick = F.when(ups < deep, F.concat(above, F.lit("/"), rest)).when(ups == deep, rest).otherwise(F.concat(F.lit("../"), rest))
+    return F.when(odd, normal_path(F.concat_ws("/", folder, F.repeat(F.lit("../"), ups), rest))).otherwise(quick)
 
 
 #: What the candidates of an import depend on, besides the files there are.
 PLACE = ["folder", "ending", "module"]
 
+#: So many pairs of a folder and an ending go through the driver at most.
+MOST_FOLDERS = 2000
+
+
+def _folder_and_ending(path: str):
+    last = F.substring_index(path, "/", -1)
+    ending = F.when(F.contains(last, F.lit(".")), F.concat(F.lit("."), F.substring_index(last, ".", -1))).otherwise("")
+    return F.left(path, F.length(path) - F.length(last) - 1), ending
+
 
 def placed(imports: DataFrame) -> DataFrame:
     """``imports(path, module)`` with the folder and the ending of the importing file."""
-    return imports.withColumns({"folder": F.regexp_extract("path", r"^(.*)/[^/]*$", 1), "ending": F.regexp_extract("path", r"(\.[^./]*)$", 1)})
+    return imports.withColumns(dict(zip(PLACE, _folder_and_ending("path"))))
+
 
+def import_candidates(places: DataFrame) -> DataFrame:
+    """(folder, ending, module, prio, candidate): candidate files of imports, in order, by the rules of the importing file's language; none outside the root.
 
-def tried_files(imports: DataFrame) -> DataFrame:
-    """(folder, ending, module, prio, candidate): the candidates of imports, once for all files of a folder and an ending."""
-    asked = placed(imports.select("path", "module")).select(*PLACE).distinct().withColumn("path", F.concat("folder", F.lit("/x"), "ending"))
-    return asked.select(*PLACE, F.posexplode(import_candidates()).alias("prio", "candidate"))
+    What several candidates share is a column of its own, so it is computed once, and by generated code unless a path has segments to resolve.
+    """
+    folder, spec, ending, near, rest, ups = (F.col(c) for c in ("folder", "module", "ending", "near", "rest", "ups"))
+    kind = F.when(ending.rlike(r"\.pyi?$"), "python").when(ending.rlike(r"\.rs$"), "rust").when(ending.rlike(C_FILES), "c").otherwise("script")
+    python, rust, c, script = (F.col("kind") == x for x in ("python", "rust", "c", "script"))
+    name, climb = F.ltrim(spec, F.lit(".")), F.regexp_extract(spec, r"^((?:\.{1,2}/)*)", 1)
+    relative = F.length(spec) > F.length(name)
+    rows = places.withColumns({"kind": kind, "relative": relative, "climb": climb}).withColumns({
+        "ups": F.when(python, F.length(spec) - F.length(name) - 1).when(rust, 0).otherwise(F.length("climb") - F.length(F.replace("climb", F.lit("../"), F.lit("..")))),
+        "rest": F.when(python, F.replace(name, F.lit("."), F.lit("/"))).when(rust, F.replace(F.regexp_replace(spec, "^(crate|super|self)::", ""), F.lit("::"), F.lit("/"))).otherwise(F.substr(spec, F.length("climb") + 1)),
+    })
+    rows = rows.withColumn("odd", F.rlike(rest, F.lit(_ODD)))
+    at = lambda top: inside(F.lit(top), ups, rest, F.col("odd"))
+    rows = rows.withColumn("near", F.when(~python | F.col("relative"), inside(folder, ups, rest, F.col("odd") | ((folder != "") & F.rlike(folder, F.lit(_ODD))))))
+    rows = rows.withColumn("bare", F.when(script, F.regexp_replace(near, r"(?i)\.(js|mjs|cjs)$", "")))
+    ends = lambda path, *endings: [F.concat(path, F.lit(x)) for x in endings]
+    tops = (F.concat_ws("/", F.nullif(folder, F.lit("")), rest), rest, F.concat(F.lit("src/"), rest))
+    found = F.when(python & F.col("relative"), F.array(*ends(near, ".py", "/__init__.py"))).when(python & (rest != ""), F.array(*(F.concat(x, F.lit(".py")) for x in tops), *ends(rest, "/__init__.py")))
+    found = found.when(rust, F.array(*ends(near, ".rs"), *ends(F.concat(F.lit("src/"), rest), ".rs"), *ends(rest, ".rs"), *ends(F.concat(F.lit("src/"), rest), "/mod.rs")))
+    found = found.when(c, F.array(near, at(""), at("include"), at("src"))).when(script & spec.startswith("."), F.array(near, *ends(F.col("bare"), *TRIED[1:])))
+    return rows.select(*PLACE, F.posexplode(found).alias("prio", "candidate")).where(~F.col("candidate").startswith(".."))
+
+
+def tried_files(imports: DataFrame, files: DataFrame) -> DataFrame:
+    """The candidates of imports, once for all files of a folder and an ending, without those in whose folder no file of ``files(path)`` has their ending.
+
+    So most candidates are left out before they are shuffled. With more than MOST_FOLDERS folders and endings of files all are kept.
+    """
+    known = lambda path: F.concat_ws("/", *_folder_and_ending(path))
+    asked = placed(imports.where("path is not null and module is not null").select("path", "module")).select(*PLACE).distinct()
+    there = [r[0] for r in files.where("path is not null").select(known("path")).distinct().limit(MOST_FOLDERS + 1).collect()]
+    tried = import_candidates(asked)
+    return tried if len(there) > MOST_FOLDERS else tried.where(known("candidate").isin(there))
 
 
 def resolve_imports(imports: DataFrame, files: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """(path, module, target): the first candidate that is a known file, or null; each once, or, with other columns to keep, each row of ``imports``.
 
-    Candidates depend on the importing file's folder and ending alone, so a module is resolved once for all files of a folder and an ending.
+    Candidates depend on the importing file's folder and ending alone, so a module is resolved once for all files of a folder and an ending. Files and
+    places grow with the code, so neither is broadcast; a task holds those of its part, each once.
     """
     rows = imports.select("path", "module", *keep)
-    best = tried_files(imports).join(files.select(F.col("path").alias("candidate")), "candidate").groupBy(*PLACE).agg(F.min_by("candidate", "prio").alias("target"))
-    return placed(rows if keep else rows.distinct()).join(best, PLACE, "left").select("path", "module", *keep, "target")
+    known = files.select(F.col("path").alias("candidate")).hint("shuffle_hash")
+    best = tried_files(imports, files).join(known, "candidate", "left_semi").groupBy(*PLACE).agg(F.min_by("candidate", "prio").alias("target"))
+    return placed(rows if keep else rows.distinct()).join(best.hint("shuffle_hash"), PLACE, "left").select("path", "module", *keep, "target")
 
 
 def resolve_methods(calls: DataFrame, symbols: DataFrame, closure: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -111,7 +145,7 @@ def resolve_methods(calls: DataFrame, symbols: DataFrame, closure: DataFrame, ke
     first = owned.groupBy("ancestor", "callee").agg(F.min("target_path").alias("first"))
     calls = calls.where("receiver_class is not null").select("path", "line", "callee", "receiver_class", *keep)
     asked = calls.select(F.col("receiver_class").alias("child"), "callee").distinct()
-    found = asked.join(lineage, "child").join(first, ["ancestor", "callee"])
+    found = asked.join(lineage.hint("shuffle_hash"), "child").join(first.hint("shuffle_hash"), ["ancestor", "callee"])
     least = F.min("depth").over(Window.partitionBy("child", "callee"))
     found = found.withColumn("least", least).where("depth = least").select(F.col("child").alias("receiver_class"), "callee", "ancestor", "depth", "first")
     here = owned.select(F.col("target_path").alias("path"), "callee", "ancestor").where("path is not null").distinct().withColumn("own", F.lit(True))
@@ -135,7 +169,7 @@ def resolve_calls(calls: DataFrame, symbols: DataFrame, imports: DataFrame, leas
     plain = calls.where("receiver_class is null").select("path", "line", "callee", *keep)
     own = free.distinct().withColumn("own", F.lit(True))
     named = imports.where("target is not null and path is not null").select("path", F.col("target").alias("target_path"), F.explode("names").alias("callee"))
-    named = named.join(free.select(F.col("path").alias("target_path"), "callee"), ["target_path", "callee"], "left_semi")
+    named = named.join(free.select(F.col("path").alias("target_path"), "callee").hint("shuffle_hash"), ["target_path", "callee"], "left_semi")
     alike = F.when(family == T.language_family(F.col("target_path")), F.col("target_path"))  # not a filter: it would become a key of the join, computed at each comparison
     facts = [own, named.select("path", "callee", alike.alias("brought"))]
     by_family = free.withColumns({"family": family, "folder": folder("path")})
@@ -145,7 +179,7 @@ def resolve_calls(calls: DataFrame, symbols: DataFrame, imports: DataFrame, leas
     for name, confidence, where, keys in stages:
         single = by_family.where(where).groupBy(*keys).agg(F.count("*").alias("n"), F.min("path").alias(name)).where("n = 1").drop("n")
         if confidence >= least:
-            facts.append(asked.where(where).distinct().join(single, keys).select("path", "callee", name))
+            facts.append(asked.where(where).distinct().join(single.hint("shuffle_hash"), keys).select("path", "callee", name))
     rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), facts, plain.withColumn("call", F.lit(1)))
     rows = rows.withColumns({name: F.lit(None).cast("string") for name, *_ in stages if name not in rows.columns})
     # A call that comes twice in a line is not the only one of its name there, so the last two stages leave it.

@@ -6,8 +6,8 @@ from collections import Counter
 import pandas as pd
 from pyspark.sql import functions as F
 
-from loomquery.operators import decisions, doclinks, lookup, mining, resolve, search, sessions
-from loomquery.plans import edits
+from loomquery.operators import decisions, doclinks, incremental, lookup, mining, resolve, search, sessions
+from loomquery.plans import edits, graphs
 from loomquery.plans import lookup as plans
 from loomquery.sources import declarations
 
@@ -214,3 +214,24 @@ def test_step_blocks_by_hand(spark):
     out = decisions.step_blocks(spark.createDataFrame(rows, "key int, no int, line string"))
     want = [(0, None, "", "", "early\n[exit=9]"), (1, "## step a", "[exit=-2]", "one\n\ntwo", "more\nlast"), (2, "## step b", "", "", ""), (3, "## step c", "", "[exit=]", "")]
     assert sorted((tuple(r) for r in out.select("key", "step", "header", "exit_line", "output", "extra").collect()), key=lambda r: r[:2]) == [(k, *w) for k in (1, 2) for w in want]
+
+
+def test_full_edges_in_parts_without_broadcasts(spark):
+    """Files and symbols grow with the code, so none of them goes through the driver; calls are resolved in plans of their own, not in one with all edges."""
+    code = graphs._code(spark, "/root/testdata/sf0.001", 1)
+    for out in (incremental.full_edges(code), resolve.resolve_imports(code.imports, code.files)):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "Broadcast" not in plan and "Window" not in plan
+
+
+def test_callers_in_files_that_are_gone(spark):
+    """A call is an edge only if its file is known, whichever caller it names."""
+    frame = spark.createDataFrame
+    calls = [("a.ts", 1, "symbol:a.ts#f", "g", None), ("gone.ts", 1, "symbol:a.ts#f", "h", None), ("gone.ts", 2, None, "h", None), ("a.ts", 3, "file:gone.ts", "g", None), ("a.ts", 4, None, "g", None)]
+    code = incremental.Code(
+        frame([("a.ts", "1")], "path string, fingerprint string"), frame([("a.ts", "f", None, 0), ("a.ts", "g", None, 1), ("gone.ts", "h", None, 0)], "path string, name string, parent_class string, ordinal int"),
+        frame([("gone.ts", "./a", ["g"])], "path string, module string, names array<string>"), frame(calls, "path string, line int, caller string, callee string, receiver_class string"), frame([], "path string, child string, parent string"),
+    )
+    g = "symbol:a.ts#g"
+    want = {("defines", "file:a.ts", "symbol:a.ts#f"), ("defines", "file:a.ts", g), ("calls", "symbol:a.ts#f", g), ("calls", "file:a.ts", g)}
+    assert {tuple(r) for r in incremental.full_edges(code).collect()} == want == {tuple(r) for r in incremental.edges(incremental.rebuild(code)).collect()}
