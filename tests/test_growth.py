@@ -1,6 +1,7 @@
 """Plans whose intermediate rows must grow with the input, not with its square: the most rows that any step gives, and the results by direct computation."""
 
 import random
+import re
 from collections import Counter
 
 import pandas as pd
@@ -235,3 +236,58 @@ def test_callers_in_files_that_are_gone(spark):
     g = "symbol:a.ts#g"
     want = {("defines", "file:a.ts", "symbol:a.ts#f"), ("defines", "file:a.ts", g), ("calls", "symbol:a.ts#f", g), ("calls", "file:a.ts", g)}
     assert {tuple(r) for r in incremental.full_edges(code).collect()} == want == {tuple(r) for r in incremental.edges(incremental.rebuild(code)).collect()}
+
+
+def test_candidates_in_known_folders_only(spark, monkeypatch):
+    """300 modules with four candidates each, of which one is in a folder that has such files: the others are not shuffled, and change nothing."""
+    n = 300
+    imports = spark.createDataFrame([("src/a/x.c", f"g{i}.h") for i in range(n)], "path string, module string")
+    files = spark.createDataFrame([(f"src/a/g{i}.h",) for i in range(0, n, 2)] + [("lib/b.c",), (None,)], "path string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # as with tables of size
+    try:
+        rows, most = shuffled_rows(spark, resolve.resolve_imports(imports, files))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    want = {("src/a/x.c", f"g{i}.h", None if i % 2 else f"src/a/g{i}.h") for i in range(n)}
+    assert {tuple(r) for r in rows} == want and most <= n
+    monkeypatch.setattr(resolve, "MOST_FOLDERS", 1)
+    assert {tuple(r) for r in resolve.resolve_imports(imports, files).collect()} == want
+
+
+def test_candidates_of_odd_modules(spark):
+    """Modules that climb, stay and repeat slashes, by hand."""
+    rng = random.Random(8)
+
+    def normal(*parts):
+        out = []
+        for x in "/".join(parts).split("/"):
+            if x == ".." and out and out[-1] != "..":
+                out.pop()
+            elif x not in ("", "."):
+                out.append(x)
+        return "/".join(out)
+
+    def tried(folder, ending, module):
+        plain = module.lstrip(".")
+        dots, dotted, crate = len(module) - len(plain), plain.replace(".", "/"), re.sub("^(crate|super|self)::", "", module).replace("::", "/")
+        near = normal(folder, module)
+        bare = re.sub(r"\.(js|mjs|cjs)$", "", near, flags=re.IGNORECASE)
+        if ending == ".py":
+            own = normal(folder, "../" * (dots - 1), dotted)
+            found = [own + ".py", own + "/__init__.py"] if dots else [f"{folder}/{dotted}.py" if folder else f"{dotted}.py", f"{dotted}.py", f"src/{dotted}.py", f"{dotted}/__init__.py"] if dotted else []
+        elif ending == ".rs":
+            found = [f"{normal(folder, crate)}.rs", f"src/{crate}.rs", f"{crate}.rs", f"src/{crate}/mod.rs"]
+        elif ending == ".c":
+            found = [near, normal(module), normal("include", module), normal("src", module)]
+        else:
+            found = [near] + [bare + x for x in resolve.TRIED[1:]] if module.startswith(".") else []
+        return [x for x in found if not x.startswith("..")]
+
+    part = lambda: rng.choice(["a", "b", "..", ".", "", "x.js", "a.b", "..x", "é"])
+    specs = ["".join(rng.choice(["./", "../", "", "/"]) for _ in range(3)) + "/".join(part() for _ in range(rng.randint(0, 3))) for _ in range(150)]
+    specs += ["." * rng.randint(0, 3) + ".".join(rng.choice(["a", "b", ""]) for _ in range(3)) for _ in range(40)] + ["crate::a::b", "super::super::c", "self::..::d", "::e", "./x.MJS", ".", ".."]
+    places = sorted({(rng.choice(["", "a", "src/a", "é/b/c", "a/../b"]), rng.choice([".py", ".rs", ".c", ".ts", ""]), m) for m in specs for _ in range(2)})
+    got = {}
+    for *place, prio, candidate in sorted(map(tuple, resolve.import_candidates(spark.createDataFrame(places, "folder string, ending string, module string")).collect())):
+        got.setdefault(tuple(place), []).append(candidate)
+    assert {p: got.get(p, []) for p in places} == {p: tried(*p) for p in places}
